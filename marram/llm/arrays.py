@@ -31,3 +31,13 @@ def runs(keys: np.ndarray) -> np.ndarray:
     if not len(keys):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).astype(np.int64)
+
+
+def carried(own: pa.RecordBatch, rows: pa.RecordBatch, carry: dict[str, str] | None) -> pa.RecordBatch:
+    """A result with further columns of its rows, unchanged."""
+    names = list(carry or {})
+    return pa.RecordBatch.from_arrays([*own.columns, *(rows.column(n) for n in names)], names=[*own.schema.names, *names])
+
+
+def ddl(carry: dict[str, str] | None) -> str:
+    return "".join(f", {n} {t}" for n, t in (carry or {}).items())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, raw
+from marram.llm.arrays import batch, carried, ddl, raw
 from marram.llm.fmindex import FMIndex
 from marram.sources.shared import pick
 
@@ -92,10 +92,21 @@ def _spans(windows: Windows, bodies: list[bytes]) -> tuple[list[int], list[list[
     return n_words, spans, items
 
 
-_OUT = [("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.int64()))]
+_OUT = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.int64()))]
 
 
-def _search(docs: DataFrame, windows: Windows) -> DataFrame:
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _search(docs: DataFrame, windows: Windows, carry: dict[str, str]) -> DataFrame:
+    """Searches for one block of items; spans and items that a row has from earlier blocks are merged in."""
     shared = docs.sparkSession.sparkContext.broadcast(windows)  # one block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,47 +116,36 @@ def _search(docs: DataFrame, windows: Windows) -> DataFrame:
             while at < rows.num_rows:
                 base = sizes[at - 1] if at else 0
                 to = max(at + 1, int(np.searchsorted(sizes, base + SHARD_BYTES, side="right")))
+                part = rows.slice(at, to - at)
                 n_words, spans, items = _spans(shared.value, bodies[at:to])
-                yield batch(_OUT, [rows.column("row").slice(at, to - at), rows.column("doc_id").slice(at, to - at), n_words, spans, [sorted(s) for s in items]])
+                if "spans" in rows.schema.names:
+                    spans = [_merged([*map(tuple, old), *new]) for old, new in zip(part.column("spans").to_pylist(), spans, strict=True)]
+                    items = [new.union(old) for old, new in zip(part.column("items").to_pylist(), items, strict=True)]
+                yield carried(batch(_OUT, [part.column("doc_id"), n_words, spans, [sorted(s) for s in items]]), part, carry)
                 at = to
 
-    return docs.mapInArrow(run, "row long, doc_id long, n_words long, spans array<array<int>>, items array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, spans array<array<int>>, items array<long>" + ddl(carry))
 
 
-def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, spans array<array<int>> (first word, word after the last) and items array<long> of every row.
+def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, spans array<array<int>> (first word, word after the last), items array<long> of every row, and the columns to carry (name: type).
 
-    Test items are read in blocks of bounded size; with several blocks, spans are merged per row. Test
-    rows without an id or a text take no part; repeated ones count once. A null or empty text has no
-    words. Null document ids are kept, repeated rows give repeated results, other columns are ignored.
+    Test items are read in blocks of bounded size; each block is one more pass over the rows, without a
+    shuffle. Test rows without an id or a text take no part; repeated ones count once. A null or empty
+    text has no words. Null document ids are kept, repeated rows give repeated results, other columns
+    are ignored.
     """
-    rows = pick(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    carry = carry or {}
+    found = pick(docs, **{"doc_id": "long", "text": "string", **carry})
     tests = pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null")
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
-    found = []
     for k in range(blocks):
         block = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else tests
-        found.append(_search(rows, Windows([(r[0], r[1].encode()) for r in block.collect()], window)))
-    if blocks > 1:
-        every = found[0]
-        for df in found[1:]:
-            every = every.union(df)
-        spans = F.array_sort(F.flatten(F.collect_list("spans")))
-        grouped = every.groupBy("row", "doc_id", "n_words").agg(spans.alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        joined = F.aggregate(
-            "all",
-            F.array().cast("array<array<int>>"),
-            lambda done, s: F.when(
-                (F.size(done) > 0) & (F.element_at(done, -1)[1] >= s[0]),
-                F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], s[1])))),
-            ).otherwise(F.concat(done, F.array(s))),
-        )
-        result = grouped.withColumn("spans", F.when(F.size("all") > 0, joined).otherwise(F.col("all")))
-    else:
-        result = found[0]
+        windows = Windows([(r[0], r[1].encode()) for r in block.collect()], window)
+        found = _search(found, windows, carry if k == blocks - 1 else {"text": "string", **carry})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return result.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *carry)
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import texts
+from marram.llm.arrays import batch, carried, ddl, texts
 from marram.sources.shared import pick
 
 #: The base kinds, and what this operator adds to them.
@@ -127,6 +127,19 @@ def find_spans(docs: DataFrame, *, redacted: bool = False) -> DataFrame:
     return pick(docs, doc_id="long", text="string").mapInArrow(run, ddl)
 
 
+def redact_documents(docs: DataFrame, carry: dict[str, str]) -> DataFrame:
+    """doc_id, text without personal data (null stays null), n_spans, and the columns to carry (name: type)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            bodies = rows.column("text").to_pylist()
+            found = [find(t or "") for t in bodies]
+            clean = [redact(t, x) if x else t for t, x in zip(bodies, found, strict=True)]
+            yield carried(batch([("doc_id", pa.int64()), ("text", pa.string()), ("n_spans", pa.int64())], [rows.column("doc_id"), clean, [len(x) for x in found]]), rows, carry)
+
+    return pick(docs, **{"doc_id": "long", "text": "string", **carry}).mapInArrow(run, "doc_id long, text string, n_spans long" + ddl(carry))
+
+
 def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
