@@ -1,10 +1,635 @@
-"""The engine's queries over the driver tables, and their SQL."""
+"""The engine's queries over the driver tables, and their SQL.
+
+Unless a query says otherwise its graph is G: parts that share an order in lines of quantity 40 or more.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marram.operators import cliques as cl
+from marram.operators import community, controls, graph, paths, ranking, spread, statistics, synthetic
+from marram.plans import graphs
+from marram.plans.graphs import parts_sql, users_sql
+from marram.sources.shared import materialise, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def g(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise(graphs.co_ordered_parts(spark, sf_dir), "graph")
+
+
+def r6(c: str | Column) -> Column:
+    """Rounded for comparison; no negative zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
+def scored(df: DataFrame) -> DataFrame:
+    return df.select("node", r6("score").alias("score"))
+
+
+G = parts_sql()
+
+# --- graph preparation and whole-graph metrics ---
+
+
+@query("degree_rank", f"{G} SELECT node, k, row_number() OVER (ORDER BY k DESC, node) AS rank FROM n")
+def degree_rank(spark, sf_dir):
+    k = graph.degrees(g(spark, sf_dir))
+    return ranking.ranked(k.withColumn("score", F.col("k").cast("double"))).select("node", F.col("score").cast("long").alias("k"), "rank")
+
+
+CORNERS = """
+tri AS MATERIALIZED (SELECT a.u AS i, a.v AS j, b.v AS q FROM adj a JOIN adj b ON a.u = b.u AND a.v <> b.v JOIN adj c ON c.u = a.v AND c.v = b.v),
+loc AS MATERIALIZED (SELECT n.node, n.k, coalesce(t.t, 0)::BIGINT AS triangles, CASE WHEN n.k > 1 THEN 2.0::DOUBLE * coalesce(t.t, 0) / (n.k * (n.k - 1)) ELSE 0.0::DOUBLE END AS clustering
+        FROM n LEFT JOIN (SELECT i, count(*) // 2 AS t FROM tri GROUP BY i) t ON t.i = n.node)"""
+
+
+@query("clustering", f"{G},{CORNERS} SELECT node, k, triangles, round(clustering, 6) AS clustering FROM loc")
+def clustering(spark, sf_dir):
+    return graph.clustering(g(spark, sf_dir)).select("node", "k", "triangles", r6("clustering").alias("clustering"))
+
+
+@query(
+    "graph_stats",
+    f"""{G},{CORNERS}, a AS (SELECT count(*)::BIGINT AS n_nodes, (sum(k) // 2)::BIGINT AS n_edges, max(k) AS max_degree, avg(k) AS m, avg(k * k) AS m2, avg(clustering) AS c, (sum(triangles) // 3)::BIGINT AS n_triangles, sum(k * (k - 1) / 2)::DOUBLE AS w FROM loc)
+    SELECT n_nodes, n_edges, max_degree, round(m, 6) AS mean_degree, round(m2, 6) AS second_moment, round(m / (m2 - m), 6) AS threshold, round(2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, round(c, 6) AS clustering, round(3.0::DOUBLE * n_triangles / w, 6) AS transitivity, n_triangles FROM a""",
+)
+def graph_stats(spark, sf_dir):
+    doubles = ("mean_degree", "second_moment", "threshold", "density", "clustering", "transitivity")
+    return graph.summary(g(spark, sf_dir)).select(*[r6(c).alias(c) if c in doubles else c for c in ("n_nodes", "n_edges", "max_degree", "mean_degree", "second_moment", "threshold", "density", "clustering", "transitivity", "n_triangles")])
+
+
+G45 = parts_sql(45)
+COMPONENTS = """
+reach(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, a.v FROM reach r JOIN adj a ON a.u = r.other),
+comp AS MATERIALIZED (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+
+def g45(spark, sf_dir):
+    return materialise(graphs.co_ordered_parts(spark, sf_dir, 45), "graph")
+
+
+@query("components", f"{G45},{COMPONENTS} SELECT node, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM comp")
+def components(spark, sf_dir):
+    return graph.component_sizes(g45(spark, sf_dir))
+
+
+LARGEST = """
+big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+kept AS MATERIALIZED (SELECT node FROM comp JOIN big USING (component)),
+lab AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS label FROM kept)"""
+
+
+@query("largest_component", f"{G45},{COMPONENTS},{LARGEST} SELECT a.label AS u, b.label AS v FROM e JOIN lab a ON a.node = e.u JOIN lab b ON b.node = e.v")
+def largest_component(spark, sf_dir):
+    edges = materialise(graph.largest_component(g45(spark, sf_dir)), "component")
+    labels = materialise(graph.relabel(edges), "labels")
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("u", "v"))
+    return edges.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+
+
+@query("preparation", None)
+def preparation(spark, sf_dir):
+    edges = g45(spark, sf_dir)
+    return graph.preparation_report(edges, materialise(graph.largest_component(edges), "component"))
+
+
+# --- scores from local structure ---
+
+
+@query("degree_centrality", f"{G} SELECT node, round(k::DOUBLE / ((SELECT count(*) FROM n) - 1), 6) AS score FROM n")
+def degree_centrality(spark, sf_dir):
+    return scored(ranking.degree_centrality(g(spark, sf_dir)))
+
+
+SH = """
+via AS (SELECT t.i, t.j, sum((1.0::DOUBLE / ni.k) * (1.0::DOUBLE / nq.k)) AS x FROM tri t JOIN n ni ON ni.node = t.i JOIN n nq ON nq.node = t.q GROUP BY ALL),
+sh AS MATERIALIZED (SELECT a.u AS node, 1 - sum((1.0::DOUBLE / n.k + coalesce(via.x, 0)) ** 2) AS score FROM adj a JOIN n ON n.node = a.u LEFT JOIN via ON via.i = a.u AND via.j = a.v GROUP BY a.u)"""
+
+
+@query("structural_holes", f"{G},{CORNERS},{SH} SELECT node, round(score, 6) AS score FROM sh")
+def structural_holes(spark, sf_dir):
+    return scored(ranking.structural_holes(g(spark, sf_dir)))
+
+
+@query(
+    "improved_structural_holes",
+    f"""{G},{CORNERS}, tot AS (SELECT a.u, sum(x.k + y.k) AS total FROM adj a JOIN n x ON x.node = a.u JOIN n y ON y.node = a.v GROUP BY a.u),
+    p AS MATERIALIZED (SELECT a.u, a.v, (x.k + y.k)::DOUBLE / tot.total AS p FROM adj a JOIN n x ON x.node = a.u JOIN n y ON y.node = a.v JOIN tot ON tot.u = a.u),
+    via AS (SELECT t.i, t.j, sum(a.p * b.p) AS x FROM tri t JOIN p a ON a.u = t.i AND a.v = t.q JOIN p b ON b.u = t.q AND b.v = t.j GROUP BY ALL)
+    SELECT p.u AS node, round(1 - sum((p.p + coalesce(via.x, 0)) ** 2), 6) AS score FROM p LEFT JOIN via ON via.i = p.u AND via.j = p.v GROUP BY p.u""",
+)
+def improved_structural_holes(spark, sf_dir):
+    return scored(ranking.improved_structural_holes(g(spark, sf_dir)))
+
+
+RIM = "rim AS (SELECT DISTINCT a.u AS node, b.v AS other FROM adj a JOIN adj b ON b.u = a.v WHERE b.v <> a.u AND NOT EXISTS (SELECT 1 FROM adj c WHERE c.u = a.u AND c.v = b.v))"
+
+
+@query("collective_influence", f"{G},{RIM}, s AS (SELECT rim.node, sum(n.k - 1) AS x FROM rim JOIN n ON n.node = rim.other GROUP BY rim.node) SELECT n.node, ((n.k - 1) * coalesce(x, 0))::DOUBLE AS score FROM n LEFT JOIN s USING (node)")
+def collective_influence(spark, sf_dir):
+    return scored(ranking.collective_influence(g(spark, sf_dir)))
+
+
+@query(
+    "neighbourhood_constraint",
+    f"""{G},{CORNERS},{SH}, m AS MATERIALIZED (SELECT l.node, l.k * exp(l.clustering) AS mass, exp(sh.score - 1) / 2 AS w FROM loc l JOIN sh USING (node)),
+    hood AS (SELECT node, node AS other FROM n UNION SELECT u, v FROM adj UNION SELECT a.u, b.v FROM adj a JOIN adj b ON b.u = a.v),
+    s AS (SELECT hood.node, sum(m.mass) AS total FROM hood JOIN m ON m.node = hood.other GROUP BY hood.node)
+    SELECT m.node, round(m.w * m.w * m.mass * s.total, 6) AS score FROM m JOIN s USING (node)""",
+)
+def neighbourhood_constraint(spark, sf_dir):
+    return scored(ranking.neighbourhood_constraint(g(spark, sf_dir)))
+
+
+def core_sql(rounds: int) -> str:
+    steps = ["c0 AS MATERIALIZED (SELECT node, k AS c FROM n)"]
+    for t in range(rounds):
+        steps.append(f"""c{t + 1} AS MATERIALIZED (SELECT o.node, least(o.c, h.h) AS c FROM c{t} o JOIN (
+            SELECT u, max(least(rn, c)) AS h FROM (SELECT a.u, x.c, row_number() OVER (PARTITION BY a.u ORDER BY x.c DESC) AS rn FROM adj a JOIN c{t} x ON x.node = a.v) GROUP BY u) h ON h.u = o.node)""")
+    return ", ".join(steps)
+
+
+@query("core_numbers", f"{G}, {core_sql(30)} SELECT node, c::DOUBLE AS score FROM c30")
+def core_numbers(spark, sf_dir):
+    return ranking.core_numbers(g(spark, sf_dir))
+
+
+@query(
+    "community_bridges",
+    f"""{G}, p AS MATERIALIZED (SELECT n.node, p_brand AS c FROM n JOIN part ON p_partkey = n.node), s AS (SELECT c, count(*) AS size FROM p GROUP BY c)
+    SELECT a.u AS node, (max(s.size) * count(*) FILTER (x.c = y.c) + count(*) FILTER (x.c <> y.c) * count(DISTINCT CASE WHEN x.c <> y.c THEN y.c END))::DOUBLE AS score
+    FROM adj a JOIN p x ON x.node = a.u JOIN p y ON y.node = a.v JOIN s ON s.c = x.c GROUP BY a.u""",
+)
+def community_bridges(spark, sf_dir):
+    """The partition is the parts' brand."""
+    brands = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("community"))
+    return ranking.community_bridges(g(spark, sf_dir), brands)
+
+
+def vote_sql(top: int) -> str:
+    """Each round picks from exact integer abilities; picks accumulate as a list."""
+    steps = ["two AS (SELECT sum(k) AS e2, count(*) AS nn FROM n)", "p0 AS (SELECT []::BIGINT[] AS picks)"]
+    for t in range(top):
+        steps.append(f"""a{t} AS MATERIALIZED (SELECT n.node, CASE WHEN list_contains(p.picks, n.node) THEN 0 ELSE greatest(0, two.e2 - coalesce(h.c, 0) * two.nn) END AS ability
+            FROM n CROSS JOIN p{t} p CROSS JOIN two LEFT JOIN (SELECT a.u, count(*) AS c FROM adj a, p{t} q WHERE list_contains(q.picks, a.v) GROUP BY a.u) h ON h.u = n.node),
+            p{t + 1} AS MATERIALIZED (SELECT list_append(p.picks, (SELECT u FROM (SELECT a.u, sum(x.ability) AS votes FROM adj a JOIN a{t} x ON x.node = a.v GROUP BY a.u) WHERE NOT list_contains(p.picks, u) ORDER BY votes DESC, u LIMIT 1)) AS picks FROM p{t} p)""")
+    return ", ".join(steps)
+
+
+@query("vote_rank", f"{G}, {vote_sql(10)} SELECT picks[i] AS node, i::INT AS rank, ((SELECT count(*) FROM n) - i + 1)::DOUBLE AS score FROM (SELECT picks, unnest(range(1, 11)) AS i FROM p10)")
+def vote_rank(spark, sf_dir):
+    return ranking.vote_rank(g(spark, sf_dir), 10)
+
+
+@query("communities")
+def communities(spark, sf_dir):
+    """Louvain communities; see the operator for its order of moves."""
+    return community.louvain(g(spark, sf_dir))
+
+
+# --- cliques ---
+
+CLIQUES = """
+nb AS MATERIALIZED (SELECT u, list(v) AS l FROM adj GROUP BY u),
+grow(members, common) AS (SELECT [u], l FROM nb UNION ALL
+    SELECT list_append(x.members, x.x), list_intersect(x.common, nb.l) FROM (SELECT members, common, unnest(common) AS x FROM grow) x JOIN nb ON nb.u = x.x WHERE x.x > x.members[-1]),
+cq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY members) AS clique, members, len(members)::INT AS size FROM grow WHERE len(common) = 0),
+inc AS MATERIALIZED (SELECT clique, size, unnest(members) AS node FROM cq)"""
+
+
+def g_cliques(spark, sf_dir):
+    edges = g(spark, sf_dir)
+    return edges, cl.maximal_cliques(edges)
+
+
+@query("maximal_cliques", f"{G},{CLIQUES} SELECT array_to_string(members, '-') AS members, size FROM cq")
+def maximal_cliques(spark, sf_dir):
+    return g_cliques(spark, sf_dir)[1].select(F.array_join(F.transform("members", lambda m: m.cast("string")), "-").alias("members"), "size")
+
+
+@query("clique_sizes", f"{G},{CLIQUES} SELECT size, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM cq), 4) AS percent FROM cq GROUP BY size")
+def clique_sizes(spark, sf_dir):
+    return cl.clique_sizes(g_cliques(spark, sf_dir)[1]).withColumn("percent", F.round("percent", 4))
+
+
+@query("clique_memberships", f"{G},{CLIQUES}, p AS (SELECT n.node, count(inc.clique)::BIGINT AS memberships FROM n LEFT JOIN inc USING (node) GROUP BY n.node) SELECT memberships, count(*)::BIGINT AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM p), 4) AS percent FROM p GROUP BY memberships")
+def clique_memberships(spark, sf_dir):
+    return cl.memberships(*g_cliques(spark, sf_dir)).withColumn("percent", F.round("percent", 4))
+
+
+@query(
+    "clique_statistics",
+    f"""{G},{CLIQUES}, p AS (SELECT n.node, count(inc.clique) AS m FROM n LEFT JOIN inc USING (node) GROUP BY n.node)
+    SELECT (SELECT count(*) FROM cq)::BIGINT AS n_cliques, (SELECT max(size) FROM cq) AS max_size, round((SELECT avg(size) FROM cq), 4) AS mean_size, (SELECT quantile_cont(size::DOUBLE, 0.5) FROM cq) AS median_size,
+           (SELECT count(*) FILTER (size = 2) FROM cq)::BIGINT AS n_pairs, (SELECT count(*) FILTER (size > 2) FROM cq)::BIGINT AS n_larger,
+           round(avg(m), 4) AS mean_memberships, quantile_cont(m::DOUBLE, 0.5) AS median_memberships, max(m)::BIGINT AS max_memberships, round(100.0::DOUBLE * count(*) FILTER (m >= 1) / count(*), 4) AS in_one, round(100.0::DOUBLE * count(*) FILTER (m >= 2) / count(*), 4) AS in_two FROM p""",
+)
+def clique_statistics(spark, sf_dir):
+    df = cl.clique_statistics(*g_cliques(spark, sf_dir))
+    return df.select(*[F.round(c, 4).alias(c) if c in ("mean_size", "mean_memberships", "in_one", "in_two") else c for c in df.columns])
+
+
+@query("clique_participation", f"{G},{CLIQUES} SELECT n.node, count(inc.clique)::DOUBLE AS score FROM n LEFT JOIN inc USING (node) GROUP BY n.node")
+def clique_participation(spark, sf_dir):
+    return scored(cl.clique_participation(*g_cliques(spark, sf_dir)))
+
+
+@query("clique_spread", f"{G},{CLIQUES}, b AS MATERIALIZED (SELECT * FROM inc WHERE size >= 3) SELECT n.node, coalesce(s.score, 0)::DOUBLE AS score FROM n LEFT JOIN (SELECT a.node, count(DISTINCT a.clique) * count(DISTINCT o.node) AS score FROM b a JOIN b o USING (clique) GROUP BY a.node) s USING (node)")
+def clique_spread(spark, sf_dir):
+    return scored(cl.clique_spread(*g_cliques(spark, sf_dir)))
+
+
+@query("score_e", f"{G},{CLIQUES} SELECT inc.node, sum(greatest(0, n.k - (inc.size - 1)))::DOUBLE AS score FROM inc JOIN n USING (node) GROUP BY inc.node")
+def score_e(spark, sf_dir):
+    return scored(cl.external_degree_sum(*g_cliques(spark, sf_dir)))
+
+
+def constraint_sql(*, overlap: bool = True, external: bool = True, transform: str = "log", norm: str = "max") -> str:
+    """The literal form over pairs of cliques."""
+    phi = {"log": "ln(1 + x)", "linear": "x", "boxcox": "2 * (sqrt(1.0 + x) - 1)"}[transform]
+    p = f"(1 - press / ({norm}(press) OVER (PARTITION BY clique) + {cl.XI})) / l" if external else "1.0::DOUBLE / l"
+    indirect = "coalesce((SELECT sum(b.p * greatest(0, sh.n - 1) / (b.size - 1)) FROM p b JOIN shared sh ON sh.a = a.clique AND sh.b = b.clique WHERE b.node = a.node AND b.clique <> a.clique), 0)" if overlap else "0"
+    shared = "shared AS MATERIALIZED (SELECT a.clique AS a, b.clique AS b, count(*) AS n FROM inc a JOIN inc b ON a.node = b.node AND a.clique <> b.clique GROUP BY ALL)," if overlap else ""
+    return f"""{G},{CLIQUES}, {shared}
+    x AS (SELECT inc.*, n.k, greatest(0, n.k - (inc.size - 1)) AS ext, count(*) OVER (PARTITION BY inc.node) AS l FROM inc JOIN n USING (node)),
+    y AS (SELECT *, sum(ext) OVER (PARTITION BY clique) - ext AS x FROM x),
+    z AS (SELECT *, ext + CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE {phi} END AS press FROM y),
+    p AS MATERIALIZED (SELECT node, clique, size, {p} AS p FROM z),
+    t AS (SELECT a.node, a.p + {indirect} AS term FROM p a)
+    SELECT node, round(1 - sum(term * term), 6) + 0.0 AS score FROM t GROUP BY node"""
+
+
+def _variant(name: str, options: dict) -> None:
+    @query(f"score_{name}", constraint_sql(**options))
+    def score(spark, sf_dir):
+        return scored(cl.clique_constraint(*g_cliques(spark, sf_dir), **options))
+
+
+for _name, _options in cl.VARIANTS.items():
+    _variant(_name, _options)
+
+# --- distances ---
+
+
+def distances_sql(levels: int) -> str:
+    steps = ["d0 AS MATERIALIZED (SELECT node AS s, node AS v, 0 AS d FROM n)", "d1 AS MATERIALIZED (SELECT u AS s, v, 1 AS d FROM adj)"]
+    for d in range(2, levels + 1):
+        steps.append(f"d{d} AS MATERIALIZED (SELECT DISTINCT p.s, a.v, {d} AS d FROM d{d - 1} p JOIN adj a ON a.u = p.v ANTI JOIN d{d - 1} x ON x.s = p.s AND x.v = a.v ANTI JOIN d{d - 2} y ON y.s = p.s AND y.v = a.v)")
+    return ", ".join(steps) + ", dist AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM d{d}" for d in range(1, levels + 1)) + ")"
+
+
+DIST = distances_sql(16)
+
+
+@query("closeness", f"{G}, {DIST} SELECT s AS node, round(count(*)::DOUBLE / sum(d) * count(*) / ((SELECT count(*) FROM n) - 1), 6) AS score FROM dist GROUP BY s")
+def closeness(spark, sf_dir):
+    return scored(paths.closeness(g(spark, sf_dir)))
+
+
+@query("path_statistics", f"{G}, {DIST} SELECT round(avg(d), 6) AS mean_distance, max(d)::BIGINT AS diameter, (SELECT min(m) FROM (SELECT max(d) AS m FROM dist GROUP BY s))::BIGINT AS radius FROM dist")
+def path_statistics(spark, sf_dir):
+    return paths.path_statistics(g(spark, sf_dir)).withColumn("mean_distance", r6("mean_distance"))
+
+
+@query(
+    "betweenness",
+    f"""{users_sql()}, {distances_sql(8)}, dd AS MATERIALIZED (SELECT s, v, d FROM dist),
+    p1 AS MATERIALIZED (SELECT s, v, d, 1.0::DOUBLE AS c FROM dd WHERE d = 1),
+    {", ".join(f"p{d} AS MATERIALIZED (SELECT x.s, x.v, x.d, sum(p.c) AS c FROM dd x JOIN adj a ON a.v = x.v JOIN p{d - 1} p ON p.s = x.s AND p.v = a.u WHERE x.d = {d} GROUP BY ALL)" for d in range(2, 9))},
+    sig AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM p{d}" for d in range(1, 9))}),
+    b AS (SELECT x.v AS node, sum(x.c * y.c / z.c) AS b FROM sig x JOIN sig y ON y.s = x.v AND y.v <> x.s JOIN sig z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d GROUP BY x.v)
+    SELECT n.node, round(coalesce(b.b, 0) / (((SELECT count(*) FROM n) - 1) * ((SELECT count(*) FROM n) - 2)), 6) AS score FROM n LEFT JOIN b USING (node)""",
+)
+def betweenness(spark, sf_dir):
+    """On the graph of users in step."""
+    return scored(paths.betweenness(materialise(graphs.users_in_step(spark, sf_dir), "graph")))
+
+
+# --- seeds ---
+
+TOP = "r AS MATERIALIZED (SELECT node, k, row_number() OVER (ORDER BY k DESC, node) AS rank FROM n), c AS (SELECT count(*) AS nn FROM n)"
+
+
+def degree_ranking(edges: DataFrame) -> DataFrame:
+    return materialise(ranking.ranked(graph.degrees(edges).select("node", F.col("k").cast("double").alias("score"))), "ranking")
+
+
+def degree_seeds(edges: DataFrame, percent: int, rule: str = "floor1") -> DataFrame:
+    r = degree_ranking(edges)
+    return materialise(r.where(F.col("rank") <= ranking.seed_count(r.count(), percent, rule)).select("node"), "seeds")
+
+
+@query("top_percent", f"{G}, {TOP} SELECT p.p AS percent, r.node, r.rank FROM r, c, (SELECT unnest(range(1, 11))::INT AS p) p WHERE r.rank <= greatest(1, c.nn * p.p // 100)")
+def top_percent(spark, sf_dir):
+    r = degree_ranking(g(spark, sf_dir))
+    n = r.count()
+    counts = spark.createDataFrame([(p, ranking.seed_count(n, p)) for p in range(1, 11)], "percent int, seeds long")
+    return r.join(F.broadcast(counts), F.col("rank") <= F.col("seeds")).select("percent", "node", "rank")  # ten rows are broadcast
+
+
+@query("boundary_ties", f"{G}, {TOP}, s AS (SELECT k, count(*) AS size, min(rank) - 1 AS before FROM r GROUP BY k) SELECT p.p AS percent, s.k::DOUBLE AS score, s.size::BIGINT AS size, (greatest(1, ceil(c.nn * p.p / 100.0))::BIGINT - s.before)::BIGINT AS needed FROM s, c, (SELECT unnest(range(1, 11))::INT AS p) p WHERE s.before < greatest(1, ceil(c.nn * p.p / 100.0)) AND greatest(1, ceil(c.nn * p.p / 100.0)) < s.before + s.size")
+def boundary_ties(spark, sf_dir):
+    """Percentages whose cut falls inside a group of equal degrees: its score, size and the nodes still needed from it."""
+    r = degree_ranking(g(spark, sf_dir))
+    n = r.count()
+    groups = r.groupBy(F.round("score", 6).alias("score")).agg(F.count("*").alias("size"), (F.min("rank") - 1).alias("before"))
+    counts = spark.createDataFrame([(p, ranking.seed_count(n, p, "ceil1")) for p in range(1, 11)], "percent int, seeds long")
+    cut = (F.col("before") < F.col("seeds")) & (F.col("seeds") < F.col("before") + F.col("size"))
+    return groups.join(F.broadcast(counts), cut).select("percent", "score", "size", (F.col("seeds") - F.col("before")).alias("needed"))
+
+
+@query("dispersion", f"{G}, {TOP}, {DIST}, s AS (SELECT node FROM r, c WHERE rank <= least(c.nn, greatest(2, ceil(c.nn * 2 / 100.0)))) SELECT (SELECT count(*) FROM s)::BIGINT AS k, round(avg(coalesce(dist.d, (SELECT nn FROM c))), 6) AS mean_distance FROM s a JOIN s b ON a.node < b.node LEFT JOIN dist ON dist.s = a.node AND dist.v = b.node")
+def dispersion(spark, sf_dir):
+    edges = g(spark, sf_dir)
+    return paths.dispersion(edges, degree_seeds(edges, 2, "ceil2")).withColumn("mean_distance", r6("mean_distance"))
+
+
+@query("similarity", f"{G}, {TOP}, s AS (SELECT node, k FROM r, c WHERE rank <= greatest(1, c.nn * 5 // 100)), m AS (SELECT a.u AS i, b.u AS j, count(*) AS x FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u GROUP BY ALL) SELECT (SELECT count(*) FROM s)::BIGINT AS k, round(avg(coalesce(m.x, 0)::DOUBLE / (a.k + b.k - coalesce(m.x, 0))), 6) AS mean_jaccard FROM s a JOIN s b ON a.node < b.node LEFT JOIN m ON m.i = a.node AND m.j = b.node")
+def similarity(spark, sf_dir):
+    edges = g(spark, sf_dir)
+    return paths.mean_jaccard(edges, degree_seeds(edges, 5)).withColumn("mean_jaccard", r6("mean_jaccard"))
+
+
+@query("monotonicity", f"{G}, s AS (SELECT k, count(*) AS c FROM n GROUP BY k), t AS (SELECT sum(c) AS nn FROM s) SELECT max(nn)::BIGINT AS n_nodes, count(*)::BIGINT AS n_distinct, count(*) FILTER (c > 1)::BIGINT AS n_groups, sum(c) FILTER (c > 1)::BIGINT AS n_tied, max(c)::BIGINT AS largest, round((1 - sum(c * (c - 1))::DOUBLE / max(nn * (nn - 1))) ** 2, 6) AS monotonicity FROM s, t")
+def monotonicity(spark, sf_dir):
+    scores = graph.degrees(g(spark, sf_dir)).select("node", F.col("k").cast("double").alias("score"))
+    return statistics.monotonicity(scores).withColumn("monotonicity", r6("monotonicity"))
+
+
+@query("rank_frequencies", f"{G}, s AS (SELECT k, count(*) AS c FROM n GROUP BY k) SELECT (1 + coalesce(sum(c) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rank, c::BIGINT AS n FROM s")
+def rank_frequencies(spark, sf_dir):
+    return statistics.rank_frequencies(graph.degrees(g(spark, sf_dir)).select("node", F.col("k").cast("double").alias("score")))
+
+
+# --- spreading ---
+
+BLOCKS, REPEATS, BETA = 4, 5, 0.2
+METHODS = {"degree": "k DESC, node", "low_degree": "k, node"}
+
+
+def spread_sql(betas: list[float], levels: int = 40) -> str:
+    values = ", ".join(f"({b}::DOUBLE)" for b in betas)
+    coin = "('0x' || substr(md5(concat_ws('|', p.run, a.u, a.v)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    seeds = " UNION ALL ".join(f"SELECT '{m}' AS set_id, node FROM (SELECT node, row_number() OVER (ORDER BY {o}) AS rank FROM n) WHERE rank <= (SELECT greatest(1, count(*) * 2 // 100) FROM n)" for m, o in METHODS.items())
+    steps = [f"f0 AS MATERIALIZED (SELECT s.set_id, (b.b * 1000 + r.r)::BIGINT AS run, w.beta, s.node, 0 AS step FROM ({seeds}) s, (SELECT unnest(range({BLOCKS})) AS b) b, (SELECT unnest(range({REPEATS})) AS r) r, (VALUES {values}) w(beta))"]
+    for t in range(1, levels + 1):
+        seen = " ".join(f"ANTI JOIN f{x} x{x} ON x{x}.set_id = p.set_id AND x{x}.run = p.run AND x{x}.beta = p.beta AND x{x}.node = a.v" for x in range(t))
+        steps.append(f"f{t} AS MATERIALIZED (SELECT DISTINCT p.set_id, p.run, p.beta, a.v AS node, {t} AS step FROM f{t - 1} p JOIN adj a ON a.u = p.node AND {coin} < p.beta {seen})")
+    return f"{G}, " + ", ".join(steps) + ", inf AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT * FROM f{t}" for t in range(levels + 1)) + ")"
+
+
+def spread_reach_sql(betas: list[float]) -> str:
+    """Who is reached, without steps: a recursive union."""
+    values = ", ".join(f"({b}::DOUBLE)" for b in betas)
+    coin = "('0x' || substr(md5(concat_ws('|', p.run, a.u, a.v)), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+    seeds = " UNION ALL ".join(f"SELECT '{m}' AS set_id, node FROM (SELECT node, row_number() OVER (ORDER BY {o}) AS rank FROM n) WHERE rank <= (SELECT greatest(1, count(*) * 2 // 100) FROM n)" for m, o in METHODS.items())
+    return f"""{G}, inf(set_id, run, beta, node) AS (SELECT s.set_id, (b.b * 1000 + r.r)::BIGINT, w.beta, s.node FROM ({seeds}) s, (SELECT unnest(range({BLOCKS})) AS b) b, (SELECT unnest(range({REPEATS})) AS r) r, (VALUES {values}) w(beta)
+        UNION SELECT p.set_id, p.run, p.beta, a.v FROM inf p JOIN adj a ON a.u = p.node AND {coin} < p.beta)"""
+
+
+def seed_sets(edges: DataFrame, percent: int = 2) -> DataFrame:
+    """The best and the worst nodes by degree."""
+    k = materialise(graph.degrees(edges), "degrees")
+    n = ranking.seed_count(k.count(), percent)
+    pick = lambda name, *order: k.orderBy(*order).limit(n).select(F.lit(name).alias("set_id"), "node")
+    return pick("degree", F.desc("k"), "node").union(pick("low_degree", "k", "node"))
+
+
+def settings(spark: SparkSession, betas: list[float]) -> DataFrame:
+    return spread.runs(spark, BLOCKS, REPEATS).select("run", F.explode(F.array(*[F.lit(b) for b in betas])).alias("beta"))
+
+
+def infected(spark: SparkSession, sf_dir: str, betas: list[float]) -> tuple[DataFrame, DataFrame]:
+    edges = g(spark, sf_dir)
+    return edges, spread.infections(edges, seed_sets(edges), settings(spark, betas))
+
+
+@query("sir_final", f"{spread_reach_sql([BETA])} SELECT set_id, run, beta, count(*)::BIGINT AS n_infected FROM inf GROUP BY ALL")
+def sir_final(spark, sf_dir):
+    return spread.final_sizes(infected(spark, sf_dir, [BETA])[1])
+
+
+@query("sir_curves", f"{spread_sql([BETA], 24)} SELECT i.set_id, i.run, i.beta, t.t::INT AS t, count(*)::BIGINT AS n_infected FROM inf i JOIN (SELECT unnest(range(25)) AS t) t ON i.step <= t.t GROUP BY ALL")
+def sir_curves(spark, sf_dir):
+    return spread.curves(infected(spark, sf_dir, [BETA])[1], 25)
+
+
+SWEEP = [0.1, 0.15, 0.2]
+
+
+@query("sir_sweep", f"{spread_reach_sql(SWEEP)}, f AS (SELECT set_id, run, beta, count(*) AS c FROM inf GROUP BY ALL) SELECT set_id, beta, (run // 1000)::BIGINT AS block, round(100.0::DOUBLE * avg(c) / (SELECT count(*) FROM n), 6) AS percent FROM f GROUP BY ALL")
+def sir_sweep(spark, sf_dir):
+    edges, reached = infected(spark, sf_dir, SWEEP)
+    n = graph.degrees(edges).agg(F.count("*").alias("n"))
+    return spread.block_means(spread.final_sizes(reached), n).withColumn("percent", r6("percent"))
+
+
+@query("sir_recovery")
+def sir_recovery(spark, sf_dir):
+    """Final sizes at three recovery rates with the transmissibility held at 0.2."""
+    edges = g(spark, sf_dir)
+    rates = settings(spark, [0.2]).select("run", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("gamma"))
+    rates = rates.select("run", "gamma", spread.transmission(F.lit(0.2), F.col("gamma")).alias("beta"))
+    return spread.final_sizes(spread.infections_with_recovery(edges, seed_sets(edges), rates))
+
+
+# --- statistics, over events by user and type, and orders by customer ---
+
+PAIRED = """WITH w AS (SELECT user_id % 40 AS grp, user_id, avg(value) FILTER (event_type = t1) AS a, avg(value) FILTER (event_type = t2) AS b
+    FROM events, (SELECT min(event_type) AS t1, max(event_type) AS t2 FROM events) GROUP BY ALL),
+    p AS MATERIALIZED (SELECT grp, user_id, round(a, 9) AS a, round(b, 9) AS b FROM w WHERE a IS NOT NULL AND b IS NOT NULL)"""
+
+
+def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's mean value in the first and the last event type, in forty groups of users."""
+    e = table(spark, sf_dir, "events")
+    kinds = e.agg(F.min("event_type").alias("t1"), F.max("event_type").alias("t2"))
+    mean = lambda t: F.avg(F.when(F.col("event_type") == F.col(t), F.col("value")))
+    w = e.crossJoin(F.broadcast(kinds)).groupBy((F.col("user_id") % 40).alias("grp"), "user_id").agg(mean("t1").alias("a"), mean("t2").alias("b"))  # one row is broadcast
+    return materialise(w.where("a is not null and b is not null").select("grp", "user_id", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")), "paired")
+
+
+@query("intervals", f"{PAIRED} SELECT grp, count(*)::BIGINT AS n, round(avg(a), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(a) END, 6) AS std FROM p GROUP BY grp")
+def intervals(spark, sf_dir):
+    return statistics.intervals(paired(spark, sf_dir), ["grp"], "a").select("grp", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@query("normal_intervals", f"{PAIRED} SELECT grp, round(CASE WHEN count(*) > 1 THEN 1.96::DOUBLE * stddev_samp(a) / sqrt(count(*)) ELSE 0 END, 6) AS half_width, round(CASE WHEN avg(a) > 0 THEN 100 * stddev_pop(a) / avg(a) ELSE 0 END, 6) AS cv FROM p GROUP BY grp")
+def normal_intervals(spark, sf_dir):
+    p = paired(spark, sf_dir)
+    half = statistics.intervals(p, ["grp"], "a", normal=True).select("grp", r6("half_width").alias("half_width"))
+    return half.join(statistics.variation(p, ["grp"], "a"), "grp").select("grp", "half_width", r6("cv").alias("cv"))
+
+
+RANKS = """, d AS (SELECT grp, round(a - b, 12) AS d FROM p), z AS (SELECT grp, d, rank() OVER (PARTITION BY grp ORDER BY abs(d)) + (count(*) OVER (PARTITION BY grp, abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0),
+    s AS MATERIALIZED (SELECT grp, count(z.d)::BIGINT AS n, coalesce(sum(r) FILTER (d > 0), 0) AS wp, coalesce(sum(r) FILTER (d < 0), 0) AS wm FROM (SELECT DISTINCT grp FROM p) LEFT JOIN z USING (grp) GROUP BY grp)"""
+
+
+@query("signed_ranks", f"{PAIRED}{RANKS} SELECT grp, n, wp AS w_plus, wm AS w_minus, round(CASE WHEN wp + wm > 0 THEN (wp - wm) / (wp + wm) ELSE 0 END, 6) AS r_rb FROM s")
+def signed_ranks(spark, sf_dir):
+    return statistics.signed_ranks(paired(spark, sf_dir), ["grp"], "a", "b").select("grp", "n", "w_plus", "w_minus", r6("r_rb").alias("r_rb"))
+
+
+@query("wilcoxon")
+def wilcoxon(spark, sf_dir):
+    return statistics.wilcoxon(paired(spark, sf_dir), ["grp"], "a", "b")
+
+
+@query("improvements", f"{PAIRED} SELECT grp, count(*)::BIGINT AS n, round(avg(a - b), 6) AS gain, round(CASE WHEN avg(b) > 0 THEN 100 * avg(a - b) / avg(b) END, 6) AS improvement, round(avg(a - b) / nullif(CASE WHEN count(*) > 1 THEN stddev_samp(a - b) END, 0), 6) AS d_z, round(100 * avg(CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_rate FROM p GROUP BY grp")
+def improvements(spark, sf_dir):
+    df = statistics.improvements(paired(spark, sf_dir), ["grp"], "a", "b")
+    return df.select("grp", "n", *[r6(c).alias(c) for c in ("gain", "improvement", "d_z", "win_rate")])
+
+
+CORRECTED = """WITH t AS (SELECT event_type AS fam, user_id, round((avg(value) - floor(avg(value))) * 0.2, 6) AS p FROM events GROUP BY ALL)"""
+
+
+def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A p-value for each event type and user, from the fraction of the user's mean value."""
+    m = F.avg("value")
+    return materialise(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("fam"), "user_id").agg(F.round((m - F.floor(m)) * 0.2, 6).alias("p")), "tests")
+
+
+@query(
+    "benjamini_hochberg",
+    f"""{CORRECTED}, r AS (SELECT *, p * count(*) OVER (PARTITION BY fam) / row_number() OVER (PARTITION BY fam ORDER BY p, user_id) AS raw, row_number() OVER (PARTITION BY fam ORDER BY p, user_id) AS rn FROM t)
+    SELECT fam, user_id, p, round(least(1.0::DOUBLE, min(raw) OVER (PARTITION BY fam ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r""",
+)
+def benjamini_hochberg(spark, sf_dir):
+    return statistics.benjamini_hochberg(tests(spark, sf_dir), ["fam"], "p", ["user_id"]).withColumn("q", r6("q"))
+
+
+@query(
+    "holm",
+    f"""{CORRECTED}, r AS (SELECT *, p * (count(*) OVER (PARTITION BY fam) - row_number() OVER (PARTITION BY fam ORDER BY p, user_id) + 1) AS raw, row_number() OVER (PARTITION BY fam ORDER BY p, user_id) AS rn FROM t)
+    SELECT fam, user_id, p, round(least(1.0::DOUBLE, max(raw) OVER (PARTITION BY fam ORDER BY rn ROWS UNBOUNDED PRECEDING)), 6) AS p_holm FROM r""",
+)
+def holm(spark, sf_dir):
+    return statistics.holm(tests(spark, sf_dir), ["fam"], "p", ["user_id"]).withColumn("p_holm", r6("p_holm"))
+
+
+@query(
+    "friedman",
+    """WITH v AS (SELECT n_regionkey AS b, c_mktsegment AS t, round(avg(c_acctbal), 2) AS x FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL),
+    r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY x) + (count(*) OVER (PARTITION BY b, x) - 1) / 2.0::DOUBLE AS r FROM v),
+    ti AS (SELECT sum(c * c * c - c) AS tied FROM (SELECT count(*) AS c FROM v GROUP BY b, x)),
+    s AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY t), a AS (SELECT sum(r * r) AS ss, count(*) AS k, max(n) AS n FROM s),
+    x AS (SELECT n, k, (12.0::DOUBLE / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tied / (n * (k * k * k - k))) AS chi2 FROM a, ti)
+    SELECT n::BIGINT AS n_blocks, k::BIGINT AS n_treatments, round(chi2, 6) AS chi2, round(chi2 / (n * (k - 1)), 6) AS kendall_w FROM x""",
+)
+def friedman(spark, sf_dir):
+    """Market segments over regions, by mean account balance."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    v = c.groupBy(F.col("n_regionkey").alias("b"), F.col("c_mktsegment").alias("t")).agg(F.round(F.avg("c_acctbal"), 2).alias("x"))
+    return statistics.friedman(materialise(v, "blocks"), "b", "t", "x").select("n_blocks", "n_treatments", r6("chi2").alias("chi2"), r6("kendall_w").alias("kendall_w"))
+
+
+@query(
+    "kendall",
+    f"""{G},{CORNERS}, s AS MATERIALIZED (SELECT k AS x, round(clustering, 9) AS y FROM loc),
+    q AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM s a, s b), t AS (SELECT count(*) AS n FROM s),
+    tx AS (SELECT sum(c * (c - 1) / 2) AS t FROM (SELECT count(*) AS c FROM s GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2) AS t FROM (SELECT count(*) AS c FROM s GROUP BY y))
+    SELECT n::BIGINT AS n, round(q.s / sqrt((n * (n - 1) / 2 - tx.t) * (n * (n - 1) / 2 - ty.t)), 6) AS tau_b FROM q, t, tx, ty""",
+)
+def kendall(spark, sf_dir):
+    """Degree against local clustering."""
+    loc = graph.clustering(g(spark, sf_dir)).select(F.col("k").cast("double").alias("x"), F.round("clustering", 9).alias("y"))
+    return statistics.kendall(loc, "x", "y").withColumn("tau_b", r6("tau_b"))
+
+
+@query(
+    "correlations",
+    """WITH o AS (SELECT c_nationkey AS grp, o_totalprice AS x, c_acctbal AS y FROM orders JOIN customer ON c_custkey = o_custkey),
+    r AS (SELECT grp, rank() OVER (PARTITION BY grp ORDER BY x) + (count(*) OVER (PARTITION BY grp, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY grp ORDER BY y) + (count(*) OVER (PARTITION BY grp, y) - 1) / 2.0::DOUBLE AS ry FROM o)
+    SELECT a.grp, a.n, round(a.r, 6) AS pearson, round(b.r, 6) AS spearman FROM (SELECT grp, count(*)::BIGINT AS n, corr(x, y) AS r FROM o GROUP BY grp) a JOIN (SELECT grp, corr(rx, ry) AS r FROM r GROUP BY grp) b USING (grp)""",
+)
+def correlations(spark, sf_dir):
+    """Order totals against the customer's balance, by nation."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("grp"), F.col("o_totalprice").alias("x"), F.col("c_acctbal").alias("y"))
+    a = statistics.pearson(o, ["grp"], "x", "y").select("grp", "n", r6("r").alias("pearson"))
+    return a.join(statistics.spearman(o, ["grp"], "x", "y").select("grp", r6("r").alias("spearman")), "grp")
+
+
+# --- controls ---
+
+BINS = "bins AS MATERIALIZED (SELECT node, k, least(9, ((row_number() OVER (ORDER BY k, node) - 1) * 10) // (SELECT count(*) FROM n))::BIGINT AS bin FROM n)"
+
+
+@query("degree_bins", f"{G}, {BINS} SELECT node, k, bin FROM bins")
+def degree_bins(spark, sf_dir):
+    return controls.degree_bins(g(spark, sf_dir))
+
+
+CANDIDATES = 20
+DRAWN = f"""{TOP}, {BINS}, s AS (SELECT node FROM r, c WHERE rank <= least(c.nn, greatest(2, ceil(c.nn * 1 / 100.0)))), need AS (SELECT bin, count(*) AS need FROM bins JOIN s USING (node) GROUP BY bin),
+    drawn AS MATERIALIZED (SELECT candidate, node FROM (SELECT q.candidate, bins.node, need.need, row_number() OVER (PARTITION BY q.candidate, bins.bin ORDER BY ('0x' || substr(md5(concat_ws('|', 0, q.candidate, bins.node)), 1, 8))::BIGINT, bins.node) AS rn
+        FROM bins JOIN need USING (bin) CROSS JOIN (SELECT unnest(range({CANDIDATES}))::BIGINT AS candidate) q) WHERE rn <= need)"""
+
+
+def candidate_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = g(spark, sf_dir)
+    numbers = spark.range(CANDIDATES).withColumnRenamed("id", "candidate")
+    sets = controls.matched_candidates(controls.degree_bins(edges), degree_seeds(edges, 1, "ceil2"), numbers)
+    return edges, materialise(sets, "candidates")
+
+
+@query("matched_candidates", f"{G}, {DRAWN} SELECT candidate, node FROM drawn")
+def matched_candidates(spark, sf_dir):
+    return candidate_sets(spark, sf_dir)[1]
+
+
+def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    nodes = sets.select("node").distinct()
+    n = graph.degrees(edges).count()
+    return materialise(controls.mean_distances(sets, paths.pair_distances(edges, nodes, nodes), n), "measured")
+
+
+SPREADS = f"{G}, {DRAWN}, {DIST}, m AS MATERIALIZED (SELECT a.candidate, avg(coalesce(dist.d, (SELECT nn FROM c))) AS mean_distance FROM drawn a JOIN drawn b ON a.candidate = b.candidate AND a.node < b.node LEFT JOIN dist ON dist.s = a.node AND dist.v = b.node GROUP BY a.candidate)"
+
+
+@query("dispersed_control", f"{SPREADS} SELECT candidate, round(mean_distance, 6) AS mean_distance FROM m ORDER BY m.mean_distance DESC, candidate LIMIT 1")
+def dispersed_control(spark, sf_dir):
+    return controls.most_dispersed(measured(*candidate_sets(spark, sf_dir))).withColumn("mean_distance", r6("mean_distance"))
+
+
+@query("doubly_matched", f"""{SPREADS}, near AS (SELECT candidate, mean_distance, abs(mean_distance - 4.0) / 4.0 AS error FROM m WHERE abs(mean_distance - 4.0) / 4.0 <= 0.05)
+    SELECT candidate, round(mean_distance, 6) AS mean_distance, round(error, 6) AS error, (SELECT CASE WHEN count(*) >= 10 THEN 'full' WHEN count(*) > 0 THEN 'partial' ELSE 'unmatched' END FROM near) AS status
+    FROM near ORDER BY ('0x' || substr(md5(concat_ws('|', 0, 'pick', candidate)), 1, 8))::BIGINT, candidate LIMIT 10""")
+def doubly_matched(spark, sf_dir):
+    df = controls.doubly_matched(measured(*candidate_sets(spark, sf_dir)), 4.0)
+    return df.withColumn("mean_distance", r6("mean_distance")).withColumn("error", r6("error"))
+
+
+@query("random_controls", f"SELECT candidate FROM (SELECT unnest(range({CANDIDATES}))::BIGINT AS candidate) ORDER BY ('0x' || substr(md5(concat_ws('|', 0, 'pick', candidate)), 1, 8))::BIGINT, candidate LIMIT 10")
+def random_controls(spark, sf_dir):
+    return controls.random_controls(candidate_sets(spark, sf_dir)[1], 10)
+
+
+# --- random graphs ---
+
+
+@query("random_graphs")
+def random_graphs(spark, sf_dir):
+    """Figures of a graph of each kind with as many nodes as there are parts."""
+    n = table(spark, sf_dir, "part").count()
+    made = {"er": synthetic.erdos_renyi(spark, n, 6), "ba": synthetic.barabasi_albert(spark, n, 6), "ws": synthetic.watts_strogatz(spark, n, 6)}
+    rows = [graph.summary(materialise(e, "random")).select(F.lit(k).alias("kind"), "*") for k, e in made.items()]
+    return rows[0].union(rows[1]).union(rows[2])
