@@ -80,12 +80,14 @@ def dispersion(edges: DataFrame, seeds: DataFrame, unreachable: int | None = Non
 def pair_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, d) for every node that a source reaches (or every target), by a frontier of pairs; for few sources."""
     adj = materialise(adjacency(edges), "adjacency")
-    seen = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("d")).distinct(), "pairs")
-    ring, d = seen, 0
+    seen = ring = last = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("d")).distinct(), "pairs")
+    d = 0
     while not ring.isEmpty():
         d += 1
         further = ring.join(adj, ring["node"] == adj["u"]).select("source", F.col("v").alias("node")).distinct()
-        ring = materialise(further.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(d)), "pairs")
+        for old in (ring, last):  # a neighbour is at most one level back
+            further = further.join(old.select("source", "node"), ["source", "node"], "left_anti")
+        last, ring = ring, materialise(further.withColumn("d", F.lit(d)), "pairs")
         seen = seen.union(ring)
     return seen if targets is None else seen.join(targets.select("node"), "node", "left_semi").select("source", "node", "d")
 

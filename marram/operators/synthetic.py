@@ -18,7 +18,7 @@ def erdos_renyi(spark: SparkSession, n: int, mean_degree: float, seed: int = 0)
     if p == 0.0:
         return nodes.where("false").select("u", F.col("u").alias("v"))
     if p == 1.0:
-        return nodes.select("u", F.explode(F.sequence(F.col("u") + 1, F.lit(n - 1))).alias("v")).where("u < v")
+        return nodes.where(F.col("u") < n - 1).select("u", F.explode(F.sequence(F.col("u") + 1, F.lit(n - 1))).alias("v"))
     # Gaps are drawn for twice the expected partners and more (six deviations), and cut at the end of the row.
     most = int(2 * n * p + 12 * (n * p) ** 0.5 + 40)
     gap = 1 + F.floor(F.log(1 - uniform(F.lit(seed), "u", "i")) / math.log1p(-p))

@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: File name of each study network below a data folder (fixed values).
-NETWORKS = {
-    "lesmis": "lesmis/lesmis.mtx",
-    "adjnoun": "adjnoun/adjnoun.mtx",
-    "jazz": "jazz/jazz.mtx",
-    "usair": "USAir97/USAir97.mtx",
-    "infect": "ia-infect-dublin.mtx",
-    "email": "email/email.mtx",
-    "polblogs": "polblogs/polblogs.mtx",
-    "hamster": "soc-hamsterster.edges",
-    "power": "power/power.mtx",
-}
-
-
 def read_matrix_market(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """Pairs (u, v, from 0) of a coordinate matrix, and its number of rows. Values are ignored; a line that starts with % is a comment, and the first other line is the shape."""
     lines = spark.read.text(path).where("not startswith(value, '%') and trim(value) <> ''").select("value", F.monotonically_increasing_id().alias("line"))
@@ -35,9 +21,14 @@ def read_edge_list(spark: SparkSession, path: str, comment: str = "%") -> DataFr
     return lines.select(part[0].cast("long").alias("u"), part[1].cast("long").alias("v"))
 
 
-def read_network(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Pairs of a study network; raises KeyError for an unknown name."""
-    path = f"{folder}/{NETWORKS[name]}"
+def list_networks(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Name (the file's, without its ending) and path of each .mtx and .edges file below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{mtx,edges}").load(folder).select("path")
+    return {r[0].rsplit("/", 1)[1].rsplit(".", 1)[0]: r[0] for r in files.collect()}  # one row per network
+
+
+def read_network(spark: SparkSession, path: str) -> DataFrame:
+    """Pairs of a network file by its ending: .mtx, .edges (comments with %) or another list (comments with #)."""
     if path.endswith(".mtx"):
         return read_matrix_market(spark, path)[0]
     return read_edge_list(spark, path, "%" if path.endswith(".edges") else "#")
