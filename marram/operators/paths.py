@@ -1,6 +1,6 @@
 """Distances by breadth-first search from many sources at once.
 
-A row holds, for one node and one block of sources, 32 long integers whose bits say which sources
+A row holds, for one node and one block of sources, eight long integers whose bits say which sources
 have reached the node. A level is one join with the adjacency and one aggregation with bit_or, combined
 before the shuffle; distances are never listed pair by pair.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marram.operators.graph import adjacency, degrees, relabel
 from marram.sources.shared import materialise
 
-WORDS = 32
+WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
 
 
@@ -31,22 +31,24 @@ def distance_sums(edges: DataFrame, sources: DataFrame | None = None) -> DataFra
     own = [F.when(word == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(_BITS)]
     seen = materialise(numbered.select("node", F.floor(label / (64 * WORDS)).alias("block"), *own), "seen")
     ring, sums, d = seen, None, 0
+    zero, old_bits = F.lit(0).cast("long"), [f"s{b}" for b in _BITS]
+    moved = [F.col("v").alias("node"), F.col("block"), *map(F.col, _BITS), *[zero.alias(s) for s in old_bits]]
+    kept = [F.col("node"), F.col("block"), *[zero.alias(b) for b in _BITS], *[F.col(b).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]]
+    gathered = [F.bit_or(c).alias(c) for c in (*_BITS, *old_bits)]
+    fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.col(s))) for b, s in zip(_BITS, old_bits, strict=True)]
+    counted = reduce(lambda a, b: a + b, [F.bit_count(f) for f in fresh]).alias("n")
+    told = [F.col("node"), F.col("block"), counted, *[f.alias(b) for f, b in zip(fresh, _BITS, strict=True)], *[F.col(b).bitwiseOR(F.col(s)).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]]
+    seen_next = [F.col("node"), F.col("block"), *[F.col(s).alias(b) for b, s in zip(_BITS, old_bits, strict=True)]]
     while True:
         d += 1
-        moved = ring.join(adj, ring["node"] == adj["u"]).groupBy(F.col("v").alias("node"), "block").agg(*[F.bit_or(b).alias(b) for b in _BITS])
-        old = seen.select("node", "block", *[F.col(b).alias(f"s{b}") for b in _BITS])
-        both = moved.join(old, ["node", "block"], "full")
-        zero = F.lit(0).cast("long")
-        fresh = [F.coalesce(b, zero).bitwiseAND(F.bitwise_not(F.coalesce(f"s{b}", zero))).alias(b) for b in _BITS]
-        every = [F.coalesce(b, zero).bitwiseOR(F.coalesce(f"s{b}", zero)).alias(f"s{b}") for b in _BITS]
-        both = materialise(both.select("node", "block", *fresh, *every), "level")
-        ring = both.where(reduce(lambda a, b: a.bitwiseOR(F.col(b)), _BITS[1:], F.col(_BITS[0])) != 0).select("node", "block", *_BITS)
-        n = reduce(lambda a, b: a + b, [F.bit_count(b) for b in _BITS])
-        level = ring.groupBy("node").agg(F.sum(n).alias("n"), F.lit(d).alias("d"))
+        both = ring.join(adj, ring["node"] == adj["u"]).select(*moved).union(seen.select(*kept)).groupBy("node", "block").agg(*gathered)
+        both = materialise(both.select(*told), "level")
+        ring = both.where("n > 0")
         if ring.isEmpty():
             break
+        level = ring.groupBy("node").agg(F.sum("n").alias("n"), F.lit(d).alias("d"))
         sums = level if sums is None else sums.union(level)
-        seen = both.select("node", "block", *[F.col(f"s{b}").alias(b) for b in _BITS])
+        ring, seen = ring.select("node", "block", *_BITS), both.select(*seen_next)
     nodes = degrees(edges).select("node")
     if sums is None:
         return nodes.select("node", *[F.lit(0).cast("long").alias(c) for c in ("reached", "total", "farthest")])

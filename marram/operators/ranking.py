@@ -145,3 +145,21 @@ def seed_count(n: int, percent: int, rule: str = "floor1") -> int:
         return max(1, n * percent // 100)
     up = -(-n * percent // 100)
     return min(n, max(2 if rule == "ceil2" else 1, up))
+
+
+def ratio_window(n: int, length: int = 10) -> list[int]:
+    """Ten whole percentages in a row, from the first that gives two seeds; raises ValueError if they pass 100."""
+    if n < 2:
+        raise ValueError("a graph of fewer than two nodes has no pairs of seeds")
+    first = next(p for p in range(1, 101) if n * p // 100 >= 2)
+    if first + length - 1 > 100:
+        raise ValueError(f"{length} percentages from {first} pass 100")
+    return list(range(first, first + length))
+
+
+def set_differences(one: DataFrame, two: DataFrame, sizes: list[int]) -> DataFrame:
+    """(k, n_changed) for the first k nodes of two rankings (node, rank): half their symmetric difference."""
+    both = one.select("node", F.col("rank").alias("r1")).join(two.select("node", F.col("rank").alias("r2")), "node", "full")
+    k = F.explode(F.array(*[F.lit(s) for s in sizes])).alias("k")
+    first, second = F.coalesce(F.col("r1") <= F.col("k"), F.lit(False)), F.coalesce(F.col("r2") <= F.col("k"), F.lit(False))
+    return both.select("r1", "r2", k).groupBy("k").agg(F.floor(F.count_if(first != second) / 2).alias("n_changed"))

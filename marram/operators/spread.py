@@ -35,15 +35,21 @@ def infections(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataF
     """
     adj = materialise(adjacency(edges), "adjacency")
     start = seeds.select("set_id", "node").distinct().join(F.broadcast(settings.select("run", "beta")))  # settings: a plan of runs, not data
-    seen = materialise(start.select("set_id", "run", "beta", "node", F.lit(0).alias("step")), "infected")
-    ring, step = seen, 0
-    while not ring.isEmpty():
+    return _spread(adj, start, ["set_id", "run", "beta"], uniform("run", "u", "v") < F.col("beta"))
+
+
+def _spread(adj: DataFrame, start: DataFrame, keys: list[str], opens: Column) -> DataFrame:
+    """All nodes reached over open arcs with the step of arrival. A round adds what the last arrivals reach and keeps
+    each node's first step: one join and one aggregation, combined before the shuffle, whose result is written."""
+    state = materialise(start.select(*keys, "node", F.lit(0).alias("step")), "infected")
+    step = 0
+    while True:
+        ring = state.where(F.col("step") == step)
+        if ring.isEmpty():
+            return state
         step += 1
-        tried = ring.join(adj, ring["node"] == adj["u"]).where(uniform("run", "u", "v") < F.col("beta"))
-        reached = tried.select("set_id", "run", "beta", F.col("v").alias("node")).distinct()
-        ring = materialise(reached.join(seen, ["set_id", "run", "beta", "node"], "left_anti").withColumn("step", F.lit(step)), "infected")
-        seen = seen.union(ring)
-    return seen
+        reached = ring.join(adj, ring["node"] == adj["u"]).where(opens).select(*keys, F.col("v").alias("node"), F.lit(step).alias("step"))
+        state = materialise(reached.union(state).groupBy(*keys, "node").agg(F.min("step").alias("step")), "infected")
 
 
 def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataFrame:
@@ -54,17 +60,9 @@ def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataF
     """
     adj = materialise(adjacency(edges), "adjacency")
     start = seeds.select("set_id", "node").distinct().join(F.broadcast(settings.select("run", "beta", "gamma")))
-    seen = materialise(start.select("set_id", "run", "beta", "gamma", "node"), "infected")
-    ring = seen
     stay = F.when(F.col("gamma") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform("run", "u", F.lit("stay"))) / F.log(1 - F.col("gamma"))))
     attempt = F.when(F.col("beta") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform("run", "u", "v")) / F.log(1 - F.col("beta"))))
-    keys = ["set_id", "run", "beta", "gamma"]
-    while not ring.isEmpty():
-        tried = ring.join(adj, ring["node"] == adj["u"]).where(attempt <= stay)
-        reached = tried.select(*keys, F.col("v").alias("node")).distinct()
-        ring = materialise(reached.join(seen, [*keys, "node"], "left_anti"), "infected")
-        seen = seen.union(ring)
-    return seen
+    return _spread(adj, start, ["set_id", "run", "beta", "gamma"], attempt <= stay).drop("step")
 
 
 def transmission(t: Column, gamma: Column) -> Column:
@@ -90,3 +88,10 @@ def block_means(sizes: DataFrame, n_nodes: DataFrame) -> DataFrame:
     """(set_id, beta, block, percent): mean share of infected nodes over the repeats of a block. n_nodes: one row (n)."""
     by = sizes.withColumn("block", F.floor(F.col("run") / 1000)).groupBy("set_id", "beta", "block").agg(F.avg("n_infected").alias("mean"))
     return by.crossJoin(F.broadcast(n_nodes)).select("set_id", "beta", "block", (100.0 * F.col("mean") / F.col("n")).alias("percent"))
+
+
+def single_node_sizes(edges: DataFrame, nodes: DataFrame, settings: DataFrame) -> DataFrame:
+    """(node, score): mean number of nodes infected from each node alone, over the runs of the settings."""
+    alone = nodes.select(F.col("node").cast("string").alias("set_id"), "node")
+    sizes = final_sizes(infections(edges, alone, settings))
+    return sizes.groupBy(F.col("set_id").cast("long").alias("node")).agg(F.avg("n_infected").alias("score"))

@@ -167,3 +167,47 @@ def strength(tau: Column) -> Column:
     """A word for the size of a correlation."""
     t = F.abs(tau)
     return F.when(t < 0.1, "negligible").when(t < 0.3, "weak").when(t < 0.5, "moderate").when(t < 0.7, "strong").otherwise("very strong")
+
+
+def correlation_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """By group: count, mean, median, extremes, mean size and the number of at least moderate values; nulls and NaN are left out."""
+    x = F.col(value)
+    return (
+        df.where(x.isNotNull() & ~F.isnan(value))
+        .groupBy(*by)
+        .agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.min(x).alias("least"), F.max(x).alias("most"), F.avg(F.abs(x)).alias("mean_size"), F.count_if(F.abs(x) >= 0.5).alias("n_moderate"))
+    )
+
+
+def group_summary(df: DataFrame, by: list[str], value: str, significant: Column) -> DataFrame:
+    """By group: count, mean and median of a value, and how many rows are significant."""
+    return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, 0.5).alias("median"), F.count_if(significant).alias("n_significant"))
+
+
+def pivoted(df: DataFrame, rows: list[str], column: str, value: str, order: list[str], mean: bool = False) -> DataFrame:
+    """A wide table with one column per listed value of a column, in that order, and optionally the mean across them."""
+    wide = df.groupBy(*rows).pivot(column, order).agg(F.first(value))
+    if not mean:
+        return wide
+    filled = [F.when(F.col(f"`{c}`").isNotNull(), 1).otherwise(0) for c in order]
+    total = sum((F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in order[1:]), F.coalesce(F.col(f"`{order[0]}`"), F.lit(0.0)))
+    n = sum(filled[1:], filled[0])
+    return wide.withColumn("mean", F.when(n > 0, total / n))
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Every floating column rounded."""
+    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def plus_minus(mean: Column, half_width: Column, digits: int = 2) -> Column:
+    return F.format_string(f"%.{digits}f ± %.{digits}f", mean, half_width)
+
+
+def p_text(p: Column) -> Column:
+    """Small values in scientific form, others with three digits."""
+    return F.when(p < 0.001, F.format_string("%.2e", p)).otherwise(F.format_string("%.3f", p))
+
+
+def star(q: Column, level: float = 0.05) -> Column:
+    return F.when(q < level, "*").otherwise("")

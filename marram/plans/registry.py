@@ -379,6 +379,18 @@ def rank_frequencies(spark, sf_dir):
     return statistics.rank_frequencies(graph.degrees(g(spark, sf_dir)).select("node", F.col("k").cast("double").alias("score")))
 
 
+@query(
+    "set_differences",
+    f"""{G},{CORNERS}, a AS (SELECT node, row_number() OVER (ORDER BY k DESC, node) AS r1, row_number() OVER (ORDER BY round(clustering, 8) DESC, node) AS r2 FROM loc)
+    SELECT k.k::INT AS k, (count(*) FILTER ((r1 <= k.k) <> (r2 <= k.k)) // 2)::BIGINT AS n_changed FROM a, (VALUES (5), (10), (50)) k(k) GROUP BY k.k""",
+)
+def set_differences(spark, sf_dir):
+    """Rankings by degree and by clustering."""
+    loc = materialise(graph.clustering(g(spark, sf_dir)), "clustering")
+    one = ranking.ranked(loc.select("node", F.col("k").cast("double").alias("score")))
+    return ranking.set_differences(one, ranking.ranked(loc.select("node", F.col("clustering").alias("score"))), [5, 10, 50])
+
+
 # --- spreading ---
 
 BLOCKS, REPEATS, BETA = 4, 5, 0.2
@@ -442,6 +454,16 @@ def sir_sweep(spark, sf_dir):
     return spread.block_means(spread.final_sizes(reached), n).withColumn("percent", r6("percent"))
 
 
+@query("single_node_sizes", f"""{G}, s AS (SELECT node FROM n ORDER BY k DESC, node LIMIT 20), inf(seed, run, node) AS (SELECT s.node, r.r::BIGINT, s.node FROM s, (SELECT unnest(range(5)) AS r) r
+    UNION SELECT p.seed, p.run, a.v FROM inf p JOIN adj a ON a.u = p.node AND ('0x' || substr(md5(concat_ws('|', p.run, a.u, a.v)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.15)
+    SELECT seed AS node, round(count(*)::DOUBLE / 5, 6) AS score FROM inf GROUP BY seed""")
+def single_node_sizes(spark, sf_dir):
+    """Twenty hubs, each on its own."""
+    edges = g(spark, sf_dir)
+    hubs = graph.degrees(edges).orderBy(F.desc("k"), "node").limit(20).select("node")
+    return scored(spread.single_node_sizes(edges, hubs, spread.runs(spark, 1, 5).select("run", F.lit(0.15).alias("beta"))))
+
+
 @query("sir_recovery")
 def sir_recovery(spark, sf_dir):
     """Final sizes at three recovery rates with the transmissibility held at 0.2."""
@@ -568,6 +590,16 @@ def correlations(spark, sf_dir):
     return a.join(statistics.spearman(o, ["grp"], "x", "y").select("grp", r6("r").alias("spearman")), "grp")
 
 
+@query("balance_pivot", """SELECT n_regionkey AS region, count(*) FILTER (c_mktsegment = 'BUILDING')::BIGINT AS n_building, round(avg(c_acctbal) FILTER (c_mktsegment = 'BUILDING'), 4) AS building, round(avg(c_acctbal) FILTER (c_mktsegment = 'MACHINERY'), 4) AS machinery FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1""")
+def balance_pivot(spark, sf_dir):
+    """Mean balances of two market segments side by side, by region."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    means = c.groupBy(F.col("n_regionkey").alias("region"), F.col("c_mktsegment").alias("segment")).agg(F.avg("c_acctbal").alias("mean"), F.count("*").alias("n"))
+    wide = statistics.pivoted(means, ["region"], "segment", "mean", ["BUILDING", "MACHINERY"])
+    counts = statistics.pivoted(means, ["region"], "segment", "n", ["BUILDING"]).select("region", F.coalesce("BUILDING", F.lit(0)).alias("n_building"))
+    return wide.join(counts, "region").select("region", "n_building", F.round("BUILDING", 4).alias("building"), F.round("MACHINERY", 4).alias("machinery"))
+
+
 # --- controls ---
 
 BINS = "bins AS MATERIALIZED (SELECT node, k, least(9, ((row_number() OVER (ORDER BY k, node) - 1) * 10) // (SELECT count(*) FROM n))::BIGINT AS bin FROM n)"
