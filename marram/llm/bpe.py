@@ -8,6 +8,7 @@ of tokenizer, so the table's ids in text order are the ids of the whole text.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -57,6 +58,7 @@ class WordTable:
 
     def __init__(self, spec: str):
         self.tokenizer = _tokenizer(spec)
+        self.model = self.tokenizer.model
         self.ids: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.piece = [self.tokenizer.id_to_token(i) for i in range(size)]
@@ -71,11 +73,19 @@ class WordTable:
         except KeyError:
             if len(table) > TABLE_WORDS:
                 table.clear()
-            new = [w for w in dict.fromkeys(found) if w not in table]
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                table[word] = np.array(e.ids, "<u4").tobytes()
+            for word in dict.fromkeys(found):
+                if word not in table:
+                    table[word] = self._word(word)
             return b"".join([table[w] for w in found])
 
+    def _word(self, word: str) -> bytes:
+        """Ids of one word. The byte alphabet maps visible ASCII to itself, so such a word goes to the merges as it is."""
+        if word.isascii() and word.isprintable():
+            ids = [t.id for t in self.model.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def decode(self, ids: bytes) -> str:
         """Pieces joined by a space, as a tokenizer file without a decoder asks for."""
         piece = self.piece
