@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,15 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
+def slices(bodies: Sequence[bytes | str], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive slices that hold so many bytes (or characters) at most, or one longer text."""
+    sizes, at = np.cumsum([len(b) for b in bodies]), 0
+    while at < len(bodies):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
