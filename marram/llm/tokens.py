@@ -2,9 +2,10 @@
 
 A leaf is a pre-token with its number of tokens; leaves lie in blocks, and the tree above the blocks
 holds characters and tokens of each subtree. An edit re-splits the text from the first leaf that can
-see it (its end touches the edit: the pattern looks one character ahead and never back) until a
-boundary meets an old one behind the edit; only those leaves are encoded again, and only the sums
-above their blocks change.
+see it until a boundary meets an old one behind the edit; only those leaves are encoded again, and only
+the sums above their blocks change. The pattern never looks back; ahead it sees the next character, and
+behind blanks as far as they go and the character there, so re-splitting starts before all leaves that
+end in a blank in front of the leaf that touches the edit.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BLOCK = 128
 #: Distinct pre-tokens whose counts a task holds at once.
 TABLE = 300_000
 
+_BLANKS = regex.compile(r"\s*")
+
 
 @lru_cache(maxsize=2)
 def _encoding(ranks: bytes, pattern: str):
@@ -105,6 +108,18 @@ class TokenTree:
             leaf += 1
         return b, leaf, start
 
+    def _before_blanks(self, b: int, leaf: int, start: int) -> tuple[int, int, int]:
+        """The same for the first leaf that has only leaves ending in a blank between it and the given one."""
+        at = (b, leaf)
+        while True:
+            while leaf == 0 and b > 0:
+                b, leaf = b - 1, len(self.blocks[b - 1])
+            if leaf == 0 or not _BLANKS.match(self.blocks[b][leaf - 1][-1])[0]:
+                return *at, start
+            leaf -= 1
+            start -= len(self.blocks[b][leaf])
+            at = (b, leaf)
+
     def _next(self, b: int, leaf: int) -> tuple[int, int]:
         """The place of a leaf, past the ends of blocks."""
         while b < len(self.blocks) and leaf >= len(self.blocks[b]):
@@ -115,7 +130,7 @@ class TokenTree:
         """Replaces so many characters from start (both cut to the text) by others."""
         start = max(0, min(start, self.length))
         end = min(self.length, start + max(0, deleted))
-        b0, k0, base = self._find(start)
+        b0, k0, base = self._before_blanks(*self._find(start))
         b, k = self._next(b0, k0)
         buffer, have = "", base  # old text from base to have
         ends: list[int] = []  # old boundaries in it
@@ -140,7 +155,7 @@ class TokenTree:
         pieces, at, stop, known = [], 0, None, {e: i for i, e in enumerate(ends)}
         while at < len(text) or b < len(self.blocks):
             m = self.counter.pattern.match(text, at)
-            while (m is None or m.end() >= len(text) - 1) and b < len(self.blocks):  # what follows may change the match
+            while (m is None or _BLANKS.match(text, m.end()).end() >= len(text) - 1) and b < len(self.blocks):  # what follows may change the match
                 had, listed = len(buffer), len(ends)
                 more(have + 64 + len(text) // 2)
                 text += buffer[had:]
