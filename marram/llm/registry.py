@@ -39,7 +39,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0)
+    return topk.top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings"), every_row=True), F.col("vec_id") % 50 == 0)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:

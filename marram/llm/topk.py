@@ -27,16 +27,17 @@ LEVELS = 8
 FEW = 64
 
 
-def integer_vectors(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
+def integer_vectors(embeddings: DataFrame, scale: int = SCALE, *, every_row: bool = False) -> DataFrame:
     """vec_id and vec array<long>: floor(scale * x) of each component.
 
-    Rows without an id, null vectors and vectors with a null or non-finite component are left out; of
-    repeated ids the smallest vector counts.
+    Rows without an id, null vectors and vectors with a null or non-finite component are left out. With
+    every_row all others count, as in the query's SQL; without, of repeated ids the smallest vector.
     """
     rows = pick(embeddings, vec_id="long", embedding="array<double>").where("vec_id is not null and embedding is not null")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     vec = F.transform("embedding", lambda x: F.floor(x * scale).cast("long"))
-    return rows.where(finite).select("vec_id", vec.alias("vec")).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    rows = rows.where(finite).select("vec_id", vec.alias("vec"))
+    return rows if every_row else rows.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
 class ImpactIndex:
@@ -62,11 +63,10 @@ class ImpactIndex:
         self.first = np.searchsorted(self.dim, np.arange(vectors.shape[1]))
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than the query's own, ties to the smaller id."""
+        """Ids and scores of the k best rows but those with the query's own id, ties to the smaller id."""
         n, width = len(self.ids), (1 << self.shift) - 1
-        slot = int(np.searchsorted(self.ids, own))
-        left_out = slot if slot < n and self.ids[slot] == own else None
-        k = min(k, n - (left_out is not None))
+        left_out = slice(*(int(np.searchsorted(self.ids, own, side)) for side in ("left", "right")))
+        k = min(k, n - (left_out.stop - left_out.start))
         if k <= 0:
             return self.ids[:0], self.vectors[:0].sum(axis=1)
         weight = query[self.dim]
@@ -76,8 +76,7 @@ class ImpactIndex:
         order = order[above[order] > 0]
         error = int(np.abs(query).sum()) * width
         score = np.zeros(n, np.int64)  # of what is processed, above the least possible bound
-        if left_out is not None:
-            score[left_out] = np.iinfo(np.int64).min // 2
+        score[left_out] = np.iinfo(np.int64).min // 2
         step = max(1, len(order) // 8)
         at = 0
         while True:
@@ -89,8 +88,7 @@ class ImpactIndex:
             # A row scores between score - error and score + rest (both above the same least bound).
             proof = np.partition(score, n - k)[n - k] - error
             possible = np.flatnonzero(score + int(rest.sum()) >= proof)
-            if left_out is not None:
-                possible = possible[possible != left_out]
+            possible = possible[(possible < left_out.start) | (possible >= left_out.stop)]
             if at == len(order) or len(possible) <= max(FEW, k):
                 break
         exact = self.vectors[possible] @ query
@@ -109,16 +107,17 @@ def _matrix(vectors: pa.ListArray, width: int) -> np.ndarray:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of the k best rows for each row that is_query marks; its own row is no candidate.
+    """query_id, rank (from 1), vec_id and score of the k best rows for each id of the rows that is_query marks; rows with that id are no candidates.
 
-    vectors: vec_id (unique) and vec array<long>. Shorter vectors count as if they ended in zeros.
+    vectors: vec_id and vec array<long>. Every row is a candidate, so an id that repeats can be listed repeatedly; where
+    queries share an id, the best of all their pairs count. Shorter vectors count as if they ended in zeros.
     A query with no other row has no result.
     """
-    vectors = materialise(vectors, "vectors")
+    vectors = materialise(vectors.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n_rows, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
     shards, blocks = max(1, -(-n_rows // SHARD_ROWS)), max(1, -(-n_queries // BLOCK_ROWS))
     packed = F.collect_list(F.struct("vec_id", "vec"))
-    place = lambda n, name: F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias(name)
+    place = lambda n, name: F.pmod(F.xxhash64("row"), F.lit(n)).alias(name)
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     of_shard = vectors.groupBy(place(shards, "shard")).agg(packed.alias("rows")).select("shard", every(blocks).alias("block"), "rows")
     of_block = vectors.where(is_query).groupBy(place(blocks, "block")).agg(packed.alias("queries")).select(every(shards).alias("shard"), "block", "queries")
