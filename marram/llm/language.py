@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.llm.arrays import batch, carried, ddl, raw, slices
-from marram.sources.shared import pick
+from marram.sources.shared import materialise, pick
 
 #: Expected number of labelled rows per language that the trees are grown from (all, where there are fewer).
 SAMPLE_ROWS = 1500
-#: Most languages learned (the most frequent ones); each holds a table of SYMBOLS ** 4 code lengths.
-MOST_LANGUAGES = 48
+#: Languages whose tables (SYMBOLS ** 4 code lengths each) a task holds at once; more are a further pass with a running best.
+BLOCK_LANGUAGES = 48
 #: Bytes are folded into so many symbols: all ASCII but letters, 26 letters without case, 13 groups of the bytes from 128.
 SYMBOLS = 40
 ORDER = 3
@@ -74,14 +74,18 @@ def code_lengths(counts: np.ndarray) -> np.ndarray:
     return -np.log2(p).astype(np.float32).ravel()
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their tables, from text and lang of the rows that are not held out.
+def labels(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The rows that can be learned from, and how many there are of each language; one row a language reaches the driver."""
+    labelled = pick(docs, doc_id="long", text="string", lang="string").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return labelled, {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+
+
+def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], np.ndarray]:
+    """Languages (sorted) and their tables, from text and lang of labelled rows; sizes has the rows of each language to learn.
 
     A row is taken if the hash of its id falls below the share of its language that makes about
     SAMPLE_ROWS rows. Only the summed counts, at most SYMBOLS ** 4 a language, reach the driver.
     """
-    labelled = pick(docs, doc_id="long", text="string", lang="string").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, SYMBOLS**4), np.float32)
@@ -121,9 +125,26 @@ def identify(docs: DataFrame, *, learn_from: DataFrame | None = None, carry: dic
     a letter, and every text if no language was learned are `und` with score 0. Null ids are kept,
     repeated rows give repeated results, other columns are ignored.
     """
-    langs, tables = train(docs if learn_from is None else learn_from)
-    frozen = docs.sparkSession.sparkContext.broadcast(tables)  # at most MOST_LANGUAGES * SYMBOLS ** 4 * 4 bytes, whatever the input
+    labelled, sizes = labels(docs if learn_from is None else learn_from)
+    every = sorted(sizes)
+    rows = pick(docs, **{"doc_id": "long", "text": "string", **(carry or {})}).withColumn("held_out", held_out(F.col("doc_id")))
+    for at in range(0, len(every) or 1, BLOCK_LANGUAGES):
+        langs, tables = train(labelled, {k: sizes[k] for k in every[at : at + BLOCK_LANGUAGES]})
+        last = at + BLOCK_LANGUAGES >= len(every)
+        rows = _scored(rows, langs, tables, carry if last else {"text": "string", **(carry or {})})
+        rows = rows if last else materialise(rows, "scored")
+    return rows.drop("__bits", "__total")
+
+
+def _scored(rows: DataFrame, langs: list[str], tables: np.ndarray, carry: dict[str, str] | None) -> DataFrame:
+    """The results after a block of languages, given those of the blocks before (if any) in lang_pred, __bits and __total.
+
+    __bits is the best code length, __total the sum of 2 ** (best - code length) over the languages so far.
+    """
+    further = "__bits" in rows.columns
+    frozen = rows.sparkSession.sparkContext.broadcast(tables)  # at most BLOCK_LANGUAGES * SYMBOLS ** 4 * 4 bytes, whatever the input
     out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
+    out += [("__bits", pa.float64()), ("__total", pa.float64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = frozen.value
@@ -140,16 +161,22 @@ def identify(docs: DataFrame, *, learn_from: DataFrame | None = None, carry: dic
                     bits[i] = total[ends] - total[starts]
                 letters = np.concatenate([[0], np.cumsum(_LETTER[np.frombuffer(_PAD.join(bodies), np.uint8)], dtype=np.int64)])
                 ascii_letter = letters[ends] > letters[starts]
-                preds, scores, rates = [], [], []
+                preds, scores, rates, best, totals = [], [], [], [], []
+                before = list(zip(*(part.column(c).to_pylist() for c in ("lang_pred", "__bits", "__total")), strict=True)) if further else []
                 for j, body in enumerate(bodies):
                     if not langs or not (ascii_letter[j] or _has_letter(body)):
-                        preds.append("und"), scores.append(0.0), rates.append(0.0)
+                        preds.append("und"), scores.append(0.0), rates.append(0.0), best.append(0.0), totals.append(0.0)
                         continue
                     b = bits[:, j]
                     k = int(np.argmin(b))
-                    preds.append(langs[k]), scores.append(float(1 / np.exp2(np.maximum(b[k] - b, -1000)).sum())), rates.append(float(b[k] / len(body)))
-                own = batch(out, [part.column("doc_id"), part.column("held_out"), preds, scores, rates])
+                    pred, least, total = langs[k], float(b[k]), 0.0
+                    if further:
+                        if before[j][1] <= least:
+                            pred, least = before[j][:2]
+                        total = before[j][2] * float(np.exp2(max(least - before[j][1], -1000)))
+                    total += float(np.exp2(np.maximum(least - b, -1000)).sum())
+                    preds.append(pred), scores.append(1 / total), rates.append(least / len(body)), best.append(least), totals.append(total)
+                own = batch(out, [part.column("doc_id"), part.column("held_out"), preds, scores, rates, best, totals])
                 yield carried(own, part, carry)
 
-    rows = pick(docs, **{"doc_id": "long", "text": "string", **(carry or {})}).withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double" + ddl(carry))
+    return rows.mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double, __bits double, __total double" + ddl(carry))
