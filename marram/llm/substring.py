@@ -1,31 +1,33 @@
 """Substring deduplication: every window of 20 words but its first occurrence is removed.
 
-1. Segments. A window's minimiser is the smallest hash among its runs of ten words. Consecutive
-   windows with the same minimiser make a segment. Equal windows have equal minimisers, so all
-   occurrences of a window meet under one key, and a document makes one row for about six words.
-   A task keeps the first of equal segments and marks the others as repeats before the shuffle.
-2. Shards. Under a key, all but the first of equal segments are repeats. Where a key holds different
-   segments, or one that repeats itself, the segments go into the FM-index of a shard. Each is
-   streamed from right to left by backward steps over the wavelet matrix; rows of the index that agree
-   with a neighbour in 20 symbols have a matching statistic above the threshold, and of the windows that
-   share such an interval all but the first are repeats.
+1. Segments. A window's minimiser is the smallest hash among its runs of ten words. Consecutive windows
+   with the same minimiser make a segment, filed under it. Equal windows have equal minimisers, so all
+   occurrences of a window meet under one key. A task keeps the first of equal segments before the
+   shuffle; segments alone under their key hold nothing that repeats and end here.
+2. Shards. The distinct segments under shared keys go, as words, into the FM-index of a shard of bounded size.
+   All are streamed against it from right to left by backward steps over the wavelet tree, with the
+   interval and length of the match at every word (matching statistics, cut at the threshold by the
+   parent interval). Places that match 20 words report their interval; of the occurrences in an interval all but
+   the first are repeats, whichever copies of a segment they come from.
 3. The windows found are joined to the documents, and the words they cover are removed.
 
-Words, minimisers and segments are compared by 64-bit hashes, segments by two of them; windows inside
-a shard by their words.
+Hashes of words only decide where rows go. Windows are compared by their words, in the index; copies of a
+segment are recognised by a BLAKE2 digest of 128 bits of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, raw, runs, sha256
+from marram.llm.arrays import batch, raw, runs, slices
 from marram.llm.fmindex import FMIndex
 from marram.sources.shared import materialise, pick
 
@@ -33,18 +35,21 @@ WINDOW = 20
 GRAM = 10
 #: Windows of a segment at most.
 PIECE = 32
-#: Text bytes that a task handles at once (or one document).
-CHUNK_BYTES = 4 << 20
-#: A key is hot if it heads so many different segments in a sixteenth of the documents; its windows are then
-#: filed one by one under hashes of their own. At most HOT_KEYS keys (the most frequent) are treated so.
-#: This decides only where rows go, never what is found.
-HOT_IN_SAMPLE, HOT_KEYS = 64, 50_000
-#: Words of an FM-index shard at most, unless a single key has more.
+#: Text bytes that a task handles at once; longer texts are taken in pieces that overlap.
+CHUNK_BYTES = 2 << 20
+#: A key is hot if it heads HOT_IN_SAMPLE segments or more of a sixteenth of the documents, and one in HOT_SHARE of all
+#: of them (so there are HOT_SHARE hot keys at most). Its windows are filed one by one under hashes of their own. This
+#: decides only where rows go, never what is found.
+HOT_IN_SAMPLE, HOT_SHARE = 64, 20_000
+#: Different segments under a key at most; a key with more is filed again, window by window.
+SPLIT_SEGMENTS = 4096
+#: Rows of a key that a task holds while it decides.
+HELD_ROWS = 1 << 18
+#: Words of an FM-index shard, about (the segments of the key at its end may be more).
 SHARD_WORDS = 200_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+_BLANK = re.compile(rb"[ \t-\r]")
+_C = np.uint64(0xD6E8FEB86659FD93)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,35 +59,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2 ** 64."""
-    inverse = pow(base, -1, 1 << 64)
-    up, down = (np.full(n, b, np.uint64) for b in (base, inverse))
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-def _span_hashes(values: np.ndarray, base: np.uint64, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the spans starts..ends of a series of numbers, from prefix sums."""
-    n = 1 << int(len(values)).bit_length()
-    up, down = _powers(int(base), n)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _B)
-
-
-def _segments(bodies: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Key, content hash, document, first window, windows and self-repetition of each segment."""
-    buffer = np.frombuffer(b"\n" + b"\n".join(bodies) + b"\n", np.uint8)
-    word = ~_SPACE[buffer]
-    starts, ends = np.flatnonzero(word[1:] & ~word[:-1]) + 1, np.flatnonzero(word[:-1] & ~word[1:]) + 1
-    none = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, bool))
-    if len(starts) < WINDOW:
-        return none
-    hashes = _span_hashes(buffer.astype(np.uint64) + np.uint64(1), _B, starts, ends)
-    edges = np.cumsum([0] + [len(b) + 1 for b in bodies]) + 1
-    first_word = np.searchsorted(starts, edges)
-    n_words = np.diff(first_word)
+class _Hashes(dict):
+    """Hash of each word met; forgets all when it has grown."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def _digest(body: bytes) -> bytes:
+    return hashlib.blake2b(body, digest_size=16).digest()
+
+
+def pieces(body: bytes, overlap: int, most: int) -> Iterator[tuple[int, list[bytes], bool]]:
+    """(first word, words, last piece?) of a text in pieces of about so many bytes; each begins with the last words of the one before."""
+    at, first, tail = 0, 0, []
+    while True:
+        to = at + most
+        if to < len(body):
+            cut = _BLANK.search(body, to)
+            to = cut.end() if cut else len(body)
+        words = tail + body[at:to].split()
+        yield first, words, to >= len(body)
+        if to >= len(body):
+            return
+        tail = words[max(0, len(words) - overlap) :]
+        at, first = to, first + len(words) - len(tail)
+
+
+def _groups(bodies: list[bytes], most: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Pieces (document, first word, words) with a window or more, gathered to about so many bytes."""
+    held, size = [], 0
+    for i, body in enumerate(bodies):
+        for first, words, _ in pieces(body, WINDOW - 1, most):
+            if len(words) >= WINDOW:
+                held.append((i, first, words))
+            size += min(len(body), most)
+            if size >= most and held:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _segments(group: list[tuple[int, int, list[bytes]]], table: _Hashes, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Key, two halves of the digest, piece, first window in the piece, windows and self-repetition of each segment."""
+    words = [w for _, _, part in group for w in part]
+    hashes = np.fromiter(map(table.__getitem__, words), np.uint64, len(words))
     gram = hashes[: len(hashes) - GRAM + 1].copy()
     for t in range(1, GRAM):
         gram = gram * _C + hashes[t : len(hashes) - GRAM + 1 + t]
@@ -91,237 +116,334 @@ def _segments(bodies: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...]:
     four = np.minimum(two[:-2], two[2:])
     eight = np.minimum(four[:-4], four[4:])
     least = np.minimum(eight[:-3], eight[3:])  # over the WINDOW - GRAM + 1 = 11 runs of a window
-    n_windows = np.maximum(0, n_words - WINDOW + 1)
+    sizes = np.array([len(part) for _, _, part in group], np.int64)
+    n_windows, begins = sizes - WINDOW + 1, np.cumsum(sizes) - sizes
     total = int(n_windows.sum())
-    if not total:
-        return none
-    doc = np.repeat(np.arange(len(bodies)), n_windows)
+    piece = np.repeat(np.arange(len(group)), n_windows)
     inside = np.arange(total) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
-    at = inside + first_word[doc]
+    at = inside + begins[piece]
     key = least[at]
     if len(hot):
         k = np.searchsorted(hot, key).clip(max=len(hot) - 1)
-        own = np.flatnonzero(hot[k] == key)
-        key[own] = _span_hashes(hashes, _C, at[own], at[own] + WINDOW)
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+        for own in np.array_split(np.flatnonzero(hot[k] == key), 16):
+            h = np.zeros(len(own), np.uint64)
+            for t in range(WINDOW):
+                h = h * _C + hashes[at[own] + t]
+            key[own] = _mix(h)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (piece[1:] != piece[:-1])])
     run = np.flatnonzero(new)
     place = np.arange(total) - np.repeat(run, np.diff(np.append(run, total)))
     cut = np.flatnonzero(place % PIECE == 0)
     n = np.diff(np.append(cut, total))
     start = at[cut]
-    content = _span_hashes(hashes, _D, start, start + n + WINDOW - 1)
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    first = np.concatenate([[0], ends[:-1] + 1])[start].tolist()
+    content = np.frombuffer(b"".join([_digest(line[a:b]) for a, b in zip(first, ends[start + n + WINDOW - 2].tolist(), strict=True)]), np.int64).reshape(-1, 2)
     # A segment may repeat itself if its minimiser occurs in it twice.
     grams = n + WINDOW - GRAM
     where = np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams) + np.repeat(start, grams)
     same = gram[where] == np.repeat(least[start], grams)
     inner = (np.add.reduceat(same.astype(np.int32), np.cumsum(grams) - grams) > 1) & (n > 1)
-    return key[cut], content, doc[cut], inside[cut], n, inner
+    return key[cut].view(np.int64), content[:, 0], content[:, 1], piece[cut], inside[cut], n, inner
+
+
+#: Kinds of rows: a segment, one that may repeat itself, a known repeat, a segment for an index (whole or by windows),
+#: a further copy of one, and one that was passed on already.
+PLAIN, INNER, REPEAT, INDEXED, SPLIT, COPY, SENT = range(7)
+_ROW = [("key", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("kind", pa.int8())]
+_ROW_DDL = "key long, c1 long, c2 long, doc_id long, place long, kind tinyint"
+_ORDER = ["key", "c1", "c2", "doc_id", "place"]
 
 
-_OCC = [("key", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())]
-_OCC_DDL = "key long, content long, doc_id long, start int, n int, kind tinyint"
-#: Kinds of rows: a segment, a segment that may repeat itself, a known repeat, a segment for an FM-index.
-PLAIN, INNER, REPEAT, CONTESTED = 0, 1, 2, 3
+def _place(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """First window and windows in one number, in the order of the first."""
+    return start * 64 + n
 
 
-def _firsts(key: np.ndarray, content: np.ndarray, doc_id: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, content, document and start; which rows of it begin a content, and which repeat an earlier occurrence."""
-    order = np.lexsort((start, doc_id, content, key))
-    key, content, doc_id, start = (x[order] for x in (key, content, doc_id, start))
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]) if len(key) else np.zeros(0, bool)
+def _columns(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+    return batch(_ROW, [pa.array(x, t) for x, (_, t) in zip(rows, _ROW, strict=True)])
+
+
+def _heads(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows in order: which begin a content under a key, and which occur later than its first."""
+    key, c1, c2, doc_id, place = rows[:5]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return order, new, (doc_id != doc_id[head]) | (start != start[head])
+    return new, (doc_id != doc_id[head]) | (place != place[head])
 
 
 def _occurrences(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    keys = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_KEYS numbers at most
+    keys = docs.sparkSession.sparkContext.broadcast(hot)  # HOT_SHARE numbers at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            ids, bodies = rows.column("doc_id").to_numpy(), raw(rows.column("text"))
-            sizes, at = np.cumsum([len(b) for b in bodies]), 0
-            while at < len(bodies):
-                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
-                key, content, doc, start, n, inner = _segments(bodies[at:to], keys.value)
-                doc_id = ids[at:to][doc]
-                order, new, again = _firsts(key, content, doc_id, start)
-                kind = np.where(again, REPEAT, np.where(inner[order], INNER, PLAIN))
-                key, content, doc_id, start, n = (x[order] for x in (key, content, doc_id, start, n))
-                key = np.where(again, _mix(doc_id.astype(np.uint64) * _B + start.astype(np.uint64)), key)  # repeats of a frequent segment go anywhere
-                kept = again | new
-                yield batch(_OCC, [pa.array(x[kept], t) for x, (_, t) in zip((key.view(np.int64), content.view(np.int64), doc_id, start.astype(np.int32), n.astype(np.int32), kind.astype(np.int8)), _OCC, strict=True)])
-                at = to
-
-    return docs.mapInArrow(run, _OCC_DDL)
+        table = _Hashes()
+        for part in batches:
+            ids, texts = part.column("doc_id").to_numpy(), part.column("text")
+            for at in range(0, part.num_rows, 256):
+                for group in _groups(raw(texts.slice(at, 256)), CHUNK_BYTES):
+                    key, c1, c2, piece, inside, n, inner = _segments(group, table, keys.value)
+                    doc_id = ids[np.array([at + i for i, _, _ in group], np.int64)][piece]
+                    place = _place(np.array([first for _, first, _ in group], np.int64)[piece] + inside, n)
+                    order = np.lexsort((place, doc_id, c2, c1, key))
+                    rows = tuple(x[order] for x in (key, c1, c2, doc_id, place, np.where(inner, INNER, PLAIN).astype(np.int8)))
+                    new, again = _heads(rows)
+                    # Copies within a task are known; they go anywhere, so that those of a frequent segment are spread.
+                    anywhere = _mix(rows[3].view(np.uint64) * _C + rows[4].view(np.uint64)).view(np.int64)
+                    rows = (np.where(again, anywhere, rows[0]), *rows[1:5], np.where(again, REPEAT, rows[5]).astype(np.int8))
+                    yield _columns(tuple(x[new | again] for x in rows))
+
+    return docs.mapInArrow(run, _ROW_DDL)
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: repeats, and segments for an FM-index."""
-    held: list[np.ndarray] = []
+    """Of rows in order, those under a shared key: the first of each content for the index, and its copies."""
+    held: tuple[np.ndarray, ...] | None = None
+    splitting = False  # the key of the rows held goes window by window
 
-    def resolved(rows: list[np.ndarray]) -> pa.RecordBatch:
-        known = rows[5] == REPEAT
-        done = [x[known] for x in rows]
-        key, content, doc_id, start, n, kind = (x[~known] for x in rows)
-        order, new, again = _firsts(key, content, doc_id, start)
-        key, content, doc_id, start, n, kind = (x[order] for x in (key, content, doc_id, start, n, kind))
-        edges = runs(key)
+    def settled(rows: tuple[np.ndarray, ...], first_key_split: bool) -> pa.RecordBatch:
+        new, again = _heads(rows)
+        edges = runs(rows[0])
         lengths = np.diff(edges)
-        contents = np.add.reduceat(new.astype(np.int64), edges[:-1]) if len(key) else np.zeros(0, np.int64)
-        inner = np.maximum.reduceat(kind, edges[:-1]) == INNER if len(key) else np.zeros(0, bool)
-        contested = np.repeat((contents > 1) | inner, lengths) & new
-        kind = np.where(contested, CONTESTED, REPEAT).astype(np.int8)
-        keep = contested | again
-        out = [np.concatenate([a, b[keep]]) for a, b in zip(done, (key, content, doc_id, start, n, kind), strict=True)]
-        return batch(_OCC, [pa.array(x, t) for x, (_, t) in zip(out, _OCC, strict=True)])
+        split = np.add.reduceat(new.astype(np.int64), edges[:-1]) > SPLIT_SEGMENTS
+        split[0] |= first_key_split
+        shared = split | (np.add.reduceat((new | again).astype(np.int64), edges[:-1]) > 1) | (np.maximum.reduceat(rows[5] == INNER, edges[:-1]))
+        split, shared = np.repeat(split, lengths), np.repeat(shared, lengths)
+        kind = np.where(new, np.where(split, SPLIT, INDEXED), np.where(split, REPEAT, COPY)).astype(np.int8)
+        keep = shared & (new | again) & (rows[5] != SENT)
+        return _columns(tuple(x[keep] for x in (*rows[:5], kind)))
 
     for part in batches:
-        rows = [part.column(i).to_numpy() for i in range(6)]
+        rows = tuple(part.column(i).to_numpy() for i in range(6))
+        known = rows[5] == REPEAT
+        if known.any():
+            yield _columns(tuple(x[known] for x in rows))
+            rows = tuple(x[~known] for x in rows)
+        if held is not None:
+            rows = tuple(np.concatenate([a, b]) for a, b in zip(held, rows, strict=True))
         if not len(rows[0]):
             continue
-        if held:
-            rows = [np.concatenate([a, b]) for a, b in zip(held, rows, strict=True)]
         cut = int(np.searchsorted(rows[0], rows[0][-1]))
         if cut:
-            yield resolved([x[:cut] for x in rows])
-        held = [x[cut:].copy() for x in rows]
-    if held:
-        yield resolved(held)
-
-
-_FETCHED = [("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("body", pa.binary())]
+            yield settled(tuple(x[:cut] for x in rows), splitting)
+            splitting = False
+        held = tuple(x[cut:].copy() for x in rows)
+        if len(held[0]) > HELD_ROWS:
+            new, again = _heads(held)
+            if splitting or int(new.sum()) > SPLIT_SEGMENTS:  # pass all on but the last content's first row, against which later rows are told
+                yield settled(held, True)
+                splitting, last = True, np.flatnonzero(new)[-1:]
+                held = (*(x[last] for x in held[:5]), np.array([SENT], np.int8))
+            else:  # many copies of few segments: repeats whatever else the key holds
+                yield _columns((*(x[again & ~new] for x in held[:5]), np.full(int((again & ~new).sum()), REPEAT, np.int8)))
+                one = np.maximum.reduceat(np.where(held[5] == INNER, INNER, PLAIN), np.flatnonzero(new)).astype(np.int8)
+                held = (*(x[new] for x in held[:5]), np.full(int(new.sum()), INNER, np.int8) if again.any() else one)
+    if held is not None and len(held[0]):
+        yield settled(held, splitting)
+
+
+_FETCHED = [*_ROW[:5], ("body", pa.binary())]
+_FETCHED_DDL = "key long, c1 long, c2 long, doc_id long, place long, body binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each segment asked for of a document."""
-    for rows in batches:
-        for at in range(0, rows.num_rows, 500):
-            part = rows.slice(at, 500)
-            out: list[tuple] = []
-            for doc_id, body, asked in zip(part.column("doc_id").to_pylist(), raw(part.column("text")), part.column("asked").to_pylist(), strict=True):
-                words = body.split()
-                out += [(s["key"], doc_id, s["start"], s["n"], b" ".join(words[s["start"] : s["start"] + s["n"] + WINDOW - 1])) for s in asked]
-            yield batch(_FETCHED, [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _FETCHED, strict=True)] if out else [[]] * 5)
-
-
-def shard_repeats(key: list[int], doc_id: np.ndarray, start: np.ndarray, n: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first window, windows) of the repeats in a shard, by matching statistics of each segment against the index of all."""
+    """The words of each segment asked for of a document; where its key is split, those of each window."""
+    out: list[tuple] = []
+    size = 0
+    for part in batches:
+        for at in range(0, part.num_rows, 256):
+            few = part.slice(at, 256)
+            for doc_id, body, asked in zip(few.column("doc_id").to_pylist(), raw(few.column("text")), few.column("asked"), strict=True):
+                key, c1, c2, place, kind = (asked.values.field(k).to_numpy() for k in range(5))
+                order = np.argsort(place)
+                starts = place[order] >> 6
+                done = 0
+                for first, words, last in pieces(body, PIECE + WINDOW, CHUNK_BYTES):
+                    to = len(order) if last else int(np.searchsorted(starts, first + len(words) - PIECE - WINDOW))
+                    for j in order[done:to].tolist():
+                        start, n = int(place[j]) >> 6, int(place[j]) & 63
+                        own = words[start - first : start - first + n + WINDOW - 1]
+                        text = b" ".join(own)
+                        a, b = np.frombuffer(_digest(text), np.int64).tolist()
+                        if (a, b) != (c1[j], c2[j]):
+                            continue  # another row of the same id
+                        if kind[j] == SPLIT:
+                            for w in range(n):
+                                text = b" ".join(own[w : w + WINDOW])
+                                a, b = np.frombuffer(_digest(text), np.int64).tolist()
+                                out.append((a, a, b, doc_id, (start + w) * 64 + 1, text))
+                                size += len(text)
+                        else:
+                            out.append((int(key[j]), a, b, doc_id, int(place[j]), text))
+                            size += len(text)
+                        if size > CHUNK_BYTES:
+                            yield batch(_FETCHED, [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _FETCHED, strict=True)])
+                            out, size = [], 0
+                    done = to
+    if out:
+        yield batch(_FETCHED, [pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _FETCHED, strict=True)])
+
+
+def shard_repeats(bodies: list[bytes], doc_id: np.ndarray, place: np.ndarray, of: np.ndarray, copy_doc: np.ndarray, copy_place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first window, windows) of the repeats among a shard's segments and their copies.
+
+    bodies: the words of distinct segments, with the document and place of the first occurrence of each; of: the
+    segment of each further copy.
+    """
     number: dict[bytes, int] = {}
-    symbols = [[number.setdefault(w, len(number) + 1) for w in b.split()] for b in bodies]
+    symbols = [[number.setdefault(w, len(number) + 1) for w in b.split(b" ")] for b in bodies]
     lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
-    text = np.array([x for s in symbols for x in (*s, 0)], np.int64)
-    index = FMIndex(text, len(number))
+    text = np.fromiter((x for s in symbols for x in (*s, 0)), np.int64, int(lengths.sum()) + len(symbols))
     begins = np.cumsum(lengths + 1) - lengths - 1
-    # Stream all segments from right to left, one backward step at a time.
-    rows, row_of = index.last_rows.copy(), np.empty(len(text), np.int64)
-    row_of[begins + lengths] = rows
-    live = np.arange(len(symbols))
-    for step in range(1, int(lengths.max(initial=0)) + 1):
-        live = live[lengths[live] >= step]
-        _, rows[live] = index.back(rows[live])
-        row_of[begins[live] + lengths[live] - step] = rows[live]
+    index = FMIndex(text, len(number), depth=WINDOW - 1)
+    match, lo, _ = index.stream(text, begins, lengths)
+    start, n = place >> 6, place & 63
     seg = np.repeat(np.arange(len(n)), n)
-    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    fits = inside + WINDOW <= lengths[seg]
-    seg, inside = seg[fits], inside[fits]
-    if not len(seg):
-        return seg, inside, inside
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     at = begins[seg] + inside
-    order = np.argsort(row_of[at])
-    seg, inside, at = seg[order], inside[order], at[order]
-    # Neighbouring windows in the order of the index agree in all 20 symbols: a matching statistic above the threshold.
-    agree = np.ones(len(at) - 1, bool)
-    for t in range(WINDOW):
-        agree &= text[at[1:] + t] == text[at[:-1] + t]
-    interval = np.concatenate([[0], np.cumsum(~agree)])
-    where = start[seg].astype(np.int64) + inside
+    assert (match[at] >= WINDOW).all()  # each matches itself
+    interval, where = lo[at], start[seg] + inside
     order = np.lexsort((where, doc_id[seg], interval))
-    seg, inside, interval, where = seg[order], inside[order], interval[order], where[order]
-    edges = runs(interval)
-    head = np.repeat(edges[:-1], np.diff(edges))
-    again = (doc_id[seg] != doc_id[seg[head]]) | (where != where[head])
-    seg, inside = seg[again], inside[again]
-    return seg, inside, np.ones(len(seg), np.int64)
+    head = np.repeat(runs(interval[order])[:-1], np.diff(runs(interval[order])))
+    first_doc, first_where = np.empty_like(where), np.empty_like(where)  # of the interval each window reports
+    first_doc[order], first_where[order] = doc_id[seg[order[head]]], where[order[head]]
+    again = (doc_id[seg] != first_doc) | (where != first_where)
+    # Copies report the intervals of their segment; their own windows are compared with the first of each.
+    offset = np.cumsum(n) - n
+    many = n[of]
+    copy = np.repeat(np.arange(len(of)), many)
+    window = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    slot = np.repeat(offset[of], many) + window
+    later = (copy_doc[copy] != first_doc[slot]) | ((copy_place >> 6)[copy] + window != first_where[slot])
+    docs, windows, rows = np.concatenate([doc_id[seg], copy_doc[copy]]), np.concatenate([where, (copy_place >> 6)[copy] + window]), np.concatenate([seg, copy + len(n)])
+    found = np.flatnonzero(np.concatenate([again, later]))
+    docs, windows, rows = docs[found], windows[found], rows[found]
+    if not len(found):
+        return docs, windows, windows
+    new = np.concatenate([[True], (rows[1:] != rows[:-1]) | (windows[1:] != windows[:-1] + 1)])
+    run = np.flatnonzero(new)
+    return docs[run], windows[run], np.diff(np.append(run, len(found)))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key; keys are gathered to shards of bounded size."""
+    """Repeats among rows in order; keys are gathered to shards. The first row of a content has its words."""
     out = [("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())]
-    held: list[pa.RecordBatch] = []
-    words = 0
-
-    def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc_id, start, n = (table.column(c).to_numpy() for c in ("doc_id", "start", "n"))
-        seg, inside, windows = shard_repeats([], doc_id, start, n.astype(np.int64), table.column("body").to_pylist())
-        yield batch(out, [pa.array(doc_id[seg]), pa.array((start[seg] + inside).astype(np.int32)), pa.array(windows.astype(np.int32))])
+    bodies: list[bytes] = []
+    places: list[tuple[int, int, int]] = []  # key, document and place of the first occurrences
+    copies: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    words = n_copies = 0
+    last: tuple[int, int, int] | None = None
+
+    def shard(to: int) -> pa.RecordBatch:
+        """The repeats of the first segments held, and of the copies of them."""
+        of, copy_doc, copy_place = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*copies, strict=True)) if copies else (np.zeros(0, np.int64),) * 3
+        own = of < to
+        _, doc_id, place = (np.array(x, np.int64) for x in zip(*places[:to], strict=True))
+        found = shard_repeats(bodies[:to], doc_id, place, of[own], copy_doc[own], copy_place[own])
+        return batch(out, [pa.array(x, t) for x, (_, t) in zip(found, out, strict=True)])
 
     for part in batches:
         if not part.num_rows:
             continue
-        held.append(part)
-        words += int(part.column("n").to_numpy().sum()) + (WINDOW - 1) * part.num_rows
-        if words < SHARD_WORDS:
+        key, c1, c2, doc_id, place = (part.column(i).to_numpy() for i in range(5))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])
+        if last is not None:
+            new[0] = (key[0], c1[0], c2[0]) != last
+        last = (key[-1], c1[-1], c2[-1])
+        firsts = np.flatnonzero(new)
+        of = len(bodies) - 1 + np.cumsum(new)
+        copied = np.flatnonzero(~new)
+        copies.append((of[copied], doc_id[copied], place[copied]))
+        n_copies += len(copied)
+        bodies += part.column("body").take(pa.array(firsts)).to_pylist()
+        places += zip(key[firsts].tolist(), doc_id[firsts].tolist(), place[firsts].tolist(), strict=True)
+        words += int(((place[firsts] & 63) + WINDOW - 1).sum())
+        if words < SHARD_WORDS and n_copies < HELD_ROWS:
             continue
-        table = pa.Table.from_batches(held)
-        keys = table.column("key").to_numpy()
-        edges = runs(keys)
-        size = np.cumsum(table.column("n").to_numpy().astype(np.int64) + WINDOW - 1)
-        at = 0
-        for a, b in zip(edges[:-2], edges[1:-1], strict=True):  # the last key may go on
-            if size[b - 1] - (size[at - 1] if at else 0) >= SHARD_WORDS or b == edges[-2]:
-                yield from found(table.slice(at, b - at))
-                at = b
-        held = table.slice(at).combine_chunks().to_batches()
-        words = int(size[-1] - (size[at - 1] if at else 0))
-    if held:
-        yield from found(pa.Table.from_batches(held))
+        end = len(places) - 1
+        while end > 0 and places[end - 1][0] == places[-1][0]:
+            end -= 1
+        if end:  # the keys before the last one, which may go on
+            at = 0
+            size = np.cumsum([(p[2] & 63) + WINDOW - 1 for p in places[:end]])
+            keys = np.array([p[0] for p in places[:end]])
+            for b in (runs(keys)[1:]).tolist():
+                if size[b - 1] - (size[at - 1] if at else 0) >= SHARD_WORDS or b == end:
+                    held = (bodies, places, copies)
+                    bodies, places = bodies[at:b], places[at:b]
+                    copies = [tuple(x[(c[0] >= at) & (c[0] < b)] - (at if i == 0 else 0) for i, x in enumerate(c)) for c in held[2]]
+                    yield shard(len(places))
+                    bodies, places, copies = held
+                    at = b
+            copies = [tuple(x[c[0] >= end] - (end if i == 0 else 0) for i, x in enumerate(c)) for c in copies]
+            bodies, places = bodies[end:], places[end:]
+        elif n_copies >= HELD_ROWS:  # copies of few segments: what they repeat is held already
+            yield shard(len(places))
+            copies = []
+        n_copies = sum(len(c[0]) for c in copies)
+        words = sum((p[2] & 63) + WINDOW - 1 for p in places)
+    if places:
+        yield shard(len(places))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
     for rows in batches:
-        for at in range(0, rows.num_rows, 500):
-            part = rows.slice(at, 500)
-            n_words, n_removed, digests, texts = [], [], [], []
-            for body, repeats in zip(raw(part.column("text")), part.column("repeats"), strict=True):
-                words = body.split()
-                n_words.append(len(words))
-                if repeats.is_valid:
-                    starts, n = (repeats.values.field(k).to_numpy() for k in (0, 1))
-                    change = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(change, np.minimum(starts, len(words)), 1)
-                    np.add.at(change, np.minimum(starts + n + WINDOW - 1, len(words)), -1)
-                    kept = np.flatnonzero(np.cumsum(change[:-1]) <= 0).tolist()
-                    words = [words[i] for i in kept]
-                text = b" ".join(words)
-                n_removed.append(n_words[-1] - len(words))
-                digests.append(sha256(text))
-                texts.append(text)
-            yield batch(out, [part.column("doc_id"), n_words, n_removed, digests, pa.array(texts, pa.binary()).cast(pa.string())])
+        for few in (rows.slice(i, 256) for i in range(0, rows.num_rows, 256)):
+            bodies = raw(few.column("text"))
+            for at, to in slices(bodies, CHUNK_BYTES):
+                part = few.slice(at, to - at)
+                n_words, n_removed, digests, texts = [], [], [], []
+                for body, repeats in zip(bodies[at:to], part.column("repeats"), strict=True):
+                    gone = np.zeros(0, np.int64)
+                    if repeats.is_valid:
+                        starts, n = (repeats.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                        gone = np.stack([starts, starts + n + WINDOW - 1])
+                    total, kept, digest, lines = 0, 0, hashlib.sha256(), []
+                    for first, words, _ in pieces(body, 0, CHUNK_BYTES):
+                        total += len(words)
+                        if len(gone):
+                            change = np.zeros(len(words) + 1, np.int64)
+                            a, b = (gone - first).clip(0, len(words))
+                            np.add.at(change, a, 1)
+                            np.add.at(change, b, -1)
+                            words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) <= 0).tolist()]
+                        if words:
+                            line = b" " * (kept > 0) + b" ".join(words)
+                            digest.update(line)
+                            lines.append(line)
+                            kept += len(words)
+                    n_words.append(total), n_removed.append(total - kept), digests.append(digest.hexdigest()), texts.append(b"".join(lines))
+                yield batch(out, [part.column("doc_id"), n_words, n_removed, digests, pa.array(texts, pa.binary()).cast(pa.string())])
 
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row; with_text adds the kept words joined by a space.
 
     Each word covered by a window of 20 words that also starts earlier (in a smaller doc_id, or earlier in
-    the same one) is removed; windows are judged on the input. A null text has no words. A row without a
+    the same one) is removed; windows are judged on the input. A null or empty text has no words; an empty
+    table gives an empty result; a very long text is handled in overlapping pieces. A row without a
     doc_id is kept whole and is no one's earlier occurrence. Rows that share a doc_id are one document,
     read again: neither is earlier, and what is removed from one is removed from the others.
-    Other columns are ignored.
+    Other columns are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     rows = pick(docs, doc_id="long", text="string").where("doc_id is not null")
     sample = _occurrences(rows.where("pmod(xxhash64(doc_id), 16) = 0"), np.zeros(0, np.uint64)).where(F.col("kind") != REPEAT)
-    counts = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_IN_SAMPLE).orderBy(F.desc("n"), "key").limit(HOT_KEYS)
-    hot = np.sort(np.array([r[0] for r in counts.collect()], np.int64).view(np.uint64))
-
-    filed = _occurrences(rows, hot).repartition("key").sortWithinPartitions("key")
-    resolved = materialise(filed.mapInArrow(_resolve, _OCC_DDL), "segments")
-    asked = resolved.where(F.col("kind") == CONTESTED).groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n")).alias("asked"))
-    fetched = rows.join(asked, "doc_id").mapInArrow(_fetch, "key long, doc_id long, start int, n int, body binary")
-    in_shards = fetched.repartition("key").sortWithinPartitions("key").mapInArrow(_shards, "doc_id long, start int, n int")
-    repeats = resolved.where(F.col("kind") == REPEAT).select("doc_id", "start", "n").union(in_shards)
-    of_doc = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
+    counts = materialise(sample.groupBy("key").agg(F.count("*").alias("n")), "sampled")
+    of_all = counts.agg(F.sum("n")).first()[0] or 0
+    frequent = counts.where((F.col("n") >= HOT_IN_SAMPLE) & (F.col("n") * HOT_SHARE >= of_all)).select("key")
+    hot = np.sort(np.array([r[0] for r in frequent.collect()], np.int64).view(np.uint64))  # HOT_SHARE rows at most
+
+    filed = _occurrences(rows, hot).repartition("key").sortWithinPartitions(*_ORDER)
+    resolved = materialise(filed.mapInArrow(_resolve, _ROW_DDL), "segments")
+    asked = resolved.where(F.col("kind").isin(INDEXED, SPLIT)).groupBy("doc_id").agg(F.collect_list(F.struct("key", "c1", "c2", "place", "kind")).alias("asked"))
+    fetched = rows.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch, _FETCHED_DDL)
+    copies = resolved.where(F.col("kind") == COPY).select(*_ORDER, F.lit(None).cast("binary").alias("body"))
+    in_shards = fetched.union(copies).repartition("key").sortWithinPartitions(*_ORDER).mapInArrow(_shards, "doc_id long, start int, n int")
+    known = resolved.where(F.col("kind") == REPEAT).select("doc_id", F.shiftright("place", 6).cast("int").alias("start"), F.col("place").bitwiseAND(63).cast("int").alias("n"))
+    of_doc = known.union(in_shards).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("repeats"))
     joined = rows.join(of_doc, "doc_id", "left")
     unnamed = pick(docs, doc_id="long", text="string").where("doc_id is null").withColumn("repeats", F.lit(None).cast("array<struct<start:int,n:int>>"))
     every = joined.select("doc_id", "text", "repeats").union(unnamed)

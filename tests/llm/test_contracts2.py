@@ -39,11 +39,13 @@ def brute_repeats(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_substring_removal(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "split", "held"), [(64, 4096, 1 << 18), (1, 4096, 1 << 18), (64, 2, 1 << 18), (64, 3, 5), (64, 4096, 4)])
+def test_substring_removal(spark, monkeypatch, hot, split, held):
     monkeypatch.setattr(substring, "HOT_IN_SAMPLE", hot)
+    monkeypatch.setattr(substring, "SPLIT_SEGMENTS", split)
+    monkeypatch.setattr(substring, "HELD_ROWS", held)
     monkeypatch.setattr(substring, "SHARD_WORDS", 300)
-    monkeypatch.setattr(substring, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 700)
     rng = random.Random(4)
     rows, pool = [], [prose(rng, 60) for _ in range(8)]
     for d in range(150):
@@ -59,12 +61,49 @@ def test_substring_removal(spark, monkeypatch, hot):
     rows += [(200 + i, rows[7][1]) for i in range(20)] + [(300, "a " * 200), (301, "a b " * 100), (302, None), (303, ""), (304, "x"), (None, rows[7][1]), (5, rows[5][1])]
     rows += [(400, " ".join(pool[0] + pool[0])), (-3, " ".join(pool[1])), (401, "é x " * 50)]
     rng.shuffle(rows)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("TEXT2", F.lit(1)).repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("Text"), F.lit("x").alias("DOC_ID")).repartition(5)
     got = sorted((tuple(r) for r in substring.remove_repeats(docs).collect()), key=str)
     assert got == sorted(brute_repeats(rows), key=str)
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_words_of_equal_letter_sums(spark):
+    """Two words whose polynomial hashes modulo 2 ** 64 agree for every odd base are different words."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    side = [f"s{i}" for i in range(24)]
+    rows = [(1, " ".join([*side[:12], one, *side[12:]])), (2, " ".join([*side[:12], other, *side[12:]]))]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_very_long_text_is_taken_in_pieces():
+    rng = random.Random(5)
+    words = [str(rng.randint(0, 30)).encode() for _ in range(3000)]
+    body = b"  ".join(words)
+    for overlap in (0, 5, 19):
+        parts = list(substring.pieces(body, overlap, 500))
+        assert len(parts) > 5 and [last for *_, last in parts] == [False] * (len(parts) - 1) + [True]
+        assert all(w == words[first : first + len(w)] for first, w, _ in parts)
+        assert all(a + len(w) - overlap == b for (a, w, _), (b, *_) in zip(parts, parts[1:], strict=False))
+
+
+def test_matching_statistics():
+    rng = random.Random(2)
+    phrases = [[rng.randint(1, 3) for _ in range(rng.randint(0, 15))] for _ in range(30)]
+    text = np.array([x for p in phrases for x in (*p, 0)])
+    index = FMIndex(text, 3, depth=4)
+    lengths = np.array([len(p) for p in phrases])
+    begins = np.cumsum(lengths + 1) - lengths - 1
+    match, lo, hi = index.stream(text, begins, lengths)
+    grams = lambda n: [tuple(p[i : i + n]) for p in phrases for i in range(len(p) - n + 1)]
+    for begin, p in zip(begins, phrases, strict=True):
+        for i in range(len(p)):
+            n = int(match[begin + i])
+            assert n == min(5, len(p) - i)
+            assert hi[begin + i] - lo[begin + i] == grams(n).count(tuple(p[i : i + n]))
+
+
 def test_fm_index():
     rng = random.Random(9)
     for size in (1, 2, 7, 64, 65, 200):
