@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.sources.shared import pick, scratch
+from marram.llm.arrays import batch
+from marram.sources.shared import materialise, pick, scratch
 
 CRLF = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -41,17 +41,26 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     """Writes a request, a response or revisit, and a metadata record for every page, as gzipped WARC files.
 
     Of pages with equal payloads of at least min_bytes bytes, the one with the smallest page_id (null
-    last; of repeated rows the first read) is a response; the others are revisits that refer to it. A
-    null html is an empty payload; a null url leaves the target out. The text writer's line separator
-    is the end of a WARC record, so Spark's own committer writes the files, wherever Spark can write.
+    last; of repeated rows any one) is a response; the others are revisits that refer to it. A null html
+    is an empty payload; a null url leaves the target out; an empty table writes no record; very long
+    payloads are one value of a row each; other columns are ignored. A payload is moved once, however
+    many pages have it: copies are joined without it. The text writer's line separator is the end of a
+    WARC record, so Spark's own committer writes the files, wherever Spark can write (one gzip member a file).
     """
-    rows = pick(pages, page_id="long", url="string", html="string").withColumn("number", F.monotonically_increasing_id())
-    rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("bytes", F.octet_length("html").cast("long"))
-    rows = rows.withColumn("digest", F.sha1("html"))
-    order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("page"), F.col("number").alias("first"))
-    first = rows.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min(order).alias("origin"))
-    rows = rows.join(first, "digest", "left")
-    again = (F.col("bytes") >= min_bytes) & (F.col("origin.first") != F.col("number"))
+    rows = pick(pages, page_id="long", url="string", html="string").withColumn("html", F.coalesce("html", F.lit("")))
+    rows = rows.withColumn("bytes", F.octet_length("html").cast("long")).withColumn("digest", F.sha1("html"))
+    large = rows.where(F.col("bytes") >= min_bytes)
+    # Written once, so that a row's number is the same wherever it is read.
+    captures = materialise(large.select("page_id", "url", "bytes", "digest", F.monotonically_increasing_id().alias("number")), "captures")
+    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "number", "url")
+    first = captures.groupBy("digest").agg(F.min(order).alias("origin"), F.first("bytes").alias("bytes"))
+    payloads = large.groupBy("digest").agg(F.first("html").alias("html"))  # copies within a task are combined before the shuffle
+    fields = ["page_id", "url", "bytes", "digest", "number"]
+    responses = payloads.join(first, "digest").select("origin.page_id", "origin.url", "bytes", "digest", "origin.number", "html")
+    if min_bytes > 0:
+        small = rows.where(F.col("bytes") < min_bytes).withColumn("number", -1 - F.monotonically_increasing_id())
+        responses = responses.union(small.select(*fields, "html"))
+    again = captures.join(first.select("digest", "origin"), "digest").where(F.col("origin.number") != F.col("number")).select(*fields, "origin")
 
     name = lambda page, n, kind: F.concat(F.lit("<urn:x-capture:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), n.cast("string"), F.lit(f":{kind}>"))
     own = name(F.col("page_id"), F.col("number"), "response")
@@ -60,56 +69,114 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     status = F.concat(F.lit("HTTP/1.1 200 OK" + CRLF + "Content-Type: text/html; charset=utf-8" + CRLF + "Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     http = ("Content-Type", F.lit("application/http; msgtype=response"))
     response = _record("response", own, [target, digest, http], F.concat(status, F.col("html")), date)
-    revisit = _record("revisit", own, [target, digest, http, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", name(F.col("origin.page"), F.col("origin.first"), "response"))], status, date)
+    origin = name(F.col("origin.page_id"), F.col("origin.number"), "response")
+    revisit = _record("revisit", own, [target, digest, http, ("WARC-Profile", F.lit(PROFILE)), ("WARC-Refers-To", origin)], status, date)
     request = _record("request", name(F.col("page_id"), F.col("number"), "request"), [target, ("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/http; msgtype=request"))], F.lit("GET / HTTP/1.1" + CRLF * 2), date)
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF + "payload-length: "), F.col("bytes").cast("string"), F.lit(CRLF))
     metadata = _record("metadata", name(F.col("page_id"), F.col("number"), "metadata"), [("WARC-Concurrent-To", own), ("Content-Type", F.lit("application/warc-fields"))], fields, date)
-    value = F.concat_ws(CRLF * 2, request, F.when(again, revisit).otherwise(response), metadata)
-    rows.select(value.alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
+    value = lambda main: F.concat_ws(CRLF * 2, request, main, metadata).alias("value")
+    written = responses.select(value(response)).union(again.select(value(revisit)))
+    written.write.option("lineSep", CRLF * 2).option("compression", "gzip").text(path)
 
 
 _RECORD = [("record_id", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("concurrent_to", pa.string()), ("refers_to", pa.string()), ("stated_digest", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("fields", pa.string())]
 
 
-def _records(f) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record; record ends are found by Content-Length alone."""
-    while line := f.readline():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers = {}
-        while (line := f.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        yield headers, f.read(int(headers.get("content-length", 0)))
+class Archive:
+    """The records of one archive from its lines, cut at CRLF. Record ends are found by Content-Length alone.
+
+    Payloads are digested as they come; only headers and the fields of metadata records are held.
+    """
+
+    def __init__(self) -> None:
+        self.headers: dict[str, str] | None = None
+        self.left: int | None = None  # bytes of the block that are still to come
+        self.ended = True  # whether a blank line came after the last block (a cut-off line can't be told otherwise)
+
+    def feed(self, line: bytes) -> tuple | None:
+        """Takes the next line; returns the record that it ends, if it ends one."""
+        if self.left is None:
+            if self.headers is None:
+                if not line.strip():
+                    self.ended = True
+                    return None
+                if not self.ended or not line.startswith(b"WARC/"):
+                    raise ValueError(f"not a WARC record: {line[:40]!r}")
+                self.headers = {}
+            elif line.strip():
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                self.headers[name.strip().lower()] = value.strip()
+            else:
+                return self._begin()
+            return None
+        ends = len(line) == self.left
+        part = line if ends else line + b"\r\n"
+        if len(part) > self.left:
+            raise ValueError(f"a block is longer than its Content-Length: {self.headers}")
+        self.left -= len(part)
+        if self.in_http_head:
+            self.in_http_head = bool(line)
+        elif self.sha1 is not None:
+            self.sha1.update(part)
+            self.size += len(part)
+        elif self.kind == "metadata":
+            self.fields.append(part)
+        return None if self.left else self._end()
+
+    def _begin(self) -> tuple | None:
+        h = self.headers
+        self.left, self.kind = int(h.get("content-length", 0)), h.get("warc-type", "")
+        response = self.kind == "response"
+        self.in_http_head = response and h.get("content-type", "").startswith("application/http")
+        self.sha1, self.size, self.fields = hashlib.sha1() if response else None, 0, []
+        return None if self.left else self._end()
+
+    def _end(self) -> tuple:
+        h, self.headers, self.left, self.ended = self.headers, None, None, False
+        digest = base64.b32encode(self.sha1.digest()).decode() if self.sha1 is not None else None
+        fields = b"".join(self.fields).decode("utf-8", "replace") if self.kind == "metadata" else None
+        stated = h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+        return (h.get("warc-record-id"), self.kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), stated, digest, None if digest is None else self.size, fields)
+
+    def close(self) -> None:
+        if self.headers is not None or not self.ended:
+            raise ValueError(f"an archive ends within a record: {self.headers}")
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    archive, last, out = Archive(), None, []
+    for rows in batches:
+        files = rows.column("file").to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(files[1:] != files[:-1]) + 1, [len(files)]]) if len(files) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if files[a] != last:
+                archive.close()
+                archive, last = Archive(), files[a]
+                if rows.column("inside")[a].as_py():
+                    raise ValueError("an archive that isn't gzipped is larger than spark.sql.files.maxPartitionBytes")
+            for at in range(a, b, 4096):
+                for line in rows.column("line").slice(at, min(4096, b - at)).to_pylist():
+                    record = archive.feed(line)
+                    if record is not None:
+                        out.append(record)
+                        if len(out) == 5000:
+                            yield batch(_RECORD, list(zip(*out, strict=True)))
+                            out = []
+    archive.close()
+    if out:
+        yield batch(_RECORD, list(zip(*out, strict=True)))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the gzipped or plain archives under a path. Payload digests and lengths are taken from the payload."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for content in rows.column("content"):
-                data = content.as_buffer()
-                f = pa.BufferReader(data)
-                f = gzip.GzipFile(fileobj=f) if data[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(f)
-                out = []
-                for h, block in _records(f):
-                    kind, body, digest = h.get("warc-type", ""), None, None
-                    if kind == "response":
-                        body = block.partition(b"\r\n\r\n")[2] if h.get("content-type", "").startswith("application/http") else block
-                        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-                    fields = block.decode("utf-8", "replace") if kind == "metadata" else None
-                    out.append((h.get("warc-record-id"), kind, h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, digest, None if body is None else len(body), fields))
-                    if len(out) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _RECORD, strict=True)], names=[n for n, _ in _RECORD])
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out, strict=True), _RECORD, strict=True)], names=[n for n, _ in _RECORD])
+    """One row per record of the gzipped or plain archives under a path. Payload digests and lengths are taken from the payload.
 
+    The text reader decompresses a gzipped archive as a stream, so its size is not bounded by memory; a plain
+    one must not be split (it raises ValueError if it is). A record whose block is not as long as stated raises too.
+    """
+    lines = spark.read.option("lineSep", CRLF).text(path)
+    of = lines.select(F.xxhash64("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") > 0).alias("inside"), F.col("value").cast("binary").alias("line"))
     ddl = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in _RECORD)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ddl)
+    return of.mapInArrow(_read, ddl)
 
 
 def assemble(records: DataFrame) -> DataFrame:

@@ -218,12 +218,37 @@ def test_warc(spark):
     import base64
 
     body = "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb é\n"
+    odd = ["\r", "\n", "\r\n", "\r\r\n", "\n\r", "\r\n\r\n", "\r\n\r\nx\r", "\r\n\r\n\r", "\r" * 70000 + "\r\n" * 40000]
     rows = [(3, "http://a/", body), (1, "http://b/ c\r\nX: y", body), (2, None, None), (4, "u", ""), (5, "u", "x" * 100000), (5, "u", "x" * 100000), (None, "u", "x" * 100000), (7, "u", "é")]
-    got = sorted((tuple(r) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=str)
+    rows += [(20 + i, "u", t) for i, t in enumerate(odd)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as HTML", "2 as Page_Id", "3 as number", "'x' as digest").repartition(3)
+    got = sorted((tuple(r) for r in warc.round_trip(pages).collect()), key=str)
+    assert warc.round_trip(pages.limit(0)).count() == 0
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     size = lambda t: len((t or "").encode())
-    first = {3: 1, 1: None, 2: None, 4: 2, 7: None}
+    first = {3: 1, 1: None, 2: None, 4: 2, 7: None} | {20 + i: None for i in range(len(odd))}
     want = [(p, size(t), sha(t), "revisit" if first[p] else "response", first[p]) for p, _, t in rows if p in first]
     big = rows[4][2]
     want += [(5, size(big), sha(big), "response", None), (5, size(big), sha(big), "revisit", 5), (None, size(big), sha(big), "revisit", 5)]
     assert got == sorted(want, key=str)
+
+
+def test_warc_archives(spark, tmp_path):
+    """Archives far larger than a batch, one gzip member a record, small payloads, and archives that are cut off or wrong."""
+    import gzip
+
+    record = lambda k, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <{k}>\r\nContent-Type: application/http\r\nContent-Length: {len(body) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + body + b"\r\n\r\n"
+    bodies = [bytes([65 + k % 26, 13, 10, 255]) * (1 + 20000 * (k % 7 == 0)) for k in range(300)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(record(k, b)) for k, b in enumerate(bodies)))
+    (tmp_path / "b.warc").write_bytes(record(300, b"plain"))
+    got = {r.record_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    import base64
+
+    assert got == {f"<{k}>": (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode()) for k, b in enumerate([*bodies, b"plain"])}
+    pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages, min_bytes=3).collect()) == [(1, "response", None), (2, "response", None), (3, "response", None), (4, "revisit", 3)]
+    for name, bad in (("cut", record(1, b"abc")[:-6]), ("header", record(1, b"abc")[:40]), ("long", record(1, b"abc").replace(b"Content-Length: 22", b"Content-Length: 21"))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "x.warc.gz").write_bytes(gzip.compress(bad))
+        with pytest.raises(Exception, match="ends within a record|longer than its Content-Length"):
+            warc.read_archives(spark, str(tmp_path / name)).collect()
