@@ -1,31 +1,43 @@
 """BPE encoding and decoding through a table of distinct words.
 
-A task splits its texts into words, encodes each distinct word once, and joins ids back by
-position; decoding joins ids to pieces. Words do not depend on their neighbours in this kind
-of tokenizer, so the table's ids in text order are the ids of the whole text.
+1. A task splits its texts and writes them as numbers: a chunk of texts has a list of its distinct words, and a text
+   is the series of its words' places in that list.
+2. The words of all chunks make one table of distinct words. Each is encoded once; its pieces come from a join
+   of its ids with the vocabulary.
+3. The table is joined back to the chunks' lists; a chunk's words and texts meet, and ids and pieces are put in
+   place by position. Words do not depend on their neighbours in this kind of tokenizer, so these are the ids of
+   the whole text.
+
+So the shuffles hold a row for each distinct word of a chunk, and a text once, as numbers; no row per position.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, sha256, texts
-from marram.sources.shared import pick
+from marram.llm.arrays import batch, sha256, slices, texts
+from marram.sources.shared import materialise, pick
 
-#: Distinct words that a task's table holds at once; beyond it the table starts anew (no word is lost, some are encoded again).
-TABLE_WORDS = 300_000
+#: Characters of a chunk's texts, about, and of the pieces that longer texts are split in.
+CHUNK_CHARS, PIECE_CHARS = 8 << 20, 1 << 20
+#: Characters of the texts whose results are put together at once.
+SLICE_WORDS = 1 << 20
 
 # Code points whose class (letter, number, space, other), lower case and normal form every Unicode version agrees on.
-_PLAIN = [*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]
+_PLAIN = [*range(2, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]
 _ODD = re.compile("[^" + "".join(map(re.escape, map(chr, _PLAIN))) + "]|<\\|", re.S)
+#: What a table entry begins with that is no plain word: a piece in the tokenizer's byte alphabet, an added token.
+MAPPED, ADDED = "\0", "\1"
 
 
 def _class(major: str) -> str:
@@ -34,6 +46,7 @@ def _class(major: str) -> str:
 
 _SPACE = "\\t-\\r \\x85\\xa0"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_SPACE}{_class('L')}{_class('N')}]+", re.S)
+_BLANK = re.compile("[ \n]")
 
 
 @lru_cache(maxsize=4)
@@ -46,78 +59,183 @@ def _tokenizer(spec: str):
     return tokenizer
 
 
-def words(text: str) -> list[str] | None:
-    """The words of a text in order, or None where the split is left to the library (rare scripts, special tokens)."""
-    if _ODD.search(text):
-        return None
-    return _WORD.findall(text.lower())
-
-
-class WordTable:
-    """word -> its ids as little-endian bytes; id -> piece."""
-
-    def __init__(self, spec: str):
-        self.tokenizer = _tokenizer(spec)
-        self.model = self.tokenizer.model
-        self.ids: dict[str, bytes] = {}
-        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.piece = [self.tokenizer.id_to_token(i) for i in range(size)]
-
-    def encode(self, text: str) -> bytes:
-        found = words(text)
-        if found is None:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        table = self.ids
-        try:
-            return b"".join([table[w] for w in found])
-        except KeyError:
-            if len(table) > TABLE_WORDS:
-                table.clear()
-            for word in dict.fromkeys(found):
-                if word not in table:
-                    table[word] = self._word(word)
-            return b"".join([table[w] for w in found])
-
-    def _word(self, word: str) -> bytes:
-        """Ids of one word. The byte alphabet maps visible ASCII to itself, so such a word goes to the merges as it is."""
-        if word.isascii() and word.isprintable():
-            ids = [t.id for t in self.model.tokenize(word)]
-        else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def decode(self, ids: bytes) -> str:
-        """Pieces joined by a space, as a tokenizer file without a decoder asks for."""
-        piece = self.piece
-        return " ".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()])
+@lru_cache(maxsize=4)
+def _added(spec: str) -> re.Pattern | None:
+    tokens = [t["content"] for t in json.loads(spec)["added_tokens"]]
+    return re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
+
+
+def words(text: str, spec: str) -> list[str]:
+    """The words of a text in order. Where scripts are rare or tokens are added, the library's own steps split it."""
+    if not _ODD.search(text):
+        return _WORD.findall(text.lower())
+    out, tokenizer, added = [], _tokenizer(spec), _added(spec)
+    for k, part in enumerate(added.split(text) if added else [text]):
+        if k % 2:
+            out.append(ADDED + part)
+        elif part:
+            out += [MAPPED + piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part))]
+    return out
+
+
+def parts(text: str, most: int) -> Iterator[str]:
+    """A long text in parts that begin at a blank; words, and normal forms, do not reach over one."""
+    at = 0
+    while len(text) - at > most:
+        cut = _BLANK.search(text, at + most)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def ids_of(word: str, spec: str) -> list[int]:
+    """Ids of a table entry. The byte alphabet maps visible ASCII to itself, so such a word goes to the merges as it is."""
+    tokenizer = _tokenizer(spec)
+    if word.startswith(ADDED):
+        return [tokenizer.token_to_id(word[1:])]
+    if word.startswith(MAPPED):
+        return [t.id for t in tokenizer.model.tokenize(word[1:])]
+    if word.isascii() and word.isprintable():
+        return [t.id for t in tokenizer.model.tokenize(word)]
+    return tokenizer.encode(word, add_special_tokens=False).ids
+
+
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers byte by byte: how many bytes each has, all lowest ones, all second ones, ..."""
+    k = max(1, (int(codes.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([k]) + codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T.tobytes()
+
+
+def _codes(planes: bytes) -> np.ndarray:
+    k = planes[0]
+    out = np.zeros(((len(planes) - 1) // k, 4), np.uint8)
+    out[:, :k] = np.frombuffer(planes, np.uint8, offset=1).reshape(k, -1).T
+    return out.view("<u4").ravel()
+
+
+_CODED = [("chunk", pa.int64()), ("code", pa.int32()), ("word", pa.string()), ("doc_id", pa.int64()), ("codes", pa.binary())]
+_CODED_DDL = "chunk long, code int, word string, doc_id long, codes binary"
+
+
+def _coded(rows: DataFrame, spec) -> DataFrame:
+    """Chunks as lists of distinct words (chunk, code, word) and texts as places in them (chunk, doc_id, codes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, known, held = TaskContext.get().partitionId() << 32, {}, 0
+
+        def listed() -> pa.RecordBatch:
+            n = len(known)
+            return batch(_CODED, [[chunk] * n, list(range(n)), list(known), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
+
+        for part in batches:
+            for at in range(0, part.num_rows, 256):
+                few = part.slice(at, 256)
+                planes, of = [], []
+                for text in texts(few.column("text")):
+                    if held > CHUNK_CHARS:
+                        yield listed()
+                        chunk, known, held = chunk + 1, {}, 0
+                    codes = []
+                    for piece in parts(text, PIECE_CHARS):
+                        found = words(piece, spec.value)
+                        try:
+                            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                        except KeyError:
+                            for word in found:
+                                known.setdefault(word, len(known))
+                            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                    held += len(text)
+                    planes.append(_planes(np.concatenate(codes)))
+                    of.append(chunk)
+                n = len(of)
+                yield batch(_CODED, [of, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), few.column("doc_id"), planes])
+        if known:
+            yield listed()
+
+    return rows.mapInArrow(run, _CODED_DDL)
+
+
+def word_table(distinct: DataFrame, spec) -> DataFrame:
+    """(word, ids array<int>, decoded) of distinct words: each is encoded once, and its ids are joined to their pieces."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            found = rows.column("word").to_pylist()
+            yield batch([("word", pa.string()), ("ids", pa.list_(pa.int32()))], [found, [ids_of(w, spec.value) for w in found]])
+
+    spark = distinct.sparkSession
+    tokenizer = _tokenizer(spec.value)
+    vocabulary = [(i, tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    pieces = F.broadcast(spark.createDataFrame(vocabulary, "id int, piece string"))  # the vocabulary's size, whatever the input
+    encoded = materialise(distinct.mapInArrow(encode, "word string, ids array<int>"), "words")
+    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
+    # A text's pieces are joined by a space, as a tokenizer file without a decoder asks for; so are a word's.
+    decoded = each.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("decoded"))
+    return encoded.join(decoded, "word", "left")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encodes and decodes the whole text of every row.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids array<int>, with_text
-    adds decoded. A null or empty text has no tokens and decodes to the empty string; a null
-    doc_id is kept; repeated rows give repeated results; other columns are ignored.
+    adds decoded. A null or empty text has no tokens and decodes to the empty string; very long texts are split
+    part by part; a null doc_id is kept; repeated rows give repeated results; an empty table gives an empty
+    result; other columns are ignored, whatever their names. The tokenizer file must have no decoder, and
+    added tokens that match as they are.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
-        spec = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed vocabulary file of a few MB
+        text = f.read()
+    stated = json.loads(text)
+    if stated["decoder"] or any(t[k] for t in stated["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("the tokenizer's words depend on more than themselves")
+    spec = docs.sparkSession.sparkContext.broadcast(text)  # a fixed vocabulary file of a few MB
+    coded = materialise(_coded(pick(docs, doc_id="long", text="string"), spec), "coded")
+    table = word_table(coded.where("word is not null").select("word").distinct(), spec)
+    listed = coded.where("word is not null").select("chunk", "code", "word").join(table, "word")
+    lists = listed.select("chunk", "code", "ids", "decoded", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
+    numbers = coded.where("word is null").select("chunk", "code", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded"), "doc_id", "codes")
+    met = lists.union(numbers).repartition("chunk").sortWithinPartitions("chunk", F.col("code").asc_nulls_last())
     out = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     out += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(spec.value)
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, lists, pieces = None, [], []
+        flat = offsets = None
         for rows in batches:
-            for at in range(0, rows.num_rows, 2000):
-                part = rows.slice(at, 2000)
-                ids = [table.encode(t) for t in texts(part.column("text"))]
-                back = [table.decode(x) for x in ids]
-                columns = [part.column("doc_id"), [len(x) // 4 for x in ids], [sha256(x) for x in ids], [sha256(x.encode("utf-8", "surrogatepass")) for x in back]]
-                if with_ids:
-                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
-                if with_text:
-                    columns.append(back)
-                yield batch(out, columns)
+            for at in range(0, rows.num_rows, 1024):
+                part = rows.slice(at, 1024)
+                chunks = part.column("chunk").to_numpy()
+                is_word = part.column("code").is_valid().to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero(np.concatenate([[True], (chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1]), [True]]))
+                for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    run = part.slice(a, b - a)
+                    if chunks[a] != chunk:
+                        chunk, lists, pieces, flat = chunks[a], [], [], None
+                    if is_word[a]:
+                        lists += [x.values.to_numpy() for x in run.column("ids")]
+                        pieces += run.column("decoded").to_pylist()
+                        continue
+                    if flat is None:
+                        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+                        flat = np.concatenate([np.zeros(0, np.int32), *lists]).astype("<u4")
+                    planes = run.column("codes").to_pylist()
+                    for c, d in slices(planes, SLICE_WORDS):
+                        ids, decoded = [], []
+                        for p in planes[c:d]:
+                            codes = _codes(p)
+                            n = offsets[codes + 1] - offsets[codes]
+                            where = np.repeat(offsets[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                            ids.append(flat[where])
+                            decoded.append(" ".join([pieces[k] for k in codes.tolist()]))
+                        columns = [run.column("doc_id").slice(c, d - c), [len(x) for x in ids], [sha256(x.tobytes()) for x in ids], [sha256(x.encode("utf-8", "surrogatepass")) for x in decoded]]
+                        if with_ids:
+                            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).view(np.int32))))
+                        if with_text:
+                            columns.append(decoded)
+                        yield batch(out, columns)
 
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + ", decoded string" * with_text
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, ddl)
+    return met.mapInArrow(assemble, ddl)

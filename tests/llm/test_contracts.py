@@ -5,6 +5,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -85,6 +86,32 @@ def test_bpe(spark, corpus):
     for r in both:
         assert r.ids == tok.encode(corpus[r.doc_id] or "", add_special_tokens=False).ids
         assert r.decoded == tok.decode(r.ids, skip_special_tokens=False)
+    assert bpe.encode_documents(documents(spark, corpus).limit(0), path).count() == 0
+
+
+def test_bpe_words_and_parts(spark, monkeypatch):
+    """Small chunks and parts; odd scripts, added tokens and marks at part borders; each distinct word is encoded once."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 400)
+    monkeypatch.setattr(bpe, "PIECE_CHARS", 50)
+    rng = random.Random(1)
+    atoms = ["the", "Straße", " ", " ", "\n", "it's", "x'LL", "日本", "e\u0301", "\u0301", "\0", "\1a", "\2", "<|endoftext|>", "<|startoftext|>x", "<|", "42", "Σας", "İ", "\u00a0", "\x85", "\x1c", "ﬁ", "½", "𝟘", "…", "!?", "👍🏽", "각", "\u1100\u1161"]
+    for plain in (True, False):
+        sample = [t for t in ["".join(rng.choice(atoms[: 8 if plain else None]) for _ in range(rng.choice([0, 3, 20, 200]))) for _ in range(60)]]
+        rows = [(i, t) for i, t in enumerate(sample)]
+        got = {r.doc_id: r for r in bpe.encode_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, with_ids=True, with_text=True).collect()}
+        for i, t in rows:
+            ids = tok.encode(t, add_special_tokens=False).ids
+            assert got[i].ids == ids, t
+            assert got[i].decoded == tok.decode(ids, skip_special_tokens=False)
+    codes = np.array([0, 255, 256, 70000], np.uint32)
+    assert bpe._codes(bpe._planes(codes)).tolist() == codes.tolist() and len(bpe._codes(bpe._planes(codes[:0]))) == 0
+    table = spark.createDataFrame([("the",), ("\1<|endoftext|>",)], "word string")
+    done = {r.word: (r.ids, r.decoded) for r in bpe.word_table(table, spark.sparkContext.broadcast(open(path).read())).collect()}
+    assert done == {"the": (tok.encode("the", add_special_tokens=False).ids, "the</w>"), "\1<|endoftext|>": ([tok.token_to_id("<|endoftext|>")], "<|endoftext|>")}
 
 
 def luhn(d):
