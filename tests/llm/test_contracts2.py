@@ -119,15 +119,17 @@ def test_fm_index():
                 assert sorted(index.locate(np.arange(a, max(a, b))).tolist()) == want
 
 
-@pytest.mark.parametrize("sizes", [(4096, 512), (20, 3)])
+@pytest.mark.parametrize("sizes", [(4096, 1024), (20, 3)])
 def test_top_k(spark, monkeypatch, sizes):
     monkeypatch.setattr(topk, "SHARD_ROWS", sizes[0])
-    monkeypatch.setattr(topk, "BLOCK_ROWS", sizes[1])
+    monkeypatch.setattr(topk, "SAMPLE_ROWS", sizes[1])
+    monkeypatch.setattr(topk, "FEW", sizes[1])
     rng = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in rng.normal(size=16) / 4]) for i in range(300)]
     rows += [(500, rows[50][1]), (501, rows[50][1]), (502, None), (550, [1.0, None]), (600, [float("nan")]), (650, [float("inf")]), (700, [0.5, -0.25]), (750, []), (None, [1.0]), (3, rows[3][1])]
     rows[100] = (100, [0.0] * 16)
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df = plain.selectExpr("*", "1 as label", "2 as VEC_ID", "3 as Vec", "4 as row")
     is_query = F.col("vec_id") % 50 == 0
     got = sorted(map(tuple, topk.top_k(topk.integer_vectors(df), is_query).collect()))
     vectors = {}
@@ -143,17 +145,25 @@ def test_top_k(spark, monkeypatch, sizes):
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(topk.integer_vectors(df.limit(0)), is_query).count() == 0
-    assert topk.top_k(topk.integer_vectors(df.where("vec_id = 50")), is_query).count() == 0
+    assert topk.top_k(topk.integer_vectors(plain.where("vec_id = 50")), is_query).count() == 0
 
 
 def test_processing_stops_early_on_proof():
+    """Directions without structure, the hardest case: about half of the postings, and few rows, are touched."""
     rng = np.random.default_rng(0)
-    x = rng.integers(-3, 4, size=(2000, 16))
-    x[:, 0] = rng.permutation(2000) * 50
-    index = topk.ImpactIndex(np.arange(2000), x)
-    q = np.array([100] + [1] * 15)
-    ids, scores = index.search(q, 5, -1)
-    assert scores.tolist() == sorted((x @ q).tolist())[:-6:-1]
+    x = np.floor(256 * rng.normal(size=(4000, 64)) / 8).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(4000), x)
+    for q in range(0, 4000, 100):
+        scores = x @ x[q]
+        scores[q] = -(1 << 60)
+        beat = np.sort(scores[:1000])[-5]
+        want = np.lexsort((np.arange(4000), -scores))[:5]
+        ids, got = index.search(x[q], 5, q, beat)
+        assert ids.tolist() == want.tolist() and got.tolist() == scores[want].tolist()
+    assert index.processed < 0.75 * index.queries * x.size
+    assert index.scored < 0.03 * index.queries * len(x)
+    large = topk.ImpactIndex(np.arange(3), np.array([[1 << 40, 5], [1 << 40, 7], [-(1 << 40), 1]]))
+    assert large.search(np.array([1 << 20, 3]), 2, -1)[0].tolist() == [1, 0]
 
 
 def test_edited_counts(spark):
