@@ -1,10 +1,11 @@
-"""Language identification by prediction by partial matching (PPM).
-
-Each language has a tree of byte contexts up to three bytes long. Its counts come from a bounded
-sample of labelled rows and are then frozen, so that the code length of a byte depends on its
-context alone. The trees, with their escape probabilities (method C, no exclusions), are laid out as
-one table of code lengths per language, and the code length of a whole text is a sum of table
-entries.
+"""Language identification by prediction by partial matching (PPM) over bytes.
+
+Each language has a tree of byte contexts of up to three bytes. Its counts come from a bounded sample of
+labelled rows and are then frozen. A byte is coded in the longest context that the tree has: by its count if it was
+seen there (escape method C), else by an escape to the context one byte shorter, in which the bytes of the longer
+one are excluded, so the probabilities of all bytes after a context sum to one. Code lengths are whole numbers of
+1 / UNIT bits; those of a text are added exactly. The lengths of all byte fourgrams in the trees lie in a hash
+table; other fourgrams are worked out from the trees where they occur.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.llm.arrays import batch, carried, ddl, raw, slices
@@ -21,17 +22,16 @@ from marram.sources.shared import materialise, pick
 
 #: Expected number of labelled rows per language that the trees are grown from (all, where there are fewer).
 SAMPLE_ROWS = 1500
-#: Languages whose tables (SYMBOLS ** 4 code lengths each) a task holds at once; more are a further pass with a running best.
-BLOCK_LANGUAGES = 48
-#: Bytes are folded into so many symbols: all ASCII but letters, 26 letters without case, 13 groups of the bytes from 128.
-SYMBOLS = 40
+#: Fourgrams that a tree is grown from, the most frequent of its sample; it bounds what a tree takes.
+MOST_GRAMS = 1 << 17
+#: Languages whose trees a task holds at once; more are a further pass with a running best.
+BLOCK_LANGUAGES = 16
 ORDER = 3
+#: Code lengths are counted in 1 / UNIT bits.
+UNIT = 1 << 16
 #: Text bytes that a task handles at once (or one longer text).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
-_FOLD = np.zeros(256, np.int32)
-_FOLD[65:91] = _FOLD[97:123] = np.arange(1, 27)
-_FOLD[128:] = 27 + np.arange(128) % 13
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _PAD = b" " * ORDER
@@ -43,10 +43,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _grams(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol with its three predecessors at each byte of all texts, and where each text starts; a text is preceded by blanks."""
-    joined = np.frombuffer(_PAD + _PAD.join(bodies), np.uint8)
-    fold = _FOLD[joined]
-    grams = ((fold[:-3] * SYMBOLS + fold[1:-2]) * SYMBOLS + fold[2:-1]) * SYMBOLS + fold[3:]
+    """Each byte of all texts with the three before it, as one number, and where each text starts; a text is preceded by blanks."""
+    joined = np.frombuffer(_PAD + _PAD.join(bodies), np.uint8).astype(np.uint32)
+    grams = (joined[:-3] << 24) | (joined[1:-2] << 16) | (joined[2:-1] << 8) | joined[3:]
     lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
     return grams, np.concatenate([[0], np.cumsum(lengths + ORDER)[:-1]]) if len(bodies) else np.zeros(0, np.int64)
 
@@ -59,19 +58,104 @@ def _own(grams: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return grams[keep]
 
 
-def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of each symbol after each context of three, from the counts of symbol fourgrams: PPM, method C."""
-    counts = counts.reshape((SYMBOLS,) * 4).astype(np.float64)
-    p = np.full(SYMBOLS, 1.0 / SYMBOLS)
-    for order in range(ORDER + 1):
-        c = counts.sum(axis=tuple(range(ORDER - order))) if order < ORDER else counts
-        total, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        seen = total + kinds
-        with np.errstate(divide="ignore", invalid="ignore"):
-            escape = np.where(seen > 0, kinds / seen, 1.0)
-            own = np.where(seen > 0, c / seen, 0.0)
-        p = np.where(c > 0, own, escape * (p[None] if order else p))
-    return -np.log2(p).astype(np.float32).ravel()
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of numbers in a sorted array, and whether they are there."""
+    at = np.searchsorted(known, asked).clip(max=max(0, len(known) - 1))
+    return at, known[at] == asked if len(known) else np.zeros(len(asked), bool)
+
+
+class Tree:
+    """A language's contexts, from the counts of byte fourgrams (each the last byte after three)."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        #: By order, from 0: the sorted symbols with their contexts, their counts, the contexts, their totals and kinds.
+        self.orders: list[tuple[np.ndarray, ...]] = []
+        for order in range(ORDER + 1):
+            known, of = np.unique(grams.astype(np.int64) & ((1 << (8 * order + 8)) - 1), return_inverse=True)
+            n = np.bincount(of, counts, len(known)).astype(np.int64)
+            contexts, inside = np.unique(known >> 8, return_inverse=True)
+            total = np.bincount(inside, n, len(contexts)).astype(np.int64)
+            kinds = np.bincount(inside, minlength=len(contexts))
+            # The same totals and kinds one order down, without the bytes seen here.
+            if order:
+                low_known, low_n, low_contexts, low_total, low_kinds = self.orders[-1][:5]
+                there = np.searchsorted(low_contexts, contexts & ((1 << (8 * order - 8)) - 1))
+                shared = np.bincount(inside, low_n[np.searchsorted(low_known, known & ((1 << (8 * order)) - 1))], len(contexts)).astype(np.int64)
+                rest, fresh = low_total[there] - shared, low_kinds[there] - kinds
+            else:
+                rest = fresh = 256 - kinds  # below all orders, each byte that was never seen has the same chance
+            self.orders.append((known, n, contexts, total, kinds, rest, fresh))
+
+    def bits(self, grams: np.ndarray) -> np.ndarray:
+        """Code length, in 1 / UNIT bits, of the last byte of each fourgram after the three before it."""
+        grams, out = grams.astype(np.int64), np.zeros(len(grams))
+        todo = np.arange(len(grams))
+        total, kinds = np.full(len(grams), -1), np.zeros(len(grams), np.int64)  # of the context at hand, without what is excluded; -1: none was found yet
+        for order in range(ORDER, -1, -1):
+            known, n, contexts, own_total, own_kinds, rest, fresh = self.orders[order]
+            asked = grams[todo] & ((1 << (8 * order + 8)) - 1)
+            context, there = _find(contexts, asked >> 8)
+            start = there & (total[todo] < 0)
+            total[todo[start]], kinds[todo[start]] = own_total[context[start]], own_kinds[context[start]]
+            symbol, seen = _find(known, asked)
+            with np.errstate(divide="ignore"):
+                done = todo[seen]
+                out[done] += np.log2(total[done] + kinds[done]) - np.log2(n[symbol[seen]])
+                off = todo[there & ~seen]
+                costs = off[kinds[off] > 0]  # where no further byte is known, the escape is certain
+                out[costs] += np.log2(total[costs] + kinds[costs]) - np.log2(kinds[costs])
+            total[off], kinds[off] = rest[context[there & ~seen]], fresh[context[there & ~seen]]
+            todo = todo[~seen]
+        unseen = np.where(total[todo] < 0, 256, kinds[todo])
+        out[todo] += np.log2(unseen)
+        return np.rint(out * UNIT).astype(np.int64)
+
+
+class Trees:
+    """The trees of a block of languages, and a hash table of the fourgrams in them with the code lengths in each language."""
+
+    def __init__(self, trees: list[Tree]):
+        self.trees = trees
+        grams = np.unique(np.concatenate([np.zeros(0, np.int64), *(t.orders[ORDER][0] for t in trees)])).astype(np.uint32)
+        self.lengths = np.stack([t.bits(grams) for t in trees]).astype(np.int32) if trees else np.zeros((0, 0), np.int32)
+        self.power = max(4, (4 * len(grams)).bit_length())
+        self.keys, self.rows = np.zeros(1 << self.power, np.uint32), np.full(1 << self.power, -1, np.int32)
+        todo, slot = np.arange(len(grams)), self._slot(grams)
+        while len(todo):
+            _, first = np.unique(slot[todo], return_index=True)
+            placed = todo[first][self.rows[slot[todo[first]]] < 0]
+            self.keys[slot[placed]], self.rows[slot[placed]] = grams[placed], placed
+            todo = np.setdiff1d(todo, placed, assume_unique=True)
+            taken = self.keys[slot[todo]] != grams[todo]
+            slot[todo[taken]] = (slot[todo[taken]] + 1) & ((1 << self.power) - 1)
+
+    def _slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams * np.uint32(0x9E3779B1)) >> np.uint32(32 - self.power)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Rows of lengths, -1 for fourgrams that are in no tree."""
+        slot = self._slot(grams)
+        row = self.rows[slot]
+        todo = np.flatnonzero((row >= 0) & (self.keys[slot] != grams))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.power) - 1)
+            row[todo] = self.rows[slot[todo]]
+            todo = todo[(row[todo] >= 0) & (self.keys[slot[todo]] != grams[todo])]
+        return row
+
+    def sums(self, grams: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Code length of each text in each language."""
+        row = self.find(grams)
+        other = np.flatnonzero(row < 0)
+        rare, of = np.unique(grams[other], return_inverse=True)
+        row[other] = self.lengths.shape[1] + of
+        out = np.zeros((len(self.trees), len(starts)), np.int64)
+        for i, tree in enumerate(self.trees):
+            lengths = np.concatenate([self.lengths[i], tree.bits(rare).astype(np.int32)])
+            total = np.zeros(len(row) + 1, np.int64)
+            np.cumsum(lengths[row], out=total[1:])
+            out[i] = total[ends] - total[starts]
+        return out
 
 
 def labels(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -80,19 +164,19 @@ def labels(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     return labelled, {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
 
 
-def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and their tables, from text and lang of labelled rows; sizes has the rows of each language to learn.
+def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], Trees]:
+    """Languages (sorted) and their trees, from text and lang of labelled rows; sizes has the rows of each language to learn.
 
     A row is taken if the hash of its id falls below the share of its language that makes about
-    SAMPLE_ROWS rows. Only the summed counts, at most SYMBOLS ** 4 a language, reach the driver.
+    SAMPLE_ROWS rows. Only summed counts, MOST_GRAMS a language at most, reach the driver.
     """
     langs = sorted(sizes)
     if not langs:
-        return [], np.zeros((0, SYMBOLS**4), np.float32)
+        return [], Trees([])
     grid = 1 << 20
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, int(min(grid, np.ceil(grid * SAMPLE_ROWS / sizes[k]))))])
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(grid)) < share[F.col("lang")]).select("text", "lang")
-    out = [("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())]
+    out = [("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -101,16 +185,13 @@ def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], np.nda
                 own = [b for b, k in zip(bodies, of, strict=True) if k == lang]
                 for at, to in slices(own, SLICE_BYTES):
                     gram, n = np.unique(_own(*_grams(own[at:to])), return_counts=True)
-                    yield batch(out, [pa.array([lang] * len(gram), pa.string()), gram, n])
+                    yield batch(out, [pa.array([lang] * len(gram), pa.string()), gram.astype(np.int64), n])
 
-    summed = sample.mapInArrow(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    tables = np.zeros((len(langs), SYMBOLS**4), np.float32)
-    lang, gram, n = (summed.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    for i, k in enumerate(langs):
-        counts = np.zeros(SYMBOLS**4, np.int64)
-        counts[gram[lang == k]] = n[lang == k]
-        tables[i] = code_lengths(counts)
-    return langs, tables
+    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample
+    kept = summed.withColumn("place", place).where(F.col("place") <= MOST_GRAMS).select("lang", "gram", "n").toArrow()
+    lang, gram, n = (kept.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    return langs, Trees([Tree(gram[lang == k], n[lang == k]) for k in langs])
 
 
 def _has_letter(body: bytes) -> bool:
@@ -123,31 +204,32 @@ def identify(docs: DataFrame, *, learn_from: DataFrame | None = None, carry: dic
     lang_pred is the learned language whose tree codes the whole text in the fewest bits (ties: the
     first by name); score is its share of the posterior under equal priors. A null text, one without
     a letter, and every text if no language was learned are `und` with score 0. Null ids are kept,
-    repeated rows give repeated results, other columns are ignored.
+    repeated rows give repeated results, an empty table gives an empty result, very long texts are coded whole, and
+    other columns are ignored, whatever their names.
     """
     labelled, sizes = labels(docs if learn_from is None else learn_from)
     every = sorted(sizes)
     rows = pick(docs, **{"doc_id": "long", "text": "string", **(carry or {})}).withColumn("held_out", held_out(F.col("doc_id")))
     for at in range(0, len(every) or 1, BLOCK_LANGUAGES):
-        langs, tables = train(labelled, {k: sizes[k] for k in every[at : at + BLOCK_LANGUAGES]})
+        langs, trees = train(labelled, {k: sizes[k] for k in every[at : at + BLOCK_LANGUAGES]})
         last = at + BLOCK_LANGUAGES >= len(every)
-        rows = _scored(rows, langs, tables, carry if last else {"text": "string", **(carry or {})})
+        rows = _scored(rows, langs, trees, carry if last else {"text": "string", **(carry or {})})
         rows = rows if last else materialise(rows, "scored")
     return rows.drop("__bits", "__total")
 
 
-def _scored(rows: DataFrame, langs: list[str], tables: np.ndarray, carry: dict[str, str] | None) -> DataFrame:
+def _scored(rows: DataFrame, langs: list[str], trees: Trees, carry: dict[str, str] | None) -> DataFrame:
     """The results after a block of languages, given those of the blocks before (if any) in lang_pred, __bits and __total.
 
     __bits is the best code length, __total the sum of 2 ** (best - code length) over the languages so far.
     """
     further = "__bits" in rows.columns
-    frozen = rows.sparkSession.sparkContext.broadcast(tables)  # at most BLOCK_LANGUAGES * SYMBOLS ** 4 * 4 bytes, whatever the input
+    frozen = rows.sparkSession.sparkContext.broadcast(trees)  # BLOCK_LANGUAGES trees of MOST_GRAMS at most, whatever the input
     out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
     out += [("__bits", pa.float64()), ("__total", pa.float64())]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = frozen.value
+        trees = frozen.value
         for rows in batches:
             every = raw(rows.column("text"))
             for at, to in slices(every, SLICE_BYTES):
@@ -155,10 +237,7 @@ def _scored(rows: DataFrame, langs: list[str], tables: np.ndarray, carry: dict[s
                 grams, starts = _grams(bodies)
                 lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
                 ends = starts + lengths
-                bits = np.zeros((len(langs), len(bodies)))
-                for i in range(len(langs)):
-                    total = np.concatenate([[0.0], np.cumsum(tables[i][grams], dtype=np.float64)])
-                    bits[i] = total[ends] - total[starts]
+                bits = trees.sums(grams, starts, ends) / UNIT
                 letters = np.concatenate([[0], np.cumsum(_LETTER[np.frombuffer(_PAD.join(bodies), np.uint8)], dtype=np.int64)])
                 ascii_letter = letters[ends] > letters[starts]
                 preds, scores, rates, best, totals = [], [], [], [], []

@@ -109,9 +109,35 @@ def test_bpe_words_and_parts(spark, monkeypatch):
             assert got[i].decoded == tok.decode(ids, skip_special_tokens=False)
     codes = np.array([0, 255, 256, 70000], np.uint32)
     assert bpe._codes(bpe._planes(codes)).tolist() == codes.tolist() and len(bpe._codes(bpe._planes(codes[:0]))) == 0
-    table = spark.createDataFrame([("the",), ("\1<|endoftext|>",)], "word string")
-    done = {r.word: (r.ids, r.decoded) for r in bpe.word_table(table, spark.sparkContext.broadcast(open(path).read())).collect()}
-    assert done == {"the": (tok.encode("the", add_special_tokens=False).ids, "the</w>"), "\1<|endoftext|>": ([tok.token_to_id("<|endoftext|>")], "<|endoftext|>")}
+    table = spark.createDataFrame([(0, i, w) for i in range(50) for w in ("the", "\1<|endoftext|>", "Xyz")], "chunk long, place int, word string")
+    encoded = [(r.place, tuple(r.ids)) for r in bpe.encode_words(table, spark.sparkContext.broadcast(open(path).read())).collect()]
+    one = [tuple(tok.encode("the", add_special_tokens=False).ids), (tok.token_to_id("<|endoftext|>"),)]
+    assert len(encoded) == 150 and all((i, x) in encoded for i in range(50) for x in one)
+
+
+def test_bpe_encodes_each_word_once(monkeypatch):
+    """The rows of a task come sorted by word; equal ones are encoded once, also across batches."""
+    import pyarrow as pa
+
+    asked, rows = [], [(0, 0, "a"), (1, 5, "a"), (2, 1, "a"), (0, 3, "b"), (1, 0, "c"), (3, 0, "c")]
+    monkeypatch.setattr(bpe, "ids_of", lambda word, spec: asked.append(word) or [len(asked)])
+
+    class Rows:
+        def repartition(self, *_):
+            return self
+
+        def sortWithinPartitions(self, *_):  # noqa: N802
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            parts = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 2], strict=True)], names=["chunk", "place", "word"]) for i in (0, 2, 4)]
+            return [tuple(r.values()) for part in run(iter(parts)) for r in part.to_pylist()]
+
+    class Spec:
+        value = ""
+
+    assert bpe.encode_words(Rows(), Spec()) == [(0, 0, [1]), (1, 5, [1]), (2, 1, [1]), (0, 3, [2]), (1, 0, [3]), (3, 0, [3])]
+    assert asked == ["a", "b", "c"]
 
 
 def luhn(d):
@@ -219,17 +245,6 @@ def test_language(spark):
     assert {r.lang_pred for r in blind} == {"und"}
 
 
-def test_ppm_code_lengths_are_a_distribution():
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    counts = np.zeros(language.SYMBOLS**4, np.int64)
-    counts[rng.integers(0, len(counts), 5000)] = rng.integers(1, 9, 5000)
-    p = np.exp2(-language.code_lengths(counts).reshape(-1, language.SYMBOLS))
-    # without exclusions a context's probabilities sum to one at most, and all are above zero
-    assert (p.sum(axis=1) <= 1 + 1e-4).all() and (p > 0).all()
-
-
 def test_urls(spark):
     rows = [(1, "HTTPS://A.Example.ORG/en/17?x=1"), (2, "http://example.org/es/"), (3, "https://x.com/fr/a"), (4, "https://x.com/de/a#b"), (5, None), (6, "no scheme"), (7, "http://n.net/a?utm_source=f"), (8, "http://notorg/"), (9, "http://org"), (10, "http://h.org?p=/es/"), (10, "http://h.org?p=/es/"), (None, "http://example.com/de/")]
     got = {r.page_id: tuple(r)[1:5] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string").withColumn("URL2", __import__("pyspark").sql.functions.lit(1)), SITE_RULES).collect()}

@@ -2,8 +2,6 @@
 
 from collections import Counter
 
-import numpy as np
-
 from marram.llm import language
 from marram.llm.arrays import slices
 
@@ -27,4 +25,3 @@ def test_grams_of_slices_are_those_of_all_texts():
     assert sum(whole.values()) == sum(map(len, bodies))
     for most in (1, 8, 900):
         assert counted([bodies[a:b] for a, b in slices(bodies, most)]) == whole
-    assert np.isfinite(language.code_lengths(np.zeros(language.SYMBOLS**4, np.int64))).all()
