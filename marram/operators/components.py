@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.sources.shared import materialise
+from marram.sources.shared import Rounds
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -16,16 +16,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     gathered in one place; the number of rounds grows with the logarithm of the diameter.
     """
     ends = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"), F.col(a).isNull().alias("n1"), F.col(b).isNull().alias("n2"))
-    links = materialise(ends.where("not n1 and not n2 and hi <> lo").select("hi", "lo").distinct(), "links")
+    rounds = Rounds(3)  # a round reads the links before it and writes two tables
+    links = rounds.write(ends.where("not n1 and not n2 and hi <> lo").select("hi", "lo").distinct(), "links")
     before = None
     while True:
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(links.select("lo", "hi"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        large = materialise(large, "large")
+        large = rounds.write(large, "large")
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(root, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(root)
-        links = materialise(small.distinct(), "links")
+        links = rounds.write(small.distinct(), "links")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -25,16 +25,42 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate files: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The shared folder for intermediate files: spark.checkpoint.dir. Where it is unset, a local master gets a folder of its own; a cluster has none that is safe."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="marram-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes a result into the shared folder and reads it back: this cuts the lineage and survives lost executors."""
-    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, name)[0]
+
+
+class Rounds:
+    """The written results of an iteration. A result goes once so many later ones are written, as no plan at hand reads it then."""
+
+    def __init__(self, keep: int = 2):
+        self.keep, self.paths = keep, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _write(df, name)
+        self.paths.append(path)
+        while len(self.paths) > self.keep:
+            delete(df.sparkSession, self.paths.pop(0))
+        return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
