@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def texts(column: pa.Array) -> list[str]:
@@ -28,6 +32,46 @@ def slices(bodies: Sequence[bytes | str], most: int) -> Iterator[tuple[int, int]
         at = to
 
 
+def few(rows: pa.RecordBatch, most: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Consecutive rows of a batch whose values of a column hold so many bytes at most, or one longer value; no value is copied."""
+    sizes = pc.fill_null(pc.binary_length(rows.column(column)), 0).to_numpy(zero_copy_only=False)
+    total, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < rows.num_rows:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, side="right")))
+        to = min(to, at + 1024)
+        yield rows.slice(at, to - at)
+        at = to
+
+
+def word_pieces(body: bytes, overlap: int, most: int) -> Iterator[tuple[int, list[bytes], bool]]:
+    """(first word, words, last piece?) of a text in pieces of about so many bytes; each begins with the last words of the one before."""
+    at, first, tail = 0, 0, []
+    while True:
+        to = at + most
+        if to < len(body):
+            cut = _BLANK.search(body, to)
+            to = cut.end() if cut else len(body)
+        words = tail + body[at:to].split()
+        yield first, words, to >= len(body)
+        if to >= len(body):
+            return
+        tail = words[max(0, len(words) - overlap) :]
+        at, first = to, first + len(words) - len(tail)
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 byte by byte: how many bytes each has, all lowest ones, all second ones, ..."""
+    k = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([k]) + numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T.tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    k = packed[0]
+    out = np.zeros(((len(packed) - 1) // k, 4), np.uint8)
+    out[:, :k] = np.frombuffer(packed, np.uint8, offset=1).reshape(k, -1).T
+    return out.view("<u4").ravel()
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.llm import bpe, contamination, language, pii, simhash, substring, tokens, topk, urls, warc
-from marram.sources.shared import table
+from marram.sources.shared import materialise, table
 
 SITE_RULES = [
     urls.SiteRule("org/", "allow"),
@@ -61,7 +61,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return tokens.count_edited(table(spark, sf_dir, "documents"), tokens.routine_edits(), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    settings = (tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    trees = materialise(tokens.keep_trees(table(spark, sf_dir, "documents"), *settings), "trees")
+    return tokens.apply_edits(trees, tokens.routine_edits(), *settings)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

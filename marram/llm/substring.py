@@ -18,7 +18,6 @@ segment are recognised by a BLAKE2 digest of 128 bits of its words.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, raw, runs, slices
+from marram.llm.arrays import batch, few, raw, runs, word_pieces
 from marram.llm.fmindex import FMIndex
 from marram.sources.shared import materialise, pick
 
@@ -48,7 +47,6 @@ HELD_ROWS = 1 << 18
 #: Words of an FM-index shard, about (the segments of the key at its end may be more).
 SHARD_WORDS = 200_000
 
-_BLANK = re.compile(rb"[ \t-\r]")
 _C = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -73,27 +71,11 @@ def _digest(body: bytes) -> bytes:
     return hashlib.blake2b(body, digest_size=16).digest()
 
 
-def pieces(body: bytes, overlap: int, most: int) -> Iterator[tuple[int, list[bytes], bool]]:
-    """(first word, words, last piece?) of a text in pieces of about so many bytes; each begins with the last words of the one before."""
-    at, first, tail = 0, 0, []
-    while True:
-        to = at + most
-        if to < len(body):
-            cut = _BLANK.search(body, to)
-            to = cut.end() if cut else len(body)
-        words = tail + body[at:to].split()
-        yield first, words, to >= len(body)
-        if to >= len(body):
-            return
-        tail = words[max(0, len(words) - overlap) :]
-        at, first = to, first + len(words) - len(tail)
-
-
 def _groups(bodies: list[bytes], most: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
     """Pieces (document, first word, words) with a window or more, gathered to about so many bytes."""
     held, size = [], 0
     for i, body in enumerate(bodies):
-        for first, words, _ in pieces(body, WINDOW - 1, most):
+        for first, words, _ in word_pieces(body, WINDOW - 1, most):
             if len(words) >= WINDOW:
                 held.append((i, first, words))
             size += min(len(body), most)
@@ -180,11 +162,11 @@ def _occurrences(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _Hashes()
         for part in batches:
-            ids, texts = part.column("doc_id").to_numpy(), part.column("text")
-            for at in range(0, part.num_rows, 256):
-                for group in _groups(raw(texts.slice(at, 256)), CHUNK_BYTES):
+            for some in few(part, 2 * CHUNK_BYTES):
+                ids = some.column("doc_id").to_numpy()
+                for group in _groups(raw(some.column("text")), CHUNK_BYTES):
                     key, c1, c2, piece, inside, n, inner = _segments(group, table, keys.value)
-                    doc_id = ids[np.array([at + i for i, _, _ in group], np.int64)][piece]
+                    doc_id = ids[np.array([i for i, _, _ in group], np.int64)][piece]
                     place = _place(np.array([first for _, first, _ in group], np.int64)[piece] + inside, n)
                     order = np.lexsort((place, doc_id, c2, c1, key))
                     rows = tuple(x[order] for x in (key, c1, c2, doc_id, place, np.where(inner, INNER, PLAIN).astype(np.int8)))
@@ -252,14 +234,13 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
     size = 0
     for part in batches:
-        for at in range(0, part.num_rows, 256):
-            few = part.slice(at, 256)
-            for doc_id, body, asked in zip(few.column("doc_id").to_pylist(), raw(few.column("text")), few.column("asked"), strict=True):
+        for some in few(part, 2 * CHUNK_BYTES):
+            for doc_id, body, asked in zip(some.column("doc_id").to_pylist(), raw(some.column("text")), some.column("asked"), strict=True):
                 key, c1, c2, place, kind = (asked.values.field(k).to_numpy() for k in range(5))
                 order = np.argsort(place)
                 starts = place[order] >> 6
                 done = 0
-                for first, words, last in pieces(body, PIECE + WINDOW, CHUNK_BYTES):
+                for first, words, last in word_pieces(body, PIECE + WINDOW, CHUNK_BYTES):
                     to = len(order) if last else int(np.searchsorted(starts, first + len(words) - PIECE - WINDOW))
                     for j in order[done:to].tolist():
                         start, n = int(place[j]) >> 6, int(place[j]) & 63
@@ -391,32 +372,29 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
     for rows in batches:
-        for few in (rows.slice(i, 256) for i in range(0, rows.num_rows, 256)):
-            bodies = raw(few.column("text"))
-            for at, to in slices(bodies, CHUNK_BYTES):
-                part = few.slice(at, to - at)
-                n_words, n_removed, digests, texts = [], [], [], []
-                for body, repeats in zip(bodies[at:to], part.column("repeats"), strict=True):
-                    gone = np.zeros(0, np.int64)
-                    if repeats.is_valid:
-                        starts, n = (repeats.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                        gone = np.stack([starts, starts + n + WINDOW - 1])
-                    total, kept, digest, lines = 0, 0, hashlib.sha256(), []
-                    for first, words, _ in pieces(body, 0, CHUNK_BYTES):
-                        total += len(words)
-                        if len(gone):
-                            change = np.zeros(len(words) + 1, np.int64)
-                            a, b = (gone - first).clip(0, len(words))
-                            np.add.at(change, a, 1)
-                            np.add.at(change, b, -1)
-                            words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) <= 0).tolist()]
-                        if words:
-                            line = b" " * (kept > 0) + b" ".join(words)
-                            digest.update(line)
-                            lines.append(line)
-                            kept += len(words)
-                    n_words.append(total), n_removed.append(total - kept), digests.append(digest.hexdigest()), texts.append(b"".join(lines))
-                yield batch(out, [part.column("doc_id"), n_words, n_removed, digests, pa.array(texts, pa.binary()).cast(pa.string())])
+        for part in few(rows, 2 * CHUNK_BYTES):
+            n_words, n_removed, digests, texts = [], [], [], []
+            for body, repeats in zip(raw(part.column("text")), part.column("repeats"), strict=True):
+                gone = np.zeros(0, np.int64)
+                if repeats.is_valid:
+                    starts, n = (repeats.values.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                    gone = np.stack([starts, starts + n + WINDOW - 1])
+                total, kept, digest, lines = 0, 0, hashlib.sha256(), []
+                for first, words, _ in word_pieces(body, 0, CHUNK_BYTES):
+                    total += len(words)
+                    if len(gone):
+                        change = np.zeros(len(words) + 1, np.int64)
+                        a, b = (gone - first).clip(0, len(words))
+                        np.add.at(change, a, 1)
+                        np.add.at(change, b, -1)
+                        words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) <= 0).tolist()]
+                    if words:
+                        line = b" " * (kept > 0) + b" ".join(words)
+                        digest.update(line)
+                        lines.append(line)
+                        kept += len(words)
+                n_words.append(total), n_removed.append(total - kept), digests.append(digest.hexdigest()), texts.append(b"".join(lines))
+            yield batch(out, [part.column("doc_id"), n_words, n_removed, digests, pa.array(texts, pa.binary()).cast(pa.string())])
 
 
 def remove_repeats(docs: DataFrame, *, with_text: bool = False) -> DataFrame:

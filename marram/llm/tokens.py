@@ -1,11 +1,12 @@
-"""Token counts that follow edits: a segment tree over the pre-tokens of each document.
-
-A leaf is a pre-token with its number of tokens; leaves lie in blocks, and the tree above the blocks
-holds characters and tokens of each subtree. An edit re-splits the text from the first leaf that can
-see it until a boundary meets an old one behind the edit; only those leaves are encoded again, and only
-the sums above their blocks change. The pattern never looks back; ahead it sees the next character, and
-behind blanks as far as they go and the character there, so re-splitting starts before all leaves that
-end in a blank in front of the leaf that touches the edit.
+"""Token counts that follow edits: a segment tree over the pre-tokens of each document, kept in a table.
+
+A leaf is a pre-token with its characters and its number of tokens; leaves lie in blocks, and the tree above the
+blocks holds characters and tokens of each subtree. keep_trees writes the leaves of each document beside its text, so
+that later edits encode nothing again but what they touch; apply_edits takes such rows and returns them changed.
+An edit re-splits the text from the first leaf that can see it until a boundary meets an old one behind the edit;
+only those leaves are encoded, and only the sums above their blocks change. The pattern never looks back; ahead it
+sees the next character, and behind blanks as far as they go and the character there, so re-splitting starts before
+all leaves that end in a blank in front of the leaf that touches the edit.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, texts
+from marram.llm.arrays import batch, carried, ddl, few, pack, texts, unpack
 from marram.sources.shared import pick
 
 #: Leaves of a block when a tree is built; the tree is built anew when a block has grown to eight times that.
 BLOCK = 128
+#: Text bytes that a task handles at once (or one longer text).
+SLICE_BYTES = 4 << 20
 #: Distinct pre-tokens whose counts a task holds at once.
 TABLE = 300_000
 
@@ -58,17 +61,27 @@ class Counter:
 
 
 class TokenTree:
-    def __init__(self, text: str, counter: Counter):
+    """The tree of a text from its leaves: characters and tokens of each pre-token."""
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, counter: Counter):
         self.counter = counter
         self.reencoded = 0
-        self._build(counter.pattern.findall(text))
-
-    def _build(self, pieces: list[str]) -> None:
-        self.blocks = [pieces[i : i + BLOCK] for i in range(0, len(pieces), BLOCK)] or [[]]
-        self.size = 1 << (len(self.blocks) - 1).bit_length()
+        self._build(text, chars.astype(np.int64), tokens.astype(np.int64))
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> TokenTree:
+        """Splits and encodes the whole text."""
+        pieces = counter.pattern.findall(text)
+        return cls(text, *(np.fromiter(map(f, pieces), np.int64, len(pieces)) for f in (len, counter.count)), counter)
+
+    def _build(self, text: str, chars: np.ndarray, tokens: np.ndarray) -> None:
+        starts = np.arange(0, max(1, len(chars)), BLOCK)
+        self.blocks = _Blocks(text, chars, tokens)
+        self.size = 1 << (len(starts) - 1).bit_length()
         self.chars, self.tokens = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
-        for b, block in enumerate(self.blocks):
-            self.chars[self.size + b], self.tokens[self.size + b] = sum(map(len, block)), sum(map(self.counter.count, block))
+        if len(chars):
+            for sums, leaves in ((self.chars, chars), (self.tokens, tokens)):
+                sums[self.size : self.size + len(starts)] = np.add.reduceat(leaves, starts)
         width = self.size
         while width > 1:
             for sums in (self.chars, self.tokens):
@@ -85,7 +98,7 @@ class TokenTree:
 
     def _update(self, b: int) -> None:
         node = self.size + b
-        self.chars[node], self.tokens[node] = sum(map(len, self.blocks[b])), sum(map(self.counter.count, self.blocks[b]))
+        self.chars[node], self.tokens[node] = sum(map(len, self.blocks[b])), sum(self.blocks.tokens(b))
         while node > 1:
             node //= 2
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -172,60 +185,135 @@ class TokenTree:
         self.reencoded += len(pieces)
         eb, ek = stop if stop is not None else (len(self.blocks), 0)
         if eb >= len(self.blocks):
-            eb, ek = len(self.blocks) - 1, len(self.blocks[-1])
-        tail = self.blocks[eb][ek:] if eb > b0 else []
+            eb, ek = len(self.blocks) - 1, len(self.blocks[len(self.blocks) - 1])
+        counts = [self.counter.count(p) for p in pieces]
         if eb > b0:
-            self.blocks[b0][k0:] = pieces
+            tail, tail_counts = self.blocks[eb][ek:], self.blocks.tokens(eb)[ek:]
+            self.blocks.put(b0, self.blocks[b0][:k0] + pieces, self.blocks.tokens(b0)[:k0] + counts)
             for x in range(b0 + 1, eb):
-                self.blocks[x] = []
-            self.blocks[eb] = tail
+                self.blocks.put(x, [], [])
+            self.blocks.put(eb, tail, tail_counts)
         else:
-            self.blocks[b0][k0:ek] = pieces
+            self.blocks.put(b0, self.blocks[b0][:k0] + pieces + self.blocks[b0][ek:], self.blocks.tokens(b0)[:k0] + counts + self.blocks.tokens(b0)[ek:])
         if len(self.blocks[b0]) > 8 * BLOCK:
-            self._build([p for block in self.blocks for p in block])
+            self._build(*self.leaves())
             return
         for x in range(b0, eb + 1):
             self._update(x)
 
+    def leaves(self) -> tuple[str, np.ndarray, np.ndarray]:
+        """The text as it now is, with the characters and tokens of its pre-tokens."""
+        return self.blocks.leaves()
+
+
+class _Blocks:
+    """Pre-tokens by block. Those of a block are cut from the text when they are first asked for."""
+
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray):
+        self.text, self.chars, self.counts = text, chars, tokens
+        self.starts = np.concatenate([[0], np.cumsum(chars)])
+        self.cut: dict[int, tuple[list[str], list[int]]] = {}
+
+    def __len__(self) -> int:
+        return max(1, -(-len(self.chars) // BLOCK))
+
+    def _of(self, b: int) -> tuple[list[str], list[int]]:
+        if b not in self.cut:
+            at = self.starts[b * BLOCK : (b + 1) * BLOCK + 1].tolist()
+            self.cut[b] = [self.text[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], self.counts[b * BLOCK : (b + 1) * BLOCK].tolist()
+        return self.cut[b]
+
+    def __getitem__(self, b: int) -> list[str]:
+        return self._of(b)[0]
+
+    def tokens(self, b: int) -> list[int]:
+        return self._of(b)[1]
+
+    def put(self, b: int, pieces: list[str], tokens: list[int]) -> None:
+        self.cut[b] = pieces, tokens
+
     @property
-    def text(self) -> str:
-        return "".join(p for block in self.blocks for p in block)
+    def n_leaves(self) -> int:
+        return len(self.chars) + sum(len(pieces) - len(self.chars[b * BLOCK : (b + 1) * BLOCK]) for b, (pieces, _) in self.cut.items())
+
+    def leaves(self) -> tuple[str, np.ndarray, np.ndarray]:
+        text, chars, tokens, at = [], [], [], 0
+        for b in [*sorted(self.cut), len(self)]:  # runs of untouched blocks stay as they are
+            a, to = at * BLOCK, min(b * BLOCK, len(self.chars))
+            text.append(self.text[int(self.starts[min(a, len(self.chars))]) : int(self.starts[to])])
+            chars.append(self.chars[a:to])
+            tokens.append(self.counts[a:to])
+            if b in self.cut:
+                pieces, counts = self.cut[b]
+                text += pieces
+                chars.append(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+                tokens.append(np.array(counts, np.int64))
+            at = b + 1
+        return "".join(text), np.concatenate(chars), np.concatenate(tokens)
+
+
+def _shared(df: DataFrame, ranks_path: str, pattern: str):
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast((f.read(), pattern))  # a fixed vocabulary file of about a MB
 
 
-def count_edited(docs: DataFrame, edits: Column, ranks_path: str, pattern: str, *, with_text: bool = False) -> DataFrame:
-    """doc_id, n_tokens of the text, n_tokens_edited after its edits, n_pieces and n_reencoded pre-tokens; with_text adds the edited text.
+_TREE = [("doc_id", pa.int64()), ("text", pa.string()), ("chars", pa.binary()), ("tokens", pa.binary())]
+_TREE_DDL = "doc_id long, text string, chars binary, tokens binary"
 
-    edits: an array<struct<start:int, deleted:int, inserted:string>>, applied one after the other in
-    code points of the text as it then is, and cut to it. A null text is empty; null edits are none, and
-    null fields count as zero or the empty string. Null ids are kept; repeated rows give repeated results;
-    columns that the edits don't name are ignored.
+
+def keep_trees(docs: DataFrame, ranks_path: str, pattern: str, *, carry: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, text, and its pre-tokens' characters and tokens (packed) of every row, and the columns to carry (name: type). Write it to a table.
+
+    A null text is empty; null ids are kept; repeated rows give repeated results; an empty table gives an empty
+    result; very long texts are split whole; other columns are ignored, whatever their names.
     """
-    with open(ranks_path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))  # a fixed vocabulary file of about a MB
+    shared = _shared(docs, ranks_path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(*shared.value)
+        for rows in (some for part in batches for some in few(part, SLICE_BYTES)):
+            bodies, chars, tokens = texts(rows.column("text")), [], []
+            for text in bodies:
+                pieces = counter.pattern.findall(text)
+                chars.append(pack(np.fromiter(map(len, pieces), np.int64, len(pieces))))
+                tokens.append(pack(np.fromiter(map(counter.count, pieces), np.int64, len(pieces))))
+            yield carried(batch(_TREE, [rows.column("doc_id"), bodies, chars, tokens]), rows, carry)
+
+    return pick(docs, **{"doc_id": "long", "text": "string", **(carry or {})}).mapInArrow(run, _TREE_DDL + ddl(carry))
+
+
+def apply_edits(trees: DataFrame, edits: Column, ranks_path: str, pattern: str, *, with_tree: bool = False) -> DataFrame:
+    """doc_id, n_tokens of the text, n_tokens_edited after its edits, n_pieces and n_reencoded pre-tokens; with_tree adds text, chars and tokens as they now are, for further edits.
+
+    trees: rows of keep_trees or of this function. edits: an array<struct<start:int, deleted:int, inserted:string>>,
+    applied one after the other in code points of the text as it then is, and cut to it. Null edits are none, and
+    null fields count as zero or the empty string.
+    """
+    shared = _shared(trees, ranks_path, pattern)
     out = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_tokens_edited", pa.int64()), ("n_pieces", pa.int64()), ("n_reencoded", pa.int64())]
-    out += [("edited", pa.string())] * with_text
+    out += _TREE[1:] * with_tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(*shared.value)
-        for rows in batches:
-            for at in range(0, rows.num_rows, 500):
-                part = rows.slice(at, 500)
-                before, now, pieces, again, edited = [], [], [], [], []
-                for text, todo in zip(texts(part.column("text")), part.column("edits").to_pylist(), strict=True):
-                    tree = TokenTree(text, counter)
-                    before.append(tree.total)
-                    for e in todo or []:
-                        if e is not None:
-                            tree.edit(e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
-                    now.append(tree.total)
-                    pieces.append(sum(map(len, tree.blocks)))
-                    again.append(tree.reencoded)
-                    edited += [tree.text] * with_text
-                yield batch(out, [part.column("doc_id"), before, now, pieces, again] + [edited] * with_text)
-
-    rows = docs.withColumn("__edits", edits.cast("array<struct<start:int,deleted:int,inserted:string>>"))
-    rows = pick(rows, doc_id="long", text="string", __edits="array<struct<start:int,deleted:int,inserted:string>>").withColumnRenamed("__edits", "edits")
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long" + ", edited string" * with_text)
+        for rows in (some for part in batches for some in few(part, SLICE_BYTES)):
+            columns: list[list] = [[] for _ in out[1:]]
+            for text, chars, tokens, todo in zip(texts(rows.column("text")), rows.column("chars").to_pylist(), rows.column("tokens").to_pylist(), rows.column("edits").to_pylist(), strict=True):
+                tree = TokenTree(text, unpack(chars), unpack(tokens), counter)
+                row = [tree.total]
+                for e in todo or []:
+                    if e is not None:
+                        tree.edit(e["start"] or 0, e["deleted"] or 0, e["inserted"] or "")
+                row += [tree.total, tree.blocks.n_leaves, tree.reencoded]
+                if with_tree:
+                    text, chars, tokens = tree.leaves()
+                    row += [text, pack(chars), pack(tokens)]
+                for column, value in zip(columns, row, strict=True):
+                    column.append(value)
+            yield batch(out, [rows.column("doc_id"), *columns])
+
+    kind = "array<struct<start:int,deleted:int,inserted:string>>"
+    rows = trees.select("doc_id", "text", "chars", "tokens", edits.cast(kind).alias("edits"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_tokens_edited long, n_pieces long, n_reencoded long" + ", text string, chars binary, tokens binary" * with_tree)
 
 
 def routine_edits(text: str = "text") -> Column:

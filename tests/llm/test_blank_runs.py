@@ -16,13 +16,15 @@ def counter():
 
 
 def check(text, counter, *edits):
-    tree = tokens.TokenTree(text, counter)
+    tree = tokens.TokenTree.of(text, counter)
     for at, deleted, inserted in edits:
         tree.edit(at, deleted, inserted)
         text = text[:at] + inserted + text[at + deleted :]
         pieces = counter.pattern.findall(text)
-        assert [p for b in tree.blocks for p in b] == pieces, (text, at, deleted, inserted)
-        assert tree.total == sum(map(counter.count, pieces))
+        assert [p for b in range(len(tree.blocks)) for p in tree.blocks[b]] == pieces, (text, at, deleted, inserted)
+        assert tree.total == sum(map(counter.count, pieces)) and tree.blocks.n_leaves == len(pieces)
+        whole, chars, counts = tree.leaves()
+        assert (whole, chars.tolist(), counts.tolist()) == (text, list(map(len, pieces)), list(map(counter.count, pieces)))
 
 
 def test_known_cases(counter):

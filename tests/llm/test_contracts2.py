@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from marram.llm import substring, tokens, topk
+from marram.llm.arrays import unpack, word_pieces
 from marram.llm.fmindex import FMIndex
 
 WORDS = [f"w{i}" for i in range(60)]
@@ -82,7 +84,7 @@ def test_very_long_text_is_taken_in_pieces():
     words = [str(rng.randint(0, 30)).encode() for _ in range(3000)]
     body = b"  ".join(words)
     for overlap in (0, 5, 19):
-        parts = list(substring.pieces(body, overlap, 500))
+        parts = list(word_pieces(body, overlap, 500))
         assert len(parts) > 5 and [last for *_, last in parts] == [False] * (len(parts) - 1) + [True]
         assert all(w == words[first : first + len(w)] for first, w, _ in parts)
         assert all(a + len(w) - overlap == b for (a, w, _), (b, *_) in zip(parts, parts[1:], strict=False))
@@ -181,16 +183,40 @@ def test_edited_counts(spark):
         edits = [(rng.randint(-2, len(text) + 5), rng.choice([0, 0, 1, 5, 60, 5000]), "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 0, 1, 3, 40, 2000])))) for _ in range(rng.randint(0, 5))]
         rows.append((d, text, edits))
     rows += [(900, None, [(0, 0, "hello")]), (901, "abc", None), (902, "abc", [None, (None, None, None)]), (None, "abc", [])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, e array<struct<start:int,deleted:int,inserted:string>>").withColumn("edits", F.lit(1))
-    got = {r.doc_id: r for r in tokens.count_edited(docs, F.col("e"), path, P.PATTERN, with_text=True).collect()}
+    kind = "array<struct<start:int,deleted:int,inserted:string>>"
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, e {kind}").selectExpr("*", "1 as edits", "2 as Text", "3 as TOKENS", "4 as Doc_Id")
+    trees = tokens.keep_trees(docs, path, P.PATTERN, carry={"e": kind})
+    edited = tokens.apply_edits(trees, F.col("e"), path, P.PATTERN, with_tree=True)
+    got = {r.doc_id: r for r in edited.collect()}
     for d, text, edits in rows:
         now = text or ""
         for e in edits or []:
             if e is not None:
                 a = max(0, min(len(now), e[0] or 0))
                 now = now[:a] + (e[2] or "") + now[a + max(0, e[1] or 0) :]
-        assert got[d].edited == now
+        assert got[d].text == now
         assert (got[d].n_tokens, got[d].n_tokens_edited) == (len(enc.encode_ordinary(text or "")), len(enc.encode_ordinary(now))), (d, text, edits)
-    counts = tokens.count_edited(docs.where("length(text) > 2000"), tokens.routine_edits(), path, P.PATTERN).collect()
+    # Trees that are kept take further edits as they are; what they hold equals a split of the whole text.
+    again = tokens.apply_edits(edited, F.array(F.struct(F.lit(3).alias("start"), F.lit(2).alias("deleted"), F.lit(" x").alias("inserted"))), path, P.PATTERN, with_tree=True)
+    for r in again.collect():
+        now = got[r.doc_id].text
+        now = now[:3] + " x" + now[5:]
+        assert r.text == now and r.n_tokens_edited == len(enc.encode_ordinary(now))
+        assert unpack(r.chars).tolist() == [len(p) for p in regex.findall(P.PATTERN, now)]
+    long = tokens.keep_trees(spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string").where("length(text) > 2000"), path, P.PATTERN)
+    counts = tokens.apply_edits(long, tokens.routine_edits(), path, P.PATTERN).collect()
     assert all(r.n_reencoded < 60 < r.n_pieces for r in counts)
-    assert tokens.count_edited(docs.limit(0), F.col("e"), path, P.PATTERN).count() == 0
+    assert tokens.apply_edits(tokens.keep_trees(docs.limit(0), path, P.PATTERN), tokens.routine_edits(), path, P.PATTERN).count() == 0
+
+
+def test_edits_encode_only_what_they_touch():
+    import public_tokenizers as P
+
+    ranks = open(P.path("byte_bpe_50k.tiktoken"), "rb").read()
+    text = "".join(f"word{i} and\n" for i in range(5000))
+    first = tokens.TokenTree.of(text, tokens.Counter(ranks, P.PATTERN))
+    fresh = tokens.Counter(ranks, P.PATTERN)
+    tree = tokens.TokenTree(*first.leaves(), fresh)
+    tree.edit(20_000, 3, "something else")
+    assert fresh.encoded <= tree.reencoded < 10 and len(tree.blocks.cut) <= 2
+    assert tree.total == tokens.TokenTree.of(tree.leaves()[0], fresh).total
