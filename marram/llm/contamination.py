@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, carried, ddl, raw
+from marram.llm.arrays import batch, carried, ddl, few, raw, word_pieces
 from marram.llm.fmindex import FMIndex
 from marram.sources.shared import pick
 
 WINDOW = 13
 #: A block of test items holds about so many bytes of text; more items make more blocks, each searched over all rows.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
 #: Text bytes of a shard at most (one longer document makes a shard of its own).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -38,17 +38,20 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, bytes]], window: int):
         self.number: dict[bytes, int] = {}
-        of: dict[tuple[int, ...], set[int]] = {}
+        rows, of = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, body in items:
-            symbols = [self.number.setdefault(w, len(self.number) + 1) for w in split(body)]
-            for at in range(max(1, len(symbols) - window + 1) if symbols else 0):
-                of.setdefault(tuple(symbols[at : at + window]), set()).add(item)
-        self.items = [sorted(s) for s in of.values()]
-        self.lengths = np.array([len(w) for w in of], np.int64)
-        self.patterns = np.zeros((len(of), window), np.int64)
-        for i, w in enumerate(of):
-            self.patterns[i, window - len(w) :] = w
-        self.shortest = int(self.lengths.min()) if len(of) else 0
+            symbols = np.array([self.number.setdefault(w, len(self.number) + 1) for w in split(body)], np.int32)
+            if not len(symbols):
+                continue
+            padded = np.concatenate([np.zeros(max(0, window - len(symbols)), np.int32), symbols])
+            rows.append(np.unique(np.lib.stride_tricks.sliding_window_view(padded, window), axis=0))
+            of.append(np.full(len(rows[-1]), item))
+        self.patterns, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
+        #: Items by window: those of window w are items[first[w] : first[w + 1]].
+        order = np.lexsort((np.concatenate(of), which.ravel()))
+        self.items, self.first = np.concatenate(of)[order], np.searchsorted(which.ravel()[order], np.arange(len(self.patterns) + 1))
 
 
 def _spans(windows: Windows, bodies: list[bytes]) -> tuple[list[int], list[list[tuple[int, int]]], list[set[int]]]:
@@ -88,7 +91,7 @@ def _spans(windows: Windows, bodies: list[bytes]) -> tuple[list[int], list[list[
             own[-1] = (own[-1][0], max(own[-1][1], b))
         else:
             own.append((a, b))
-        items[d].update(windows.items[w])
+        items[d].update(windows.items[windows.first[w] : windows.first[w + 1]].tolist())
     return n_words, spans, items
 
 
@@ -110,39 +113,48 @@ def _search(docs: DataFrame, windows: Windows, carry: dict[str, str]) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(windows)  # one block of items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            at, bodies = 0, raw(rows.column("text"))
-            sizes = np.cumsum([len(b) for b in bodies])
-            while at < rows.num_rows:
-                base = sizes[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(sizes, base + SHARD_BYTES, side="right")))
-                part = rows.slice(at, to - at)
-                n_words, spans, items = _spans(shared.value, bodies[at:to])
-                if "spans" in rows.schema.names:
-                    spans = [_merged([*map(tuple, old), *new]) for old, new in zip(part.column("spans").to_pylist(), spans, strict=True)]
-                    items = [new.union(old) for old, new in zip(part.column("items").to_pylist(), items, strict=True)]
-                yield carried(batch(_OUT, [part.column("doc_id"), n_words, spans, [sorted(s) for s in items]]), part, carry)
-                at = to
+        for part in (some for rows in batches for some in few(rows, SHARD_BYTES)):
+            n_words, spans, items = _spans(shared.value, raw(part.column("text")))
+            if "spans" in part.schema.names:
+                spans = [_merged([*map(tuple, old), *new]) for old, new in zip(part.column("spans").to_pylist(), spans, strict=True)]
+                items = [new.union(old) for old, new in zip(part.column("items").to_pylist(), items, strict=True)]
+            yield carried(batch(_OUT, [part.column("doc_id"), n_words, spans, [sorted(s) for s in items]]), part, carry)
 
     return docs.mapInArrow(run, "doc_id long, n_words long, spans array<array<int>>, items array<long>" + ddl(carry))
 
 
+def _test_pieces(tests: DataFrame, window: int) -> DataFrame:
+    """item_id, first and text: items longer than a quarter of a block come in pieces that overlap, so that all windows stay whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (some for part in batches for some in few(part, BLOCK_BYTES)):
+            out: tuple[list, list, list] = ([], [], [])
+            for item, body in zip(rows.column("item_id").to_pylist(), raw(rows.column("text")), strict=True):
+                for first, words, _ in word_pieces(body.translate(_WORDS), window - 1, max(1, BLOCK_BYTES // 4)):
+                    if words and not (first and len(words) < window):
+                        out[0].append(item), out[1].append(first), out[2].append(b" ".join(words).decode())
+            yield batch([("item_id", pa.int64()), ("first", pa.int64()), ("text", pa.string())], list(out))
+
+    return tests.mapInArrow(run, "item_id long, first long, text string")
+
+
 def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, carry: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, spans array<array<int>> (first word, word after the last), items array<long> of every row, and the columns to carry (name: type).
 
     Test items are read in blocks of bounded size; each block is one more pass over the rows, without a
     shuffle. Test rows without an id or a text take no part; repeated ones count once. A null or empty
-    text has no words. Null document ids are kept, repeated rows give repeated results, other columns
-    are ignored.
+    text has no words. Null document ids are kept, repeated rows give repeated results, empty tables give no
+    hits or no rows, very long texts make shards (and very long items blocks) of their own, and other columns are
+    ignored, whatever their names.
     """
     carry = carry or {}
     found = pick(docs, **{"doc_id": "long", "text": "string", **carry})
-    tests = pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null")
+    tests = _test_pieces(pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null"), window)
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
     for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k) if blocks > 1 else tests
-        windows = Windows([(r[0], r[1].encode()) for r in block.collect()], window)
+        block = tests.where(F.pmod(F.xxhash64("item_id", "first"), F.lit(blocks)) == k) if blocks > 1 else tests
+        windows = Windows([(r[0], r[1].encode()) for r in block.select("item_id", "text").collect()], window)
         found = _search(found, windows, carry if k == blocks - 1 else {"text": "string", **carry})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *carry)

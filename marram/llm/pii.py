@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, carried, ddl, texts
+from marram.llm.arrays import batch, carried, ddl, few, texts
 from marram.sources.shared import pick
 
 #: The base kinds, and what this operator adds to them.
@@ -37,6 +37,8 @@ CONTEXT = {
 #: Score without and with such a word; a checksum counts for more than a shape.
 SCORES = {"email": (0.9, 0.99), "ip": (0.6, 0.9), "card": (0.8, 0.99), "phone": (0.6, 0.9), "iban": (0.9, 0.99)}
 WINDOW = 40
+#: Text bytes that a task handles at once (or one longer text).
+SLICE_BYTES = 4 << 20
 
 
 def luhn(digits: str) -> bool:
@@ -109,12 +111,13 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def find_spans(docs: DataFrame, *, redacted: bool = False) -> DataFrame:
     """doc_id and spans array<struct<kind, start, end, score>> of every row; redacted adds the text without them.
 
-    Whole texts are searched. A null text has no spans and stays null; null ids are kept; repeated
-    rows give repeated results; other columns are ignored.
+    Whole texts are searched, very long ones too. A null text has no spans and stays null, an empty one has none;
+    null ids are kept; repeated rows give repeated results; an empty table gives an empty result; other
+    columns are ignored, whatever their names. Of spans with equal starts the first kind as listed comes first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (some for part in batches for some in few(part, SLICE_BYTES)):
             bodies = texts(rows.column("text"))
             found = [find(t) for t in bodies]
             spans = pa.array([[{"kind": k, "start": s, "end": e, "score": score(t, k, s)} for k, s, e in x] for t, x in zip(bodies, found, strict=True)], _SPANS)
@@ -131,7 +134,7 @@ def redact_documents(docs: DataFrame, carry: dict[str, str]) -> DataFrame:
     """doc_id, text without personal data (null stays null), n_spans, and the columns to carry (name: type)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (some for part in batches for some in few(part, SLICE_BYTES)):
             bodies = rows.column("text").to_pylist()
             found = [find(t or "") for t in bodies]
             clean = [redact(t, x) if x else t for t, x in zip(bodies, found, strict=True)]
@@ -145,7 +148,7 @@ def _listed(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans, and all spans as text."""
+    """Counts, the digest of the base spans, and all spans as text, of each row of find_spans (no spans: zeros and empty strings)."""
     spans = F.col("spans")
     of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
     count = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, raw, runs
+from marram.llm.arrays import batch, few, raw, runs, word_pieces
 from marram.operators.components import connected_components
 from marram.sources.shared import materialise, pick
 
@@ -29,6 +29,8 @@ SEED = 42
 GROUPS = 6
 #: Rows of a file that are compared in one piece; a larger file is dealt out as pairs of pieces.
 PIECE = 1024
+#: Bytes of a piece that a longer text is hashed in.
+PIECE_BYTES = 1 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Dense pivots: bit j of pivot i is the parity of the bits that i + 1 and j share, so any two differ in 32 bits.
@@ -37,21 +39,21 @@ DENSE = np.array([sum(((i + 1) & j).bit_count() % 2 << j for j in range(64)) for
 
 def fingerprint(body: bytes, size: int = SHINGLE) -> int:
     """Majority bits of the hashes of all shingles, repeats included; no words: zero."""
-    words = body.translate(_LOWER).split()
-    if not words:
-        return 0
-    n = max(1, len(words) - size + 1)
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    ends = ends[min(size, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        part = h[at : at + 4096]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    ones, total, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    for first, words, _ in word_pieces(body.translate(_LOWER), size - 1, PIECE_BYTES):
+        if not words or (first and len(words) < size):
+            continue
+        n = max(1, len(words) - size + 1)
+        line = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+        ends = ends[min(size, len(words)) - 1 :].tolist()
+        h = np.fromiter([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64, n)
+        for at in range(0, n, 4096):
+            part = h[at : at + 4096]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += n
+    return int(np.packbits(2 * ones > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -59,7 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     out = [("doc_id", pa.int64()), ("fp", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
+        for rows in (some for part in batches for some in few(part, 4 * PIECE_BYTES)):
             fp = np.fromiter((fingerprint(b) for b in raw(rows.column("text"))), np.uint64, rows.num_rows)
             yield batch(out, [rows.column("doc_id"), fp.view(np.int64)])
 
@@ -164,7 +166,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id reachable over links of three differing bits or fewer; rows
     without words have fingerprint zero and are linked like others. Equal fingerprints are one node, so
     groups of copies cost nothing. A null doc_id is kept and never is a component_id (a component
-    of null ids only has a null one); repeated rows give repeated results; other columns are ignored.
+    of null ids only has a null one); repeated rows give repeated results; an empty table gives an empty result;
+    very long texts are hashed in pieces that overlap; other columns are ignored, whatever their names.
     """
     prints = materialise(fingerprints(docs), "prints")
     nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")

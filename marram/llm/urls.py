@@ -73,16 +73,19 @@ def judge(pages: DataFrame, sites: list[SiteRule], patterns: tuple[PatternRule,
     rule is the longest site rule that fits (of equally long ones the smallest), else null. verdict
     is the rule's, else block if a pattern matches, else the default. A null url, or one without ://,
     has an empty host and path; a null one gets the default verdict. Null ids are kept, repeated rows
-    give repeated results, other columns are ignored, and an empty rule list leaves the default.
+    give repeated results, an empty table gives an empty result, very long URLs are judged whole, other columns are
+    ignored, whatever their names, and an empty rule list leaves the default. Rules without a token are tried on every URL.
     """
     spark = pages.sparkSession
-    listed = [(s.rule, s.host, s.path, None, s.verdict, t) for s in sites for t in s.tokens] + [(p.name, None, None, p.pattern, p.verdict, t) for p in patterns for t in p.tokens]
+    listed = [(s.rule, s.host, s.path, None, s.verdict, t) for s in sites for t in s.tokens or [""]] + [(p.name, None, None, p.pattern, p.verdict, t) for p in patterns for t in p.tokens or [""]]
     tokens_of_rules = spark.createDataFrame(listed, "rule string, rule_host string, rule_path string, pattern string, rule_verdict string, token string")
 
     urls = pick(pages, page_id="long", url="string").withColumn("row", F.monotonically_increasing_id())
     host, path = host_and_path(F.col("url"))
     urls = urls.withColumn("host", host).withColumn("path", path)
     tokens = F.array_distinct(F.split(F.translate(F.coalesce("url", F.lit("")), UPPER, LOWER), "[^a-z0-9]+"))
+    if any(rule[-1] == "" for rule in listed):  # rules without a literal token are candidates for every URL
+        tokens = F.array_union(tokens, F.array(F.lit("")))
     by_token = urls.withColumn("token", F.explode(tokens))
 
     used = tokens_of_rules.select("token").distinct()
@@ -92,6 +95,7 @@ def judge(pages: DataFrame, sites: list[SiteRule], patterns: tuple[PatternRule,
     rarest = tokens_of_rules.join(sized(seen) if small else seen, "token", "left")
     index = rarest.groupBy("rule", "rule_host", "rule_path", "pattern", "rule_verdict").agg(F.min_by("token", F.struct(F.coalesce("uses", F.lit(0)), "token")).alias("token"))
 
+    # Where the rules are many and a token is in most URLs, adaptive execution splits that token's URLs.
     tried = by_token.join(sized(index), "token", "left")
     site = F.col("pattern").isNull() & ((F.col("host") == F.col("rule_host")) | F.col("host").endswith(F.concat(F.lit("."), "rule_host"))) & F.col("path").startswith(F.col("rule_path"))
     hit = F.expr("pattern is not null and url rlike pattern")
