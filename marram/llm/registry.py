@@ -87,6 +87,26 @@ _HEX = lambda at: f"('0x' || substr(hex, {at}, 5))::BIGINT"
 _BASE32 = " || ".join(f"substr('{warc.BASE32}', (({_HEX(at)} >> {k}) & 31)::INT + 1, 1)" for at in range(1, 41, 5) for k in (15, 10, 5, 0))
 
 ORACLES: dict[str, str] = {
+    "op1_decontaminate": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+        bw AS MATERIALIZED (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT r, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+        m AS MATERIALIZED (SELECT DISTINCT r, i, dw.n, item_id FROM dw JOIN bw USING (n, k)),
+        h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT r, item_id FROM m) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    "op2_substrings": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        v AS MATERIALIZED (SELECT r, doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE doc_id IS NOT NULL AND len(w) >= 20)),
+        f AS (SELECT k, min({'doc_id': doc_id, 'i': i}) AS first FROM v GROUP BY k HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS p FROM v JOIN f USING (k) WHERE {'doc_id': doc_id, 'i': i} > first),
+        g AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (r) LEFT JOIN kept USING (r)""",
     "op3_warc": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
         d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
