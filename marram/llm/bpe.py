@@ -1,14 +1,15 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. A task splits its texts and writes them as numbers: a chunk of texts has a list of its distinct words, and a text
-   is the series of its words' places in that list.
-2. The words of all chunks make one table of distinct words. Each is encoded once; its pieces come from a join
-   of its ids with the vocabulary.
-3. The table is joined back to the chunks' lists; a chunk's words and texts meet, and ids and pieces are put in
-   place by position. Words do not depend on their neighbours in this kind of tokenizer, so these are the ids of
-   the whole text.
-
-So the shuffles hold a row for each distinct word of a chunk, and a text once, as numbers; no row per position.
+1. A task splits its texts in chunks. A chunk has a list of its distinct words, and a text is the series of its
+   words' places in that list.
+2. The lists' rows (chunk, place, word) meet by word: each distinct word of the corpus is in one task, which encodes it
+   once and answers all chunks that have it.
+3. The answers meet the texts, written as places, by chunk. Ids are put in place by position, and joined to
+   their pieces through the vocabulary, which is broadcast (its size is fixed). Words do not depend on their
+   neighbours in this kind of tokenizer, so these are the ids of the whole text.
+
+So the shuffles hold a row for each distinct word of a chunk, twice, and each text once, as numbers; no row per
+position. The texts are split twice rather than kept, and a digest of each chunk's list tells if they changed.
 """
 
 from __future__ import annotations
@@ -21,15 +22,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.llm.arrays import batch, sha256, slices, texts
-from marram.sources.shared import materialise, pick
+from marram.llm.arrays import batch, few, pack, sha256, slices, texts, unpack
+from marram.sources.shared import pick
 
-#: Characters of a chunk's texts, about, and of the pieces that longer texts are split in.
-CHUNK_CHARS, PIECE_CHARS = 8 << 20, 1 << 20
+#: Characters of a chunk's texts and its distinct words, about, and of the pieces that longer texts are split in.
+CHUNK_CHARS, CHUNK_WORDS, PIECE_CHARS = 64 << 20, 500_000, 1 << 20
 #: Characters of the texts whose results are put together at once.
 SLICE_WORDS = 1 << 20
 
@@ -49,32 +50,39 @@ _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^
 _BLANK = re.compile("[ \n]")
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(spec: str):
-    from tokenizers import Tokenizer
+class Tokenizer:
+    """The library's tokenizer of a file, with its parts at hand."""
+
+    def __init__(self, spec: str):
+        from tokenizers import Tokenizer as Library
 
-    tokenizer = Tokenizer.from_str(spec)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+        self.library = Library.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.normalizer, self.splitter = self.library.model, self.library.normalizer, self.library.pre_tokenizer
+        added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def vocabulary(self) -> list[str]:
+        return [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
 
 
 @lru_cache(maxsize=4)
-def _added(spec: str) -> re.Pattern | None:
-    tokens = [t["content"] for t in json.loads(spec)["added_tokens"]]
-    return re.compile("(" + "|".join(map(re.escape, sorted(tokens, key=len, reverse=True))) + ")") if tokens else None
+def tokenizer(spec: str) -> Tokenizer:
+    """Asked for once a task: to look up so long a key takes a while."""
+    return Tokenizer(spec)
 
 
-def words(text: str, spec: str) -> list[str]:
+def words(text: str, tok: Tokenizer) -> list[str]:
     """The words of a text in order. Where scripts are rare or tokens are added, the library's own steps split it."""
     if not _ODD.search(text):
         return _WORD.findall(text.lower())
-    out, tokenizer, added = [], _tokenizer(spec), _added(spec)
-    for k, part in enumerate(added.split(text) if added else [text]):
+    out = []
+    for k, part in enumerate(tok.added.split(text) if tok.added else [text]):
         if k % 2:
             out.append(ADDED + part)
         elif part:
-            out += [MAPPED + piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part))]
+            out += [MAPPED + piece for piece, _ in tok.splitter.pre_tokenize_str(tok.normalizer.normalize_str(part))]
     return out
 
 
@@ -90,90 +98,106 @@ def parts(text: str, most: int) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def ids_of(word: str, spec: str) -> list[int]:
+def ids_of(word: str, tok: Tokenizer) -> list[int]:
     """Ids of a table entry. The byte alphabet maps visible ASCII to itself, so such a word goes to the merges as it is."""
-    tokenizer = _tokenizer(spec)
     if word.startswith(ADDED):
-        return [tokenizer.token_to_id(word[1:])]
+        return [tok.library.token_to_id(word[1:])]
     if word.startswith(MAPPED):
-        return [t.id for t in tokenizer.model.tokenize(word[1:])]
+        return [t.id for t in tok.model.tokenize(word[1:])]
     if word.isascii() and word.isprintable():
-        return [t.id for t in tokenizer.model.tokenize(word)]
-    return tokenizer.encode(word, add_special_tokens=False).ids
+        return [t.id for t in tok.model.tokenize(word)]
+    return tok.library.encode(word, add_special_tokens=False).ids
 
 
-def _planes(codes: np.ndarray) -> bytes:
-    """Numbers byte by byte: how many bytes each has, all lowest ones, all second ones, ..."""
-    k = max(1, (int(codes.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([k]) + codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :k].T.tobytes()
+_LISTED = [("chunk", pa.int64()), ("place", pa.int32()), ("word", pa.string())]
+_CODED = [("chunk", pa.int64()), ("doc_id", pa.int64()), ("codes", pa.binary()), ("digest", pa.int64())]
 
 
-def _codes(planes: bytes) -> np.ndarray:
-    k = planes[0]
-    out = np.zeros(((len(planes) - 1) // k, 4), np.uint8)
-    out[:, :k] = np.frombuffer(planes, np.uint8, offset=1).reshape(k, -1).T
-    return out.view("<u4").ravel()
+class _Chunk:
+    def __init__(self, number: int):
+        self.number, self.places, self.chars = number, {}, 0
 
+    def code(self, text: str, tok: Tokenizer) -> bytes:
+        """The places of a text's words in the list, which grows by new ones."""
+        places, codes = self.places, []
+        for piece in parts(text, PIECE_CHARS):
+            found = words(piece, tok)
+            try:
+                codes.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
+            except KeyError:
+                for word in found:
+                    places.setdefault(word, len(places))
+                codes.append(np.fromiter(map(places.__getitem__, found), np.uint32, len(found)))
+        self.chars += len(text)
+        return pack(np.concatenate(codes))
 
-_CODED = [("chunk", pa.int64()), ("code", pa.int32()), ("word", pa.string()), ("doc_id", pa.int64()), ("codes", pa.binary())]
-_CODED_DDL = "chunk long, code int, word string, doc_id long, codes binary"
+    @property
+    def full(self) -> bool:
+        return self.chars > CHUNK_CHARS or len(self.places) > CHUNK_WORDS
 
+    def close(self) -> int:
+        """A digest of the list."""
+        state = xxhash.xxh3_64(str(len(self.places)))
+        for word in self.places:
+            state.update(word.encode("utf-8", "surrogatepass") + b" ")
+        return state.intdigest() - (1 << 63)
 
-def _coded(rows: DataFrame, spec) -> DataFrame:
-    """Chunks as lists of distinct words (chunk, code, word) and texts as places in them (chunk, doc_id, codes)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, known, held = TaskContext.get().partitionId() << 32, {}, 0
+def _coded(rows: DataFrame, spec, lists: bool) -> DataFrame:
+    """The lists of the chunks (chunk, place, word), or the texts (chunk, doc_id, codes); either ends with the list's digest (place -1, or no codes)."""
 
-        def listed() -> pa.RecordBatch:
-            n = len(known)
-            return batch(_CODED, [[chunk] * n, list(range(n)), list(known), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, tok = None, tokenizer(spec.value)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            digest = chunk.close()
+            if not lists:
+                yield batch(_CODED, [[chunk.number], [None], [None], [digest]])
+                return
+            yield batch(_LISTED, [[chunk.number], [-1], [str(digest)]])
+            found = list(chunk.places)
+            for at in range(0, len(found), 10_000):
+                some = found[at : at + 10_000]
+                yield batch(_LISTED, [[chunk.number] * len(some), list(range(at, at + len(some))), some])
 
         for part in batches:
-            for at in range(0, part.num_rows, 256):
-                few = part.slice(at, 256)
-                planes, of = [], []
-                for text in texts(few.column("text")):
-                    if held > CHUNK_CHARS:
-                        yield listed()
-                        chunk, known, held = chunk + 1, {}, 0
-                    codes = []
-                    for piece in parts(text, PIECE_CHARS):
-                        found = words(piece, spec.value)
-                        try:
-                            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
-                        except KeyError:
-                            for word in found:
-                                known.setdefault(word, len(known))
-                            codes.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
-                    held += len(text)
-                    planes.append(_planes(np.concatenate(codes)))
-                    of.append(chunk)
-                n = len(of)
-                yield batch(_CODED, [of, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), few.column("doc_id"), planes])
-        if known:
-            yield listed()
-
-    return rows.mapInArrow(run, _CODED_DDL)
-
-
-def word_table(distinct: DataFrame, spec) -> DataFrame:
-    """(word, ids array<int>, decoded) of distinct words: each is encoded once, and its ids are joined to their pieces."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for some in few(part, 4 << 20):
+                chunk = chunk or _Chunk(some.column("part")[0].as_py() << 32)
+                of, planes = [], []
+                done = 0
+                for i, text in enumerate(texts(some.column("text"))):
+                    planes.append(chunk.code(text, tok))
+                    of.append(chunk.number)
+                    if chunk.full:
+                        if not lists:
+                            yield batch(_CODED, [of, some.column("doc_id").slice(done, len(of)), planes, pa.nulls(len(of), pa.int64())])
+                        yield from ended()
+                        chunk, of, planes, done = _Chunk(chunk.number + 1), [], [], i + 1
+                if of and not lists:
+                    yield batch(_CODED, [of, some.column("doc_id").slice(done, len(of)), planes, pa.nulls(len(of), pa.int64())])
+        if chunk is not None:
+            yield from ended()
+
+    return rows.withColumn("part", F.spark_partition_id()).mapInArrow(run, "chunk long, place int, word string" if lists else "chunk long, doc_id long, codes binary, digest long")
+
+
+def encode_words(listed: DataFrame, spec) -> DataFrame:
+    """(chunk, place, ids array<int>) of (chunk, place, word): equal words meet in a task, in a row, and are encoded once. Digests pass as two ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, tok = None, None, tokenizer(spec.value)
         for rows in batches:
-            found = rows.column("word").to_pylist()
-            yield batch([("word", pa.string()), ("ids", pa.list_(pa.int32()))], [found, [ids_of(w, spec.value) for w in found]])
+            out = []
+            for place, word in zip(rows.column("place").to_pylist(), rows.column("word").to_pylist(), strict=True):
+                if place < 0:
+                    out.append(np.array([int(word)], np.int64).view(np.int32).tolist())
+                    continue
+                if word != last:
+                    last, ids = word, ids_of(word, tok)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("place"), pa.array(out, pa.list_(pa.int32()))], names=["chunk", "place", "ids"])
 
-    spark = distinct.sparkSession
-    tokenizer = _tokenizer(spec.value)
-    vocabulary = [(i, tokenizer.id_to_token(i)) for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-    pieces = F.broadcast(spark.createDataFrame(vocabulary, "id int, piece string"))  # the vocabulary's size, whatever the input
-    encoded = materialise(distinct.mapInArrow(encode, "word string, ids array<int>"), "words")
-    each = encoded.select("word", F.posexplode("ids").alias("at", "id")).join(pieces, "id")
-    # A text's pieces are joined by a space, as a tokenizer file without a decoder asks for; so are a word's.
-    decoded = each.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda s: s["piece"]), " ").alias("decoded"))
-    return encoded.join(decoded, "word", "left")
+    return listed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, place int, ids array<int>")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -191,40 +215,49 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = F
     if stated["decoder"] or any(t[k] for t in stated["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
         raise ValueError("the tokenizer's words depend on more than themselves")
     spec = docs.sparkSession.sparkContext.broadcast(text)  # a fixed vocabulary file of a few MB
-    coded = materialise(_coded(pick(docs, doc_id="long", text="string"), spec), "coded")
-    table = word_table(coded.where("word is not null").select("word").distinct(), spec)
-    listed = coded.where("word is not null").select("chunk", "code", "word").join(table, "word")
-    lists = listed.select("chunk", "code", "ids", "decoded", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"))
-    numbers = coded.where("word is null").select("chunk", "code", F.lit(None).cast("array<int>").alias("ids"), F.lit(None).cast("string").alias("decoded"), "doc_id", "codes")
-    met = lists.union(numbers).repartition("chunk").sortWithinPartitions("chunk", F.col("code").asc_nulls_last())
+    rows = pick(docs, doc_id="long", text="string")
+    lists = encode_words(_coded(rows, spec, True), spec).select("chunk", "place", "ids", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("long").alias("digest"))
+    numbers = _coded(rows, spec, False).select("chunk", F.lit(None).cast("int").alias("place"), F.lit(None).cast("array<int>").alias("ids"), "doc_id", "codes", "digest")
+    # Of a chunk, its list comes first, in order, with its digest in front; then the texts' digest, then the texts.
+    met = lists.union(numbers).repartition("chunk").sortWithinPartitions("chunk", F.col("place").asc_nulls_last(), F.col("digest").asc_nulls_last())
     out = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     out += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, lists, pieces = None, [], []
+        vocabulary = tokenizer(spec.value).vocabulary()
+        chunk, lists, lengths, pieces, digest = None, [], [], [], None
         flat = offsets = None
         for rows in batches:
             for at in range(0, rows.num_rows, 1024):
                 part = rows.slice(at, 1024)
                 chunks = part.column("chunk").to_numpy()
-                is_word = part.column("code").is_valid().to_numpy(zero_copy_only=False)
+                is_word = part.column("place").is_valid().to_numpy(zero_copy_only=False)
                 edges = np.flatnonzero(np.concatenate([[True], (chunks[1:] != chunks[:-1]) | (is_word[1:] != is_word[:-1]), [True]]))
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     run = part.slice(a, b - a)
                     if chunks[a] != chunk:
-                        chunk, lists, pieces, flat = chunks[a], [], [], None
+                        chunk, lists, lengths, pieces, digest, flat = chunks[a], [], [], [], None, None
                     if is_word[a]:
-                        lists += [x.values.to_numpy() for x in run.column("ids")]
-                        pieces += run.column("decoded").to_pylist()
+                        if digest is None:
+                            digest = int(run.column("ids")[0].values.to_numpy().view(np.int64)[0])
+                            run = run.slice(1)
+                        own = run.column("ids")
+                        lists.append(own.flatten().to_numpy())
+                        lengths.append(own.value_lengths().to_numpy())
+                        pieces += [" ".join([vocabulary[i] for i in x]) for x in own.to_pylist()]
                         continue
                     if flat is None:
-                        offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+                        told = run.column("digest")[0].as_py()
+                        if told != digest:
+                            raise ValueError("the rows came in another order when they were read again; write them to a table first")
+                        run = run.slice(1)
+                        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int32), *lengths]))]).astype(np.int64)
                         flat = np.concatenate([np.zeros(0, np.int32), *lists]).astype("<u4")
                     planes = run.column("codes").to_pylist()
                     for c, d in slices(planes, SLICE_WORDS):
                         ids, decoded = [], []
                         for p in planes[c:d]:
-                            codes = _codes(p)
+                            codes = unpack(p)
                             n = offsets[codes + 1] - offsets[codes]
                             where = np.repeat(offsets[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                             ids.append(flat[where])

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from marram.llm import bpe, contamination, language, pii, simhash, urls, warc
+from marram.llm.arrays import pack, unpack
 from marram.llm.registry import SITE_RULES, tokenizer_path
 
 WORDS = "the of and a to in is you that it he was for on are as with his they at be this have from or one had by word but".split()
@@ -108,7 +109,7 @@ def test_bpe_words_and_parts(spark, monkeypatch):
             assert got[i].ids == ids, t
             assert got[i].decoded == tok.decode(ids, skip_special_tokens=False)
     codes = np.array([0, 255, 256, 70000], np.uint32)
-    assert bpe._codes(bpe._planes(codes)).tolist() == codes.tolist() and len(bpe._codes(bpe._planes(codes[:0]))) == 0
+    assert unpack(pack(codes)).tolist() == codes.tolist() and len(unpack(pack(codes[:0]))) == 0
     table = spark.createDataFrame([(0, i, w) for i in range(50) for w in ("the", "\1<|endoftext|>", "Xyz")], "chunk long, place int, word string")
     encoded = [(r.place, tuple(r.ids)) for r in bpe.encode_words(table, spark.sparkContext.broadcast(open(path).read())).collect()]
     one = [tuple(tok.encode("the", add_special_tokens=False).ids), (tok.token_to_id("<|endoftext|>"),)]
@@ -134,7 +135,7 @@ def test_bpe_encodes_each_word_once(monkeypatch):
             return [tuple(r.values()) for part in run(iter(parts)) for r in part.to_pylist()]
 
     class Spec:
-        value = ""
+        value = open(tokenizer_path()).read()
 
     assert bpe.encode_words(Rows(), Spec()) == [(0, 0, [1]), (1, 5, [1]), (2, 1, [1]), (0, 3, [2]), (1, 0, [3]), (3, 0, [3])]
     assert asked == ["a", "b", "c"]
