@@ -39,8 +39,7 @@ class Network:
 
 
 def _vote_rank(g: Network) -> DataFrame:
-    """A full ranking takes as many rounds as there are nodes; for large graphs ask for a prefix with ranking.vote_rank."""
-    return ranking.vote_rank(g.edges, g.size).select("node", "score")
+    return ranking.vote_rank(g.edges).select("node", "score")
 
 
 METHODS: dict[str, Callable[[Network], DataFrame]] = {

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency, clustering, degrees, triangles
 from marram.operators.order import before
-from marram.sources.shared import materialise
+from marram.sources.shared import Rounds, materialise
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
@@ -83,13 +85,14 @@ def core_numbers(edges: DataFrame) -> DataFrame:
     The h-index comes from counts per value, summed from above, so a hub's neighbours are counted, not listed.
     """
     adj = materialise(adjacency(edges), "adjacency")
-    core = materialise(degrees(edges).select("node", F.col("k").alias("c")), "core")
+    rounds = Rounds(2)
+    core = rounds.write(degrees(edges).select("node", F.col("k").alias("c")), "core")
     last = None
     while True:
         their = adj.join(core.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.count("*").alias("n"))
         above = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("cv")))
         h = their.withColumn("m", F.least(above, F.col("cv"))).groupBy("u").agg(F.max("m").alias("h"))
-        core = materialise(core.join(h, core["node"] == h["u"]).select("node", F.least("c", "h").alias("c")), "core")
+        core = rounds.write(core.join(h, core["node"] == h["u"]).select("node", F.least("c", "h").alias("c")), "core")
         now = core.agg(F.sum("c")).first()[0]
         if now == last:
             return core.select("node", F.col("c").cast("double").alias("score"))
@@ -109,27 +112,40 @@ def community_bridges(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return ties.groupBy(F.col("u").alias("node"), "size").agg(F.count_if(inside).alias("inner"), F.count_if(~inside).alias("outer"), F.count_distinct(F.when(~inside, F.col("cv"))).alias("foreign")).select("node", (F.col("size") * F.col("inner") + F.col("outer") * F.col("foreign")).cast("double").alias("score"))
 
 
-def vote_rank(edges: DataFrame, top: int) -> DataFrame:
-    """The first so many nodes of VoteRank, as (node, rank, score = N - rank); ties to the smaller id.
+def vote_rank(edges: DataFrame) -> DataFrame:
+    """(node, rank, score = N - rank + 1) of every node by VoteRank; ties to the smaller id.
 
     A node's ability is max(0, 1 - c / <k>) after c of its neighbours were picked, 0 once it is picked. Times 2 E
-    that is the integer max(0, 2 E - c N), so ties are exact. Each pick is one distributed argmax over edges.
+    that is the integer max(0, 2 E - c N), so ties are exact. Votes only fall, and a pick changes them up to two ties
+    away; so a node with more votes than all that near is picked before them, with the votes it has. All such nodes
+    are picked in one round, and the order of picks is that of their votes. A round reads the ties between nodes not
+    yet picked; there are as many rounds as the longest chain of nodes that wait for each other.
     """
-    edges = materialise(edges, "edges")
-    adj = materialise(adjacency(edges), "adjacency")
     k = degrees(edges)
     n, e2 = k.agg(F.count("*"), F.sum("k")).first()
-    spark = edges.sparkSession
-    picked: list[int] = []
-    for _ in range(min(top, n or 0)):
-        chosen = spark.createDataFrame([(p,) for p in picked], "p long")
-        hits = adj.join(F.broadcast(chosen), adj["v"] == F.col("p")).groupBy("u").agg(F.count("*").alias("c"))  # top rows at most
-        lowered = adj.join(hits.withColumnRenamed("u", "v"), "v", "left").join(F.broadcast(chosen), F.col("v") == F.col("p"), "left")
-        ability = F.when(F.col("p").isNotNull(), 0).otherwise(F.greatest(F.lit(0), F.lit(e2) - F.coalesce("c", F.lit(0)) * F.lit(n)))
-        votes = lowered.groupBy("u").agg(F.sum(ability).alias("votes")).join(F.broadcast(chosen), F.col("u") == F.col("p"), "left_anti")
-        best = votes.agg(F.max_by("u", F.struct("votes", -F.col("u"))).alias("u")).first()["u"]
-        picked.append(best)
-    return spark.createDataFrame([(p, i + 1, float(n - i)) for i, p in enumerate(picked)], "node long, rank int, score double")
+    live, states, picks = Rounds(2), Rounds(2), []
+    adj = live.write(adjacency(edges), "adjacency")
+    state = states.write(k.select("node", F.lit(0).cast("long").alias("c")), "abilities")
+    ability = F.greatest(F.lit(0).cast("long"), F.lit(e2 or 0) - F.col("c") * F.lit(n))
+    while not state.isEmpty():
+        able = state.select(F.col("node").alias("v"), ability.alias("ability"))
+        votes = adj.join(able, "v").groupBy("u").agg(F.sum("ability").alias("votes"))
+        voted = materialise(state.join(votes, F.col("node") == F.col("u"), "left").select("node", "c", F.struct(F.coalesce("votes", F.lit(0)).alias("votes"), (-F.col("node")).alias("id")).alias("own")), "votes")
+        best = voted.select(F.col("node").alias("u"), F.col("own").alias("best"))
+        for _ in range(2):  # the best of the neighbourhood, and of its neighbourhoods
+            around = adj.join(best.withColumnRenamed("u", "v"), "v").select("u", "best").union(best)
+            best = around.groupBy("u").agg(F.max("best").alias("best"))
+        picked = materialise(voted.join(best, F.col("node") == F.col("u")).where("own = best").select("node", F.col("own.votes").alias("votes")), "picked")
+        picks.append(picked)
+        gone = picked.select(F.col("node").alias("v"))
+        hit = adj.join(gone, "v").groupBy("u").agg(F.count("*").alias("hits"))
+        left = state.join(picked, "node", "left_anti")
+        state = states.write(left.join(hit, F.col("node") == F.col("u"), "left").select("node", (F.col("c") + F.coalesce("hits", F.lit(0))).alias("c")), "abilities")
+        adj = live.write(adj.join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v"), "adjacency")
+    if not picks:
+        return k.select("node", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
+    order = before(reduce(DataFrame.union, picks).withColumn("less", -F.col("votes")), ["less", "node"], "before")
+    return order.select("node", (F.col("before") + 1).cast("int").alias("rank"), (F.lit(n) - F.col("before")).cast("double").alias("score"))
 
 
 def ranked(scores: DataFrame, digits: int | None = 8) -> DataFrame:

@@ -4,15 +4,21 @@ With recovery after one step, each ordered pair of neighbours is tried once, so
 infected are those reachable from the seeds over open arcs, and the step of infection is the number of
 arcs. Whether an arc is open is a hash of the run and the arc, never of the seeds: all seed sets of a
 run meet the same arcs (common random numbers), and a run needs no random state.
+
+Runs are bits. An arc has a long integer for each 64 runs that says in which of them it is open, so the state
+holds a row for a node, a seed set and 64 runs; a step is one join and one aggregation with bit_or.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency
-from marram.sources.shared import materialise
+from marram.sources.shared import Rounds, materialise
 
 
 def uniform(*key: Column | str) -> Column:
@@ -22,7 +28,9 @@ def uniform(*key: Column | str) -> Column:
 
 
 def runs(spark, blocks: int, repeats: int) -> DataFrame:
-    """run = block * 1000 + repeat, for so many blocks of repeats (fewer than 1000)."""
+    """run = block * 1000 + repeat, for so many blocks of repeats; raises ValueError for more than 1000 repeats."""
+    if not 0 < repeats <= 1000:
+        raise ValueError("a block has from 1 to 1000 repeats")
     b, r = spark.range(blocks).withColumnRenamed("id", "block"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat")
     return b.select("block", r).select((F.col("block") * 1000 + F.col("repeat")).alias("run"), "block", F.col("repeat").cast("long").alias("repeat"))
 
@@ -33,23 +41,40 @@ def infections(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataF
     seeds: (set_id, node); settings: (run, beta), each applied to every seed set; arcs open where
     uniform(run, u, v) < beta, so they nest over beta. Recovery is certain after one step.
     """
-    adj = materialise(adjacency(edges), "adjacency")
-    start = seeds.select("set_id", "node").distinct().join(F.broadcast(settings.select("run", "beta")))  # settings: a plan of runs, not data
-    return _spread(adj, start, ["set_id", "run", "beta"], uniform("run", "u", "v") < F.col("beta"))
-
-
-def _spread(adj: DataFrame, start: DataFrame, keys: list[str], opens: Column) -> DataFrame:
-    """All nodes reached over open arcs with the step of arrival. A round adds what the last arrivals reach and keeps
-    each node's first step: one join and one aggregation, combined before the shuffle, whose result is written."""
-    state = materialise(start.select(*keys, "node", F.lit(0).alias("step")), "infected")
-    step = 0
+    return _spread(edges, seeds, settings, ["beta"], lambda run: uniform(run, "u", "v") < F.col("beta"))
+
+
+def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[str], opens: Callable[[Column], Column]) -> DataFrame:
+    """All nodes reached over open arcs with the step of arrival, in the runs of the settings (a plan, not data; each run once for equal keys)."""
+    adj = adjacency(edges)
+    plan = settings.select("run", *keys).distinct()
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1  # of a plan
+    plan = plan.withColumn("at", place).groupBy(*keys, F.floor(F.col("at") / 64).alias("word")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
+    plan = F.broadcast(materialise(plan, "plan"))
+    groups = [*keys, "word"]
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    bits = F.aggregate(F.transform("runs", lambda r, i: F.when(opens(r), bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    arcs = materialise(adj.join(plan).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
+    all_runs = F.aggregate(F.transform("runs", lambda r, i: bit(i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+    rounds, step = Rounds(2), 0
+    start = seeds.select("set_id", "node").distinct().join(plan).select("set_id", *groups, "node", all_runs.alias("now"))
+    ring = materialise(start, "ring")
+    seen, rings = ring, [ring.withColumn("step", F.lit(0))]
+    nothing = F.lit(0).cast("long")
     while True:
-        ring = state.where(F.col("step") == step)
-        if ring.isEmpty():
-            return state
         step += 1
-        reached = ring.join(adj, ring["node"] == adj["u"]).where(opens).select(*keys, F.col("v").alias("node"), F.lit(step).alias("step"))
-        state = materialise(reached.union(state).groupBy(*keys, "node").agg(F.min("step").alias("step")), "infected")
+        reached = ring.withColumnRenamed("node", "u").join(arcs, ["u", *groups]).select("set_id", *groups, F.col("v").alias("node"), F.col("now").bitwiseAND(F.col("open")).alias("now"), nothing.alias("old")).where("now <> 0")
+        both = reached.union(seen.select("set_id", *groups, "node", nothing.alias("now"), F.col("now").alias("old"))).groupBy("set_id", *groups, "node").agg(F.bit_or("now").alias("now"), F.bit_or("old").alias("old"))
+        fresh = F.col("now").bitwiseAND(F.bitwise_not("old"))
+        both = rounds.write(both.select("set_id", *groups, "node", fresh.alias("now"), F.col("old").bitwiseOR(F.col("now")).alias("all")), "infected")
+        ring = materialise(both.where("now <> 0").drop("all"), "ring")
+        if ring.isEmpty():
+            break
+        rings.append(ring.withColumn("step", F.lit(step)))
+        seen = both.select("set_id", *groups, "node", F.col("all").alias("now"))
+    every = reduce(DataFrame.union, rings).join(plan, groups)
+    which = F.filter(F.transform("runs", lambda r, i: F.when(F.col("now").bitwiseAND(bit(i)) != 0, r)), lambda r: r.isNotNull())
+    return every.select("set_id", F.explode(which).alias("run"), *keys, "node", "step")
 
 
 def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataFrame:
@@ -58,11 +83,13 @@ def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataF
     A node stays infectious for a geometric number of steps; an arc opens at a geometric attempt, and
     counts if that comes no later than the recovery of its start.
     """
-    adj = materialise(adjacency(edges), "adjacency")
-    start = seeds.select("set_id", "node").distinct().join(F.broadcast(settings.select("run", "beta", "gamma")))
-    stay = F.when(F.col("gamma") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform("run", "u", F.lit("stay"))) / F.log(1 - F.col("gamma"))))
-    attempt = F.when(F.col("beta") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform("run", "u", "v")) / F.log(1 - F.col("beta"))))
-    return _spread(adj, start, ["set_id", "run", "beta", "gamma"], attempt <= stay).drop("step")
+
+    def opens(run: Column) -> Column:
+        stay = F.when(F.col("gamma") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform(run, "u", F.lit("stay"))) / F.log(1 - F.col("gamma"))))
+        attempt = F.when(F.col("beta") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform(run, "u", "v")) / F.log(1 - F.col("beta"))))
+        return attempt <= stay
+
+    return _spread(edges, seeds, settings, ["beta", "gamma"], opens).drop("step")
 
 
 def transmission(t: Column, gamma: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import cliques as cl
 from marram.operators import community, controls, graph, paths, ranking, spread, statistics, synthetic
-from marram.plans import graphs
+from marram.plans import graphs, study
 from marram.plans.graphs import parts_sql, users_sql
 from marram.sources.shared import materialise, table
 
@@ -184,19 +184,10 @@ def community_bridges(spark, sf_dir):
     return ranking.community_bridges(g(spark, sf_dir), brands)
 
 
-def vote_sql(top: int) -> str:
-    """Each round picks from exact integer abilities; picks accumulate as a list."""
-    steps = ["two AS (SELECT sum(k) AS e2, count(*) AS nn FROM n)", "p0 AS (SELECT []::BIGINT[] AS picks)"]
-    for t in range(top):
-        steps.append(f"""a{t} AS MATERIALIZED (SELECT n.node, CASE WHEN list_contains(p.picks, n.node) THEN 0 ELSE greatest(0, two.e2 - coalesce(h.c, 0) * two.nn) END AS ability
-            FROM n CROSS JOIN p{t} p CROSS JOIN two LEFT JOIN (SELECT a.u, count(*) AS c FROM adj a, p{t} q WHERE list_contains(q.picks, a.v) GROUP BY a.u) h ON h.u = n.node),
-            p{t + 1} AS MATERIALIZED (SELECT list_append(p.picks, (SELECT u FROM (SELECT a.u, sum(x.ability) AS votes FROM adj a JOIN a{t} x ON x.node = a.v GROUP BY a.u) WHERE NOT list_contains(p.picks, u) ORDER BY votes DESC, u LIMIT 1)) AS picks FROM p{t} p)""")
-    return ", ".join(steps)
-
-
-@query("vote_rank", f"{G}, {vote_sql(10)} SELECT picks[i] AS node, i::INT AS rank, ((SELECT count(*) FROM n) - i + 1)::DOUBLE AS score FROM (SELECT picks, unnest(range(1, 11)) AS i FROM p10)")
+@query("vote_rank")
 def vote_rank(spark, sf_dir):
-    return ranking.vote_rank(g(spark, sf_dir), 10)
+    """Every node; SQL would need a step for each, so tests compare a plain version."""
+    return ranking.vote_rank(g(spark, sf_dir))
 
 
 @query("communities")
@@ -454,14 +445,13 @@ def sir_sweep(spark, sf_dir):
     return spread.block_means(spread.final_sizes(reached), n).withColumn("percent", r6("percent"))
 
 
-@query("single_node_sizes", f"""{G}, s AS (SELECT node FROM n ORDER BY k DESC, node LIMIT 20), inf(seed, run, node) AS (SELECT s.node, r.r::BIGINT, s.node FROM s, (SELECT unnest(range(5)) AS r) r
+@query("single_node_sizes", f"""{G}, inf(seed, run, node) AS (SELECT n.node, r.r::BIGINT, n.node FROM n, (SELECT unnest(range(5)) AS r) r
     UNION SELECT p.seed, p.run, a.v FROM inf p JOIN adj a ON a.u = p.node AND ('0x' || substr(md5(concat_ws('|', p.run, a.u, a.v)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.15)
     SELECT seed AS node, round(count(*)::DOUBLE / 5, 6) AS score FROM inf GROUP BY seed""")
 def single_node_sizes(spark, sf_dir):
-    """Twenty hubs, each on its own."""
+    """Every node, each on its own."""
     edges = g(spark, sf_dir)
-    hubs = graph.degrees(edges).orderBy(F.desc("k"), "node").limit(20).select("node")
-    return scored(spread.single_node_sizes(edges, hubs, spread.runs(spark, 1, 5).select("run", F.lit(0.15).alias("beta"))))
+    return scored(spread.single_node_sizes(edges, graph.degrees(edges).select("node"), spread.runs(spark, 1, 5).select("run", F.lit(0.15).alias("beta"))))
 
 
 @query("sir_recovery")
@@ -489,9 +479,20 @@ def paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(w.where("a is not null and b is not null").select("grp", "user_id", F.round("a", 9).alias("a"), F.round("b", 9).alias("b")), "paired")
 
 
-@query("intervals", f"{PAIRED} SELECT grp, count(*)::BIGINT AS n, round(avg(a), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(a) END, 6) AS std FROM p GROUP BY grp")
+#: The 97.5 % point of Student's t for the degrees of freedom in dof(df): bisection on the distribution's finite sum.
+T_POINTS = """
+bis(df, lo, hi, i) AS (SELECT df, 0.0::DOUBLE, 100.0::DOUBLE, 0 FROM dof UNION ALL
+    SELECT df, CASE WHEN c < 0.975 THEN mid ELSE lo END, CASE WHEN c < 0.975 THEN hi ELSE mid END, i + 1 FROM (
+        SELECT df, lo, hi, i, mid, CASE WHEN df % 2 = 1 THEN 0.5 + (th + sin(th) * coalesce(list_sum([cos(th) ** (2 * k - 1) * sqrt(pi()) / 2 * exp(lgamma(k) - lgamma(k + 0.5)) for k in range(1, (df + 1) // 2)]), 0)) / pi()
+            ELSE 0.5 + sin(th) / 2 * list_sum([cos(th) ** (2 * k) * exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) for k in range(0, df // 2)]) END AS c
+        FROM (SELECT *, atan(mid / sqrt(df)) AS th FROM (SELECT *, (lo + hi) / 2 AS mid FROM bis WHERE i < 60)))),
+tq AS (SELECT df, (lo + hi) / 2 AS t FROM bis WHERE i = 60)"""
+
+
+@query("intervals", f"""{PAIRED.replace("WITH w", "WITH RECURSIVE w")}, q AS MATERIALIZED (SELECT grp, count(*)::BIGINT AS n, avg(a) AS mean, stddev_samp(a) AS sd FROM p GROUP BY grp), dof AS (SELECT DISTINCT n - 1 AS df FROM q WHERE n > 1), {T_POINTS}
+    SELECT grp, n, round(mean, 6) AS mean, round(CASE WHEN n = 1 THEN 0 ELSE sd END, 6) AS std, round(CASE WHEN n = 1 THEN 0 ELSE tq.t * sd / sqrt(n) END, 6) AS half_width FROM q LEFT JOIN tq ON tq.df = q.n - 1""")
 def intervals(spark, sf_dir):
-    return statistics.intervals(paired(spark, sf_dir), ["grp"], "a").select("grp", "n", r6("mean").alias("mean"), r6("std").alias("std"))
+    return statistics.intervals(paired(spark, sf_dir), ["grp"], "a").select("grp", "n", *[r6(c).alias(c) for c in ("mean", "std", "half_width")])
 
 
 @query("normal_intervals", f"{PAIRED} SELECT grp, round(CASE WHEN count(*) > 1 THEN 1.96::DOUBLE * stddev_samp(a) / sqrt(count(*)) ELSE 0 END, 6) AS half_width, round(CASE WHEN avg(a) > 0 THEN 100 * stddev_pop(a) / avg(a) ELSE 0 END, 6) AS cv FROM p GROUP BY grp")
@@ -510,9 +511,33 @@ def signed_ranks(spark, sf_dir):
     return statistics.signed_ranks(paired(spark, sf_dir), ["grp"], "a", "b").select("grp", "n", "w_plus", "w_minus", r6("r_rb").alias("r_rb"))
 
 
-@query("wilcoxon")
+def wilcoxon_sql(by: str) -> str:
+    """From pr(by..., a, b): wt(by..., n, wp, wm, r_rb, p). Exact by the distribution of the doubled rank sum up to 20 differences, else the normal approximation, its tail by Simpson's rule."""
+    same = lambda x, y: " AND ".join(f"{x}.{c} = {y}.{c}" for c in by.split(", "))
+    return f"""
+wd AS MATERIALIZED (SELECT {by}, round(a - b, 12) AS d FROM pr WHERE a - b IS NOT NULL),
+wr AS MATERIALIZED (SELECT {by}, d, rank() OVER (PARTITION BY {by} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {by}, abs(d)) - 1) / 2.0::DOUBLE AS r, row_number() OVER (PARTITION BY {by} ORDER BY abs(d), d) AS i FROM wd WHERE d <> 0),
+wn AS MATERIALIZED (SELECT {by}, count(*)::BIGINT AS n, coalesce(sum(r) FILTER (d > 0), 0) AS wp, coalesce(sum(r) FILTER (d < 0), 0) AS wm FROM wr GROUP BY {by}),
+wt0 AS (SELECT {by}, sum(t * t * t - t) AS tied FROM (SELECT {by}, count(*) AS t FROM wr GROUP BY {by}, abs(d)) GROUP BY {by}),
+ways({by}, i, s, c) AS (SELECT {by}, 0::BIGINT, 0::BIGINT, 1::DOUBLE FROM wn WHERE n <= 20 UNION ALL
+    SELECT {by}, i + 1, s, sum(c) FROM (SELECT {", ".join("w." + c for c in by.split(", "))}, w.i, w.s + x.pick * (2 * wr.r)::BIGINT AS s, w.c FROM ways w JOIN wr ON {same("wr", "w")} AND wr.i = w.i + 1, (VALUES (0), (1)) x(pick)) GROUP BY {by}, i, s),
+wx AS (SELECT {", ".join("n." + c for c in by.split(", "))}, least(1, 2 * sum(w.c) / 2 ** max(n.n)) AS p FROM wn n JOIN ways w ON {same("w", "n")} AND w.i = n.n WHERE w.s <= (2 * least(n.wp, n.wm))::BIGINT GROUP BY {", ".join("n." + c for c in by.split(", "))}),
+wz AS (SELECT {", ".join("n." + c for c in by.split(", "))}, (n.n * (n.n + 1) / 4.0 - least(n.wp, n.wm)) / sqrt(n.n * (n.n + 1) * (2 * n.n + 1) / 24.0 - t.tied / 48.0) AS z FROM wn n JOIN wt0 t ON {same("t", "n")} WHERE n.n > 20),
+wy AS (SELECT {by}, 1 - 2 * list_sum([(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * k / 2000.0) ** 2 / 2) for k in range(0, 2001)]) * z / 2000 / 3 / sqrt(2 * pi()) AS p FROM wz),
+wt AS MATERIALIZED (SELECT {", ".join("g." + c for c in by.split(", "))}, coalesce(n.n, 0)::BIGINT AS n, coalesce(n.wp, 0)::DOUBLE AS wp, coalesce(n.wm, 0)::DOUBLE AS wm, CASE WHEN n.wp + n.wm > 0 THEN (n.wp - n.wm) / (n.wp + n.wm) ELSE 0 END AS r_rb, CASE WHEN n.n IS NULL THEN 1 ELSE greatest(1e-20, least(1, coalesce(x.p, y.p))) END AS p
+    FROM (SELECT DISTINCT {by} FROM wd) g LEFT JOIN wn n ON {same("n", "g")} LEFT JOIN wx x ON {same("x", "g")} LEFT JOIN wy y ON {same("y", "g")})"""
+
+
+@query("wilcoxon", f"""{PAIRED.replace("WITH w", "WITH RECURSIVE w")}, pr AS (SELECT grp, a, b FROM p), {wilcoxon_sql("grp")} SELECT grp, n, wp AS w_plus, wm AS w_minus, round(r_rb, 6) AS r_rb, round(p, 6) AS p FROM wt""")
 def wilcoxon(spark, sf_dir):
-    return statistics.wilcoxon(paired(spark, sf_dir), ["grp"], "a", "b")
+    return statistics.wilcoxon(paired(spark, sf_dir), ["grp"], "a", "b").withColumn("r_rb", r6("r_rb")).withColumn("p", r6("p"))
+
+
+@query("wilcoxon_normal", f"""{PAIRED.replace("WITH w", "WITH RECURSIVE w")}, pr AS (SELECT grp % 2 AS grp, a, b FROM p), {wilcoxon_sql("grp")} SELECT grp, n, wp AS w_plus, wm AS w_minus, round(r_rb, 6) AS r_rb, round(p, 6) AS p FROM wt""")
+def wilcoxon_normal(spark, sf_dir):
+    """Two large groups, so that the normal approximation is used."""
+    rows = paired(spark, sf_dir).withColumn("grp", F.col("grp") % 2)
+    return statistics.wilcoxon(rows, ["grp"], "a", "b").withColumn("r_rb", r6("r_rb")).withColumn("p", r6("p"))
 
 
 @query("improvements", f"{PAIRED} SELECT grp, count(*)::BIGINT AS n, round(avg(a - b), 6) AS gain, round(CASE WHEN avg(b) > 0 THEN 100 * avg(a - b) / avg(b) END, 6) AS improvement, round(avg(a - b) / nullif(CASE WHEN count(*) > 1 THEN stddev_samp(a - b) END, 0), 6) AS d_z, round(100 * avg(CASE WHEN a > b THEN 1.0::DOUBLE ELSE 0 END), 6) AS win_rate FROM p GROUP BY grp")
@@ -555,13 +580,13 @@ def holm(spark, sf_dir):
     ti AS (SELECT sum(c * c * c - c) AS tied FROM (SELECT count(*) AS c FROM v GROUP BY b, x)),
     s AS (SELECT sum(r) AS r, count(*) AS n FROM r GROUP BY t), a AS (SELECT sum(r * r) AS ss, count(*) AS k, max(n) AS n FROM s),
     x AS (SELECT n, k, (12.0::DOUBLE / (n * k * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - tied / (n * (k * k * k - k))) AS chi2 FROM a, ti)
-    SELECT n::BIGINT AS n_blocks, k::BIGINT AS n_treatments, round(chi2, 6) AS chi2, round(chi2 / (n * (k - 1)), 6) AS kendall_w FROM x""",
+    SELECT n::BIGINT AS n_blocks, k::BIGINT AS n_treatments, round(chi2, 6) AS chi2, round(chi2 / (n * (k - 1)), 6) AS kendall_w, round(exp(-chi2 / 2) * (1 + chi2 / 2), 6) AS p FROM x""",
 )
 def friedman(spark, sf_dir):
-    """Market segments over regions, by mean account balance."""
+    """Market segments over regions, by mean account balance; five segments, so the tail has a closed form."""
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     v = c.groupBy(F.col("n_regionkey").alias("b"), F.col("c_mktsegment").alias("t")).agg(F.round(F.avg("c_acctbal"), 2).alias("x"))
-    return statistics.friedman(materialise(v, "blocks"), "b", "t", "x").select("n_blocks", "n_treatments", r6("chi2").alias("chi2"), r6("kendall_w").alias("kendall_w"))
+    return statistics.friedman(materialise(v, "blocks"), "b", "t", "x").select("n_blocks", "n_treatments", r6("chi2").alias("chi2"), r6("kendall_w").alias("kendall_w"), r6("p").alias("p"))
 
 
 @query(
@@ -655,6 +680,136 @@ def random_controls(spark, sf_dir):
     return controls.random_controls(candidate_sets(spark, sf_dir)[1], 10)
 
 
+# --- studies ---
+
+STUDY = {"percents": [2, 4], "blocks": 2, "repeats": 3}
+
+
+def study_scores(edges: DataFrame) -> DataFrame:
+    """Two methods: degree and local clustering."""
+    loc = materialise(graph.clustering(edges), "clustering")
+    return loc.select(F.lit("clustering").alias("method"), "node", F.col("clustering").alias("score")).union(loc.select(F.lit("degree"), "node", F.col("k").cast("double")))
+
+
+RANKED = f"""{CORNERS}, ms AS (SELECT 'clustering' AS method, node, clustering AS score FROM loc UNION ALL SELECT 'degree', node, k::DOUBLE FROM loc),
+    rk AS MATERIALIZED (SELECT method, node, score, row_number() OVER (PARTITION BY method ORDER BY round(score, 8) DESC, node) AS rank FROM ms),
+    lambda_c AS (SELECT avg(k) / (avg(k * k) - avg(k)) AS t, count(*) AS nn FROM n)"""
+
+
+def reached_sql(seeds: str, keys: str, plan: str) -> str:
+    """inf(keys..., beta, run, node, step) for seeds(keys..., node) and plan(beta, run)."""
+    p = ", ".join("p." + k for k in keys.split(", "))
+    return f"""seeds AS MATERIALIZED ({seeds}), plan AS MATERIALIZED ({plan}),
+    inf({keys}, beta, run, node) AS (SELECT {", ".join("s." + k for k in keys.split(", "))}, plan.beta, plan.run, s.node FROM seeds s, plan
+        UNION SELECT {p}, p.beta, p.run, a.v FROM inf p JOIN adj a ON a.u = p.node AND ('0x' || substr(md5(concat_ws('|', p.run, a.u, a.v)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < p.beta)"""
+
+
+RUNS = "(SELECT unnest(range(2)) AS b) b, (SELECT unnest(range(3)) AS r) r"
+SEEDS = "SELECT rk.method, q.q AS percent_seeds, rk.node FROM rk, lambda_c c, (VALUES {percents}) q(q) WHERE rk.rank <= greatest(1, c.nn * q.q // 100)"
+BLOCK_MEANS = "SELECT {keys}, (run // 1000)::BIGINT AS block, round(100.0::DOUBLE * avg(c) / (SELECT nn FROM lambda_c), 6) AS percent FROM (SELECT {keys}, beta, run, count(*) AS c FROM inf GROUP BY ALL) GROUP BY ALL"
+
+
+@query("method_ranks", f"{G}, {RANKED} SELECT method, node, round(score, 6) AS score, rank FROM rk")
+def method_ranks(spark, sf_dir):
+    return study.rank_methods(study_scores(g(spark, sf_dir))).select("method", "node", r6("score").alias("score"), "rank")
+
+
+@query("tie_table", f"{G}, {RANKED}, s AS (SELECT method, round(score, 8) AS x, count(*) AS c FROM ms GROUP BY ALL), t AS (SELECT sum(c) AS nn FROM s WHERE method = 'degree') SELECT method, max(nn)::BIGINT AS n_nodes, count(*)::BIGINT AS n_distinct, count(*) FILTER (c > 1)::BIGINT AS n_groups, coalesce(sum(c) FILTER (c > 1), 0)::BIGINT AS n_tied, max(c)::BIGINT AS largest, round((1 - sum(c * (c - 1))::DOUBLE / max(nn * (nn - 1))) ** 2, 6) AS monotonicity FROM s, t GROUP BY method")
+def tie_table(spark, sf_dir):
+    return study.tie_table(study_scores(g(spark, sf_dir))).withColumn("monotonicity", r6("monotonicity"))
+
+
+@query("seed_ratio_study", f"{G}, {RANKED}, {reached_sql(SEEDS.format(percents='(2), (4)'), 'method, percent_seeds', f'SELECT 2.5 * c.t AS beta, b.b * 1000 + r.r AS run FROM lambda_c c, {RUNS}')} {BLOCK_MEANS.format(keys='method, percent_seeds')}")
+def seed_ratio_study(spark, sf_dir):
+    """Shares infected from the first nodes of each ranking, by share of seeds."""
+    edges = g(spark, sf_dir)
+    return study.seed_ratio_study(edges, study_scores(edges), STUDY["percents"], blocks=STUDY["blocks"], repeats=STUDY["repeats"]).withColumn("percent", r6("percent"))
+
+
+@query("rate_study", f"{G}, {RANKED}, {reached_sql(SEEDS.format(percents='(5)'), 'method', f'SELECT w.beta, b.b * 1000 + r.r AS run FROM {RUNS}, (VALUES (0.1::DOUBLE), (0.2::DOUBLE)) w(beta)')} {BLOCK_MEANS.format(keys='method, beta')}")
+def rate_study(spark, sf_dir):
+    """The same over fixed infection rates."""
+    edges = g(spark, sf_dir)
+    return study.rate_study(edges, study_scores(edges), [0.1, 0.2], blocks=STUDY["blocks"], repeats=STUDY["repeats"]).withColumn("percent", r6("percent"))
+
+
+@query("recovery_study")
+def recovery_study(spark, sf_dir):
+    edges = g(spark, sf_dir)
+    return study.recovery_study(edges, study_scores(edges), [0.5, 1.0], blocks=STUDY["blocks"], repeats=STUDY["repeats"])
+
+
+@query("dispersion_study", f"""{G}, {RANKED}, {DIST}, s AS MATERIALIZED (SELECT rk.method, q.q AS percent, rk.node FROM rk, lambda_c c, (VALUES (2), (4)) q(q) WHERE rk.rank <= least(c.nn, greatest(2, ceil(c.nn * q.q / 100.0)))),
+    m AS (SELECT a.u AS i, b.u AS j, count(*) AS x FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u GROUP BY ALL)
+    SELECT a.method, a.percent::INT AS percent, (SELECT count(*) FROM s z WHERE z.method = a.method AND z.percent = a.percent)::BIGINT AS k, round(avg(coalesce(dist.d, (SELECT nn FROM lambda_c))), 6) AS mean_distance, round(avg(coalesce(m.x, 0)::DOUBLE / (na.k + nb.k - coalesce(m.x, 0))), 6) AS mean_jaccard
+    FROM s a JOIN s b ON a.method = b.method AND a.percent = b.percent AND a.node < b.node JOIN n na ON na.node = a.node JOIN n nb ON nb.node = b.node LEFT JOIN dist ON dist.s = a.node AND dist.v = b.node LEFT JOIN m ON m.i = a.node AND m.j = b.node GROUP BY a.method, a.percent""")
+def dispersion_study(spark, sf_dir):
+    """Mean distance and similarity of the first nodes of each ranking."""
+    edges = g(spark, sf_dir)
+    df = study.dispersion_study(edges, study.rank_methods(study_scores(edges)), STUDY["percents"])
+    return df.withColumn("mean_distance", r6("mean_distance")).withColumn("mean_jaccard", r6("mean_jaccard"))
+
+
+@query("boundary_study")
+def boundary_study(spark, sf_dir):
+    """What the order among equal scores at the cut does to spreading."""
+    edges = g(spark, sf_dir)
+    return study.boundary_study(edges, study.rank_methods(study_scores(edges)), 5, draws=3, blocks=2, repeats=2)
+
+
+@query("control_study")
+def control_study(spark, sf_dir):
+    """The strongest nodes by degree against their matched controls."""
+    edges = g(spark, sf_dir)
+    return study.control_study(edges, degree_seeds(edges, 1, "ceil2"), batch=20, most=60, blocks=3, repeats=2)
+
+
+OBSERVED = """WITH RECURSIVE ob AS MATERIALIZED (SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS method, round(avg(c_acctbal), 9) AS value FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)"""
+
+
+def balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean balances of market segments by nation: nations stand for networks, segments for methods."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return materialise(c.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("method")).agg(F.round(F.avg("c_acctbal"), 9).alias("value")), "balances")
+
+
+@query("cross_network", f"""{OBSERVED}, z AS (SELECT *, rank() OVER (PARTITION BY nation ORDER BY value DESC) + (count(*) OVER (PARTITION BY nation, value) - 1) / 2.0::DOUBLE AS r, max(value) OVER (PARTITION BY nation) AS top FROM ob),
+    pl AS (SELECT method, avg(r) AS mean_rank, count(*) FILTER (abs(value - top) <= 1e-9 * abs(top) AND r = 1)::BIGINT AS wins FROM z GROUP BY method),
+    pr AS (SELECT o.method, t.value AS a, o.value AS b FROM ob o JOIN ob t ON t.nation = o.nation AND t.method = 'BUILDING' WHERE o.method <> 'BUILDING'), {wilcoxon_sql("method")},
+    q0 AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, method) AS raw, row_number() OVER (ORDER BY p, method) AS rn FROM wt),
+    q1 AS (SELECT *, least(1, min(raw) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q0)
+    SELECT pl.method, round(mean_rank, 6) AS mean_rank, wins, q1.n, round(r_rb, 6) AS r_rb, round(p, 6) AS p, round(q, 6) AS q FROM pl LEFT JOIN q1 ON q1.method = pl.method""")
+def cross_network(spark, sf_dir):
+    """Mean ranks, wins and tests against one method over all networks."""
+    places = study.cross_network(balances(spark, sf_dir).withColumnRenamed("nation", "network"), "BUILDING")[1]
+    return places.select("method", r6("mean_rank").alias("mean_rank"), "wins", "n", *[r6(c).alias(c) for c in ("r_rb", "p", "q")])
+
+
+@query("against_best", f"""{OBSERVED}, me AS (SELECT region, method, avg(value) AS mean FROM ob WHERE method <> 'BUILDING' GROUP BY ALL), be AS (SELECT region, method AS best FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY mean DESC, method) AS k FROM me) WHERE k = 1),
+    pr AS MATERIALIZED (SELECT t.region, be.best, t.value AS a, o.value AS b FROM ob t JOIN be ON be.region = t.region JOIN ob o ON o.nation = t.nation AND o.method = be.best WHERE t.method = 'BUILDING'), {wilcoxon_sql("region, best")},
+    im AS (SELECT region, best, avg(a - b) AS gain, avg(CASE WHEN a > b THEN 100.0::DOUBLE ELSE 0 END) AS win_rate FROM pr GROUP BY ALL),
+    q0 AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, region, best) AS raw, row_number() OVER (ORDER BY p, region, best) AS rn FROM wt),
+    q1 AS (SELECT *, least(1, min(raw) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q0)
+    SELECT q1.region, q1.best, n, round(gain, 6) AS gain, round(win_rate, 6) AS win_rate, round(r_rb, 6) AS r_rb, round(p, 6) AS p, round(q, 6) AS q FROM q1 JOIN im ON im.region = q1.region AND im.best = q1.best""")
+def against_best(spark, sf_dir):
+    """One method against the strongest other one in each setting."""
+    observed = balances(spark, sf_dir).select("region", "method", F.col("nation").alias("block"), F.col("value").alias("percent"))
+    df = study.against_best(observed, "BUILDING", ["region"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"])
+    return df.select("region", "best", "n", *[r6(c).alias(c) for c in ("gain", "win_rate", "r_rb", "p", "q")])
+
+
+@query("ablation_table", f"""{OBSERVED}, pr AS MATERIALIZED (SELECT o.region AS percent_seeds, o.method, o.nation, t.value AS a, o.value AS b FROM ob o JOIN ob t ON t.nation = o.nation AND t.method = 'BUILDING' WHERE o.method <> 'BUILDING'), {wilcoxon_sql("method, percent_seeds")},
+    im AS (SELECT method, percent_seeds, avg(x) AS mean, median(x) AS median, stddev_samp(x) AS std, count(DISTINCT nation)::BIGINT AS networks, count(*) FILTER (a > b)::BIGINT AS wins FROM (SELECT *, CASE WHEN b > 0 THEN 100 * (a - b) / b END AS x FROM pr) GROUP BY ALL),
+    q0 AS (SELECT *, p * count(*) OVER (PARTITION BY percent_seeds) / row_number() OVER (PARTITION BY percent_seeds ORDER BY p, method) AS raw, row_number() OVER (PARTITION BY percent_seeds ORDER BY p, method) AS rn FROM wt),
+    q1 AS (SELECT *, least(1, min(raw) OVER (PARTITION BY percent_seeds ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q0)
+    SELECT im.method, im.percent_seeds, round(mean, 6) AS mean, round(median, 6) AS median, round(std, 6) AS std, networks, wins, round(p, 6) AS p, round(q, 6) AS q FROM im JOIN q1 ON q1.method = im.method AND q1.percent_seeds = im.percent_seeds""")
+def ablation_table(spark, sf_dir):
+    """Gains of one method over each other, by setting (regions stand for shares of seeds)."""
+    observed = balances(spark, sf_dir).select(F.col("nation").alias("network"), "method", F.col("region").alias("percent_seeds"), F.col("value").alias("percent"))
+    df = study.ablation_table(observed, "BUILDING")
+    return df.select("method", "percent_seeds", *[r6(c).alias(c) for c in ("mean", "median", "std")], "networks", "wins", *[r6(c).alias(c) for c in ("p", "q")])
+
+
 # --- random graphs ---
 
 

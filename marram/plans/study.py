@@ -9,7 +9,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.operators import controls, graph, paths, ranking, spread, statistics
@@ -26,10 +26,19 @@ def rank_methods(scores: DataFrame, digits: int | None = 8) -> DataFrame:
     return materialise(out, "ranks")
 
 
+def _set_id(*parts: str) -> Column:
+    """One text for a seed set, whatever characters the names of its parts hold."""
+    return F.to_json(F.struct(*parts))
+
+
+def _of_set(part: str) -> Column:
+    return F.get_json_object("set_id", f"$.{part}")
+
+
 def seed_sets(ranks: DataFrame, n: int, percents: list[int], rule: str = "floor1") -> DataFrame:
     """(method, percent, set_id, node): the first nodes of each ranking."""
     counts = ranks.sparkSession.createDataFrame([(p, ranking.seed_count(n, p, rule)) for p in percents], "percent int, seeds long")
-    return ranks.join(F.broadcast(counts), F.col("rank") <= F.col("seeds")).select("method", "percent", F.concat_ws("@", "method", F.col("percent").cast("string")).alias("set_id"), "node")
+    return ranks.join(F.broadcast(counts), F.col("rank") <= F.col("seeds")).select("method", "percent", _set_id("method", "percent").alias("set_id"), "node")
 
 
 def spreading_rate(edges: DataFrame, times: float = 2.5, cap: bool = False) -> float:
@@ -65,8 +74,7 @@ def seed_ratio_study(edges: DataFrame, scores: DataFrame, percents: list[int], *
     """(method, percent, block, spread) for the first nodes of each ranking."""
     seeds = materialise(seed_sets(rank_methods(scores), graph.degrees(edges).count(), percents), "seeds")
     observed = block_observations(edges, seeds, [spreading_rate(edges, times)], blocks, repeats)
-    names = F.split("set_id", "@")
-    return observed.select(names[0].alias("method"), names[1].cast("int").alias("percent_seeds"), "block", "percent")
+    return observed.select(_of_set("method").alias("method"), _of_set("percent").cast("int").alias("percent_seeds"), "block", "percent")
 
 
 def temporal_study(edges: DataFrame, scores: DataFrame, k: int = 10, *, blocks: int = 50, repeats: int = 20, times: float = 2.5, horizon: int = 50) -> DataFrame:
@@ -89,7 +97,7 @@ def zoom_window(curves: DataFrame, width: int) -> DataFrame:
 def rate_study(edges: DataFrame, scores: DataFrame, betas: list[float], percent: int = 5, *, blocks: int = 50, repeats: int = 20) -> DataFrame:
     """(method, beta, block, percent) over fixed infection rates."""
     seeds = seed_sets(rank_methods(scores), graph.degrees(edges).count(), [percent])
-    return block_observations(edges, seeds, betas, blocks, repeats).select(F.split("set_id", "@")[0].alias("method"), "beta", "block", "percent")
+    return block_observations(edges, seeds, betas, blocks, repeats).select(_of_set("method").alias("method"), "beta", "block", "percent")
 
 
 def recovery_study(edges: DataFrame, scores: DataFrame, gammas: list[float], percent: int = 5, *, blocks: int = 50, repeats: int = 20, times: float = 2.5) -> DataFrame:
@@ -100,7 +108,7 @@ def recovery_study(edges: DataFrame, scores: DataFrame, gammas: list[float], per
     plan = plan.withColumn("beta", spread.transmission(F.lit(t), F.col("gamma"))).where("beta is not null")
     n = graph.degrees(edges).count()
     sizes = spread.final_sizes(spread.infections_with_recovery(edges, seeds, plan))
-    return sizes.groupBy(F.split("set_id", "@")[0].alias("method"), "gamma", F.floor(F.col("run") / 1000).alias("block")).agg((100.0 * F.avg("n_infected") / n).alias("percent"))
+    return sizes.groupBy(_of_set("method").alias("method"), "gamma", F.floor(F.col("run") / 1000).alias("block")).agg((100.0 * F.avg("n_infected") / n).alias("percent"))
 
 
 def cross_network(observed: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
@@ -159,10 +167,9 @@ def boundary_study(edges: DataFrame, ranks: DataFrame, percent: int, *, draws: i
     w = Window.partitionBy("method", "draw").orderBy(F.when(F.col("draw") == 0, F.lit(0.0)).otherwise(spread.uniform("draw", "node")), "node")
     taken = tied.join(F.broadcast(numbers)).withColumn("rn", F.row_number().over(w)).where(F.col("before") + F.col("rn") <= k).select("method", "draw", "node")
     sets = taken.union(sure.join(cut.select("method").distinct(), "method").join(F.broadcast(numbers)).select("method", "draw", "node"))
-    sets = sets.select(F.concat_ws("@", "method", "draw").alias("set_id"), "node")
+    sets = sets.select(_set_id("method", "draw").alias("set_id"), "node")
     observed = block_observations(edges, sets, [spreading_rate(edges, times, cap=True)], blocks, repeats)
-    names = F.split("set_id", "@")
-    means = observed.groupBy(names[0].alias("method"), names[1].cast("int").alias("draw")).agg(F.avg("percent").alias("mean"))
+    means = observed.groupBy(_of_set("method").alias("method"), _of_set("draw").cast("int").alias("draw")).agg(F.avg("percent").alias("mean"))
     strategy = F.when(F.col("draw") == 0, "id").otherwise("random")
     return means.groupBy("method", strategy.alias("strategy")).agg(F.count("*").alias("draws"), F.avg("mean").alias("mean"), F.when(F.avg("mean") > 0, 100.0 * F.stddev_pop("mean") / F.avg("mean")).otherwise(0.0).alias("cv"))
 

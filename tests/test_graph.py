@@ -159,17 +159,17 @@ def test_distances(spark, sample):
 
 def test_vote_rank(spark, sample):
     square = edges_of(spark, [(0, 1), (1, 2), (2, 3), (0, 3)])
-    assert ranking.vote_rank(square, 4).collect()[0]["node"] == 0
+    assert ranking.vote_rank(square).orderBy('rank').collect()[0]["node"] == 0
     e, near = sample
     n, e2 = len(near), sum(map(len, near.values()))
     hits, picked = dict.fromkeys(near, 0), []
-    for _ in range(6):
+    for _ in near:
         able = {v: 0 if v in picked else max(0, e2 - hits[v] * n) for v in near}
         best = min((v for v in near if v not in picked), key=lambda v: (-sum(able[w] for w in near[v]), v))
         picked.append(best)
         for w in near[best]:
             hits[w] += 1
-    assert [r["node"] for r in ranking.vote_rank(e, 6).orderBy("rank").collect()] == picked
+    assert [r["node"] for r in ranking.vote_rank(e).orderBy("rank").collect()] == picked
 
 
 def test_ranking_and_seed_counts(spark):
