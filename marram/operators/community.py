@@ -20,34 +20,49 @@ def modularity(edges: DataFrame, partition: DataFrame) -> float:
     return inner / m - volume / (4 * m * m)
 
 
-def _settle(ties: DataFrame, rounds: int) -> DataFrame:
-    """Moves nodes of a weighted graph (u, v, w both ways; loops count twice) until a round moves a hundredth of them or fewer. Returns (node, community)."""
+#: Rounds without a gain in modularity after which a level ends (moves are made at once, so a round may also lose).
+PATIENCE = 4
+
+
+def _settle(ties: DataFrame) -> DataFrame:
+    """Moves nodes of a weighted graph (u, v, w both ways; loops count twice) until none moves, or modularity has not risen for PATIENCE rounds. Returns the best (node, community) met."""
     volume = materialise(ties.groupBy("u").agg(F.sum("w").alias("k")), "volume")
     two_m = volume.agg(F.sum("k")).first()[0]
     state = materialise(volume.select(F.col("u").alias("node"), F.col("u").alias("community"), "k"), "state")
-    for turn in range(rounds):
+
+    def quality(state: DataFrame) -> float:
+        of = lambda c: state.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+        inside = ties.join(of("u"), "u").join(of("v"), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+        return inside / two_m - state.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] / two_m**2
+
+    best, reached, waited, still, turn = state, quality(state), 0, 0, -1
+    while waited < PATIENCE and still < 2:
+        turn += 1
         totals = state.groupBy("community").agg(F.sum("k").alias("total"))
         near = ties.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
         own = state.select(F.col("node").alias("u"), F.col("community").alias("mine"), "k")
         tried = near.join(totals, "community").join(own, "u")
         rest = F.when(F.col("community") == F.col("mine"), F.col("total") - F.col("k")).otherwise(F.col("total"))
         tried = tried.withColumn("gain", F.col("inside") - F.col("k") * rest / two_m)
-        best = tried.groupBy("u").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", -F.col("community"))).alias("best"), F.max(F.when(F.col("community") == F.col("mine"), F.col("gain"))).alias("stay"))
+        wish = tried.groupBy("u").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", -F.col("community"))).alias("best"), F.max(F.when(F.col("community") == F.col("mine"), F.col("gain"))).alias("stay"))
         # Half of the nodes may move in a round, chosen by hash, so that neighbours don't swap for ever.
         turn_of = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
         alone = F.coalesce("stay", -F.col("k") * (F.col("total") - F.col("k")) / two_m)
-        moved = state.join(totals, "community").join(best.withColumnRenamed("u", "node"), "node", "left")
+        moved = state.join(totals, "community").join(wish.withColumnRenamed("u", "node"), "node", "left")
         target = F.when(turn_of & F.col("best").isNotNull() & (F.col("best.gain") > alone + 1e-9), F.col("best.community")).otherwise(F.col("community"))
         after = materialise(moved.select("node", target.alias("community"), "k", (target != F.col("community")).alias("changed")), "state")
-        n, size = after.agg(F.count_if("changed"), F.count("*")).first()
+        still = 0 if after.where("changed").head(1) else still + 1  # both halves had their turn
         state = after.drop("changed")
-        if n * 100 <= size and turn % 2:  # the next level moves what is left, community by community
-            break
-    return state.select("node", "community")
+        now = quality(state)
+        if now > reached + 1e-12:
+            best, reached, waited = state, now, 0
+        else:
+            waited += 1
+    return best.select("node", "community")
 
 
-def louvain(edges: DataFrame, *, levels: int = 4, rounds: int = 8) -> DataFrame:
-    """(node, community): modularity is raised by moves within levels; communities become nodes of the next. A community's name is its smallest node.
+def louvain(edges: DataFrame) -> DataFrame:
+    """(node, community): modularity is raised by moves within levels; communities become nodes of the next, until a level merges nothing. A community's name is its smallest node.
 
     Moves are decided for all nodes of a round at once and made by a hashed half of them, so the result is
     reproducible but differs from that of a sequential sweep.
@@ -55,8 +70,8 @@ def louvain(edges: DataFrame, *, levels: int = 4, rounds: int = 8) -> DataFrame:
     both = edges.select("u", "v").union(edges.select("v", "u")).select(F.col("u"), F.col("v"), F.lit(1.0).alias("w"))
     ties = materialise(both, "ties")
     of = materialise(ties.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), "communities")
-    for _ in range(levels):
-        step = _settle(ties, rounds)
+    while not ties.isEmpty():
+        step = _settle(ties)
         merged = materialise(step.select(F.col("node").alias("from"), F.col("community").alias("to")), "step")
         if merged.where("`from` <> `to`").isEmpty():
             break

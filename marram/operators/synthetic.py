@@ -19,13 +19,14 @@ def erdos_renyi(spark: SparkSession, n: int, mean_degree: float, seed: int = 0)
         return nodes.where("false").select("u", F.col("u").alias("v"))
     if p == 1.0:
         return nodes.where(F.col("u") < n - 1).select("u", F.explode(F.sequence(F.col("u") + 1, F.lit(n - 1))).alias("v"))
-    # Gaps are drawn for twice the expected partners and more (six deviations), and cut at the end of the row.
+    # Gaps are drawn for twice the expected partners and more (six deviations); a row that they don't fill is an error.
     most = int(2 * n * p + 12 * (n * p) ** 0.5 + 40)
     gap = 1 + F.floor(F.log(1 - uniform(F.lit(seed), "u", "i")) / math.log1p(-p))
     gaps = nodes.select("u", F.posexplode(F.sequence(F.lit(1), F.lit(most))).alias("i", "j")).select("u", "i", gap.alias("gap"))
     walked = gaps.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("i", "gap"))).alias("gaps"))
     at = F.aggregate("gaps", F.struct(F.col("u").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda s, g: F.struct((s["at"] + g["gap"]).alias("at"), F.when(s["at"] + g["gap"] < n, F.concat(s["out"], F.array(s["at"] + g["gap"]))).otherwise(s["out"]).alias("out")))
-    return walked.select("u", F.explode(at["out"]).alias("v"))
+    out = F.when(at["at"] < n, F.raise_error(F.lit("too few gaps for a row; choose another seed"))).otherwise(at["out"])
+    return walked.select("u", F.explode(out.cast("array<bigint>")).alias("v"))
 
 
 def watts_strogatz(spark: SparkSession, n: int, degree: int, rewire: float = 0.3, seed: int = 0) -> DataFrame:
@@ -42,7 +43,7 @@ def barabasi_albert(spark: SparkSession, n: int, mean_degree: float, seed: int =
 
     End e of the list of all ends belongs to node e / 2m if e is even, and else copies a uniformly drawn earlier
     end; following the copies by hashes alone resolves each tie on its own (copy model), so nodes need not come
-    one after the other. A chain has a length of one half to the power of its steps; rounds is a bound it can't pass.
+    one after the other. A chain has a length of one half to the power of its steps; one longer than rounds is an error.
     """
     m = max(1, round(mean_degree / 2))
     ties = spark.range(1, n).select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
@@ -51,7 +52,8 @@ def barabasi_albert(spark: SparkSession, n: int, mean_degree: float, seed: int =
     draw = lambda e: F.floor(uniform(F.lit(seed), e) * (node(e) * (2 * m))).cast("long")  # noqa: E731  an end of an earlier node
     step = lambda e, _: F.when((e % 2 == 1) & (e >= 2 * m), draw(e)).otherwise(e)
     to = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), end.cast("long"), step)
-    return simple_edges(ties.select("u", node(to).alias("v")))
+    open_ = F.when((to % 2 == 1) & (to >= 2 * m), F.raise_error(F.lit("a chain of copies is longer than rounds")).cast("long")).otherwise(node(to))
+    return simple_edges(ties.select("u", open_.alias("v")))
 
 
 GENERATORS = {"er": erdos_renyi, "ba": barabasi_albert, "ws": watts_strogatz}
