@@ -1,8 +1,9 @@
 """Maximal cliques and the scores built on them.
 
-Cliques are found in the neighbourhoods of nodes: a node sees its neighbours and the edges among
-them (from the triangles), and lists the maximal cliques in which it comes first in the order of
-degrees. Each clique is found once, and no task needs the whole graph.
+Cliques are found among the later neighbours of nodes, in the order of degrees: no node has more than sqrt(2 E) of
+them, and each clique is found once, at its first node. Whether an earlier neighbour extends a clique depends only on
+which later neighbours it is tied to; a node gets the distinct sets of these, not the neighbours, so a hub's
+neighbourhood is never gathered, and no task needs the whole graph.
 """
 
 from __future__ import annotations
@@ -19,13 +20,13 @@ from marram.sources.shared import materialise
 XI = 0.001
 
 
-def _maximal(later: int, earlier: int, near: list[int]) -> Iterator[int]:
-    """Maximal cliques among the candidates `later` (bit sets) that no node of `earlier` extends, with pivoting."""
-    stack = [(0, later, earlier)]
+def _maximal(later: int, near: list[int], guards: list[int]) -> Iterator[int]:
+    """Maximal cliques among the candidates (bit sets) that no set of the guards holds whole, with pivoting."""
+    stack = [(0, later, 0, guards)]
     while stack:
-        chosen, p, x = stack.pop()
+        chosen, p, x, guards = stack.pop()
         if not p:
-            if not x:
+            if not x and not guards:
                 yield chosen
             continue
         rest, best, pivot = p | x, -1, 0
@@ -33,44 +34,45 @@ def _maximal(later: int, earlier: int, near: list[int]) -> Iterator[int]:
             i = (rest & -rest).bit_length() - 1
             rest &= rest - 1
             if (n := (p & near[i]).bit_count()) > best:
-                best, pivot = n, i
-        todo = p & ~near[pivot]
+                best, pivot = n, near[i]
+        for g in guards:
+            if (n := (p & g).bit_count()) > best:
+                best, pivot = n, g
+        todo = p & ~pivot
         while todo:
             i = (todo & -todo).bit_length() - 1
             bit = 1 << i
             todo ^= bit
-            stack.append((chosen | bit, p & near[i], x & near[i]))
+            stack.append((chosen | bit, p & near[i], x & near[i], [g for g in guards if g & bit]))
             p ^= bit
             x |= bit
 
 
 def maximal_cliques(edges: DataFrame) -> DataFrame:
     """clique (a number), members array<bigint> (sorted) and size of every maximal clique of two nodes or more."""
-    up = oriented(edges)
-    sides = up.select(F.col("a").alias("node"), F.col("b").alias("other"), F.lit(True).alias("later")).union(up.select("b", "a", F.lit(False)))
-    around = sides.groupBy("node").agg(F.collect_list(F.when(F.col("later"), F.col("other"))).alias("later"), F.collect_list(F.when(~F.col("later"), F.col("other"))).alias("earlier"))
-    seen = triangles(edges).select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("x"), F.col("c").alias("y")), F.struct(F.col("b").alias("node"), F.col("a").alias("x"), F.col("c").alias("y")))).alias("t")).select("t.*")
-    ties = seen.groupBy("node").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
+    later = oriented(edges).groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("later"))
+    corners = materialise(triangles(edges).select("a", "b", "c"), "triangles")
+    ties = corners.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("xs"), F.collect_list("c").alias("ys"))
+    tied = corners.groupBy(F.col("b").alias("node"), "a").agg(F.sort_array(F.collect_list("c")).alias("set"))
+    guards = tied.select("node", "set").distinct().groupBy("node").agg(F.collect_list("set").alias("guards"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             found = []
-            for node, later, earlier, xs, ys in zip(*(rows.column(i).to_pylist() for i in range(5)), strict=True):
-                names = [*later, *earlier]
+            for node, names, xs, ys, sets in zip(*(rows.column(i).to_pylist() for i in range(5)), strict=True):
                 place = {v: i for i, v in enumerate(names)}
                 near = [0] * len(names)
                 for x, y in zip(xs or [], ys or [], strict=True):
                     i, j = place[x], place[y]
                     near[i] |= 1 << j
                     near[j] |= 1 << i
-                p = (1 << len(later)) - 1
-                x = (1 << len(names)) - 1 - p
-                if p:
-                    for chosen in _maximal(p, x, near):
-                        found.append(sorted([node, *(names[i] for i in range(chosen.bit_length()) if chosen >> i & 1)]))
+                held = [sum(1 << place[v] for v in own) for own in sets or []]
+                for chosen in _maximal((1 << len(names)) - 1, near, held):
+                    found.append(sorted([node, *(names[i] for i in range(chosen.bit_length()) if chosen >> i & 1)]))
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["members"])
 
-    found = around.join(ties, "node", "left").select("node", "later", "earlier", "xs", "ys").mapInArrow(run, "members array<bigint>")
+    around = later.join(ties, "node", "left").join(guards, "node", "left").select("node", "later", "xs", "ys", "guards")
+    found = around.mapInArrow(run, "members array<bigint>")
     return materialise(found.select(F.monotonically_increasing_id().alias("clique"), "members", F.size("members").alias("size")), "cliques")
 
 

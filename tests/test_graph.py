@@ -272,3 +272,13 @@ def test_all_methods_and_isolation(spark):
     assert set(failed) == {"nonsense"} and {r.method for r in done.select("method").distinct().collect()} == {"degree", "clique_full"}
     with pytest.raises(ValueError):
         methods.score("nonsense", net)
+
+
+def test_cliques_around_hubs(spark):
+    """Two hubs share 20,000 neighbours, of which some are tied; a hub's row stays small."""
+    n = 20_000
+    ends = spark.range(2, n).select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("u"), F.col("id").alias("v"))
+    more = spark.createDataFrame([(0, 1), (2, 3), (3, 4), (2, 4)], "u long, v long")
+    found = cl.maximal_cliques(graph.simple_edges(ends.union(more)))
+    sizes = {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}
+    assert sizes == {3: n - 5, 5: 1}
