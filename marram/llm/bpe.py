@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -61,6 +62,8 @@ class Tokenizer:
         self.library.no_padding()
         self.model, self.normalizer, self.splitter = self.library.model, self.library.normalizer, self.library.pre_tokenizer
         added = [t["content"] for t in json.loads(spec)["added_tokens"]]
+        #: How an id is packed.
+        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def vocabulary(self) -> list[str]:
@@ -182,22 +185,24 @@ def _coded(rows: DataFrame, spec, lists: bool) -> DataFrame:
 
 
 def encode_words(listed: DataFrame, spec) -> DataFrame:
-    """(chunk, place, ids array<int>) of (chunk, place, word): equal words meet in a task, in a row, and are encoded once. Digests pass as two ids."""
+    """(chunk, place, ids binary) of (chunk, place, word): equal words meet in a task, in a row, and are encoded once. Ids are packed; digests pass as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, ids, tok = None, None, tokenizer(spec.value)
+        code = {"<u2": "H", "<u4": "I"}[tok.kind]
         for rows in batches:
             out = []
             for place, word in zip(rows.column("place").to_pylist(), rows.column("word").to_pylist(), strict=True):
                 if place < 0:
-                    out.append(np.array([int(word)], np.int64).view(np.int32).tolist())
+                    out.append(word.encode())
                     continue
                 if word != last:
-                    last, ids = word, ids_of(word, tok)
+                    found = ids_of(word, tok)
+                    last, ids = word, struct.pack(f"<{len(found)}{code}", *found)
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("place"), pa.array(out, pa.list_(pa.int32()))], names=["chunk", "place", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column("chunk"), rows.column("place"), pa.array(out, pa.binary())], names=["chunk", "place", "ids"])
 
-    return listed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, place int, ids array<int>")
+    return listed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, place int, ids binary")
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = False, with_text: bool = False) -> DataFrame:
@@ -217,14 +222,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = F
     spec = docs.sparkSession.sparkContext.broadcast(text)  # a fixed vocabulary file of a few MB
     rows = pick(docs, doc_id="long", text="string")
     lists = encode_words(_coded(rows, spec, True), spec).select("chunk", "place", "ids", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("long").alias("digest"))
-    numbers = _coded(rows, spec, False).select("chunk", F.lit(None).cast("int").alias("place"), F.lit(None).cast("array<int>").alias("ids"), "doc_id", "codes", "digest")
+    numbers = _coded(rows, spec, False).select("chunk", F.lit(None).cast("int").alias("place"), F.lit(None).cast("binary").alias("ids"), "doc_id", "codes", "digest")
     # Of a chunk, its list comes first, in order, with its digest in front; then the texts' digest, then the texts.
     met = lists.union(numbers).repartition("chunk").sortWithinPartitions("chunk", F.col("place").asc_nulls_last(), F.col("digest").asc_nulls_last())
     out = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     out += [("ids", pa.list_(pa.int32()))] * with_ids + [("decoded", pa.string())] * with_text
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = tokenizer(spec.value).vocabulary()
+        tok = tokenizer(spec.value)
+        vocabulary, size = tok.vocabulary(), np.dtype(tok.kind).itemsize
         chunk, lists, lengths, pieces, digest = None, [], [], [], None
         flat = offsets = None
         for rows in batches:
@@ -238,21 +244,21 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, *, with_ids: bool = F
                     if chunks[a] != chunk:
                         chunk, lists, lengths, pieces, digest, flat = chunks[a], [], [], [], None, None
                     if is_word[a]:
+                        own = run.column("ids").to_pylist()
                         if digest is None:
-                            digest = int(run.column("ids")[0].values.to_numpy().view(np.int64)[0])
-                            run = run.slice(1)
-                        own = run.column("ids")
-                        lists.append(own.flatten().to_numpy())
-                        lengths.append(own.value_lengths().to_numpy())
-                        pieces += [" ".join([vocabulary[i] for i in x]) for x in own.to_pylist()]
+                            digest, own = int(own[0]), own[1:]
+                        lists.append(np.frombuffer(b"".join(own), tok.kind))
+                        lengths.append(np.fromiter(map(len, own), np.int64, len(own)) // size)
+                        at_hand, ends = [vocabulary[i] for i in lists[-1].tolist()], np.cumsum(lengths[-1]).tolist()
+                        pieces += [" ".join(at_hand[x:y]) for x, y in zip([0, *ends][: len(ends)], ends, strict=True)]
                         continue
                     if flat is None:
                         told = run.column("digest")[0].as_py()
                         if told != digest:
                             raise ValueError("the rows came in another order when they were read again; write them to a table first")
                         run = run.slice(1)
-                        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int32), *lengths]))]).astype(np.int64)
-                        flat = np.concatenate([np.zeros(0, np.int32), *lists]).astype("<u4")
+                        offsets = np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *lengths]))]).astype(np.int64)
+                        flat = np.concatenate([np.zeros(0, tok.kind), *lists]).astype("<u4")
                     planes = run.column("codes").to_pylist()
                     for c, d in slices(planes, SLICE_WORDS):
                         ids, decoded = [], []

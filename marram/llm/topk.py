@@ -27,7 +27,7 @@ SAMPLE_ROWS = 1024
 #: Quantised distances of a dimension, at most twice as many.
 LEVELS = 64
 #: Processing ends once so many rows at most, or this share of the shard, can be among the best.
-FEW, SHARE = 64, 64
+FEW, SHARE = 64, 16
 
 
 def integer_vectors(embeddings: DataFrame, scale: int = SCALE, *, every_row: bool = False) -> DataFrame:
@@ -173,7 +173,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     queries = _beaten(vectors.where(is_query), sample, k)
     rows = vectors.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "vec_id", "vec", F.lit(None).cast("double").alias("beat"))
     asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "vec", "beat")
-    met = rows.union(asked).repartition("shard").sortWithinPartitions("shard", "asks")
+    met = rows.union(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "asks")
     out = [("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
