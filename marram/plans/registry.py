@@ -523,7 +523,7 @@ ways({by}, i, s, c) AS (SELECT {by}, 0::BIGINT, 0::BIGINT, 1::DOUBLE FROM wn WHE
     SELECT {by}, i + 1, s, sum(c) FROM (SELECT {", ".join("w." + c for c in by.split(", "))}, w.i, w.s + x.pick * (2 * wr.r)::BIGINT AS s, w.c FROM ways w JOIN wr ON {same("wr", "w")} AND wr.i = w.i + 1, (VALUES (0), (1)) x(pick)) GROUP BY {by}, i, s),
 wx AS (SELECT {", ".join("n." + c for c in by.split(", "))}, least(1, 2 * sum(w.c) / 2 ** max(n.n)) AS p FROM wn n JOIN ways w ON {same("w", "n")} AND w.i = n.n WHERE w.s <= (2 * least(n.wp, n.wm))::BIGINT GROUP BY {", ".join("n." + c for c in by.split(", "))}),
 wz AS (SELECT {", ".join("n." + c for c in by.split(", "))}, (n.n * (n.n + 1) / 4.0 - least(n.wp, n.wm)) / sqrt(n.n * (n.n + 1) * (2 * n.n + 1) / 24.0 - t.tied / 48.0) AS z FROM wn n JOIN wt0 t ON {same("t", "n")} WHERE n.n > 20),
-wy AS (SELECT {by}, 1 - 2 * list_sum([(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-(z * k / 2000.0) ** 2 / 2) for k in range(0, 2001)]) * z / 2000 / 3 / sqrt(2 * pi()) AS p FROM wz),
+wy AS (SELECT {by}, 1 - 2 * list_sum([(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(0 - (z * k / 2000.0) ** 2 / 2) for k in range(0, 2001)]) * z / 2000 / 3 / sqrt(2 * pi()) AS p FROM wz),
 wt AS MATERIALIZED (SELECT {", ".join("g." + c for c in by.split(", "))}, coalesce(n.n, 0)::BIGINT AS n, coalesce(n.wp, 0)::DOUBLE AS wp, coalesce(n.wm, 0)::DOUBLE AS wm, CASE WHEN n.wp + n.wm > 0 THEN (n.wp - n.wm) / (n.wp + n.wm) ELSE 0 END AS r_rb, CASE WHEN n.n IS NULL THEN 1 ELSE greatest(1e-20, least(1, coalesce(x.p, y.p))) END AS p
     FROM (SELECT DISTINCT {by} FROM wd) g LEFT JOIN wn n ON {same("n", "g")} LEFT JOIN wx x ON {same("x", "g")} LEFT JOIN wy y ON {same("y", "g")})"""
 
