@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency
-from marram.sources.shared import Rounds, materialise
+from marram.sources.shared import materialise
 
 
 def uniform(*key: Column | str) -> Column:
@@ -56,7 +56,7 @@ def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[
     bits = F.aggregate(F.transform("runs", lambda r, i: F.when(opens(r), bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     arcs = materialise(adj.join(plan).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
     all_runs = F.aggregate(F.transform("runs", lambda r, i: bit(i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    rounds, step = Rounds(2), 0
+    step = 0
     start = seeds.select("set_id", "node").distinct().join(plan).select("set_id", *groups, "node", all_runs.alias("now"))
     ring = materialise(start, "ring")
     seen, rings = ring, [ring.withColumn("step", F.lit(0))]
@@ -66,8 +66,8 @@ def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[
         reached = ring.withColumnRenamed("node", "u").join(arcs, ["u", *groups]).select("set_id", *groups, F.col("v").alias("node"), F.col("now").bitwiseAND(F.col("open")).alias("now"), nothing.alias("old")).where("now <> 0")
         both = reached.union(seen.select("set_id", *groups, "node", nothing.alias("now"), F.col("now").alias("old"))).groupBy("set_id", *groups, "node").agg(F.bit_or("now").alias("now"), F.bit_or("old").alias("old"))
         fresh = F.col("now").bitwiseAND(F.bitwise_not("old"))
-        both = rounds.write(both.select("set_id", *groups, "node", fresh.alias("now"), F.col("old").bitwiseOR(F.col("now")).alias("all")), "infected")
-        ring = materialise(both.where("now <> 0").drop("all"), "ring")
+        both = materialise(both.select("set_id", *groups, "node", fresh.alias("now"), F.col("old").bitwiseOR(F.col("now")).alias("all")), "infected")
+        ring = both.where("now <> 0").drop("all")
         if ring.isEmpty():
             break
         rings.append(ring.withColumn("step", F.lit(step)))
