@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marram.llm import bpe, contamination, language, pii, simhash, substring, tokens, topk, urls, warc
+from marram.llm import bpe, contamination, infill, language, mixing, periodic, pii, simhash, substring, tokens, topk, urls, warc
 from marram.sources.shared import materialise, table
 
 SITE_RULES = [
@@ -70,6 +70,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.collapse_runs(table(spark, sf_dir, "documents"), words_of=periodic.looped)
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.per_row(mixing.plan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substrings": op2_substrings,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_infill": op11_infill,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_mixing": op13_mixing,
 }
 
 _HEX = lambda at: f"('0x' || substr(hex, {at}, 5))::BIGINT"
@@ -134,4 +149,18 @@ ORACLES: dict[str, str] = {
         SELECT s.page_id, s.host, s.path, fit.rule,
                coalesce(fit.v, CASE WHEN regexp_matches(s.url, '[?&]utm_source=|[?&]sessionid=|/login(?:[.]php)?(?:[/?#]|$)|[/.-]xxx[/.-]') THEN 'block' END, 'allow') AS verdict
         FROM s LEFT JOIN fit ON fit.page_id = s.page_id AND fit.k = 1""",
+    "op11_infill": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex,
+                          regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w FROM documents),
+        h AS (SELECT *, len(w)::BIGINT AS n, ('0x' || substr(hex, 1, 8))::BIGINT AS h1, ('0x' || substr(hex, 9, 8))::BIGINT AS h2,
+                     ('0x' || substr(hex, 17, 8))::BIGINT AS h3, ('0x' || substr(hex, 25, 8))::BIGINT AS h4 FROM d),
+        c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (SELECT doc_id, text, n, form, coalesce(array_to_string(list_slice(w, 1, a), ''), '') AS head, coalesce(array_to_string(list_slice(w, a + 1, b), ''), '') AS mid,
+                     coalesce(array_to_string(list_slice(w, b + 1, n), ''), '') AS tail FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || mid ELSE '<S>' || tail || '<P>' || head || '<M>' || mid END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p""",
 }
