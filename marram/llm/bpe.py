@@ -35,8 +35,9 @@ CHUNK_CHARS, CHUNK_WORDS, PIECE_CHARS = 64 << 20, 500_000, 1 << 20
 #: Characters of the texts whose results are put together at once.
 SLICE_WORDS = 1 << 20
 
-# Code points whose class (letter, number, space, other), lower case and normal form every Unicode version agrees on.
-_PLAIN = [*range(2, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]
+# Code points whose class (letter, number, space, other), lower case and normal form every Unicode version agrees on, and whose lower case is one of them.
+_AGREED = [*range(2, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), *range(0x20A0, 0x20C0)]
+_PLAIN = [c for c in _AGREED if all(ord(x) in _AGREED for x in chr(c).lower())]
 _ODD = re.compile("[^" + "".join(map(re.escape, map(chr, _PLAIN))) + "]|<\\|", re.S)
 #: What a table entry begins with that is no plain word: a piece in the tokenizer's byte alphabet, an added token.
 MAPPED, ADDED = "\0", "\1"
