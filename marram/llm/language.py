@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.llm.arrays import batch, carried, ddl, raw, slices
@@ -22,8 +22,6 @@ from marram.sources.shared import materialise, pick
 
 #: Expected number of labelled rows per language that the trees are grown from (all, where there are fewer).
 SAMPLE_ROWS = 1500
-#: Fourgrams that a tree is grown from, the most frequent of its sample; it bounds what a tree takes.
-MOST_GRAMS = 1 << 17
 #: Languages whose trees a task holds at once; more are a further pass with a running best.
 BLOCK_LANGUAGES = 16
 ORDER = 3
@@ -168,7 +166,7 @@ def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], Trees]
     """Languages (sorted) and their trees, from text and lang of labelled rows; sizes has the rows of each language to learn.
 
     A row is taken if the hash of its id falls below the share of its language that makes about
-    SAMPLE_ROWS rows. Only summed counts, MOST_GRAMS a language at most, reach the driver.
+    SAMPLE_ROWS rows. Only the summed counts of the sample's fourgrams reach the driver, all of them.
     """
     langs = sorted(sizes)
     if not langs:
@@ -187,10 +185,8 @@ def train(labelled: DataFrame, sizes: dict[str, int]) -> tuple[list[str], Trees]
                     gram, n = np.unique(_own(*_grams(own[at:to])), return_counts=True)
                     yield batch(out, [pa.array([lang] * len(gram), pa.string()), gram.astype(np.int64), n])
 
-    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))  # of a bounded sample
-    kept = summed.withColumn("place", place).where(F.col("place") <= MOST_GRAMS).select("lang", "gram", "n").toArrow()
-    lang, gram, n = (kept.column(c).to_numpy() for c in ("lang", "gram", "n"))
+    summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    lang, gram, n = (summed.column(c).to_numpy() for c in ("lang", "gram", "n"))
     return langs, Trees([Tree(gram[lang == k], n[lang == k]) for k in langs])
 
 
@@ -224,7 +220,7 @@ def _scored(rows: DataFrame, langs: list[str], trees: Trees, carry: dict[str, st
     __bits is the best code length, __total the sum of 2 ** (best - code length) over the languages so far.
     """
     further = "__bits" in rows.columns
-    frozen = rows.sparkSession.sparkContext.broadcast(trees)  # BLOCK_LANGUAGES trees of MOST_GRAMS at most, whatever the input
+    frozen = rows.sparkSession.sparkContext.broadcast(trees)  # BLOCK_LANGUAGES trees of about SAMPLE_ROWS rows each, whatever the input
     out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())]
     out += [("__bits", pa.float64()), ("__total", pa.float64())]
 

@@ -67,12 +67,21 @@ def test_whole_texts_cost_the_sum_of_their_bytes():
             assert abs(got[i, j] / language.UNIT - want) < 1e-3
 
 
-def test_trees_of_bounded_size(spark, monkeypatch):
+def test_trees_hold_every_fourgram_of_their_sample(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3000)) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)] + [(1000 + i, "a short text", "b") for i in range(20)], "doc_id long, text string, lang string")
+    labelled, sizes = language.labels(docs)
+    langs, trees = language.train(labelled, sizes)
+    own = {f"   {r.text}"[i : i + 4] for r in labelled.where("lang = 'a'").collect() for i in range(len(r.text))}
+    assert langs == ["a", "b"] and len(own) > 1 << 17
+    assert trees.trees[0].orders[language.ORDER][0].tolist() == sorted(number(g.encode()) for g in own)
+
+
+def test_nulls_and_empty_tables(spark):
     docs = spark.createDataFrame([(i, f"word{i % 7} of a text {i}" * 3, "ab"[i % 2]) for i in range(60)] + [(99, None, "a"), (98, "", None)], "doc_id long, text string, lang string")
-    full = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
-    monkeypatch.setattr(language, "MOST_GRAMS", 5)
-    few = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
-    assert set(full) == set(few) and few[99] == few[98] == "und" and "und" not in {few[i] for i in range(60)}
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert len(found) == 62 and found[99] == found[98] == "und" and "und" not in {found[i] for i in range(60)}
     assert language.identify(docs.limit(0)).count() == 0
 
 
