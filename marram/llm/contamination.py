@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from marram.llm.arrays import batch, carried, ddl, few, raw, word_pieces
 from marram.llm.fmindex import FMIndex
-from marram.sources.shared import pick
+from marram.sources.shared import materialise, pick
 
 WINDOW = 13
 #: A block of test items holds about so many bytes of text; more items make more blocks, each searched over all rows.
@@ -152,8 +152,10 @@ def find_occurrences(docs: DataFrame, benchmark: DataFrame, *, window: int = WIN
     tests = _test_pieces(pick(benchmark, item_id="long", text="string").where("item_id is not null and text is not null"), window)
     size = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // BLOCK_BYTES) + 1
+    if blocks > 1:
+        tests = materialise(tests.distinct(), "tests")  # repeated rows would all be in one block
     for k in range(blocks):
-        block = tests.where(F.pmod(F.xxhash64("item_id", "first"), F.lit(blocks)) == k) if blocks > 1 else tests
+        block = tests.where(F.pmod(F.xxhash64("item_id", "first", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
         windows = Windows([(r[0], r[1].encode()) for r in block.select("item_id", "text").collect()], window)
         found = _search(found, windows, carry if k == blocks - 1 else {"text": "string", **carry})
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
