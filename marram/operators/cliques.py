@@ -94,10 +94,18 @@ def memberships(edges: DataFrame, cliques: DataFrame) -> DataFrame:
 
 def clique_statistics(edges: DataFrame, cliques: DataFrame) -> DataFrame:
     """One row: clique counts and sizes, and memberships over all nodes."""
+    return clique_figures(cliques, []).crossJoin(membership_figures(clique_participation(edges, cliques), []))  # one row each
+
+
+def clique_figures(cliques: DataFrame, by: list[str]) -> DataFrame:
+    """Counts and sizes of cliques (by..., size) in groups."""
     size = F.col("size")
-    a = cliques.agg(F.count("*").alias("n_cliques"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"), F.percentile("size", 0.5).alias("median_size"), F.count_if(size == 2).alias("n_pairs"), F.count_if(size > 2).alias("n_larger"))
-    b = clique_participation(edges, cliques).agg(F.avg("score").alias("mean_memberships"), F.percentile("score", 0.5).alias("median_memberships"), F.max("score").cast("long").alias("max_memberships"), (100.0 * F.count_if(F.col("score") >= 1) / F.count("*")).alias("in_one"), (100.0 * F.count_if(F.col("score") >= 2) / F.count("*")).alias("in_two"))
-    return a.crossJoin(b)  # one row each
+    return cliques.groupBy(*by).agg(F.count("*").alias("n_cliques"), F.max("size").alias("max_size"), F.avg("size").alias("mean_size"), F.percentile("size", 0.5).alias("median_size"), F.count_if(size == 2).alias("n_pairs"), F.count_if(size > 2).alias("n_larger"))
+
+
+def membership_figures(memberships: DataFrame, by: list[str]) -> DataFrame:
+    """In how many cliques nodes are: figures of (by..., score) in groups."""
+    return memberships.groupBy(*by).agg(F.avg("score").alias("mean_memberships"), F.percentile("score", 0.5).alias("median_memberships"), F.max("score").cast("long").alias("max_memberships"), (100.0 * F.count_if(F.col("score") >= 1) / F.count("*")).alias("in_one"), (100.0 * F.count_if(F.col("score") >= 2) / F.count("*")).alias("in_two"))
 
 
 def clique_participation(edges: DataFrame, cliques: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marram.sources.shared import materialise
+from marram.sources.shared import Rounds, materialise
 
 
 def modularity(edges: DataFrame, partition: DataFrame) -> float:
@@ -20,58 +20,94 @@ def modularity(edges: DataFrame, partition: DataFrame) -> float:
     return inner / m - volume / (4 * m * m)
 
 
-#: Rounds without a gain in modularity after which a level ends (moves are made at once, so a round may also lose).
+#: Rounds of moves at once without a gain in modularity after which a level goes on with moves that don't touch each other.
 PATIENCE = 4
 
 
-def _settle(ties: DataFrame) -> DataFrame:
-    """Moves nodes of a weighted graph (u, v, w both ways; loops count twice) until none moves, or modularity has not risen for PATIENCE rounds. Returns the best (node, community) met."""
-    volume = materialise(ties.groupBy("u").agg(F.sum("w").alias("k")), "volume")
-    two_m = volume.agg(F.sum("k")).first()[0]
-    state = materialise(volume.select(F.col("u").alias("node"), F.col("u").alias("community"), "k"), "state")
+def _quality(ties: DataFrame, state: DataFrame) -> float:
+    """Modularity, summed over networks."""
+    of = lambda c: state.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    scale = state.select(F.col("node").alias("u"), "two_m")
+    inside = ties.join(of("u"), "u").join(of("v"), "v").where("cu = cv").join(scale, "u").agg(F.coalesce(F.sum(F.col("w") / F.col("two_m")), F.lit(0.0))).first()[0]
+    share = state.groupBy("community").agg(F.sum(F.col("k") / F.col("two_m")).alias("t"))
+    return inside - share.agg(F.sum(F.col("t") * F.col("t"))).first()[0]
 
-    def quality(state: DataFrame) -> float:
-        of = lambda c: state.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
-        inside = ties.join(of("u"), "u").join(of("v"), "v").where("cu = cv").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-        return inside / two_m - state.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] / two_m**2
 
-    best, reached, waited, still, turn = state, quality(state), 0, 0, -1
+def _wishes(ties: DataFrame, state: DataFrame) -> DataFrame:
+    """(node, community, to, rise) of the nodes that gain by a move: the community they gain most by, and how much more than by staying."""
+    totals = state.groupBy("community").agg(F.sum("k").alias("total"))
+    near = ties.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
+    own = state.join(totals, "community").select(F.col("node").alias("u"), F.col("community").alias("mine"), "k", "two_m", F.col("total").alias("own_total"))
+    tried = near.join(totals, "community").join(own, "u")
+    rest = F.when(F.col("community") == F.col("mine"), F.col("total") - F.col("k")).otherwise(F.col("total"))
+    tried = tried.withColumn("gain", F.col("inside") - F.col("k") * rest / F.col("two_m"))
+    here = F.max(F.when(F.col("community") == F.col("mine"), F.col("gain")))
+    alone = F.max(-F.col("k") * (F.col("own_total") - F.col("k")) / F.col("two_m"))
+    best = tried.groupBy("u", "mine").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", -F.col("community"))).alias("best"), F.coalesce(here, alone).alias("stay"))
+    return best.select(F.col("u").alias("node"), F.col("mine").alias("community"), F.col("best.community").alias("to"), (F.col("best.gain") - F.col("stay")).alias("rise")).where("`to` <> community and rise > 1e-9")
+
+
+def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
+    return state.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "two_m")
+
+
+def _apart(wishes: DataFrame) -> DataFrame:
+    """Moves of which no two touch the same community: those that rise most of all that leave or enter their two."""
+    rank = F.struct("rise", -F.col("node"))
+    ends = wishes.select("node", "rise", F.explode(F.array("community", "to")).alias("c"))
+    top = ends.groupBy("c").agg(F.max(rank).alias("top"))
+    best = ends.join(top, "c").where(F.col("top") == rank).groupBy("node").agg(F.count("*").alias("n")).where("n = 2")
+    return wishes.join(best.select("node"), "node", "left_semi")
+
+
+def _settle(ties: DataFrame, scale: DataFrame) -> DataFrame:
+    """Moves nodes of weighted networks (u, v, w both ways; loops count twice) until none gains by a move. Returns (node, community).
+
+    At first all nodes of a round may move, of half of them by hash, which is fast and may also lose; the best state met is kept. When that stops
+    gaining, moves that touch no community twice are made until there are none left: each of these gains what it promises, so the level ends.
+    """
+    rounds, moves = Rounds(3), Rounds(3)
+    volume = ties.groupBy("u").agg(F.sum("w").alias("k"))
+    first = volume.join(scale, F.col("u") == F.col("node")).select("node", F.col("node").alias("community"), "k", "two_m")
+    state = materialise(first, "state")
+    best, reached, waited, still, turn = state, _quality(ties, state), 0, 0, -1
     while waited < PATIENCE and still < 2:
         turn += 1
-        totals = state.groupBy("community").agg(F.sum("k").alias("total"))
-        near = ties.where("u <> v").join(state.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.sum("w").alias("inside"))
-        own = state.select(F.col("node").alias("u"), F.col("community").alias("mine"), "k")
-        tried = near.join(totals, "community").join(own, "u")
-        rest = F.when(F.col("community") == F.col("mine"), F.col("total") - F.col("k")).otherwise(F.col("total"))
-        tried = tried.withColumn("gain", F.col("inside") - F.col("k") * rest / two_m)
-        wish = tried.groupBy("u").agg(F.max_by(F.struct("community", "gain"), F.struct("gain", -F.col("community"))).alias("best"), F.max(F.when(F.col("community") == F.col("mine"), F.col("gain"))).alias("stay"))
         # Half of the nodes may move in a round, chosen by hash, so that neighbours don't swap for ever.
-        turn_of = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
-        alone = F.coalesce("stay", -F.col("k") * (F.col("total") - F.col("k")) / two_m)
-        moved = state.join(totals, "community").join(wish.withColumnRenamed("u", "node"), "node", "left")
-        target = F.when(turn_of & F.col("best").isNotNull() & (F.col("best.gain") > alone + 1e-9), F.col("best.community")).otherwise(F.col("community"))
-        after = materialise(moved.select("node", target.alias("community"), "k", (target != F.col("community")).alias("changed")), "state")
-        still = 0 if after.where("changed").head(1) else still + 1  # both halves had their turn
-        state = after.drop("changed")
-        now = quality(state)
+        wish = moves.write(_wishes(ties, state).where(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0), "wishes")
+        still = 0 if wish.head(1) else still + 1  # both halves had their turn
+        if still:
+            continue
+        state = rounds.write(_moved(state, wish), "state")
+        now = _quality(ties, state)
         if now > reached + 1e-12:
-            best, reached, waited = state, now, 0
+            best, reached, waited = materialise(state, "best"), now, 0
         else:
             waited += 1
-    return best.select("node", "community")
+    state = best
+    while True:
+        wish = moves.write(_wishes(ties, state), "wishes")
+        if wish.isEmpty():
+            return state.select("node", "community")
+        state = rounds.write(_moved(state, _apart(wish)), "state")
 
 
-def louvain(edges: DataFrame) -> DataFrame:
+def louvain(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, community): modularity is raised by moves within levels; communities become nodes of the next, until a level merges nothing. A community's name is its smallest node.
 
-    Moves are decided for all nodes of a round at once and made by a hashed half of them, so the result is
-    reproducible but differs from that of a sequential sweep.
+    nodes: (node, graph) if edges are the disjoint union of several networks; each then has a modularity of its own, and all
+    settle in the same rounds. Moves are decided for all nodes of a round at once, so the result is reproducible but differs from that of a
+    sequential sweep; as there, a level ends when no node gains by a move. Nodes without ties have no community.
     """
     both = edges.select("u", "v").union(edges.select("v", "u")).select(F.col("u"), F.col("v"), F.lit(1.0).alias("w"))
     ties = materialise(both, "ties")
+    volume = ties.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+    volume = volume.withColumn("graph", F.lit(0)) if nodes is None else volume.join(nodes.select("node", "graph"), "node")
+    total = volume.groupBy("graph").agg(F.sum("k").alias("two_m"))
+    scale = materialise(volume.join(total, "graph").select("node", "two_m"), "scale")  # a community is named by one of its nodes
     of = materialise(ties.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct(), "communities")
     while not ties.isEmpty():
-        step = _settle(ties)
+        step = _settle(ties, scale)
         merged = materialise(step.select(F.col("node").alias("from"), F.col("community").alias("to")), "step")
         if merged.where("`from` <> `to`").isEmpty():
             break

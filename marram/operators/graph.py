@@ -15,8 +15,8 @@ def simple_edges(pairs: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     return ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def adjacency(edges: DataFrame, *carry: str) -> DataFrame:
+    return edges.select("u", "v", *carry).union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), *carry))
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -76,9 +76,13 @@ def threshold(k: Column, k2: Column) -> Column:
 
 def summary(edges: DataFrame) -> DataFrame:
     """One row: sizes, degrees, threshold, density, clustering and transitivity."""
-    local = clustering(edges)
+    return summarised(clustering(edges), [])
+
+
+def summarised(local: DataFrame, by: list[str]) -> DataFrame:
+    """The same in groups of nodes, from their (by..., k, triangles, clustering); a group is a whole graph."""
     n, k = F.col("n_nodes"), F.col("mean_degree")
-    row = local.agg(
+    row = local.groupBy(*by).agg(
         F.count("*").alias("n_nodes"),
         (F.sum("k") / 2).cast("long").alias("n_edges"),
         F.max("k").alias("max_degree"),
@@ -90,12 +94,27 @@ def summary(edges: DataFrame) -> DataFrame:
     )
     density = F.when(n > 1, 2.0 * F.col("n_edges") / (n * (n - 1))).otherwise(0.0)
     transitivity = F.when(F.col("wedges") > 0, 3.0 * F.col("n_triangles") / F.col("wedges")).otherwise(0.0)
-    return row.select("n_nodes", "n_edges", "max_degree", "mean_degree", "second_moment", threshold(k, F.col("second_moment")).alias("threshold"), density.alias("density"), "clustering", transitivity.alias("transitivity"), "n_triangles")
+    return row.select(*by, "n_nodes", "n_edges", "max_degree", "mean_degree", "second_moment", threshold(k, F.col("second_moment")).alias("threshold"), density.alias("density"), "clustering", transitivity.alias("transitivity"), "n_triangles")
 
 
 def preparation_report(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """What the reduction to the largest component loses; deltas are differences of rounded values."""
-    figures = lambda df, p: summary(df).select(F.col("n_nodes").alias(f"{p}_n"), F.col("n_edges").alias(f"{p}_e"), F.col("max_degree").alias(f"{p}_kmax"), F.round("clustering", 4).alias(f"{p}_c"), F.round("threshold", 5).alias(f"{p}_beta"))
-    both = figures(simple_edges(pairs), "raw").crossJoin(figures(edges, "lcc"))  # one row each
-    loss = lambda c: F.round(100.0 * (F.col(f"raw_{c}") - F.col(f"lcc_{c}")) / F.col(f"raw_{c}"), 2)
-    return both.select("*", loss("n").alias("node_loss"), loss("e").alias("edge_loss"), F.round(F.abs(F.col("raw_c") - F.col("lcc_c")), 4).alias("delta_c"), F.round(F.abs(F.col("raw_beta") - F.col("lcc_beta")), 5).alias("delta_beta"))
+    both = summary(simple_edges(pairs)).select(*prepared_figures("raw")).crossJoin(summary(edges).select(*prepared_figures("lcc")))  # one row each
+    return both.select(*losses())
+
+
+_PREPARED = ("n", "e", "kmax", "c", "beta")
+
+
+def prepared_figures(p: str) -> list[Column]:
+    """The figures of a summary that a preparation report compares, under a prefix."""
+    columns = ("n_nodes", "n_edges", "max_degree"), (("clustering", 4), ("threshold", 5))
+    values = [*map(F.col, columns[0]), *[F.round(c, digits) for c, digits in columns[1]]]
+    return [v.alias(f"{p}_{name}") for v, name in zip(values, _PREPARED, strict=True)]
+
+
+def losses() -> list[Column]:
+    """Both sets of figures and what was lost between them, in percent (null of nothing) or as a difference."""
+    loss = lambda c: F.round(100.0 * (F.col(f"raw_{c}") - F.col(f"lcc_{c}")) / F.nullif(F.col(f"raw_{c}"), F.lit(0)), 2)
+    own = [F.col(f"{p}_{c}") for p in ("raw", "lcc") for c in _PREPARED]
+    return [*own, loss("n").alias("node_loss"), loss("e").alias("edge_loss"), F.round(F.abs(F.col("raw_c") - F.col("lcc_c")), 4).alias("delta_c"), F.round(F.abs(F.col("raw_beta") - F.col("lcc_beta")), 5).alias("delta_beta")]

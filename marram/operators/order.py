@@ -22,3 +22,13 @@ def before(df: DataFrame, order: list[str | Column], name: str, value: Column |
     inside = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("__inside", F.coalesce(inside, F.lit(0))).join(F.broadcast(shifts), "__part")
     return rows.withColumn(name, F.col("__shift") + F.col("__inside")).drop("__part", "__value", "__shift", "__inside")
+
+
+def place_within(df: DataFrame, by: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """Adds how many rows of the same group (by; no nulls) come earlier in the order: places over all groups, less where the group starts.
+
+    One group may hold any part of the rows, and many groups cost no more than one.
+    """
+    placed = materialise(before(df, [*by, *order], "__place"), "placed")
+    starts = placed.groupBy(*by).agg(F.min("__place").alias("__start"))
+    return placed.join(starts, by).withColumn(name, F.col("__place") - F.col("__start")).drop("__place", "__start")

@@ -95,7 +95,15 @@ def pair_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | No
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
-    """Exact shortest-path betweenness over unordered pairs, normalised by the number of pairs without the node.
+    """Exact shortest-path betweenness over unordered pairs, normalised by the number of pairs without the node."""
+    sums = dependencies(edges)
+    n = sums.agg(F.count("*").alias("n"))
+    pairs = (F.col("n") - 1) * (F.col("n") - 2)
+    return sums.crossJoin(F.broadcast(n)).select("node", F.when(pairs > 0, F.col("delta") / pairs).otherwise(0.0).alias("score"))  # n is one row
+
+
+def dependencies(edges: DataFrame) -> DataFrame:
+    """(node, delta): of every node, the shares of shortest paths through it, summed over ordered pairs of other nodes.
 
     Path counts go out from every source level by level, dependencies come back the same way; both are
     joins with the adjacency, so the state is a row for each pair of nodes.
@@ -124,10 +132,10 @@ def betweenness(edges: DataFrame) -> DataFrame:
         share = here.select("source", F.col("node").alias("w"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
         up = share.join(adj, share["w"] == adj["u"]).groupBy("source", F.col("v").alias("node")).agg(F.sum("share").alias("share"))
         back = levels[level - 1].join(up, ["source", "node"]).select("source", "node", (F.col("paths") * F.col("share")).alias("delta"))
-    n = nodes.agg(F.count("*").alias("n"))
-    sums = nodes.withColumn("delta", F.lit(0.0)) if total is None else nodes.join(total.groupBy("node").agg(F.sum("delta").alias("delta")), "node", "left")
-    pairs = (F.col("n") - 1) * (F.col("n") - 2)
-    return sums.crossJoin(F.broadcast(n)).select("node", F.when(pairs > 0, F.coalesce("delta", F.lit(0.0)) / pairs).otherwise(0.0).alias("score"))
+    if total is None:
+        return nodes.withColumn("delta", F.lit(0.0))
+    sums = total.groupBy("node").agg(F.sum("delta").alias("delta"))
+    return nodes.join(sums, "node", "left").select("node", F.coalesce("delta", F.lit(0.0)).alias("delta"))
 
 
 def jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:

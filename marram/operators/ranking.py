@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency, clustering, degrees, triangles
-from marram.operators.order import before
+from marram.operators.order import before, place_within
 from marram.sources.shared import Rounds, materialise
 
 
@@ -112,40 +116,163 @@ def community_bridges(edges: DataFrame, partition: DataFrame) -> DataFrame:
     return ties.groupBy(F.col("u").alias("node"), "size").agg(F.count_if(inside).alias("inner"), F.count_if(~inside).alias("outer"), F.count_distinct(F.when(~inside, F.col("cv"))).alias("foreign")).select("node", (F.col("size") * F.col("inner") + F.col("outer") * F.col("foreign")).cast("double").alias("score"))
 
 
-def vote_rank(edges: DataFrame) -> DataFrame:
-    """(node, rank, score = N - rank + 1) of every node by VoteRank; ties to the smaller id.
+#: Ties (both ways) of a block of nodes that a task may settle on its own in vote_rank.
+BLOCK_TIES = 1 << 20
+
+
+def _settled_in_block(ids: list[int], size: int, e2: int, counts: list[int], votes: list[int], inner: list[bool], heads: list[int], tails: list[int]) -> list[tuple[int, int]]:
+    """(place, votes) of the nodes of one block, of one network, that can be picked without knowing what other blocks pick.
+
+    inner: all nodes within two ties are in the block. Nodes come up by votes; an inner one that waits for nobody is picked, any other makes the
+    nodes within two ties wait for it. Votes of outer nodes are what they had at the start, which is never too few.
+    """
+    n = len(ids)
+    near: list[list[int]] = [[] for _ in range(n)]
+    for i, j in zip(heads, tails, strict=True):
+        near[i].append(j)
+    able = lambda c: max(0, e2 - c * size)
+    todo = [(-votes[i], ids[i], i) for i in range(n)]
+    heapify(todo)
+    open_, waits, picks = [True] * n, [False] * n, []
+    while todo:
+        v, _, i = heappop(todo)
+        if not open_[i]:
+            continue
+        if -v != votes[i]:
+            heappush(todo, (-votes[i], ids[i], i))
+            continue
+        open_[i] = False
+        if waits[i] or not inner[i]:
+            for j in near[i]:
+                waits[j] = True
+                for k in near[j]:
+                    waits[k] = True
+            continue
+        picks.append((i, votes[i]))
+        mine, counts[i] = able(counts[i]), e2 + 1  # its ability is gone
+        for j in near[i]:
+            votes[j] -= mine
+            lost = able(counts[j])
+            counts[j] += 1
+            if lost := lost - able(counts[j]):
+                for k in near[j]:
+                    votes[k] -= lost
+    return picks
+
+
+def _block_picks(state: DataFrame, adj: DataFrame, voted: DataFrame) -> DataFrame:
+    """(node, votes) of what blocks of consecutive nodes can pick on their own; a block has BLOCK_TIES ties at most, nodes of more belong to none."""
+    ties = state.join(adj.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("k")), "node", "left").select("node", "graph", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+    held = before(ties.where(F.col("k") <= BLOCK_TIES // 2), ["graph", "node"], "at", F.col("k") + 1)
+    of = materialise(held.select("node", "graph", F.floor(F.col("at") / (BLOCK_TIES // 2)).alias("block"), "k"), "blocks")
+    u = of.select(F.col("node").alias("u"), F.col("block").alias("bu"), F.col("graph").alias("gu"))
+    v = of.select(F.col("node").alias("v"), F.col("block").alias("bv"))
+    arcs = materialise(adj.join(u, "u", "left").join(v, "v", "left").where("bu is not null"), "arcs")  # from nodes of blocks
+    outer = lambda out: out.select(F.col("u").alias("node")).distinct()
+    first = materialise(outer(arcs.where("not (bu <=> bv)")), "outer")  # a neighbour is elsewhere
+    second = outer(arcs.join(first.withColumnRenamed("node", "v"), "v", "left_semi"))
+    far = first.union(second).distinct().withColumn("far", F.lit(True))
+    nodes = of.join(voted.select("node", "c", "n", "e2", F.col("own.votes").alias("votes")), "node").join(far, "node", "left")
+    rows = nodes.select("graph", "block", "node", F.lit(None).cast("long").alias("to"), "c", "n", "e2", "votes", F.coalesce("far", F.lit(False)).alias("far"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("c", "n", "e2", "votes")]
+    inside = arcs.where("bu = bv").select(F.col("gu").alias("graph"), F.col("bu").alias("block"), F.col("u").alias("node"), F.col("v").alias("to"), *none, F.lit(False).alias("far"))
+
+    def settle(table: pa.Table) -> pa.Table:
+        is_node = pc.is_null(table.column("to"))
+        own, ties = table.filter(is_node).sort_by("node"), table.filter(pc.invert(is_node))
+        ids = own.column("node").to_numpy()
+        heads, tails = (np.searchsorted(ids, ties.column(c).to_numpy()).tolist() for c in ("node", "to"))
+        lists = [own.column(c).to_pylist() for c in ("c", "votes")]
+        inner = [not x for x in own.column("far").to_pylist()]
+        picks = _settled_in_block(ids.tolist(), own.column("n")[0].as_py(), own.column("e2")[0].as_py(), *lists, inner, heads, tails)
+        return pa.table({"node": pa.array([int(ids[i]) for i, _ in picks], pa.int64()), "votes": pa.array([v for _, v in picks], pa.int64())})
+
+    return rows.union(inside).groupBy("graph", "block").applyInArrow(settle, "node long, votes long")
+
+
+def vote_rank(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, graph, rank, votes, score = N - rank + 1) of every node by VoteRank; ties to the smaller id.
+
+    nodes: (node, graph) if edges are the disjoint union of several networks, which are then ranked each by its own N and 2 E, all in the
+    same rounds; one network (graph 0) if None. Nodes without ties come last.
 
     A node's ability is max(0, 1 - c / <k>) after c of its neighbours were picked, 0 once it is picked. Times 2 E
     that is the integer max(0, 2 E - c N), so ties are exact. Votes only fall, and a pick changes them up to two ties
-    away; so a node with more votes than all that near is picked before them, with the votes it has. All such nodes
-    are picked in one round, and the order of picks is that of their votes. A round reads the ties between nodes not
-    yet picked; there are as many rounds as the longest chain of nodes that wait for each other.
+    away; so a node with more votes than all that near is picked before them, with the votes it has, and the order of picks is that of
+    their votes. A round takes all such nodes twice: first blocks of consecutive ids settle what depends on nodes of the block alone,
+    in a task each, however long the chains of nodes that wait for each other (a network of fewer than BLOCK_TIES / 2 ties is done
+    then); what is left is compared over the whole graph. So rounds grow with how often a chain changes its block, not with its length.
     """
-    k = degrees(edges)
-    n, e2 = k.agg(F.count("*"), F.sum("k")).first()
-    live, states, picks = Rounds(2), Rounds(2), []
+    own = degrees(edges).select("node", F.lit(0).cast("long").alias("graph")) if nodes is None else nodes.select("node", "graph")
+    k = own.join(degrees(edges), "node", "left").select("node", "graph", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
+    sizes = k.groupBy("graph").agg(F.count("*").alias("n"), F.sum("k").alias("e2"))
+    live, states, picks = Rounds(3), Rounds(3), []
     adj = live.write(adjacency(edges), "adjacency")
-    state = states.write(k.select("node", F.lit(0).cast("long").alias("c")), "abilities")
-    ability = F.greatest(F.lit(0).cast("long"), F.lit(e2 or 0) - F.col("c") * F.lit(n))
-    while not state.isEmpty():
-        able = state.select(F.col("node").alias("v"), ability.alias("ability"))
-        votes = adj.join(able, "v").groupBy("u").agg(F.sum("ability").alias("votes"))
-        voted = materialise(state.join(votes, F.col("node") == F.col("u"), "left").select("node", "c", F.struct(F.coalesce("votes", F.lit(0)).alias("votes"), (-F.col("node")).alias("id")).alias("own")), "votes")
-        best = voted.select(F.col("node").alias("u"), F.col("own").alias("best"))
-        for _ in range(2):  # the best of the neighbourhood, and of its neighbourhoods
-            around = adj.join(best.withColumnRenamed("u", "v"), "v").select("u", "best").union(best)
-            best = around.groupBy("u").agg(F.max("best").alias("best"))
-        picked = materialise(voted.join(best, F.col("node") == F.col("u")).where("own = best").select("node", F.col("own.votes").alias("votes")), "picked")
+    state = states.write(k.join(sizes, "graph").select("node", "graph", "n", "e2", F.lit(0).cast("long").alias("c")), "abilities")
+    ability = F.greatest(F.lit(0).cast("long"), F.col("e2") - F.col("c") * F.col("n"))
+    sized = state.select("node", "graph", "n")
+
+    def take(picked: DataFrame) -> None:
+        """Removes the picked nodes and lowers what their neighbours can give."""
+        nonlocal state, adj
         picks.append(picked)
         gone = picked.select(F.col("node").alias("v"))
         hit = adj.join(gone, "v").groupBy("u").agg(F.count("*").alias("hits"))
         left = state.join(picked, "node", "left_anti")
-        state = states.write(left.join(hit, F.col("node") == F.col("u"), "left").select("node", (F.col("c") + F.coalesce("hits", F.lit(0))).alias("c")), "abilities")
+        state = states.write(left.join(hit, F.col("node") == F.col("u"), "left").select("node", "graph", "n", "e2", (F.col("c") + F.coalesce("hits", F.lit(0))).alias("c")), "abilities")
         adj = live.write(adj.join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "u"), "u", "left_anti").select("u", "v"), "adjacency")
+
+    def votes() -> DataFrame:
+        able = state.select(F.col("node").alias("v"), ability.alias("ability"))
+        given = adj.join(able, "v").groupBy("u").agg(F.sum("ability").alias("votes"))
+        mine = F.struct(F.coalesce("votes", F.lit(0)).alias("votes"), (-F.col("node")).alias("id")).alias("own")
+        return materialise(state.join(given, F.col("node") == F.col("u"), "left").select("node", "graph", "n", "e2", "c", mine), "votes")
+
+    sized = materialise(sized, "sized")
+    while not state.isEmpty():
+        take(materialise(_block_picks(state, adj, votes()), "picked"))
+        if state.isEmpty():
+            break
+        voted = votes()
+        best = voted.select(F.col("node").alias("u"), F.col("own").alias("best"))
+        for _ in range(2):  # the best of the neighbourhood, and of its neighbourhoods
+            around = adj.join(best.withColumnRenamed("u", "v"), "v").select("u", "best").union(best)
+            best = around.groupBy("u").agg(F.max("best").alias("best"))
+        take(materialise(voted.join(best, F.col("node") == F.col("u")).where("own = best").select("node", F.col("own.votes").alias("votes")), "picked"))
     if not picks:
-        return k.select("node", F.lit(0).alias("rank"), F.lit(0.0).alias("score"))
-    order = before(reduce(DataFrame.union, picks).withColumn("less", -F.col("votes")), ["less", "node"], "before")
-    return order.select("node", (F.col("before") + 1).cast("int").alias("rank"), (F.lit(n) - F.col("before")).cast("double").alias("score"))
+        return sized.select("node", "graph", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("votes"), F.lit(0.0).alias("score"))
+    every = reduce(DataFrame.union, picks).join(sized, "node").withColumn("less", -F.col("votes"))
+    order = place_within(every, ["graph"], ["less", "node"], "before")
+    return order.select("node", "graph", (F.col("before") + 1).cast("int").alias("rank"), "votes", (F.col("n") - F.col("before")).cast("double").alias("score"))
+
+
+def vote_ties(edges: DataFrame, order: DataFrame) -> DataFrame:
+    """(graph, steps, tied): in how many steps of VoteRank (its order, from vote_rank) another node had as many votes as the one picked.
+
+    Picks of equal votes follow each other, so all but the last of them were tied with the next. The last was tied if its own pick took
+    votes from a node that had as many; votes are replayed from the order: a neighbour's ability falls with each pick beside it, to nothing
+    when it is picked itself, so each node passes on a number of events that grows with the mean degree, not with its own.
+    """
+    adj = adjacency(edges)
+    sizes = order.join(degrees(edges), "node", "left").groupBy("graph").agg(F.count("*").alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("e2"))
+    placed = materialise(order.select("node", "graph", "rank", "votes").join(sizes, "graph"), "order")
+    last = placed.groupBy("graph", "votes").agg(F.max("rank").alias("rank"))
+    rank_of = placed.select(F.col("node").alias("v"), F.col("rank").alias("rv"))
+    beside = adj.join(rank_of, "v").join(placed.select(F.col("node").alias("u"), "n", "e2", "rank"), "u").where("rv < rank")
+    nth = F.row_number().over(Window.partitionBy("u").orderBy("rv"))
+    ability = lambda c: F.greatest(F.lit(0).cast("long"), F.col("e2") - c * F.col("n"))
+    beside = beside.withColumn("nth", nth).withColumn("lost", ability(F.col("nth") - 1) - ability(F.col("nth"))).where("lost > 0")
+    used = beside.groupBy("u").agg(F.sum("lost").alias("used"))
+    falls = beside.select(F.col("u").alias("z"), F.col("rv").alias("at"), "lost")
+    ends = placed.join(used, placed["node"] == used["u"], "left").select(F.col("node").alias("z"), F.col("rank").alias("at"), (F.col("e2") - F.coalesce("used", F.lit(0))).alias("lost"))
+    events = materialise(falls.union(ends.where("lost > 0")), "events")
+    heard = adj.select(F.col("u").alias("node"), F.col("v").alias("z")).join(events, "z").groupBy("node", "at").agg(F.sum("lost").alias("lost"))
+    start = placed.join(degrees(edges), "node").select("node", "graph", "rank", (F.col("k") * F.col("e2")).alias("full"))
+    until = Window.partitionBy("node").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    told = heard.withColumn("fallen", F.coalesce(F.sum("lost").over(until), F.lit(0))).join(start, "node").where("at < rank")
+    near = told.select("graph", F.col("at").alias("rank"), (F.col("full") - F.col("fallen")).alias("votes")).join(last, ["graph", "rank", "votes"], "left_semi").select("graph", "rank").distinct()
+    alone = last.join(near, ["graph", "rank"], "left_anti").groupBy("graph").agg(F.count("*").alias("alone"))
+    return sizes.join(alone, "graph", "left").select("graph", F.col("n").alias("steps"), (F.col("n") - F.coalesce("alone", F.lit(0))).alias("tied"))
 
 
 def ranked(scores: DataFrame, digits: int | None = 8) -> DataFrame:
@@ -163,6 +290,13 @@ def seed_count(n: int, percent: int, rule: str = "floor1") -> int:
     return min(n, max(2 if rule == "ceil2" else 1, up))
 
 
+def seeds_of(n: Column, percent: Column, rule: str = "floor1") -> Column:
+    """The same for columns."""
+    if rule == "floor1":
+        return F.greatest(F.lit(1).cast("long"), F.floor(n * percent / 100))
+    return F.least(n, F.greatest(F.lit(2 if rule == "ceil2" else 1).cast("long"), F.ceil(n * percent / 100)))
+
+
 def ratio_window(n: int, length: int = 10) -> list[int]:
     """Ten whole percentages in a row, from the first that gives two seeds; raises ValueError if they pass 100."""
     if n < 2:

@@ -40,13 +40,20 @@ def infections(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataF
 
     seeds: (set_id, node); settings: (run, beta), each applied to every seed set; arcs open where
     uniform(run, u, v) < beta, so they nest over beta. Recovery is certain after one step.
+
+    If settings have a column graph, edges and seeds must have it too: each network of a disjoint union is then run with its own settings.
     """
-    return _spread(edges, seeds, settings, ["beta"], lambda run: uniform(run, "u", "v") < F.col("beta"))
+    return _spread(edges, seeds, settings, _of_network(settings) + ["beta"], lambda run: uniform(run, "u", "v") < F.col("beta"))
+
+
+def _of_network(settings: DataFrame) -> list[str]:
+    return ["graph"] if "graph" in settings.columns else []
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[str], opens: Callable[[Column], Column]) -> DataFrame:
     """All nodes reached over open arcs with the step of arrival, in the runs of the settings (a plan, not data; each run once for equal keys)."""
-    adj = adjacency(edges)
+    own = _of_network(settings)
+    adj = adjacency(edges, *own)
     plan = settings.select("run", *keys).distinct()
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1  # of a plan
     plan = plan.withColumn("at", place).groupBy(*keys, F.floor(F.col("at") / 64).alias("word")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
@@ -54,10 +61,11 @@ def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[
     groups = [*keys, "word"]
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     bits = F.aggregate(F.transform("runs", lambda r, i: F.when(opens(r), bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    arcs = materialise(adj.join(plan).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
+    arcs = materialise((adj.join(plan, own) if own else adj.join(plan)).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
     all_runs = F.aggregate(F.transform("runs", lambda r, i: bit(i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     step = 0
-    start = seeds.select("set_id", "node").distinct().join(plan).select("set_id", *groups, "node", all_runs.alias("now"))
+    start = seeds.select("set_id", "node", *own).distinct()
+    start = (start.join(plan, own) if own else start.join(plan)).select("set_id", *groups, "node", all_runs.alias("now"))
     ring = materialise(start, "ring")
     seen, rings = ring, [ring.withColumn("step", F.lit(0))]
     nothing = F.lit(0).cast("long")
@@ -89,7 +97,7 @@ def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataF
         attempt = F.when(F.col("beta") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform(run, "u", "v")) / F.log(1 - F.col("beta"))))
         return attempt <= stay
 
-    return _spread(edges, seeds, settings, ["beta", "gamma"], opens).drop("step")
+    return _spread(edges, seeds, settings, _of_network(settings) + ["beta", "gamma"], opens).drop("step")
 
 
 def transmission(t: Column, gamma: Column) -> Column:
@@ -104,17 +112,19 @@ def final_sizes(infected: DataFrame) -> DataFrame:
 
 
 def curves(infected: DataFrame, horizon: int) -> DataFrame:
-    """(set_id, run, beta, t, n_infected): nodes infected by step t, for t from 0 to horizon - 1."""
-    keys = ["set_id", "run", "beta"]
+    """(set_id, run, beta, t, n_infected): nodes infected by step t, for t from 0 to horizon - 1; also by graph if infected has it."""
+    keys = [c for c in infected.columns if c not in ("node", "step")]
     at = infected.where(F.col("step") < horizon).groupBy(*keys, "step").agg(F.count("*").alias("n"))
     later = at.select(*keys, F.explode(F.sequence(F.col("step"), F.lit(horizon - 1))).alias("t"), "n")
     return later.groupBy(*keys, "t").agg(F.sum("n").alias("n_infected"))
 
 
 def block_means(sizes: DataFrame, n_nodes: DataFrame) -> DataFrame:
-    """(set_id, beta, block, percent): mean share of infected nodes over the repeats of a block. n_nodes: one row (n)."""
-    by = sizes.withColumn("block", F.floor(F.col("run") / 1000)).groupBy("set_id", "beta", "block").agg(F.avg("n_infected").alias("mean"))
-    return by.crossJoin(F.broadcast(n_nodes)).select("set_id", "beta", "block", (100.0 * F.col("mean") / F.col("n")).alias("percent"))
+    """(set_id, beta, block, percent): mean share of infected nodes over the repeats of a block. n_nodes: one row (n), or (graph, n) if sizes have a graph."""
+    own = _of_network(sizes)
+    by = sizes.withColumn("block", F.floor(F.col("run") / 1000)).groupBy(*own, "set_id", "beta", "block").agg(F.avg("n_infected").alias("mean"))
+    by = by.join(n_nodes, own) if own else by.crossJoin(F.broadcast(n_nodes))
+    return by.select(*own, "set_id", "beta", "block", (100.0 * F.col("mean") / F.col("n")).alias("percent"))
 
 
 def single_node_sizes(edges: DataFrame, nodes: DataFrame, settings: DataFrame) -> DataFrame:

@@ -16,6 +16,21 @@ def co_ordered_parts(spark: SparkSession, sf_dir: str, least_quantity: float = 4
     return simple_edges(pairs)
 
 
+def co_shipped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph, u, v): parts that share an order in lines of the same return flag and status, which name the network."""
+    lines = _lines_by_status(spark, sf_dir, "l_orderkey")
+    return lines.withColumnRenamed("part", "u").join(lines.withColumnRenamed("part", "v"), ["l_orderkey", "graph"]).where("u < v").select("graph", "u", "v")
+
+
+def shipped_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph, node): all parts in lines of each return flag and status."""
+    return _lines_by_status(spark, sf_dir).select("graph", F.col("part").alias("node")).distinct()
+
+
+def _lines_by_status(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*keys, F.concat("l_returnflag", "l_linestatus").alias("graph"), F.col("l_partkey").alias("part"))
+
+
 def users_in_step(spark: SparkSession, sf_dir: str, seconds: int = 120) -> DataFrame:
     """Users with an event of one type within so many seconds: events meet in their own time slot and the next, so it is an equi-join."""
     e = table(spark, sf_dir, "events").select("event_type", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))

@@ -253,19 +253,23 @@ def score_e(spark, sf_dir):
     return scored(cl.external_degree_sum(*g_cliques(spark, sf_dir)))
 
 
-def constraint_sql(*, overlap: bool = True, external: bool = True, transform: str = "log", norm: str = "max") -> str:
-    """The literal form over pairs of cliques."""
+def constraint_terms(*, overlap: bool = True, external: bool = True, transform: str = "log", norm: str = "max") -> str:
+    """cterm(node, score), in the literal form over pairs of cliques."""
     phi = {"log": "ln(1 + x)", "linear": "x", "boxcox": "2 * (sqrt(1.0 + x) - 1)"}[transform]
     p = f"(1 - press / ({norm}(press) OVER (PARTITION BY clique) + {cl.XI})) / l" if external else "1.0::DOUBLE / l"
-    indirect = "coalesce((SELECT sum(b.p * greatest(0, sh.n - 1) / (b.size - 1)) FROM p b JOIN shared sh ON sh.a = a.clique AND sh.b = b.clique WHERE b.node = a.node AND b.clique <> a.clique), 0)" if overlap else "0"
-    shared = "shared AS MATERIALIZED (SELECT a.clique AS a, b.clique AS b, count(*) AS n FROM inc a JOIN inc b ON a.node = b.node AND a.clique <> b.clique GROUP BY ALL)," if overlap else ""
-    return f"""{G},{CLIQUES}, {shared}
-    x AS (SELECT inc.*, n.k, greatest(0, n.k - (inc.size - 1)) AS ext, count(*) OVER (PARTITION BY inc.node) AS l FROM inc JOIN n USING (node)),
-    y AS (SELECT *, sum(ext) OVER (PARTITION BY clique) - ext AS x FROM x),
-    z AS (SELECT *, ext + CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE {phi} END AS press FROM y),
-    p AS MATERIALIZED (SELECT node, clique, size, {p} AS p FROM z),
-    t AS (SELECT a.node, a.p + {indirect} AS term FROM p a)
-    SELECT node, round(1 - sum(term * term), 6) + 0.0 AS score FROM t GROUP BY node"""
+    indirect = "coalesce((SELECT sum(b.p * greatest(0, sh.n - 1) / (b.size - 1)) FROM cp b JOIN cshared sh ON sh.a = a.clique AND sh.b = b.clique WHERE b.node = a.node AND b.clique <> a.clique), 0)" if overlap else "0"
+    shared = "cshared AS MATERIALIZED (SELECT a.clique AS a, b.clique AS b, count(*) AS n FROM inc a JOIN inc b ON a.node = b.node AND a.clique <> b.clique GROUP BY ALL)," if overlap else ""
+    return f"""{shared}
+    cx AS (SELECT inc.*, n.k, greatest(0, n.k - (inc.size - 1)) AS ext, count(*) OVER (PARTITION BY inc.node) AS l FROM inc JOIN n USING (node)),
+    cy AS (SELECT *, sum(ext) OVER (PARTITION BY clique) - ext AS x FROM cx),
+    cz AS (SELECT *, ext + CASE WHEN x <= 0 THEN 0.0::DOUBLE ELSE {phi} END AS press FROM cy),
+    cp AS MATERIALIZED (SELECT node, clique, size, {p} AS p FROM cz),
+    ct AS (SELECT a.node, a.p + {indirect} AS term FROM cp a),
+    cterm AS (SELECT node, 1 - sum(term * term) AS score FROM ct GROUP BY node)"""
+
+
+def constraint_sql(**options) -> str:
+    return f"{G},{CLIQUES}, {constraint_terms(**options)} SELECT node, round(score, 6) + 0.0 AS score FROM cterm"
 
 
 def _variant(name: str, options: dict) -> None:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marram.operators import controls, graph, paths, ranking, spread, statistics
+from marram.operators import collection, controls, graph, paths, ranking, spread, statistics
 from marram.sources.shared import materialise
 
 
@@ -77,6 +77,19 @@ def seed_ratio_study(edges: DataFrame, scores: DataFrame, percents: list[int], *
     return observed.select(_of_set("method").alias("method"), _of_set("percent").cast("int").alias("percent_seeds"), "block", "percent")
 
 
+def networks_seed_ratio_study(networks: collection.Collection, ranks: DataFrame, percents: list[int], *, blocks: int = 50, repeats: int = 20, times: float = 2.5) -> DataFrame:
+    """(graph, method, percent_seeds, block, percent) for the first nodes of each ranking in each network, at a multiple of the network's own threshold.
+
+    One simulation serves all networks, methods and shares; networks without a threshold have no rows.
+    """
+    seeds = materialise(collection.seed_sets(networks, ranks, percents), "seeds")
+    rates = collection.figures(networks).select("graph", (times * F.col("threshold")).alias("beta")).where("beta is not null")
+    plan = materialise(rates.crossJoin(spread.runs(rates.sparkSession, blocks, repeats).select("run")), "rates")  # a row a network and run
+    infected = spread.infections(networks.edges, seeds, plan)
+    observed = spread.block_means(spread.final_sizes(infected), networks.sizes())
+    return materialise(observed.select("graph", _of_set("method").alias("method"), _of_set("percent").cast("int").alias("percent_seeds"), "block", "percent"), "blocks")
+
+
 def temporal_study(edges: DataFrame, scores: DataFrame, k: int = 10, *, blocks: int = 50, repeats: int = 20, times: float = 2.5, horizon: int = 50) -> DataFrame:
     """(method, t, mean share of infected nodes in percent, half width of its interval over blocks)."""
     seeds = rank_methods(scores).where(F.col("rank") <= k).select(F.col("method").alias("set_id"), "node")
