@@ -8,7 +8,7 @@
    the largest that fit while it is beyond the table, then dynamic programming over all sums, with counts split
    in powers of two. Sums are the bits of one integer, and each sum keeps the part that reached it first.
 4. Of each size the documents with the smallest seeded hashes are taken. Their order is found in bins of a bounded
-   number of documents, so one size, or one id, may hold any part of all rows.
+   number of documents (a size has the square root of its documents in bins), so one size, or one id, may hold any part of all rows.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from marram.sources.shared import materialise, pick
 
 #: Weights of the sources in the order of their names, repeating; the budget in percent of all sizes; the most passes over a source.
 WEIGHTS, BUDGET, PASSES = (3, 1, 2), 150, 2
-#: Bits of the table of sums, documents of a size that are ordered in a task, about, and rows made at once of one that is repeated.
-SUMS, BIN, ROWS = 1 << 18, 4096, 1 << 16
+#: Bits of the table of sums, and rows made at once of one that is repeated.
+SUMS, ROWS = 1 << 18, 1 << 16
 
 
 def size_of(text: str | Column) -> Column:
@@ -150,12 +150,12 @@ def _selected(rows: DataFrame, choices: DataFrame, goals: DataFrame, seed: int)
     u = choices.select(F.col("source").alias("u_source"), F.col("size").alias("u_size"), "docs", "base", "extra")
     joined = rows.join(u, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("size") == F.col("u_size")), "left").drop("u_source", "u_size")
     h = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "print")
-    bins = F.greatest(F.floor(F.col("docs") / BIN), F.lit(1))
+    bins = F.ceil(F.sqrt("docs"))
     joined = joined.select("*", h.alias("h")).withColumn("bin", F.pmod(F.shiftrightunsigned("h", 20), bins))
     joined = materialise(joined, "binned")
     key = ["source", "size", "bin"]
     held = joined.where("extra > 0").groupBy(*key).agg(F.sum("rows").alias("held"), F.first("extra").alias("wanted"))
-    # Bins are a 4096th of the documents, and no more than that are in a window: those of a size.
+    # A window has the bins of one size, and a bin as many documents, about: the square root of those of the size.
     order = Window.partitionBy("source", "size").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     held = held.withColumn("earlier", F.coalesce(F.sum("held").over(order), F.lit(0)))
     quota = held.select(*[F.col(k).alias(f"b_{k}") for k in key], F.greatest(F.least(F.col("wanted") - F.col("earlier"), F.col("held")), F.lit(0)).alias("quota"), "held")

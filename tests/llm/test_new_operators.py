@@ -248,7 +248,6 @@ def test_mixing_meets_its_targets(spark):
 
 
 def test_mixing_in_small_bins_and_edge_cases(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BIN", 5)
     monkeypatch.setattr(mixing, "ROWS", 4)
     rows = [(i, "one two three", "hot") for i in range(400)] + [(i % 3, "same words", "copies") for i in range(60)] + [(1, "a", None)]
     docs = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "source", "source as SIZE", "source as `Target`")
