@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency, degrees, relabel
-from marram.sources.shared import materialise
+from marram.operators.order import before, place_within
+from marram.operators.permute import permuted
+from marram.sources.shared import Rounds, materialise
 
 WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
@@ -79,19 +81,67 @@ def dispersion(edges: DataFrame, seeds: DataFrame, unreachable: int | None = Non
     return among.select("k", value.alias("mean_distance"))
 
 
-def pair_distances(edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(source, node, d) for every node that a source reaches (or every target), by a frontier of pairs; for few sources."""
+def pair_distances(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, node, d) of the pairs (source, node) that reach each other, by a search from their sources alone.
+
+    As in distance_sums a row carries a block of sources as bits; a level looks up which of the pairs not yet found have the bit of
+    their source set, and the search ends with the last pair that is found, or that can't be.
+    """
     adj = materialise(adjacency(edges), "adjacency")
-    seen = ring = last = materialise(sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("d")).distinct(), "pairs")
-    d = 0
-    while not ring.isEmpty():
+    wanted = materialise(pairs.select("source", "node").distinct(), "pairs")
+    labels = materialise(before(wanted.select("source").distinct(), ["source"], "label"), "labels")
+    label, span = F.col("label"), 64 * WORDS
+    own = [F.when(F.floor(label % span / 64) == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(_BITS)]
+    todo = wanted.join(labels, "source").select("source", "node", F.floor(label / span).alias("block"), F.floor(label % span / 64).cast("int").alias("word"), (label % 64).cast("int").alias("bit"))
+    found, rings, states, open_ = [materialise(wanted.where("source = node").withColumn("d", F.lit(0)), "found")], Rounds(3), Rounds(3), Rounds(3)
+    todo = open_.write(todo.where("source <> node"), "todo")
+    ring = rings.write(labels.select(F.col("source").alias("node"), F.floor(label / span).alias("block"), *own), "ring")
+    seen, d = ring, 0
+    while not todo.isEmpty() and not ring.isEmpty():
         d += 1
-        further = ring.join(adj, ring["node"] == adj["u"]).select("source", F.col("v").alias("node")).distinct()
-        for old in (ring, last):  # a neighbour is at most one level back
-            further = further.join(old.select("source", "node"), ["source", "node"], "left_anti")
-        last, ring = ring, materialise(further.withColumn("d", F.lit(d)), "pairs")
-        seen = seen.union(ring)
-    return seen if targets is None else seen.join(targets.select("node"), "node", "left_semi").select("source", "node", "d")
+        told = [F.bit_or(b).alias(b) for b in _BITS]
+        reached = ring.join(adj, ring["node"] == adj["u"]).groupBy(F.col("v").alias("node"), "block").agg(*told)
+        old = seen.select("node", "block", *[F.col(b).alias(f"s{b}") for b in _BITS])
+        fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.coalesce(f"s{b}", F.lit(0).cast("long")))).alias(b) for b in _BITS]
+        ring = rings.write(reached.join(old, ["node", "block"], "left").select("node", "block", *fresh).where(" or ".join(f"{b} <> 0" for b in _BITS)), "ring")
+        seen = states.write(seen.union(ring).groupBy("node", "block").agg(*told), "seen")
+        here = F.expr(f"shiftright(element_at(array({', '.join(_BITS)}), word + 1), bit) & 1 = 1")
+        hit = materialise(todo.join(ring, ["node", "block"]).where(here).select("source", "node", F.lit(d).alias("d")), "found")
+        found.append(hit)
+        todo = open_.write(todo.join(hit, ["source", "node"], "left_anti"), "todo")
+    return reduce(DataFrame.union, found)
+
+
+def sampled_pairs(sets: DataFrame, most: int = 6000, seed: int = 0) -> DataFrame:
+    """(set_id, source, node), source < node: all unordered pairs of each set (set_id, node) if there are no more than `most`, else that many different ones.
+
+    Pairs are numbered, and a permutation keyed by the set gives the numbers to take, so no pair is listed that isn't taken.
+    """
+    placed = materialise(place_within(sets.select("set_id", "node").distinct(), ["set_id"], ["node"], "at"), "places")
+    total = F.shiftright(F.col("k") * (F.col("k") - 1), 1)
+    counts = placed.groupBy("set_id").agg(F.count("*").alias("k")).select("set_id", total.alias("total")).where("total > 0")
+    numbers = counts.select("set_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), F.col("total")) - 1)).alias("q"))
+    p = F.when(F.col("total") > most, permuted(F.col("q"), F.col("total"), F.lit(seed), F.lit("pairs"), F.col("set_id"))).otherwise(F.col("q"))
+    # Pair p stands for places i < j: j is the largest whole number with j (j - 1) / 2 <= p.
+    rough = F.floor((1 + F.sqrt(1 + 8 * F.col("p").cast("double"))) / 2).cast("long")
+    before_ = lambda j: F.shiftright(j * (j - 1), 1)
+    exact = F.when(before_(rough) > F.col("p"), rough - 1).when(before_(rough + 1) <= F.col("p"), rough + 1).otherwise(rough)
+    picked = numbers.select("set_id", p.alias("p")).select("set_id", "p", exact.alias("j")).select("set_id", (F.col("p") - before_(F.col("j"))).alias("i"), "j")
+    a, b = placed.select("set_id", F.col("at").alias("i"), F.col("node").alias("source")), placed.select("set_id", F.col("at").alias("j"), "node")
+    return picked.join(a, ["set_id", "i"]).join(b, ["set_id", "j"]).select("set_id", "source", "node")
+
+
+def sampled_dispersion(edges: DataFrame, sets: DataFrame, most: int = 6000, seed: int = 0) -> DataFrame:
+    """(set_id, k, pairs, mean_distance) of seed sets (set_id, node): over all unordered pairs of a set, or `most` different ones of them if there are more.
+
+    One search serves all sets, from the sources of their pairs. Pairs out of reach count as the number of nodes; 0 for fewer than two seeds.
+    """
+    n = degrees(edges).agg(F.count("*").alias("n"))
+    pairs = materialise(sampled_pairs(sets, most, seed), "pairs")
+    far = pairs.join(pair_distances(edges, pairs), ["source", "node"], "left").crossJoin(F.broadcast(n))  # n is one row
+    means = far.groupBy("set_id").agg(F.count("*").alias("pairs"), F.avg(F.coalesce("d", "n")).alias("mean_distance"))
+    k = sets.select("set_id", "node").distinct().groupBy("set_id").agg(F.count("*").alias("k"))
+    return k.join(means, "set_id", "left").select("set_id", "k", F.coalesce("pairs", F.lit(0)).cast("long").alias("pairs"), F.coalesce("mean_distance", F.lit(0.0)).alias("mean_distance"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:

@@ -41,19 +41,21 @@ def infections(edges: DataFrame, seeds: DataFrame, settings: DataFrame) -> DataF
     seeds: (set_id, node); settings: (run, beta), each applied to every seed set; arcs open where
     uniform(run, u, v) < beta, so they nest over beta. Recovery is certain after one step.
 
-    If settings have a column graph, edges and seeds must have it too: each network of a disjoint union is then run with its own settings.
+    If settings have a column graph, edges and seeds must have it too: each network of a disjoint union is then run with its own settings. If they have a
+    column method, seeds must have it: each method's sets then meet its own runs only.
     """
-    return _spread(edges, seeds, settings, _of_network(settings) + ["beta"], lambda run: uniform(run, "u", "v") < F.col("beta"))
+    return _spread(edges, seeds, settings, _scopes(settings) + ["beta"], lambda run: uniform(run, "u", "v") < F.col("beta"))
 
 
-def _of_network(settings: DataFrame) -> list[str]:
-    return ["graph"] if "graph" in settings.columns else []
+def _scopes(df: DataFrame) -> list[str]:
+    return [c for c in ("graph", "method") if c in df.columns]
 
 
 def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[str], opens: Callable[[Column], Column]) -> DataFrame:
     """All nodes reached over open arcs with the step of arrival, in the runs of the settings (a plan, not data; each run once for equal keys)."""
-    own = _of_network(settings)
-    adj = adjacency(edges, *own)
+    own = _scopes(settings)
+    shared = [c for c in own if c in edges.columns]
+    adj = adjacency(edges, *shared)
     plan = settings.select("run", *keys).distinct()
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("run")) - 1  # of a plan
     plan = plan.withColumn("at", place).groupBy(*keys, F.floor(F.col("at") / 64).alias("word")).agg(F.sort_array(F.collect_list("run")).alias("runs"))
@@ -61,7 +63,7 @@ def _spread(edges: DataFrame, seeds: DataFrame, settings: DataFrame, keys: list[
     groups = [*keys, "word"]
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     bits = F.aggregate(F.transform("runs", lambda r, i: F.when(opens(r), bit(i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-    arcs = materialise((adj.join(plan, own) if own else adj.join(plan)).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
+    arcs = materialise((adj.join(plan, shared) if shared else adj.join(plan)).select("u", "v", *groups, bits.alias("open")).where("open <> 0"), "arcs")
     all_runs = F.aggregate(F.transform("runs", lambda r, i: bit(i)), F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
     step = 0
     start = seeds.select("set_id", "node", *own).distinct()
@@ -97,7 +99,7 @@ def infections_with_recovery(edges: DataFrame, seeds: DataFrame, settings: DataF
         attempt = F.when(F.col("beta") >= 1, F.lit(1.0)).otherwise(1 + F.floor(F.log(1 - uniform(run, "u", "v")) / F.log(1 - F.col("beta"))))
         return attempt <= stay
 
-    return _spread(edges, seeds, settings, _of_network(settings) + ["beta", "gamma"], opens).drop("step")
+    return _spread(edges, seeds, settings, _scopes(settings) + ["beta", "gamma"], opens).drop("step")
 
 
 def transmission(t: Column, gamma: Column) -> Column:
@@ -120,15 +122,16 @@ def curves(infected: DataFrame, horizon: int) -> DataFrame:
 
 
 def block_means(sizes: DataFrame, n_nodes: DataFrame) -> DataFrame:
-    """(set_id, beta, block, percent): mean share of infected nodes over the repeats of a block. n_nodes: one row (n), or (graph, n) if sizes have a graph."""
-    own = _of_network(sizes)
+    """(set_id, beta, block, percent): mean share of infected nodes over the repeats of a block; also by graph and method if sizes have them. n_nodes: one row (n), or (graph, n) if sizes have a graph."""
+    own = _scopes(sizes)
     by = sizes.withColumn("block", F.floor(F.col("run") / 1000)).groupBy(*own, "set_id", "beta", "block").agg(F.avg("n_infected").alias("mean"))
-    by = by.join(n_nodes, own) if own else by.crossJoin(F.broadcast(n_nodes))
+    by = by.join(n_nodes, "graph") if "graph" in own else by.crossJoin(F.broadcast(n_nodes))
     return by.select(*own, "set_id", "beta", "block", (100.0 * F.col("mean") / F.col("n")).alias("percent"))
 
 
 def single_node_sizes(edges: DataFrame, nodes: DataFrame, settings: DataFrame) -> DataFrame:
-    """(node, score): mean number of nodes infected from each node alone, over the runs of the settings."""
-    alone = nodes.select(F.col("node").cast("string").alias("set_id"), "node")
+    """(node, score): mean number of nodes infected from each node alone, over the runs of the settings; by graph and method too if the settings have them."""
+    own = _scopes(settings)
+    alone = nodes.select(F.col("node").cast("string").alias("set_id"), "node", *own)
     sizes = final_sizes(infections(edges, alone, settings))
-    return sizes.groupBy(F.col("set_id").cast("long").alias("node")).agg(F.avg("n_infected").alias("score"))
+    return sizes.groupBy(*own, F.col("set_id").cast("long").alias("node")).agg(F.avg("n_infected").alias("score"))

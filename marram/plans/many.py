@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from marram.operators import cliques as cl
 from marram.operators import collection
 from marram.plans import graphs, study
-from marram.plans.registry import CLIQUES, CORNERS, ORACLES, QUERIES, RIM, SH, constraint_terms, core_sql, distances_sql, query, r6, wilcoxon_sql  # noqa: F401  the entry takes both registries from here
+from marram.plans.registry import CLIQUES, CORNERS, FIGURES, LOSSES, ORACLES, PREPARED, QUERIES, RIM, SH, constraint_terms, core_sql, distances_sql, labels_sql, query, r6, wilcoxon_sql  # noqa: F401  the entry takes both registries from here
 from marram.sources.shared import materialise
 
 
@@ -25,28 +25,18 @@ def networks(spark: SparkSession, sf_dir: str) -> collection.Collection:
     return collection.largest_components(all_networks(spark, sf_dir))
 
 
-def _labels(rounds: int) -> str:
-    """Components by least labels: the least of a node and its neighbours, then the label's own label."""
-    steps = ["l0 AS MATERIALIZED (SELECT id, id AS c FROM ids)"]
-    for t in range(rounds):
-        steps.append(f"h{t} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(min(x.c), l.c)) AS c FROM l{t} l LEFT JOIN adj0 a ON a.u = l.id LEFT JOIN l{t} x ON x.id = a.v GROUP BY l.id, l.c)")
-        steps.append(f"l{t + 1} AS MATERIALIZED (SELECT h.id, least(h.c, j.c) AS c FROM h{t} h JOIN h{t} j ON j.id = h.c)")
-    return ", ".join(steps)
-
-
 #: ids, e0 and adj0 of all networks; then their largest components: own(id, graph, node), e(u, v), adj, n, and figures of each: net(graph, nn, t).
 RAW = """WITH RECURSIVE p0 AS MATERIALIZED (SELECT DISTINCT a.l_returnflag || a.l_linestatus AS graph, least(a.l_partkey, b.l_partkey) AS a, greatest(a.l_partkey, b.l_partkey) AS b
     FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_returnflag = b.l_returnflag AND a.l_linestatus = b.l_linestatus WHERE a.l_partkey < b.l_partkey),
 ids AS MATERIALIZED (SELECT graph, node, row_number() OVER (ORDER BY graph, node) - 1 AS id FROM (SELECT DISTINCT l_returnflag || l_linestatus AS graph, l_partkey AS node FROM lineitem)),
 e0 AS MATERIALIZED (SELECT x.id AS u, y.id AS v FROM p0 JOIN ids x ON x.graph = p0.graph AND x.node = p0.a JOIN ids y ON y.graph = p0.graph AND y.node = p0.b),
 adj0 AS MATERIALIZED (SELECT u, v FROM e0 UNION ALL SELECT v, u FROM e0)"""
-N = f"""{RAW}, {_labels(12)},
+N = f"""{RAW}, {labels_sql('SELECT id FROM ids', 'adj0')},
 big AS (SELECT graph, c FROM (SELECT graph, c, row_number() OVER (PARTITION BY graph ORDER BY count(*) DESC, c) AS i FROM l12 JOIN ids USING (id) GROUP BY graph, c) WHERE i = 1),
 own AS MATERIALIZED (SELECT ids.id, ids.graph, ids.node FROM l12 JOIN big USING (c) JOIN ids ON ids.id = l12.id),
 e AS MATERIALIZED (SELECT e0.u, e0.v FROM e0 JOIN own ON own.id = e0.u), {graphs.COMMON.strip()},
 net AS MATERIALIZED (SELECT graph, count(*) AS nn, avg(k) / (avg(k * k) - avg(k)) AS t FROM n JOIN own ON own.id = n.node GROUP BY graph)"""
 
-_FIGURES = """count(*)::BIGINT AS n_nodes, (sum(k) // 2)::BIGINT AS n_edges, max(k)::BIGINT AS max_degree, avg(k) AS m, avg(k * k) AS m2, avg(clustering) AS c, (sum(triangles) // 3)::BIGINT AS n_triangles, sum(k * (k - 1) / 2)::DOUBLE AS w"""
 _LOCAL0 = """k0 AS MATERIALIZED (SELECT ids.graph, ids.id AS node, count(a.u) AS k FROM ids LEFT JOIN adj0 a ON a.u = ids.id GROUP BY ALL),
     t0 AS (SELECT a.u AS node, count(*) // 2 AS t FROM adj0 a JOIN adj0 b ON b.u = a.u AND b.v <> a.v JOIN adj0 c ON c.u = a.v AND c.v = b.v GROUP BY a.u),
     loc0 AS MATERIALIZED (SELECT graph, k, coalesce(t, 0) AS triangles, CASE WHEN k > 1 THEN 2.0::DOUBLE * coalesce(t, 0) / (k * (k - 1)) ELSE 0 END AS clustering FROM k0 LEFT JOIN t0 USING (node))"""
@@ -54,9 +44,9 @@ _LOCAL0 = """k0 AS MATERIALIZED (SELECT ids.graph, ids.id AS node, count(a.u) AS
 
 @query(
     "networks_preparation",
-    f"""{N}, {CORNERS}, {_LOCAL0}, a AS (SELECT graph, {_FIGURES} FROM loc0 GROUP BY graph), b AS (SELECT graph, {_FIGURES} FROM loc JOIN own ON own.id = loc.node GROUP BY graph),
-    x AS (SELECT a.graph, a.n_nodes AS raw_n, a.n_edges AS raw_e, a.max_degree AS raw_kmax, round(a.c, 4) AS raw_c, round(a.m / (a.m2 - a.m), 5) AS raw_beta, b.n_nodes AS lcc_n, b.n_edges AS lcc_e, b.max_degree AS lcc_kmax, round(b.c, 4) AS lcc_c, round(b.m / (b.m2 - b.m), 5) AS lcc_beta FROM a JOIN b USING (graph))
-    SELECT *, round(100.0::DOUBLE * (raw_n - lcc_n) / raw_n, 2) AS node_loss, round(100.0::DOUBLE * (raw_e - lcc_e) / raw_e, 2) AS edge_loss, round(abs(raw_c - lcc_c), 4) AS delta_c, round(abs(raw_beta - lcc_beta), 5) AS delta_beta, round(100.0::DOUBLE * lcc_n / raw_n, 2) AS retained FROM x""",
+    f"""{N}, {CORNERS}, {_LOCAL0}, a AS (SELECT graph, {FIGURES} FROM loc0 GROUP BY graph), b AS (SELECT graph, {FIGURES} FROM loc JOIN own ON own.id = loc.node GROUP BY graph),
+    x AS (SELECT a.graph, {PREPARED} FROM a JOIN b USING (graph))
+    SELECT *, {LOSSES}, round(100.0::DOUBLE * lcc_n / raw_n, 2) AS retained FROM x""",
 )
 def networks_preparation(spark, sf_dir):
     """What each network loses by its reduction to the largest component, nodes without ties included."""
@@ -69,7 +59,7 @@ DIST = distances_sql(40)
 
 @query(
     "networks_table",
-    f"""{N}, {CORNERS}, {DIST}, a AS (SELECT graph, {_FIGURES} FROM loc JOIN own ON own.id = loc.node GROUP BY graph), d AS (SELECT graph, avg(d) AS mean_distance, max(d)::BIGINT AS diameter FROM dist JOIN own ON own.id = dist.s GROUP BY graph)
+    f"""{N}, {CORNERS}, {DIST}, a AS (SELECT graph, {FIGURES} FROM loc JOIN own ON own.id = loc.node GROUP BY graph), d AS (SELECT graph, avg(d) AS mean_distance, max(d)::BIGINT AS diameter FROM dist JOIN own ON own.id = dist.s GROUP BY graph)
     SELECT graph, n_nodes, n_edges, max_degree, round(m, 6) AS mean_degree, round(m2, 6) AS second_moment, round(m / (m2 - m), 6) AS threshold, round(2.0::DOUBLE * n_edges / (n_nodes * (n_nodes - 1)), 6) AS density, round(c, 6) AS clustering, round(3.0::DOUBLE * n_triangles / w, 6) AS transitivity, n_triangles, round(mean_distance, 6) AS mean_distance, diameter FROM a JOIN d USING (graph)""",
 )
 def networks_table(spark, sf_dir):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import cliques as cl
 from marram.operators import community, controls, graph, paths, ranking, spread, statistics, synthetic
+from marram.operators.permute import permuted_sql
 from marram.plans import graphs, study
 from marram.plans.graphs import parts_sql, users_sql
 from marram.sources.shared import materialise, table
@@ -76,19 +77,28 @@ def graph_stats(spark, sf_dir):
     return graph.summary(g(spark, sf_dir)).select(*[r6(c).alias(c) if c in doubles else c for c in ("n_nodes", "n_edges", "max_degree", "mean_degree", "second_moment", "threshold", "density", "clustering", "transitivity", "n_triangles")])
 
 
-G45 = parts_sql(45)
-COMPONENTS = """
-reach(node, other) AS (SELECT node, node FROM n UNION SELECT r.node, a.v FROM reach r JOIN adj a ON a.u = r.other),
-comp AS MATERIALIZED (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+def labels_sql(nodes: str, adj: str, rounds: int = 12) -> str:
+    """l{rounds}(id, c): components of the nodes (id) by least labels: the least of a node and its neighbours, then the label's own label."""
+    steps = [f"l0 AS MATERIALIZED (SELECT id, id AS c FROM ({nodes}))"]
+    for t in range(rounds):
+        steps.append(f"h{t} AS MATERIALIZED (SELECT l.id, least(l.c, coalesce(min(x.c), l.c)) AS c FROM l{t} l LEFT JOIN {adj} a ON a.u = l.id LEFT JOIN l{t} x ON x.id = a.v GROUP BY l.id, l.c)")
+        steps.append(f"l{t + 1} AS MATERIALIZED (SELECT h.id, least(h.c, j.c) AS c FROM h{t} h JOIN h{t} j ON j.id = h.c)")
+    return ", ".join(steps)
+
 
+#: The graph of all lines: parts that share an order.
+ALL = parts_sql(0)
+COMPONENTS = f"{labels_sql('SELECT node AS id FROM n', 'adj')}, comp AS MATERIALIZED (SELECT id AS node, c AS component FROM l12)"
 
-def g45(spark, sf_dir):
-    return materialise(graphs.co_ordered_parts(spark, sf_dir, 45), "graph")
 
+def all_parts(spark, sf_dir):
+    return materialise(graphs.co_ordered_parts(spark, sf_dir, 0), "graph")
 
-@query("components", f"{G45},{COMPONENTS} SELECT node, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM comp")
+
+@query("components", f"{ALL},{COMPONENTS} SELECT node, component, count(*) OVER (PARTITION BY component)::BIGINT AS size FROM comp")
 def components(spark, sf_dir):
-    return graph.component_sizes(g45(spark, sf_dir))
+    """On the parts of all lines."""
+    return graph.component_sizes(all_parts(spark, sf_dir))
 
 
 LARGEST = """
@@ -97,17 +107,24 @@ kept AS MATERIALIZED (SELECT node FROM comp JOIN big USING (component)),
 lab AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS label FROM kept)"""
 
 
-@query("largest_component", f"{G45},{COMPONENTS},{LARGEST} SELECT a.label AS u, b.label AS v FROM e JOIN lab a ON a.node = e.u JOIN lab b ON b.node = e.v")
+@query("largest_component", f"{ALL},{COMPONENTS},{LARGEST} SELECT a.label AS u, b.label AS v FROM e JOIN lab a ON a.node = e.u JOIN lab b ON b.node = e.v")
 def largest_component(spark, sf_dir):
-    edges = materialise(graph.largest_component(g45(spark, sf_dir)), "component")
+    edges = materialise(graph.largest_component(all_parts(spark, sf_dir)), "component")
     labels = materialise(graph.relabel(edges), "labels")
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("u", "v"))
     return edges.join(a, "u").join(b, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
 
 
-@query("preparation", None)
+FIGURES = "count(*)::BIGINT AS n_nodes, (sum(k) // 2)::BIGINT AS n_edges, max(k)::BIGINT AS max_degree, avg(k) AS m, avg(k * k) AS m2, avg(clustering) AS c, (sum(triangles) // 3)::BIGINT AS n_triangles, sum(k * (k - 1) / 2)::DOUBLE AS w"
+#: From figures a of what was and b of what is kept, joined as x: what was lost.
+PREPARED = "a.n_nodes AS raw_n, a.n_edges AS raw_e, a.max_degree AS raw_kmax, round(a.c, 4) AS raw_c, round(a.m / (a.m2 - a.m), 5) AS raw_beta, b.n_nodes AS lcc_n, b.n_edges AS lcc_e, b.max_degree AS lcc_kmax, round(b.c, 4) AS lcc_c, round(b.m / (b.m2 - b.m), 5) AS lcc_beta"
+LOSSES = "round(100.0::DOUBLE * (raw_n - lcc_n) / raw_n, 2) AS node_loss, round(100.0::DOUBLE * (raw_e - lcc_e) / raw_e, 2) AS edge_loss, round(abs(raw_c - lcc_c), 4) AS delta_c, round(abs(raw_beta - lcc_beta), 5) AS delta_beta"
+
+
+@query("preparation", f"{ALL},{CORNERS},{COMPONENTS},{LARGEST}, a AS (SELECT {FIGURES} FROM loc), b AS (SELECT {FIGURES} FROM loc JOIN kept USING (node)), x AS (SELECT {PREPARED} FROM a, b) SELECT *, {LOSSES} FROM x")
 def preparation(spark, sf_dir):
-    edges = g45(spark, sf_dir)
+    """What the reduction to the largest component loses, on the parts of all lines."""
+    edges = all_parts(spark, sf_dir)
     return graph.preparation_report(edges, materialise(graph.largest_component(edges), "component"))
 
 
@@ -357,6 +374,22 @@ def dispersion(spark, sf_dir):
     return paths.dispersion(edges, degree_seeds(edges, 2, "ceil2")).withColumn("mean_distance", r6("mean_distance"))
 
 
+PAIRS = 40
+
+
+@query("sampled_dispersion", f"""{G}, {TOP}, {DIST}, s AS MATERIALIZED (SELECT t.t::BIGINT AS set_id, node, row_number() OVER (PARTITION BY t.t ORDER BY node) - 1 AS at, count(*) OVER (PARTITION BY t.t) AS k FROM r, c, (VALUES (1), (2), (3)) t(t) WHERE rank <= t.t * 4),
+    q AS MATERIALIZED (SELECT set_id, m, i FROM (SELECT set_id, m, unnest(range(least(m, {PAIRS})))::BIGINT AS i FROM (SELECT DISTINCT set_id, k * (k - 1) // 2 AS m FROM s))),
+    p AS MATERIALIZED (SELECT set_id, x FROM ({permuted_sql(f"SELECT * FROM q WHERE m > {PAIRS}", "set_id", "0, 'pairs', set_id")}) UNION ALL SELECT set_id, i FROM q WHERE m <= {PAIRS}),
+    j AS (SELECT p.set_id, p.x, max(g.g) AS j FROM p, (SELECT unnest(range(1, 100)) AS g) g WHERE g.g * (g.g - 1) // 2 <= p.x GROUP BY ALL)
+    SELECT j.set_id, any_value(a.k)::BIGINT AS k, count(*)::BIGINT AS pairs, round(avg(coalesce(dist.d, (SELECT nn FROM c))), 6) AS mean_distance FROM j JOIN s a ON a.set_id = j.set_id AND a.at = j.x - j.j * (j.j - 1) // 2 JOIN s b ON b.set_id = j.set_id AND b.at = j.j
+    LEFT JOIN dist ON dist.s = a.node AND dist.v = b.node GROUP BY j.set_id""")
+def sampled_dispersion(spark, sf_dir):
+    """Mean distances of three seed sets at once, over all pairs of the small ones and a sample of pairs of the large one."""
+    edges = g(spark, sf_dir)
+    sets = degree_ranking(edges).select(F.explode(F.array(*[F.lit(t).cast("long") for t in (1, 2, 3)])).alias("set_id"), "node", "rank").where(F.col("rank") <= F.col("set_id") * 4)
+    return paths.sampled_dispersion(edges, sets, PAIRS).withColumn("mean_distance", r6("mean_distance"))
+
+
 @query("similarity", f"{G}, {TOP}, s AS (SELECT node, k FROM r, c WHERE rank <= greatest(1, c.nn * 5 // 100)), m AS (SELECT a.u AS i, b.u AS j, count(*) AS x FROM adj a JOIN adj b ON a.v = b.v AND a.u < b.u GROUP BY ALL) SELECT (SELECT count(*) FROM s)::BIGINT AS k, round(avg(coalesce(m.x, 0)::DOUBLE / (a.k + b.k - coalesce(m.x, 0))), 6) AS mean_jaccard FROM s a JOIN s b ON a.node < b.node LEFT JOIN m ON m.i = a.node AND m.j = b.node")
 def similarity(spark, sf_dir):
     edges = g(spark, sf_dir)
@@ -458,13 +491,33 @@ def single_node_sizes(spark, sf_dir):
     return scored(spread.single_node_sizes(edges, graph.degrees(edges).select("node"), spread.runs(spark, 1, 5).select("run", F.lit(0.15).alias("beta"))))
 
 
-@query("sir_recovery")
+def geometric_sql(p: str, coin: str) -> str:
+    """Attempts up to the first success."""
+    return f"CASE WHEN {p} >= 1 THEN 1.0::DOUBLE ELSE 1 + floor(ln(1 - {coin}) / ln(1 - {p})) END"
+
+
+def coin_sql(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def recovery_reach_sql(keys: str, start: str) -> str:
+    """inf(keys..., gamma, beta, run, node) from its rows at the start: an arc opens if its attempts come no later than the recovery of its start."""
+    p = ", ".join("p." + k for k in keys.split(", "))
+    opens = f"{geometric_sql('p.beta', coin_sql('p.run', 'a.u', 'a.v'))} <= {geometric_sql('p.gamma', coin_sql('p.run', 'a.u', chr(39) + 'stay' + chr(39)))}"
+    return f"inf({keys}, gamma, beta, run, node) AS ({start} UNION SELECT {p}, p.gamma, p.beta, p.run, a.v FROM inf p JOIN adj a ON a.u = p.node AND {opens})"
+
+
+_SPREAD_SEEDS = " UNION ALL ".join(f"SELECT '{m}' AS set_id, node FROM (SELECT node, row_number() OVER (ORDER BY {o}) AS rank FROM n) WHERE rank <= (SELECT greatest(1, count(*) * 2 // 100) FROM n)" for m, o in METHODS.items())
+
+
+@query("sir_recovery", f"""{G}, {recovery_reach_sql("set_id", f"SELECT s.set_id, w.gamma, 0.2 * w.gamma / (1 - 0.2 * (1 - w.gamma)), (b.b * 1000 + r.r)::BIGINT, s.node FROM ({_SPREAD_SEEDS}) s, (SELECT unnest(range({BLOCKS})) AS b) b, (SELECT unnest(range({REPEATS})) AS r) r, (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) w(gamma)")}
+    SELECT set_id, run, gamma, round(beta, 9) AS beta, count(*)::BIGINT AS n_infected FROM inf GROUP BY ALL""")
 def sir_recovery(spark, sf_dir):
     """Final sizes at three recovery rates with the transmissibility held at 0.2."""
     edges = g(spark, sf_dir)
     rates = settings(spark, [0.2]).select("run", F.explode(F.array(F.lit(0.5), F.lit(0.75), F.lit(1.0))).alias("gamma"))
     rates = rates.select("run", "gamma", spread.transmission(F.lit(0.2), F.col("gamma")).alias("beta"))
-    return spread.final_sizes(spread.infections_with_recovery(edges, seed_sets(edges), rates))
+    return spread.final_sizes(spread.infections_with_recovery(edges, seed_sets(edges), rates)).withColumn("beta", F.round("beta", 9))
 
 
 # --- statistics, over events by user and type, and orders by customer ---
@@ -631,36 +684,39 @@ def balance_pivot(spark, sf_dir):
 
 # --- controls ---
 
-BINS = "bins AS MATERIALIZED (SELECT node, k, least(9, ((row_number() OVER (ORDER BY k, node) - 1) * 10) // (SELECT count(*) FROM n))::BIGINT AS bin FROM n)"
+BINS = "bins AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY k, node) - 1 AS pos FROM (SELECT node, k, least(9, ((row_number() OVER (ORDER BY k, node) - 1) * 10) // (SELECT count(*) FROM n))::BIGINT AS bin FROM n))"
 
 
 @query("degree_bins", f"{G}, {BINS} SELECT node, k, bin FROM bins")
 def degree_bins(spark, sf_dir):
-    return controls.degree_bins(g(spark, sf_dir))
+    return controls.degree_bins(g(spark, sf_dir)).drop("pos")
 
 
 CANDIDATES = 20
+#: The first sets that differ, of three times as many draws.
 DRAWN = f"""{TOP}, {BINS}, s AS (SELECT node FROM r, c WHERE rank <= least(c.nn, greatest(2, ceil(c.nn * 1 / 100.0)))), need AS (SELECT bin, count(*) AS need FROM bins JOIN s USING (node) GROUP BY bin),
-    drawn AS MATERIALIZED (SELECT candidate, node FROM (SELECT q.candidate, bins.node, need.need, row_number() OVER (PARTITION BY q.candidate, bins.bin ORDER BY ('0x' || substr(md5(concat_ws('|', 0, q.candidate, bins.node)), 1, 8))::BIGINT, bins.node) AS rn
-        FROM bins JOIN need USING (bin) CROSS JOIN (SELECT unnest(range({CANDIDATES}))::BIGINT AS candidate) q) WHERE rn <= need)"""
+    held AS (SELECT bin, count(*) AS m FROM bins GROUP BY bin),
+    dq AS MATERIALIZED (SELECT candidate, bin, m, unnest(range(need))::BIGINT AS i FROM need JOIN held USING (bin), (SELECT unnest(range({3 * CANDIDATES}))::BIGINT AS candidate)),
+    dr AS MATERIALIZED ({permuted_sql("SELECT * FROM dq", "candidate, bin", "0, candidate, bin")}),
+    ds AS MATERIALIZED (SELECT candidate, node FROM dr JOIN bins ON bins.bin = dr.bin AND bins.pos = dr.x),
+    du AS (SELECT min(candidate) AS candidate FROM (SELECT candidate, list(node ORDER BY node) AS l FROM ds GROUP BY candidate) GROUP BY l),
+    drawn AS MATERIALIZED (SELECT candidate, node FROM ds JOIN (SELECT candidate FROM du ORDER BY candidate LIMIT {CANDIDATES}) USING (candidate))"""
 
 
 def candidate_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     edges = g(spark, sf_dir)
-    numbers = spark.range(CANDIDATES).withColumnRenamed("id", "candidate")
-    sets = controls.matched_candidates(controls.degree_bins(edges), degree_seeds(edges, 1, "ceil2"), numbers)
-    return edges, materialise(sets, "candidates")
+    draws = controls.Draws(materialise(controls.degree_bins(edges), "bins"), degree_seeds(edges, 1, "ceil2"))
+    return edges, controls.unique_candidates(draws, CANDIDATES)[0]
 
 
 @query("matched_candidates", f"{G}, {DRAWN} SELECT candidate, node FROM drawn")
 def matched_candidates(spark, sf_dir):
+    """Different sets with the degree profile of the first nodes."""
     return candidate_sets(spark, sf_dir)[1]
 
 
 def measured(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    nodes = sets.select("node").distinct()
-    n = graph.degrees(edges).count()
-    return materialise(controls.mean_distances(sets, paths.pair_distances(edges, nodes, nodes), n), "measured")
+    return materialise(controls.mean_distances(edges, sets), "measured")
 
 
 SPREADS = f"{G}, {DRAWN}, {DIST}, m AS MATERIALIZED (SELECT a.candidate, avg(coalesce(dist.d, (SELECT nn FROM c))) AS mean_distance FROM drawn a JOIN drawn b ON a.candidate = b.candidate AND a.node < b.node LEFT JOIN dist ON dist.s = a.node AND dist.v = b.node GROUP BY a.candidate)"
@@ -679,7 +735,7 @@ def doubly_matched(spark, sf_dir):
     return df.withColumn("mean_distance", r6("mean_distance")).withColumn("error", r6("error"))
 
 
-@query("random_controls", f"SELECT candidate FROM (SELECT unnest(range({CANDIDATES}))::BIGINT AS candidate) ORDER BY ('0x' || substr(md5(concat_ws('|', 0, 'pick', candidate)), 1, 8))::BIGINT, candidate LIMIT 10")
+@query("random_controls", f"{G}, {DRAWN} SELECT candidate FROM (SELECT DISTINCT candidate FROM drawn) ORDER BY ('0x' || substr(md5(concat_ws('|', 0, 'pick', candidate)), 1, 8))::BIGINT, candidate LIMIT 10")
 def random_controls(spark, sf_dir):
     return controls.random_controls(candidate_sets(spark, sf_dir)[1], 10)
 
@@ -737,10 +793,13 @@ def rate_study(spark, sf_dir):
     return study.rate_study(edges, study_scores(edges), [0.1, 0.2], blocks=STUDY["blocks"], repeats=STUDY["repeats"]).withColumn("percent", r6("percent"))
 
 
-@query("recovery_study")
+@query("recovery_study", f"""{G}, {RANKED}, rt AS (SELECT w.gamma, 2.5 * t * w.gamma / (1 - 2.5 * t * (1 - w.gamma)) AS beta, nn FROM lambda_c, (VALUES (0.5::DOUBLE), (1.0::DOUBLE)) w(gamma) WHERE 2.5 * t < 1),
+    {recovery_reach_sql("method", f"SELECT rk.method, rt.gamma, rt.beta, b.b * 1000 + r.r, rk.node FROM rk, rt, {RUNS} WHERE rk.rank <= greatest(1, rt.nn * 5 // 100) AND rt.beta > 0 AND rt.beta <= 1")}
+    SELECT method, gamma, (run // 1000)::BIGINT AS block, round(100.0::DOUBLE * avg(c) / (SELECT nn FROM lambda_c), 6) AS percent FROM (SELECT method, gamma, run, count(*) AS c FROM inf GROUP BY ALL) GROUP BY ALL""")
 def recovery_study(spark, sf_dir):
+    """Shares infected over recovery rates, the transmissibility held."""
     edges = g(spark, sf_dir)
-    return study.recovery_study(edges, study_scores(edges), [0.5, 1.0], blocks=STUDY["blocks"], repeats=STUDY["repeats"])
+    return study.recovery_study(edges, study_scores(edges), [0.5, 1.0], blocks=STUDY["blocks"], repeats=STUDY["repeats"]).withColumn("percent", r6("percent"))
 
 
 @query("dispersion_study", f"""{G}, {RANKED}, {DIST}, s AS MATERIALIZED (SELECT rk.method, q.q AS percent, rk.node FROM rk, lambda_c c, (VALUES (2), (4)) q(q) WHERE rk.rank <= least(c.nn, greatest(2, ceil(c.nn * q.q / 100.0)))),
@@ -754,11 +813,44 @@ def dispersion_study(spark, sf_dir):
     return df.withColumn("mean_distance", r6("mean_distance")).withColumn("mean_jaccard", r6("mean_jaccard"))
 
 
-@query("boundary_study")
+BOUNDARY = {"draws": 3, "blocks": 2, "repeats": 3, "alone": 4}
+
+
+@query("boundary_study", f"""{G}, {RANKED}, kk AS (SELECT greatest(1, ceil(nn * 5 / 100.0))::BIGINT AS k, least(1.0, 2.5 * t) AS beta, nn FROM lambda_c),
+    rs AS MATERIALIZED (SELECT *, round(score, 6) AS s FROM rk), gr AS MATERIALIZED (SELECT method, s, count(*) AS size, min(rank) - 1 AS before FROM rs GROUP BY ALL),
+    cut AS MATERIALIZED (SELECT gr.* FROM gr, kk WHERE before < k AND before + size > k),
+    tied AS MATERIALIZED (SELECT rs.method, rs.node, cut.before FROM rs JOIN cut ON cut.method = rs.method AND cut.s = rs.s),
+    m0 AS (SELECT method, 1000000 * (row_number() OVER (ORDER BY method) - 1) AS first FROM (SELECT DISTINCT method FROM rk)),
+    al(method, seed, run, node) AS (SELECT tied.method, tied.node, m0.first + 900000 + r.r, tied.node FROM tied JOIN m0 USING (method), (SELECT unnest(range({BOUNDARY["alone"]})) AS r) r
+        UNION SELECT p.method, p.seed, p.run, a.v FROM al p, kk, adj a WHERE a.u = p.node AND {coin_sql("p.run", "a.u", "a.v")} < kk.beta),
+    st AS MATERIALIZED (SELECT method, seed AS node, count(*)::DOUBLE / {BOUNDARY["alone"]} AS score FROM al GROUP BY ALL),
+    od AS (SELECT method, node, before, d.d AS draw, CASE WHEN d.d = 0 THEN 0.0::DOUBLE WHEN d.d < 0 THEN -score ELSE {coin_sql("d.d", "node")} END AS key FROM tied JOIN st USING (method, node), (SELECT unnest(range(-1, {BOUNDARY["draws"] + 1})) AS d) d),
+    tk AS (SELECT method, draw, node FROM (SELECT *, row_number() OVER (PARTITION BY method, draw ORDER BY key, node) AS i FROM od), kk WHERE before + i <= k),
+    sets AS MATERIALIZED (SELECT * FROM tk UNION ALL SELECT rs.method, d.d, rs.node FROM rs JOIN gr ON gr.method = rs.method AND gr.s = rs.s JOIN cut ON cut.method = rs.method, kk, (SELECT unnest(range(-1, {BOUNDARY["draws"] + 1})) AS d) d WHERE gr.before + gr.size <= k),
+    inf(method, draw, run, node) AS (SELECT s.method, s.draw, m0.first + b.b * 1000 + r.r, s.node FROM sets s JOIN m0 USING (method), (SELECT unnest(range({BOUNDARY["blocks"]})) AS b) b, (SELECT unnest(range({BOUNDARY["repeats"]})) AS r) r
+        UNION SELECT p.method, p.draw, p.run, a.v FROM inf p, kk, adj a WHERE a.u = p.node AND {coin_sql("p.run", "a.u", "a.v")} < kk.beta),
+    bm AS (SELECT method, draw, run // 1000 AS block, 100.0::DOUBLE * avg(c) / (SELECT nn FROM kk) AS percent FROM (SELECT method, draw, run, count(*) AS c FROM inf GROUP BY ALL) GROUP BY ALL),
+    dm AS (SELECT method, draw, avg(percent) AS mean FROM bm GROUP BY ALL)
+    SELECT method, CASE WHEN draw = 0 THEN 'id' WHEN draw < 0 THEN 'sir_gt' ELSE 'random' END AS strategy, count(*)::BIGINT AS draws, round(avg(mean), 6) AS mean, round(100 * stddev_pop(mean) / avg(mean), 6) + 0.0 AS cv FROM dm GROUP BY ALL""")
 def boundary_study(spark, sf_dir):
-    """What the order among equal scores at the cut does to spreading."""
+    """What the order among equal scores at the cut does to spreading: by id, by chance, and by what nodes infect alone."""
+    edges = g(spark, sf_dir)
+    df = study.boundary_study(edges, study.rank_methods(study_scores(edges)), 5, **BOUNDARY)
+    return df.withColumn("mean", r6("mean")).withColumn("cv", r6("cv"))
+
+
+@query("temporal_study", f"""{G}, {RANKED}, f0 AS MATERIALIZED (SELECT rk.method, b.b * 1000 + r.r AS run, 2.5 * c.t AS beta, rk.node, 0 AS step FROM rk, lambda_c c, {RUNS} WHERE rk.rank <= 10),
+    {", ".join(f"f{t} AS MATERIALIZED (SELECT DISTINCT p.method, p.run, p.beta, a.v AS node, {t} AS step FROM f{t - 1} p JOIN adj a ON a.u = p.node AND {coin_sql('p.run', 'a.u', 'a.v')} < p.beta " + " ".join(f"ANTI JOIN f{x} x{x} ON x{x}.method = p.method AND x{x}.run = p.run AND x{x}.node = a.v" for x in range(t)) + ")" for t in range(1, 12))},
+    inf AS (SELECT method, run, step FROM ({" UNION ALL ".join(f"SELECT * FROM f{t}" for t in range(12))})),
+    cu AS (SELECT method, run, t.t, count(*) AS c FROM inf JOIN (SELECT unnest(range(12))::INT AS t) t ON inf.step <= t.t GROUP BY ALL),
+    bl AS (SELECT method, t, run // 1000 AS block, 100.0::DOUBLE * avg(c) / (SELECT nn FROM lambda_c) AS percent FROM cu GROUP BY ALL),
+    q AS MATERIALIZED (SELECT method, t, count(*)::BIGINT AS n, avg(percent) AS mean, stddev_samp(percent) AS sd FROM bl GROUP BY ALL), dof AS (SELECT DISTINCT n - 1 AS df FROM q WHERE n > 1), {T_POINTS}
+    SELECT q.method, q.t, q.n, round(q.mean, 6) AS mean, round(q.sd, 6) AS std, round(tq.t * q.sd / sqrt(q.n), 6) AS half_width FROM q JOIN tq ON tq.df = q.n - 1""")
+def temporal_study(spark, sf_dir):
+    """How the share infected from the first ten nodes of each ranking grows step by step, with its interval over blocks."""
     edges = g(spark, sf_dir)
-    return study.boundary_study(edges, study.rank_methods(study_scores(edges)), 5, draws=3, blocks=2, repeats=2)
+    df = study.temporal_study(edges, study_scores(edges), blocks=STUDY["blocks"], repeats=STUDY["repeats"], horizon=12)
+    return df.select("method", "t", "n", *[r6(c).alias(c) for c in ("mean", "std", "half_width")])
 
 
 @query("control_study")

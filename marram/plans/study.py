@@ -9,21 +9,17 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marram.operators import collection, controls, graph, paths, ranking, spread, statistics
+from marram.operators.order import place_within
 from marram.sources.shared import materialise
 
 
 def rank_methods(scores: DataFrame, digits: int | None = 8) -> DataFrame:
-    """(method, node, score, rank) for each method of the table; methods are few, nodes many, so each is ranked by ranges."""
-    methods = [r[0] for r in scores.select("method").distinct().orderBy("method").collect()]
-    rows = [ranking.ranked(scores.where(F.col("method") == m).select("node", "score"), digits).select(F.lit(m).alias("method"), "*") for m in methods]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return materialise(out, "ranks")
+    """(method, node, score, rank) for each method of the table, all in one pass; null and NaN scores are left out."""
+    return materialise(collection.rank_all(scores.withColumn("graph", F.lit(0)), digits).select("method", "node", "score", "rank"), "ranks")
 
 
 def _set_id(*parts: str) -> Column:
@@ -167,43 +163,61 @@ def scaled_axes(df: DataFrame, by: list[str], value: str) -> DataFrame:
     return df.withColumn("scaled", F.when(high - low > 1e-12, (F.col(value) - low) / (high - low)).otherwise(0.5))
 
 
-def boundary_study(edges: DataFrame, ranks: DataFrame, percent: int, *, draws: int = 10, blocks: int = 10, repeats: int = 10, times: float = 2.5, digits: int = 6) -> DataFrame:
-    """(method, strategy, mean, cv) where the cut falls inside equal scores: the group's places go by id or by hashed draws."""
+def method_runs(spark: SparkSession, methods: list[str], blocks: int, repeats: int, alone: int, beta: float) -> tuple[DataFrame, DataFrame]:
+    """Runs (method, run, beta) that no two methods share: those of sets, in blocks, and those of single nodes (from 900,000 on). A method has a million."""
+    if blocks > 900 or alone > 100_000:
+        raise ValueError("a method has 900 blocks and 100,000 runs of single nodes at most")
+    own = spark.createDataFrame([(m, 1_000_000 * i) for i, m in enumerate(sorted(methods))], "method string, first long")
+    of = lambda runs: own.crossJoin(runs).select("method", (F.col("first") + F.col("run")).alias("run"), F.lit(beta).alias("beta"))  # noqa: E731  a plan
+    single = spark.range(900_000, 900_000 + alone).withColumnRenamed("id", "run")
+    return of(spread.runs(spark, blocks, repeats).select("run")), of(single)
+
+
+def boundary_study(edges: DataFrame, ranks: DataFrame, percent: int, *, draws: int = 10, blocks: int = 10, repeats: int = 10, alone: int = 20, times: float = 2.5, digits: int = 6) -> DataFrame:
+    """(method, strategy, draws, mean, cv) where the cut falls inside equal scores: the group's places go by id, by hashed draws, or by what each node infects alone.
+
+    Only the group at the cut is simulated node by node. Runs depend on the method, not on the strategy, so strategies meet the same runs.
+    """
     n = graph.degrees(edges).count()
     k = ranking.seed_count(n, percent, "ceil1")
-    s = ranks.withColumn("s", F.round("score", digits))
+    s = materialise(ranks.withColumn("s", F.round("score", digits)), "rounded")
     groups = s.groupBy("method", "s").agg(F.count("*").alias("size"), (F.min("rank") - 1).alias("before"))
-    cut = groups.where((F.col("before") < k) & (F.col("before") + F.col("size") > k))
+    cut = materialise(groups.where((F.col("before") < k) & (F.col("before") + F.col("size") > k)), "cut")
     sure = s.join(groups, ["method", "s"]).where(F.col("before") + F.col("size") <= k).select("method", "node")
-    tied = s.join(cut, ["method", "s"]).select("method", "node", "before")
-    numbers = edges.sparkSession.range(draws).withColumnRenamed("id", "draw")
-    w = Window.partitionBy("method", "draw").orderBy(F.when(F.col("draw") == 0, F.lit(0.0)).otherwise(spread.uniform("draw", "node")), "node")
-    taken = tied.join(F.broadcast(numbers)).withColumn("rn", F.row_number().over(w)).where(F.col("before") + F.col("rn") <= k).select("method", "draw", "node")
-    sets = taken.union(sure.join(cut.select("method").distinct(), "method").join(F.broadcast(numbers)).select("method", "draw", "node"))
-    sets = sets.select(_set_id("method", "draw").alias("set_id"), "node")
-    observed = block_observations(edges, sets, [spreading_rate(edges, times, cap=True)], blocks, repeats)
-    means = observed.groupBy(_of_set("method").alias("method"), _of_set("draw").cast("int").alias("draw")).agg(F.avg("percent").alias("mean"))
-    strategy = F.when(F.col("draw") == 0, "id").otherwise("random")
+    tied = materialise(s.join(cut, ["method", "s"]).select("method", "node", "before"), "tied")
+    methods = [r[0] for r in s.select("method").distinct().collect()]  # a plan
+    plan, single = method_runs(edges.sparkSession, methods, blocks, repeats, alone, spreading_rate(edges, times, cap=True))
+    strength = spread.single_node_sizes(edges, tied, single)
+    # Draw 0 goes by id, draws from 1 on by hash, draw -1 by what nodes infect alone.
+    ordered = tied.join(strength, ["method", "node"]).select("*", F.explode(F.sequence(F.lit(-1), F.lit(draws))).alias("draw"))
+    key = F.when(F.col("draw") == 0, F.lit(0.0)).when(F.col("draw") < 0, -F.col("score")).otherwise(spread.uniform("draw", "node"))
+    placed = place_within(ordered.withColumn("key", key), ["method", "draw"], ["key", "node"], "place")
+    taken = placed.where(F.col("before") + F.col("place") < k).select("method", "draw", "node")
+    every = cut.select("method", F.explode(F.sequence(F.lit(-1), F.lit(draws))).alias("draw"))
+    sets = taken.union(sure.join(every, "method").select("method", "draw", "node"))
+    sets = sets.select(_set_id("method", "draw").alias("set_id"), "method", "node")
+    size = graph.degrees(edges).agg(F.count("*").alias("n"))
+    observed = materialise(spread.block_means(spread.final_sizes(spread.infections(edges, sets, plan)), size), "blocks")
+    means = observed.groupBy("method", _of_set("draw").cast("int").alias("draw")).agg(F.avg("percent").alias("mean"))
+    strategy = F.when(F.col("draw") == 0, "id").when(F.col("draw") < 0, "sir_gt").otherwise("random")
     return means.groupBy("method", strategy.alias("strategy")).agg(F.count("*").alias("draws"), F.avg("mean").alias("mean"), F.when(F.avg("mean") > 0, 100.0 * F.stddev_pop("mean") / F.avg("mean")).otherwise(0.0).alias("cv"))
 
 
 def control_study(edges: DataFrame, seeds: DataFrame, *, batch: int = 1000, most: int = 10_000, n: int = 10, caliper: float = 0.05, blocks: int = 50, repeats: int = 20, times: float = 2.5) -> DataFrame:
     """The seeds against degree-matched random, most dispersed and doubly matched controls: kind, dispersion, mean gain, p, effect and q."""
-    size = graph.degrees(edges).count()
     bins = materialise(controls.degree_bins(edges), "bins")
-    first = edges.sparkSession.range(batch).withColumnRenamed("id", "candidate")
-    sets = materialise(controls.distinct_sets(controls.matched_candidates(bins, seeds, first)), "candidates")
+    draws = controls.Draws(bins, seeds)
+    sets, seen, following = controls.unique_candidates(draws, min(batch, draws.sets))
 
     def measure(candidates: DataFrame) -> DataFrame:
-        nodes = candidates.select("node").distinct()
-        return controls.mean_distances(candidates, paths.pair_distances(edges, nodes, nodes), size)
+        return controls.mean_distances(edges, candidates)
 
     measured = materialise(measure(sets), "measured")
     target = paths.dispersion(edges, seeds).first()["mean_distance"]
     chosen = {
         "random": controls.random_controls(sets, n).join(measured, "candidate"),
         "dispersed": controls.most_dispersed(measured),
-        "doubly_matched": controls.search_controls(bins, seeds, measure, target, batch=batch, most=most, n=n, caliper=caliper).select("candidate", "mean_distance"),
+        "doubly_matched": controls.search_controls(draws, measure, target, batch=batch, most=most, n=n, caliper=caliper, first=measured, seen=seen, start=following).select("candidate", "mean_distance"),
     }
     picked = None
     for kind, df in chosen.items():
@@ -212,7 +226,7 @@ def control_study(edges: DataFrame, seeds: DataFrame, *, batch: int = 1000, most
     picked = materialise(picked, "picked")
     # Candidates beyond the first batch are drawn again by their number.
     numbers = picked.select("candidate").distinct()
-    nodes = materialise(controls.matched_candidates(bins, seeds, numbers), "controls")
+    nodes = materialise(draws.take(numbers), "controls")
     every = nodes.select(F.concat(F.lit("c@"), F.col("candidate").cast("string")).alias("set_id"), "node").union(seeds.select(F.lit("target").alias("set_id"), "node"))
     observed = block_observations(edges, every, [spreading_rate(edges, times, cap=True)], blocks, repeats)
     own = observed.where("set_id = 'target'").select("block", F.col("percent").alias("a"))

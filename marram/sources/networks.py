@@ -34,6 +34,13 @@ def read_network(spark: SparkSession, path: str) -> DataFrame:
     return read_edge_list(spark, path, "%" if path.endswith(".edges") else "#")
 
 
+def read_nodes(spark: SparkSession, path: str) -> DataFrame | None:
+    """(node) of all nodes that a network file says it has, with ties or without; None for files that only list ties."""
+    if not path.endswith(".mtx"):
+        return None
+    return spark.range(read_matrix_market(spark, path)[1]).withColumnRenamed("id", "node")
+
+
 def read_pairs(spark: SparkSession, path: str, fmt: str = "parquet", u: str = "u", v: str = "v", **options: str) -> DataFrame:
     """Pairs from any format Spark reads; raises ValueError if a column is missing."""
     df = spark.read.options(**options).format(fmt).load(path)
@@ -61,8 +68,10 @@ def missing_scores(scores: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(have, ["graph_id", "method"], "left").where("coalesce(have, 0) <> n").select("graph_id", "method", "n", F.coalesce("have", F.lit(0)).alias("have"))
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """A result table as CSV with a header, or in another format Spark writes."""
+def write_table(df: DataFrame, path: str, fmt: str = "csv", float_format: str | None = None) -> None:
+    """A result table as CSV with a header, or in another format Spark writes; float_format (like %.6f) writes floating columns as such text, null as null."""
+    if float_format is not None:
+        df = df.select(*[F.when(F.col(c).isNotNull(), F.format_string(float_format, F.col(c).cast("double"))).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
     writer = df.write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 

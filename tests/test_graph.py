@@ -148,7 +148,8 @@ def test_distances(spark, sample):
     own = [r["node"] for r in seeds.collect()]
     pairs = list(itertools.combinations(own, 2))
     assert paths.dispersion(e, seeds).first()["mean_distance"] == pytest.approx(sum(d[a].get(b, len(near)) for a, b in pairs) / len(pairs))
-    assert {(r.source, r["node"]): r.d for r in paths.pair_distances(e, seeds, seeds).collect()} == {(a, b): d[a][b] for a in own for b in own if b in d[a]}
+    both = seeds.select(F.col("node").alias("source")).crossJoin(seeds)
+    assert {(r.source, r["node"]): r.d for r in paths.pair_distances(e, both).collect()} == {(a, b): d[a][b] for a in own for b in own if b in d[a]}
     j = [len(near[a] & near[b]) / len(near[a] | near[b]) for a, b in pairs]
     assert paths.mean_jaccard(e, seeds).first()["mean_jaccard"] == pytest.approx(sum(j) / len(j))
     asked = spark.createDataFrame(pairs, "i long, j long")
