@@ -211,3 +211,31 @@ def p_text(p: Column) -> Column:
 
 def star(q: Column, level: float = 0.05) -> Column:
     return F.when(q < level, "*").otherwise("")
+
+
+def correlation_table(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """(by, n, pearson, spearman, n_log, log_log) of each group and of all rows together (ALL), by falling size of the rank correlation.
+
+    log_log is Pearson's on log10, over the rows where both are positive. Null for fewer than three rows or a constant column. Rows count
+    once for their group and once for ALL, so that both come from one pass; nulls take no part.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.explode(F.array(F.col(by).cast("string"), F.lit("ALL"))).alias("__of"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    positive = (F.col("x") > 0) & (F.col("y") > 0)
+    logs = rows.select("__of", F.when(positive, F.log10("x")).alias("lx"), F.when(positive, F.log10("y")).alias("ly"))
+    straight = pearson(rows, ["__of"], "x", "y").select("__of", "n", F.col("r").alias("pearson"))
+    table = straight.join(spearman(rows, ["__of"], "x", "y").select("__of", F.col("r").alias("spearman")), "__of")
+    table = table.join(pearson(logs, ["__of"], "lx", "ly").select("__of", F.col("n").alias("n_log"), F.col("r").alias("log_log")), "__of", "left")
+    out = table.select(F.col("__of").alias(by), "n", "pearson", "spearman", F.coalesce("n_log", F.lit(0)).cast("long").alias("n_log"), "log_log")
+    return out.orderBy(F.abs("spearman").desc_nulls_last(), by)
+
+
+def frequency_summary(groups: DataFrame, by: list[str]) -> DataFrame:
+    """From the sizes n of groups of equal scores: groups, largest and mean size, tied groups (of two or more) and tied nodes."""
+    n = F.col("n")
+    return groups.groupBy(*by).agg(F.count("*").alias("n_groups"), F.max(n).alias("largest"), F.avg(n).alias("mean_size"), F.count_if(n > 1).alias("n_tied_groups"), F.sum(F.when(n > 1, n).otherwise(0)).cast("long").alias("n_tied"))
+
+
+def large_gains(df: DataFrame, by: list[str], a: str, b: str, least: float = 5.0) -> DataFrame:
+    """Rows in which a is more than so many percent above b, with the gain, the largest first; rows without a positive b have no gain."""
+    gain = F.when(F.col(b) > 0, 100.0 * (F.col(a) - F.col(b)) / F.col(b))
+    return df.withColumn("gain", gain).where(F.col("gain") > least).orderBy(F.desc("gain"), *by)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marram.operators import cliques as cl
-from marram.operators import collection
+from marram.operators import collection, graph, ranking, statistics
 from marram.plans import graphs, study
 from marram.plans.registry import CLIQUES, CORNERS, FIGURES, LOSSES, ORACLES, PREPARED, QUERIES, RIM, SH, constraint_terms, core_sql, distances_sql, labels_sql, query, r6, wilcoxon_sql  # noqa: F401  the entry takes both registries from here
 from marram.sources.shared import materialise
@@ -84,7 +84,7 @@ def networks_cliques(spark, sf_dir):
 
 #: The methods that SQL can repeat, and their scores ms(graph, method, node, score).
 METHODS = ["degree", "core", "structural_holes", "improved_structural_holes", "collective_influence", "neighbourhood_constraint", "clique_participation", "clique_spread", "clique_full"]
-SCORES = f"""{CORNERS}, {SH}, {RIM}, {CLIQUES}, {core_sql(12)}, {constraint_terms()},
+SCORES = f"""{CORNERS}, {SH}, {RIM}, {CLIQUES}, {core_sql(30)}, {constraint_terms()},
     tot AS (SELECT a.u, sum(x.k + y.k) AS total FROM adj a JOIN n x ON x.node = a.u JOIN n y ON y.node = a.v GROUP BY a.u),
     ip AS MATERIALIZED (SELECT a.u, a.v, (x.k + y.k)::DOUBLE / tot.total AS p FROM adj a JOIN n x ON x.node = a.u JOIN n y ON y.node = a.v JOIN tot ON tot.u = a.u),
     ivia AS (SELECT t.i, t.j, sum(a.p * b.p) AS x FROM tri t JOIN ip a ON a.u = t.i AND a.v = t.q JOIN ip b ON b.u = t.q AND b.v = t.j GROUP BY ALL),
@@ -92,7 +92,7 @@ SCORES = f"""{CORNERS}, {SH}, {RIM}, {CLIQUES}, {core_sql(12)}, {constraint_term
     hood AS (SELECT node, node AS other FROM n UNION SELECT u, v FROM adj UNION SELECT a.u, b.v FROM adj a JOIN adj b ON b.u = a.v),
     big3 AS MATERIALIZED (SELECT * FROM inc WHERE size >= 3),
     ms0 AS (SELECT 'degree' AS method, n.node, n.k::DOUBLE / (net.nn - 1) AS score FROM n JOIN own ON own.id = n.node JOIN net USING (graph)
-        UNION ALL SELECT 'core', node, c::DOUBLE FROM c12
+        UNION ALL SELECT 'core', node, c::DOUBLE FROM c30
         UNION ALL SELECT 'structural_holes', node, score FROM sh
         UNION ALL SELECT 'improved_structural_holes', ip.u, 1 - sum((ip.p + coalesce(v.x, 0)) ** 2) FROM ip LEFT JOIN ivia v ON v.i = ip.u AND v.j = ip.v GROUP BY ip.u
         UNION ALL SELECT 'collective_influence', n.node, ((n.k - 1) * coalesce(s.x, 0))::DOUBLE FROM n LEFT JOIN (SELECT rim.node, sum(n.k - 1) AS x FROM rim JOIN n ON n.node = rim.other GROUP BY rim.node) s USING (node)
@@ -111,11 +111,11 @@ def ranks(own: collection.Collection) -> DataFrame:
     return materialise(collection.rank_all(scores), "ranks")
 
 
-@query("networks_ranks", f"{N}, {SCORES} SELECT rk.graph, method, own.node, round(score, 6) + 0.0 AS score, rank FROM rk JOIN own ON own.id = rk.node")
+@query("networks_ranks", f"{N}, {SCORES} SELECT rk.graph, method, own.node, round(score, 9) + 0.0 AS score, rank FROM rk JOIN own ON own.id = rk.node")
 def networks_ranks(spark, sf_dir):
     """Every node of every network by nine methods: a job a method for all networks."""
     own = networks(spark, sf_dir)
-    return own.named(ranks(own).drop("graph")).select("graph", "method", "node", r6("score").alias("score"), "rank")
+    return own.named(ranks(own).drop("graph")).select("graph", "method", "node", (F.round("score", 9) + F.lit(0.0)).alias("score"), "rank")
 
 
 PERCENTS, BLOCKS, REPEATS = [1, 2, 3], 4, 4
@@ -154,3 +154,42 @@ def networks_comparison(spark, sf_dir):
     observed = spread_observed(spark, sf_dir).groupBy(F.col("graph").alias("network"), "method").agg(F.round(F.avg("percent"), 9).alias("value"))
     places = study.cross_network(observed, "clique_full")[1]
     return places.select("method", r6("mean_rank").alias("mean_rank"), "wins", "n", *[r6(c).alias(c) for c in ("r_rb", "p", "q")])
+
+
+@query("vote_ties")
+def vote_ties(spark, sf_dir):
+    """In how many steps of each network's vote ranking the best votes were tied. SQL would need a step for each pick, so tests compare a plain version."""
+    own = networks(spark, sf_dir)
+    order = materialise(ranking.vote_rank(own.edges, own.nodes.select(F.col("id").alias("node"), "graph")), "votes")
+    return ranking.vote_ties(own.edges, order)
+
+
+@query(
+    "networks_ties",
+    f"""{N}, {SCORES}, f AS (SELECT graph, method, round(score, 8) AS s, count(*) AS n FROM ms WHERE method IN ('degree', 'core', 'clique_participation') GROUP BY ALL)
+    SELECT graph, method, count(*)::BIGINT AS n_groups, max(n)::BIGINT AS largest, round(avg(n), 6) AS mean_size, count(*) FILTER (n > 1)::BIGINT AS n_tied_groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS n_tied FROM f GROUP BY ALL""",
+)
+def networks_ties(spark, sf_dir):
+    """Groups of equal scores of three methods in each network."""
+    own = networks(spark, sf_dir)
+    scores, _ = collection.score_all(own, ["degree", "core", "clique_participation"])
+    groups = scores.groupBy("graph", "method", F.round("score", 8).alias("s")).agg(F.count("*").alias("n"))
+    return statistics.frequency_summary(groups, ["graph", "method"]).withColumn("mean_size", r6("mean_size"))
+
+
+@query(
+    "networks_correlations",
+    f"""{N}, {CORNERS}, {CLIQUES}, v0 AS (SELECT own.graph, n.k::DOUBLE AS x, count(inc.clique)::DOUBLE - 1 AS y FROM n JOIN own ON own.id = n.node LEFT JOIN inc ON inc.node = n.node GROUP BY own.graph, n.node, n.k),
+    v AS MATERIALIZED (SELECT * FROM v0 UNION ALL SELECT 'ALL', x, y FROM v0),
+    r AS (SELECT graph, rank() OVER (PARTITION BY graph ORDER BY x) + (count(*) OVER (PARTITION BY graph, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY graph ORDER BY y) + (count(*) OVER (PARTITION BY graph, y) - 1) / 2.0::DOUBLE AS ry FROM v),
+    a AS (SELECT graph, count(*)::BIGINT AS n, corr(x, y) AS p, count(*) FILTER (x > 0 AND y > 0)::BIGINT AS n_log, corr(log10(x), log10(CASE WHEN y > 0 THEN y END)) FILTER (x > 0 AND y > 0) AS l FROM v GROUP BY graph)
+    SELECT a.graph, n, round(p, 6) AS pearson, round(s, 6) AS spearman, n_log, round(l, 6) AS log_log FROM a JOIN (SELECT graph, corr(rx, ry) AS s FROM r GROUP BY graph) USING (graph)""",
+)
+def networks_correlations(spark, sf_dir):
+    """Degree against further cliques (beyond the first) of each node: straight, by ranks and on logarithms, in each network and in all."""
+    own = networks(spark, sf_dir)
+    k = graph.degrees(own.edges)
+    found = cl.incidence(cl.maximal_cliques(own.edges.select("u", "v"))).groupBy("node").agg(F.count("*").alias("n"))
+    rows = own.nodes.select("graph", F.col("id").alias("node")).join(k, "node").join(found, "node", "left").select("graph", "k", (F.coalesce("n", F.lit(0)) - 1).alias("y"))
+    table = statistics.correlation_table(rows, "graph", "k", "y")
+    return table.select("graph", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"), "n_log", r6("log_log").alias("log_log"))
