@@ -20,7 +20,7 @@ def modularity(edges: DataFrame, partition: DataFrame) -> float:
     return inner / m - volume / (4 * m * m)
 
 
-#: Rounds of moves at once without a gain in modularity after which a level goes on with moves that don't touch each other.
+#: Rounds without a gain in modularity after which a level ends (moves are made at once, so a round may also lose).
 PATIENCE = 4
 
 
@@ -51,20 +51,10 @@ def _moved(state: DataFrame, moves: DataFrame) -> DataFrame:
     return state.join(moves.select("node", "to"), "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "two_m")
 
 
-def _apart(wishes: DataFrame) -> DataFrame:
-    """Moves of which no two touch the same community: those that rise most of all that leave or enter their two."""
-    rank = F.struct("rise", -F.col("node"))
-    ends = wishes.select("node", "rise", F.explode(F.array("community", "to")).alias("c"))
-    top = ends.groupBy("c").agg(F.max(rank).alias("top"))
-    best = ends.join(top, "c").where(F.col("top") == rank).groupBy("node").agg(F.count("*").alias("n")).where("n = 2")
-    return wishes.join(best.select("node"), "node", "left_semi")
-
-
 def _settle(ties: DataFrame, scale: DataFrame) -> DataFrame:
-    """Moves nodes of weighted networks (u, v, w both ways; loops count twice) until none gains by a move. Returns (node, community).
+    """Moves nodes of weighted networks (u, v, w both ways; loops count twice) until none gains by a move, or modularity has not risen for PATIENCE rounds. Returns the best (node, community) met.
 
-    At first all nodes of a round may move, of half of them by hash, which is fast and may also lose; the best state met is kept. When that stops
-    gaining, moves that touch no community twice are made until there are none left: each of these gains what it promises, so the level ends.
+    scale: (node, two_m), the summed weight of the node's network.
     """
     rounds, moves = Rounds(3), Rounds(3)
     volume = ties.groupBy("u").agg(F.sum("w").alias("k"))
@@ -84,20 +74,15 @@ def _settle(ties: DataFrame, scale: DataFrame) -> DataFrame:
             best, reached, waited = materialise(state, "best"), now, 0
         else:
             waited += 1
-    state = best
-    while True:
-        wish = moves.write(_wishes(ties, state), "wishes")
-        if wish.isEmpty():
-            return state.select("node", "community")
-        state = rounds.write(_moved(state, _apart(wish)), "state")
+    return best.select("node", "community")
 
 
 def louvain(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, community): modularity is raised by moves within levels; communities become nodes of the next, until a level merges nothing. A community's name is its smallest node.
 
     nodes: (node, graph) if edges are the disjoint union of several networks; each then has a modularity of its own, and all
-    settle in the same rounds. Moves are decided for all nodes of a round at once, so the result is reproducible but differs from that of a
-    sequential sweep; as there, a level ends when no node gains by a move. Nodes without ties have no community.
+    settle in the same rounds. Moves are decided for all nodes of a round at once and made by a hashed half of them, so the result is
+    reproducible but differs from that of a sequential sweep. Nodes without ties have no community.
     """
     both = edges.select("u", "v").union(edges.select("v", "u")).select(F.col("u"), F.col("v"), F.lit(1.0).alias("w"))
     ties = materialise(both, "ties")
