@@ -47,18 +47,23 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 class Rounds:
-    """The written results of an iteration. A result goes once so many later ones are written, as no plan at hand reads it then."""
+    """The written results of an iteration. A result goes once so many later ones are written, as no plan at hand reads it then; with keep=None they stay until clear()."""
 
-    def __init__(self, keep: int = 2):
+    def __init__(self, keep: int | None = 2):
         self.keep, self.paths = keep, []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         out, path = _write(df, name)
         self.paths.append(path)
-        while len(self.paths) > self.keep:
+        while self.keep is not None and len(self.paths) > self.keep:
             delete(df.sparkSession, self.paths.pop(0))
         return out
 
+    def clear(self, spark: SparkSession) -> None:
+        """Deletes what is left; nothing may read it any more."""
+        while self.paths:
+            delete(spark, self.paths.pop())
+
 
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of intermediate files, in whatever store it is."""

@@ -127,6 +127,39 @@ def test_star_and_path(spark):
     assert (p.mean_distance, p.diameter, p.radius) == (2.0, 4, 2)
 
 
+def test_betweenness_in_waves(spark, sample):
+    e, near = sample
+    whole = scores(paths.betweenness(e))
+    for wave in (1 + len(near) // 3, len(near) - 1):
+        got = {r.node: r.delta for r in paths.dependencies(e, wave).collect()}
+        pairs = (len(near) - 1) * (len(near) - 2)
+        assert {v: x / pairs for v, x in got.items()} == pytest.approx(whole, abs=1e-12)
+    assert paths.dependencies(e.where("false")).count() == 0
+
+
+def test_cores_of_many_shapes(spark, sample):
+    """Against peeling: a dense sample, and chains that hang on cliques, where a fall passes on node by node."""
+    for e, near in (sample, chained(spark)):
+        left, core = {v: set(n) for v, n in near.items()}, {}
+        k = 0
+        while left:
+            v = min(left, key=lambda x: len(left[x]))
+            k = max(k, len(left[v]))
+            core[v] = k
+            for w in left.pop(v):
+                left[w].discard(v)
+        assert scores(ranking.core_numbers(e)) == core
+
+
+def chained(spark):
+    pairs = list(itertools.combinations(range(6), 2)) + [(5 + i, 6 + i) for i in range(12)] + list(itertools.combinations(range(17, 21), 2)) + [(2, 19), (30, 31)]
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    return edges_of(spark, pairs), near
+
+
 def distances(near):
     out = {}
     for s in near:
