@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import cliques as cl
 from marram.operators import collection, graph, ranking, statistics
-from marram.plans import graphs, study
+from marram.plans import graphs, runtime, study
 from marram.plans.registry import CLIQUES, CORNERS, FIGURES, LOSSES, ORACLES, PREPARED, QUERIES, RIM, SH, constraint_terms, core_sql, distances_sql, labels_sql, query, r6, wilcoxon_sql  # noqa: F401  the entry takes both registries from here
 from marram.sources.shared import materialise
 
@@ -193,3 +193,21 @@ def networks_correlations(spark, sf_dir):
     rows = own.nodes.select("graph", F.col("id").alias("node")).join(k, "node").join(found, "node", "left").select("graph", "k", (F.coalesce("n", F.lit(0)) - 1).alias("y"))
     table = statistics.correlation_table(rows, "graph", "k", "y")
     return table.select("graph", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"), "n_log", r6("log_log").alias("log_log"))
+
+
+# --- run time ---
+
+
+@query("stage_runtime")
+def stage_runtime(spark, sf_dir):
+    """Seconds of preparation, cliques and scores on two graphs of all lines, one of each line status (parts that share an order in lines of one flag and status), and what each stage made.
+
+    Times differ from run to run, so there is no SQL; edges, cliques and scored nodes don't.
+    """
+    pairs = materialise(graphs.co_shipped_parts(spark, sf_dir).select(F.right("graph", F.lit(1)).alias("status"), "u", "v"), "pairs")
+    runs = [runtime.stage_times(spark, s, lambda s=s: pairs.where(F.col("status") == s).select("u", "v")) for s in ("F", "O")]
+    times = runs[0].union(runs[1])
+    spent = runtime.wide(runtime.summary(times, ["graph"]), ["graph"], runtime.STAGES)
+    made = statistics.pivoted(times, ["graph"], "name", "rows", list(runtime.STAGES)).toDF("graph", "n_edges", "n_cliques", "n_scores")
+    failed = times.groupBy("graph").agg(F.count_if(F.col("error") != "").alias("failed"))
+    return spent.toDF("graph", *[f"{s}_seconds" for s in runtime.STAGES]).join(made, "graph").join(failed, "graph")
