@@ -25,37 +25,32 @@ def distance_sums(edges: DataFrame, sources: DataFrame | None = None) -> DataFra
     """node, reached (sources other than itself that reach it), total (sum of their distances) and farthest, for every node.
 
     sources: (node); all nodes if it is None. Graphs are undirected, so over all sources these are the node's own sums.
+    The sums so far are part of a row, so a level needs only the one before it, and earlier ones are deleted.
     """
     adj = materialise(adjacency(edges), "adjacency")
     numbered = relabel(edges) if sources is None else relabel(sources.select(F.col("node").alias("u"), F.col("node").alias("v")))
     label = F.col("label")
     word = F.floor(label % (64 * WORDS) / 64)
-    own = [F.when(word == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(_BITS)]
-    seen = materialise(numbered.select("node", F.floor(label / (64 * WORDS)).alias("block"), *own), "seen")
-    ring, sums, d = seen, None, 0
-    zero, old_bits = F.lit(0).cast("long"), [f"s{b}" for b in _BITS]
-    moved = [F.col("v").alias("node"), F.col("block"), *map(F.col, _BITS), *[zero.alias(s) for s in old_bits]]
-    kept = [F.col("node"), F.col("block"), *[zero.alias(b) for b in _BITS], *[F.col(b).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]]
-    gathered = [F.bit_or(c).alias(c) for c in (*_BITS, *old_bits)]
-    fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.col(s))) for b, s in zip(_BITS, old_bits, strict=True)]
-    counted = reduce(lambda a, b: a + b, [F.bit_count(f) for f in fresh]).alias("n")
-    told = [F.col("node"), F.col("block"), counted, *[f.alias(b) for f, b in zip(fresh, _BITS, strict=True)], *[F.col(b).bitwiseOR(F.col(s)).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]]
-    seen_next = [F.col("node"), F.col("block"), *[F.col(s).alias(b) for b, s in zip(_BITS, old_bits, strict=True)]]
-    while True:
+    zero = F.lit(0).cast("long")
+    own = [F.when(word == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(zero).alias(b) for i, b in enumerate(_BITS)]
+    old_bits, counts = [f"s{b}" for b in _BITS], ["reached", "total", "farthest"]
+    start = numbered.select("node", F.floor(label / (64 * WORDS)).alias("block"), *own).groupBy("node", "block").agg(*[F.bit_or(b).alias(b) for b in _BITS])
+    rounds, d = Rounds(2), 0
+    state = rounds.write(start.select("node", "block", *_BITS, *[F.col(b).alias(s) for b, s in zip(_BITS, old_bits, strict=True)], F.lit(1).cast("long").alias("n"), *[zero.alias(c) for c in counts]), "level")
+    moved = [F.col("v").alias("node"), F.col("block"), *map(F.col, _BITS), *[zero.alias(c) for c in (*old_bits, *counts)]]
+    kept = [F.col("node"), F.col("block"), *[zero.alias(b) for b in _BITS], *map(F.col, (*old_bits, *counts))]
+    gathered = [*[F.bit_or(c).alias(c) for c in (*_BITS, *old_bits)], *[F.max(c).alias(c) for c in counts]]  # a key has one row of its own
+    fresh = [F.col(b).bitwiseAND(F.bitwise_not(F.col(s))).alias(b) for b, s in zip(_BITS, old_bits, strict=True)]
+    seen = [F.col(b).bitwiseOR(F.col(s)).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]
+    n = F.col("n")
+    while not state.where("n > 0").isEmpty():
         d += 1
-        both = ring.join(adj, ring["node"] == adj["u"]).select(*moved).union(seen.select(*kept)).groupBy("node", "block").agg(*gathered)
-        both = materialise(both.select(*told), "level")
-        ring = both.where("n > 0")
-        if ring.isEmpty():
-            break
-        level = ring.groupBy("node").agg(F.sum("n").alias("n"), F.lit(d).alias("d"))
-        sums = level if sums is None else sums.union(level)
-        ring, seen = ring.select("node", "block", *_BITS), both.select(*seen_next)
-    nodes = degrees(edges).select("node")
-    if sums is None:
-        return nodes.select("node", *[F.lit(0).cast("long").alias(c) for c in ("reached", "total", "farthest")])
-    got = sums.groupBy("node").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("d")).alias("total"), F.max("d").cast("long").alias("farthest"))
-    return nodes.join(got, "node", "left").select("node", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("reached", "total", "farthest")])
+        both = state.where("n > 0").join(adj, F.col("node") == adj["u"]).select(*moved).union(state.select(*kept)).groupBy("node", "block").agg(*gathered)
+        both = both.select("node", "block", *fresh, *seen, *counts).withColumn("n", reduce(lambda a, b: a + b, [F.bit_count(b).cast("long") for b in _BITS]))
+        told = [(F.col("reached") + n).alias("reached"), (F.col("total") + n * d).alias("total"), F.when(n > 0, F.lit(d).cast("long")).otherwise(F.col("farthest")).alias("farthest")]
+        state = rounds.write(both.select("node", "block", *_BITS, *old_bits, "n", *told), "level")
+    sums = state.groupBy("node").agg(F.sum("reached").alias("reached"), F.sum("total").alias("total"), F.max("farthest").alias("farthest"))
+    return degrees(edges).select("node").join(sums, "node", "left").select("node", *[F.coalesce(c, zero).cast("long").alias(c) for c in counts])
 
 
 def closeness(edges: DataFrame) -> DataFrame:
