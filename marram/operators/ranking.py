@@ -86,22 +86,21 @@ def neighbourhood_constraint(edges: DataFrame) -> DataFrame:
 def core_numbers(edges: DataFrame) -> DataFrame:
     """Core number as the fixpoint of neighbours' h-indices, from degrees downward.
 
-    A node is looked at again only if a neighbour fell from its own value or above to below it: no other fall can change its h-index.
     The h-index comes from counts per value, summed from above, so a hub's neighbours are counted, not listed.
     """
     adj = materialise(adjacency(edges), "adjacency")
     rounds = Rounds(2)
-    core = rounds.write(degrees(edges).select("node", F.col("k").alias("c"), F.lit(None).cast("long").alias("was")), "core")
+    core = rounds.write(degrees(edges).select("node", F.col("k").alias("c")), "core")
+    last = None
     while True:
-        own = core.select(F.col("node").alias("u"), F.col("c").alias("cu"))
-        fell = core.where("was is null or c < was").select(F.col("node").alias("v"), F.col("c").alias("cv"), "was")
-        again = adj.join(fell, "v").join(own, "u").where("cv < cu and (was is null or was >= cu)").select("u").distinct()
-        their = adj.join(again, "u", "left_semi").join(core.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.count("*").alias("n"))
+        their = adj.join(core.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.count("*").alias("n"))
         above = F.sum("n").over(Window.partitionBy("u").orderBy(F.desc("cv")))
         h = their.withColumn("m", F.least(above, F.col("cv"))).groupBy("u").agg(F.max("m").alias("h"))
-        core = rounds.write(core.join(h, core["node"] == h["u"], "left").select("node", F.least("c", "h").alias("c"), F.col("c").alias("was")), "core")
-        if core.where("c < was").isEmpty():
+        core = rounds.write(core.join(h, core["node"] == h["u"]).select("node", F.least("c", "h").alias("c")), "core")
+        now = core.agg(F.sum("c")).first()[0]
+        if now == last:
             return core.select("node", F.col("c").cast("double").alias("score"))
+        last = now
 
 
 def community_bridges(edges: DataFrame, partition: DataFrame) -> DataFrame:

@@ -172,18 +172,6 @@ def distances(near):
     return out
 
 
-def test_distance_levels_are_deleted(spark):
-    """A path of 14 nodes takes 14 levels; two are left. Sources may repeat."""
-    import os
-
-    e = edges_of(spark, [(i, i + 1) for i in range(13)])
-    where = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    before = set(os.listdir(where))
-    got = paths.distance_sums(e, spark.createDataFrame([(0,), (0,), (13,)], "node long"))
-    assert {r.node: (r.reached, r.total, r.farthest) for r in got.collect()} == {v: (2 - (v in (0, 13)), 13, max(v, 13 - v)) for v in range(14)}
-    assert sum(name.startswith("level-") for name in set(os.listdir(where)) - before) == 2
-
-
 def test_distances(spark, sample):
     e, near = sample
     d = distances(near)
