@@ -172,6 +172,12 @@ def rank_all(scores: DataFrame, digits: int | None = 8) -> DataFrame:
     return place_within(rows, ["graph", "method"], ["key", "node"], "place").select("graph", "method", "node", "score", (F.col("place") + 1).alias("rank"))
 
 
+def frequencies(ranks: DataFrame, digits: int = 8) -> DataFrame:
+    """(graph, method, rank, n): of each group of equal scores (rounded), its rank (1, 1 + n1, ...) and its number of nodes, from rankings (rank_all) by scores rounded likewise."""
+    groups = ranks.groupBy("graph", "method", F.round("score", digits).alias("s")).agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    return groups.select("graph", "method", "rank", "n")
+
+
 def seed_sets(networks: Collection, ranks: DataFrame, percents: list[int], rule: str = "floor1") -> DataFrame:
     """(graph, method, percent, set_id, node): the first nodes of each ranking, as many as the percentage of the own network's nodes asks for."""
     percent = F.explode(F.array(*[F.lit(p) for p in percents])).alias("percent")

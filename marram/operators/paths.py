@@ -7,9 +7,10 @@ before the shuffle; distances are never listed pair by pair.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marram.operators.graph import adjacency, degrees, relabel
@@ -21,18 +22,18 @@ WORDS = 8
 _BITS = [f"b{i}" for i in range(WORDS)]
 
 
-def distance_sums(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """node, reached (sources other than itself that reach it), total (sum of their distances) and farthest, for every node.
+def _own_bits(label: Column) -> list[Column]:
+    """The bits of a source among the 64 * WORDS of its block."""
+    word = F.floor(label % (64 * WORDS) / 64)
+    return [F.when(word == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(_BITS)]
 
-    sources: (node); all nodes if it is None. Graphs are undirected, so over all sources these are the node's own sums.
-    """
+
+def _levels(edges: DataFrame, numbered: DataFrame) -> Iterator[tuple[int, DataFrame]]:
+    """The levels d = 1, 2, ... of a search from all sources (node, label from 0): (node, block, n, bits) of what is reached at distance d, with n > 0 sources in a block."""
     adj = materialise(adjacency(edges), "adjacency")
-    numbered = relabel(edges) if sources is None else relabel(sources.select(F.col("node").alias("u"), F.col("node").alias("v")))
     label = F.col("label")
-    word = F.floor(label % (64 * WORDS) / 64)
-    own = [F.when(word == i, F.expr("shiftleft(1L, cast(label % 64 as int))")).otherwise(F.lit(0).cast("long")).alias(b) for i, b in enumerate(_BITS)]
-    seen = materialise(numbered.select("node", F.floor(label / (64 * WORDS)).alias("block"), *own), "seen")
-    ring, sums, d = seen, None, 0
+    seen = materialise(numbered.select("node", F.floor(label / (64 * WORDS)).alias("block"), *_own_bits(label)), "seen")
+    ring, d = seen, 0
     zero, old_bits = F.lit(0).cast("long"), [f"s{b}" for b in _BITS]
     moved = [F.col("v").alias("node"), F.col("block"), *map(F.col, _BITS), *[zero.alias(s) for s in old_bits]]
     kept = [F.col("node"), F.col("block"), *[zero.alias(b) for b in _BITS], *[F.col(b).alias(s) for b, s in zip(_BITS, old_bits, strict=True)]]
@@ -45,19 +46,58 @@ def distance_sums(edges: DataFrame, sources: DataFrame | None = None) -> DataFra
         d += 1
         both = ring.join(adj, ring["node"] == adj["u"]).select(*moved).union(seen.select(*kept)).groupBy("node", "block").agg(*gathered)
         both = materialise(both.select(*told), "level")
-        ring = both.where("n > 0")
-        if ring.isEmpty():
-            break
-        level = ring.groupBy("node").agg(F.sum("n").alias("n"), F.lit(d).alias("d"))
-        sums = level if sums is None else sums.union(level)
-        ring, seen = ring.select("node", "block", *_BITS), both.select(*seen_next)
+        reached = both.where("n > 0")
+        if reached.isEmpty():
+            return
+        yield d, reached.select("node", "block", "n", *_BITS)
+        ring, seen = reached.select("node", "block", *_BITS), both.select(*seen_next)
+
+
+def distance_sums(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """node, reached (sources other than itself that reach it), total (sum of their distances) and farthest, for every node.
+
+    sources: (node); all nodes if it is None. Graphs are undirected, so over all sources these are the node's own sums.
+    """
+    numbered = relabel(edges) if sources is None else relabel(sources.select(F.col("node").alias("u"), F.col("node").alias("v")))
+    levels = [ring.groupBy("node").agg(F.sum("n").alias("n"), F.lit(d).alias("d")) for d, ring in _levels(edges, numbered)]
     nodes = degrees(edges).select("node")
-    if sums is None:
+    if not levels:
         return nodes.select("node", *[F.lit(0).cast("long").alias(c) for c in ("reached", "total", "farthest")])
-    got = sums.groupBy("node").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("d")).alias("total"), F.max("d").cast("long").alias("farthest"))
+    got = reduce(DataFrame.union, levels).groupBy("node").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("d")).alias("total"), F.max("d").cast("long").alias("farthest"))
     return nodes.join(got, "node", "left").select("node", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("reached", "total", "farthest")])
 
 
+def set_dispersions(edges: DataFrame, sets: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """(set_id, k, mean_distance): the exact mean distance over unordered pairs of each seed set (set_id, node), from one search for all sets.
+
+    A pair out of reach counts as the number of nodes of the graph, or as n of sizes (set_id, n). 0 for fewer than two seeds; repeated rows
+    count once. No pair is listed: a set is a mask over the sources of a block, and what a seed was reached by at a level is counted in it.
+    """
+    members = materialise(sets.where("set_id is not null and node is not null").select("set_id", "node").distinct(), "sets")
+    labels = materialise(before(members.select("node").distinct(), ["node"], "label"), "labels")
+    label, marks = F.col("label"), [f"m{b}" for b in _BITS]
+    masks = members.join(labels, "node").select("set_id", F.floor(label / (64 * WORDS)).alias("block"), *_own_bits(label)).groupBy("set_id", "block").agg(*[F.bit_or(b).alias(m) for b, m in zip(_BITS, marks, strict=True)])
+    masks = materialise(masks, "masks")
+    within = reduce(lambda a, b: a + b, [F.bit_count(F.col(b).bitwiseAND(F.col(m))) for b, m in zip(_BITS, marks, strict=True)])
+    levels = []
+    for d, ring in _levels(edges, labels):
+        met = ring.drop("n").join(members, "node").join(masks, ["set_id", "block"])
+        levels.append(met.groupBy("set_id").agg(F.sum(within).alias("n"), F.lit(d).alias("d")))
+    k = members.groupBy("set_id").agg(F.count("*").alias("k"))
+    if sizes is None:
+        k = k.crossJoin(F.broadcast(degrees(edges).agg(F.count("*").alias("far"))))  # one row
+    else:
+        k = k.join(sizes.select("set_id", F.col("n").alias("far")), "set_id")
+    pairs, zero = F.col("k") * (F.col("k") - 1), F.lit(0).cast("long")
+    if levels:
+        sums = reduce(DataFrame.union, levels).groupBy("set_id").agg(F.sum("n").alias("reached"), F.sum(F.col("n") * F.col("d")).alias("total"))
+        k = k.join(sums, "set_id", "left").withColumn("reached", F.coalesce("reached", zero)).withColumn("total", F.coalesce("total", zero))
+    else:
+        k = k.withColumn("reached", zero).withColumn("total", zero)
+    value = F.when(F.col("k") > 1, (F.col("total") + (pairs - F.col("reached")) * F.col("far")) / pairs).otherwise(0.0)
+    return k.select("set_id", "k", value.alias("mean_distance"))
+
+
 def closeness(edges: DataFrame) -> DataFrame:
     """Reached nodes over their summed distance, scaled by the share of nodes reached."""
     n = degrees(edges).agg(F.count("*").alias("n"))
@@ -216,16 +256,23 @@ def jaccard(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def mean_jaccard(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """One row: mean Jaccard similarity over unordered pairs of seeds; null for fewer than two.
+    """One row: k and the mean Jaccard similarity over unordered pairs of seeds; null for fewer than two."""
+    own = set_similarities(edges, seeds.select(F.lit(0).alias("set_id"), "node")).select("k", "mean_jaccard")
+    return own.groupBy().agg(F.coalesce(F.max("k"), F.lit(0)).cast("long").alias("k"), F.max("mean_jaccard").alias("mean_jaccard"))  # one set
+
+
+def set_similarities(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """(set_id, k, mean_jaccard): the mean Jaccard similarity of neighbourhoods over unordered pairs of each seed set (set_id, node); null for fewer than two seeds, repeated rows count once.
 
     Only pairs with a common neighbour are joined; the others are counted as 0.
     """
     adj, k = adjacency(edges), degrees(edges)
-    own = seeds.select("node").distinct()
-    near = own.join(adj, own["node"] == adj["u"]).select("node", F.col("v").alias("x"))
-    common = near.select(F.col("node").alias("i"), "x").join(near.select(F.col("node").alias("j"), "x"), "x").where("i < j").groupBy("i", "j").agg(F.count("*").alias("common"))
+    own = sets.where("set_id is not null and node is not null").select("set_id", "node").distinct()
+    near = materialise(own.join(adj, own["node"] == adj["u"]).select("set_id", "node", F.col("v").alias("x")), "near")
+    common = near.withColumnRenamed("node", "i").join(near.withColumnRenamed("node", "j"), ["set_id", "x"]).where("i < j").groupBy("set_id", "i", "j").agg(F.count("*").alias("common"))
     size = lambda c: k.select(F.col("node").alias(c), F.col("k").alias(f"k{c}"))
     value = F.col("common") / (F.col("ki") + F.col("kj") - F.col("common"))
-    total = common.join(size("i"), "i").join(size("j"), "j").agg(F.sum(value).alias("total"))
+    total = common.join(size("i"), "i").join(size("j"), "j").groupBy("set_id").agg(F.sum(value).alias("total"))
     n = F.col("k")
-    return own.agg(F.count("*").alias("k")).crossJoin(total).select("k", F.when(n > 1, F.coalesce("total", F.lit(0.0)) / (n * (n - 1) / 2)).alias("mean_jaccard"))
+    counts = own.groupBy("set_id").agg(F.count("*").alias("k"))
+    return counts.join(total, "set_id", "left").select("set_id", "k", F.when(n > 1, F.coalesce("total", F.lit(0.0)) / (n * (n - 1) / 2)).alias("mean_jaccard"))

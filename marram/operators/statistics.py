@@ -147,14 +147,15 @@ def improvements(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     return got.select(*by, "n", "gain", F.when(F.col("base") > 0, 100.0 * F.col("gain") / F.col("base")).alias("improvement"), F.when(F.col("sd") > 0, F.col("gain") / F.col("sd")).alias("d_z"), (100.0 * F.col("wins")).alias("win_rate"))
 
 
-def monotonicity(scores: DataFrame, digits: int = 10) -> DataFrame:
-    """One row: distinct scores, tie groups, tied nodes, largest group, and monotonicity (1 - sum n (n - 1) / (N (N - 1))) squared."""
-    groups = scores.where("score is not null and not isnan(score)").groupBy(F.round("score", digits).alias("s")).agg(F.count("*").alias("n"))
+def monotonicity(scores: DataFrame, digits: int = 10, by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each group of by: distinct scores, tie groups, tied nodes, largest group, and monotonicity (1 - sum n (n - 1) / (N (N - 1))) squared."""
+    by = by or []
+    groups = scores.where("score is not null and not isnan(score)").groupBy(*by, F.round("score", digits).alias("s")).agg(F.count("*").alias("n"))
     c = F.col("n")
-    got = groups.agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_distinct"), F.count_if(c > 1).alias("n_groups"), F.sum(F.when(c > 1, c).otherwise(0)).alias("n_tied"), F.max("n").alias("largest"), F.sum(c * (c - 1)).alias("same"))
+    got = groups.groupBy(*by).agg(F.sum("n").alias("n_nodes"), F.count("*").alias("n_distinct"), F.count_if(c > 1).alias("n_groups"), F.sum(F.when(c > 1, c).otherwise(0)).alias("n_tied"), F.max("n").alias("largest"), F.sum(c * (c - 1)).alias("same"))
     n = F.col("n_nodes")
     m = F.when(n > 1, F.pow(1 - F.col("same") / (n * (n - 1)), F.lit(2.0))).when(n == 1, 1.0)
-    return got.select("n_nodes", "n_distinct", "n_groups", "n_tied", "largest", m.alias("monotonicity"))
+    return got.select(*by, "n_nodes", "n_distinct", "n_groups", "n_tied", "largest", m.alias("monotonicity"))
 
 
 def rank_frequencies(scores: DataFrame, digits: int = 8) -> DataFrame:

@@ -118,6 +118,9 @@ def networks_ranks(spark, sf_dir):
     return own.named(ranks(own).drop("graph")).select("graph", "method", "node", (F.round("score", 9) + F.lit(0.0)).alias("score"), "rank")
 
 
+#: The return flags and line statuses that there are.
+GRAPHS = [flag + status for flag in "ANR" for status in "FO"]
+
 PERCENTS, BLOCKS, REPEATS = [1, 2, 3], 4, 4
 SPREAD = f"""{N}, {SCORES},
     seeds AS MATERIALIZED (SELECT rk.graph, rk.method, q.q AS percent_seeds, rk.node FROM rk JOIN net USING (graph), (SELECT unnest({PERCENTS}) AS q) q WHERE rk.method IN ('degree', 'core', 'collective_influence', 'clique_full') AND rk.rank <= greatest(1, net.nn * q.q // 100)),
@@ -195,6 +198,69 @@ def networks_correlations(spark, sf_dir):
     return table.select("graph", "n", r6("pearson").alias("pearson"), r6("spearman").alias("spearman"), "n_log", r6("log_log").alias("log_log"))
 
 
+SHARES = [2, 4, 6, 8, 10]
+
+
+@query(
+    "networks_dispersion",
+    f"""{N}, {SCORES}, {DIST},
+    s AS MATERIALIZED (SELECT rk.graph, rk.method, q.q AS percent, rk.node, net.nn FROM rk JOIN net USING (graph), (SELECT unnest({SHARES}) AS q) q WHERE rk.rank <= least(net.nn, greatest(2, ceil(net.nn * q.q / 100.0)))),
+    pz AS MATERIALIZED (SELECT a.graph, a.method, a.percent, a.node AS i, b.node AS j, a.nn FROM s a JOIN s b ON a.graph = b.graph AND a.method = b.method AND a.percent = b.percent AND a.node < b.node),
+    pd AS MATERIALIZED (SELECT DISTINCT i, j FROM pz),
+    m AS (SELECT i, j, count(*) AS x FROM pd JOIN adj a ON a.u = pd.i JOIN adj b ON b.u = pd.j AND b.v = a.v GROUP BY ALL),
+    kk AS (SELECT graph, method, percent, count(*)::BIGINT AS k FROM s GROUP BY ALL),
+    di AS MATERIALIZED (SELECT pz.graph, pz.method, pz.percent, avg(coalesce(dist.d, pz.nn)) AS far, avg(coalesce(m.x, 0)::DOUBLE / (na.k + nb.k - coalesce(m.x, 0))) AS near
+        FROM pz JOIN n na ON na.node = pz.i JOIN n nb ON nb.node = pz.j LEFT JOIN dist ON dist.s = pz.i AND dist.v = pz.j LEFT JOIN m ON m.i = pz.i AND m.j = pz.j GROUP BY ALL),
+    al AS (SELECT kk.*, coalesce(far, 0) AS far, near FROM kk LEFT JOIN di USING (graph, method, percent)),
+    av AS (SELECT graph, method, avg(far) AS average FROM al GROUP BY ALL),
+    sc AS (SELECT *, max(average) OVER w - min(average) OVER w AS span, average - min(average) OVER w AS above FROM av WINDOW w AS (PARTITION BY graph))
+    SELECT graph, method, percent::INT AS percent, k, round(far, 6) AS mean_distance, round(near, 6) AS mean_jaccard, round(average, 6) AS average, round(CASE WHEN span > 1e-12 THEN above / span ELSE 0.5 END, 6) AS scaled FROM al JOIN sc USING (graph, method)""",
+)
+def networks_dispersion(spark, sf_dir):
+    """How far apart and how alike the first nodes of nine rankings are, in five shares of each network's nodes: one search for all of them."""
+    own = networks(spark, sf_dir)
+    table = study.networks_dispersion_study(own, ranks(own), SHARES)
+    return table.select(*[r6(c).alias(c) if t == "double" else c for c, t in table.dtypes])
+
+
+@query("networks_frequencies", f"{N}, {SCORES} SELECT graph, method, min(rank)::BIGINT AS rank, count(*)::BIGINT AS n FROM rk GROUP BY graph, method, round(score, 8)")
+def networks_frequencies(spark, sf_dir):
+    """How many nodes share each rank of nine rankings in each network."""
+    return collection.frequencies(ranks(networks(spark, sf_dir)))
+
+
+@query(
+    "networks_monotonicity",
+    f"""{N}, {SCORES}, f AS (SELECT graph, method, count(*) AS n FROM ms GROUP BY graph, method, round(score, 8)),
+    m AS (SELECT graph, method, CASE WHEN sum(n) > 1 THEN (1 - sum(n * (n - 1))::DOUBLE / (sum(n) * (sum(n) - 1))) ** 2 ELSE 1 END AS m FROM f GROUP BY ALL)
+    SELECT method, {", ".join(f"round(max(m) FILTER (graph = '{x}'), 6) AS {x}" for x in GRAPHS)}, round(avg(m), 6) AS mean, round(coalesce(stddev_samp(m), 0), 6) AS std FROM m GROUP BY method""",
+)
+def networks_monotonicity(spark, sf_dir):
+    """How finely nine methods tell nodes apart: a row a method, a column a network, mean and standard deviation over the networks."""
+    own = networks(spark, sf_dir)
+    told = materialise(statistics.monotonicity(ranks(own), 8, ["graph", "method"]), "monotonicity")
+    spans = told.groupBy("method").agg(F.avg("monotonicity").alias("mean"), F.coalesce(F.stddev_samp("monotonicity"), F.lit(0.0)).alias("std"))
+    wide = statistics.pivoted(told, ["method"], "graph", "monotonicity", GRAPHS).join(spans, "method")
+    return wide.select("method", *[r6(c).alias(c) for c in (*GRAPHS, "mean", "std")])
+
+
+LEADING, EXACT = 50, ["degree", "core", "collective_influence", "clique_participation"]
+
+
+@query(
+    "networks_leading",
+    f"""{N}, {SCORES}, f AS MATERIALIZED (SELECT * FROM (SELECT graph, method, node, score, row_number() OVER (PARTITION BY graph, method ORDER BY score DESC, node) AS place FROM ms WHERE method IN ({", ".join(f"'{m}'" for m in EXACT)})) WHERE place <= {LEADING}),
+    i AS (SELECT a.graph, a.method, a.node, count(*) AS inside FROM f a JOIN adj ON adj.u = a.node JOIN f b ON b.graph = a.graph AND b.method = a.method AND b.node = adj.v GROUP BY ALL),
+    r AS (SELECT f.graph, f.method, f.place, own.node, f.score, n.k AS degree, coalesce(i.inside, 0) AS inside FROM f JOIN own ON own.id = f.node JOIN n ON n.node = f.node LEFT JOIN i ON i.graph = f.graph AND i.method = f.method AND i.node = f.node)
+    SELECT g.graph, g.method, p.p::BIGINT AS place, r.node, round(r.score, 9) AS score, r.degree::BIGINT AS degree, r.inside::BIGINT AS inside FROM (SELECT DISTINCT graph, method FROM f) g CROSS JOIN (SELECT unnest(range(1, {LEADING + 1})) AS p) p LEFT JOIN r ON r.graph = g.graph AND r.method = g.method AND r.place = p.p""",
+)
+def networks_leading(spark, sf_dir):
+    """The first 50 nodes of four rankings in each network, with their ties and those to each other; a top-k report."""
+    own = networks(spark, sf_dir)
+    scores, _ = collection.score_all(own, EXACT)
+    return study.leading_nodes(own, scores, LEADING).withColumn("score", F.round("score", 9) + F.lit(0.0))
+
+
 # --- run time ---
 
 

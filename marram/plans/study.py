@@ -135,25 +135,45 @@ def cross_network(observed: DataFrame, target: str) -> tuple[DataFrame, DataFram
 
 def tie_table(scores: DataFrame) -> DataFrame:
     """Monotonicity, tie groups and tied nodes of each method."""
-    methods = [r[0] for r in scores.select("method").distinct().orderBy("method").collect()]
-    rows = [statistics.monotonicity(scores.where(F.col("method") == m)).select(F.lit(m).alias("method"), "*") for m in methods]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    return statistics.monotonicity(scores, by=["method"])
 
 
 def dispersion_study(edges: DataFrame, ranks: DataFrame, percents: list[int]) -> DataFrame:
-    """(method, percent, k, mean_distance, mean_jaccard) of the first nodes of each ranking."""
-    n = graph.degrees(edges).count()
-    sets = materialise(seed_sets(ranks, n, percents, "ceil2"), "seeds")
-    out = None
-    for r in sets.select("method", "percent", "set_id").distinct().orderBy("set_id").collect():  # the plan's settings
-        own = sets.where(F.col("set_id") == r["set_id"])
-        row = paths.dispersion(edges, own).join(paths.mean_jaccard(edges, own), "k").select(F.lit(r["method"]).alias("method"), F.lit(r["percent"]).alias("percent"), "k", "mean_distance", "mean_jaccard")
-        row = materialise(row, "setting")
-        out = row if out is None else out.union(row)
-    return out
+    """(method, percent, k, mean_distance, mean_jaccard) of the first nodes of each ranking, from one search for all of them."""
+    sets = materialise(seed_sets(ranks, graph.degrees(edges).count(), percents, "ceil2"), "seeds")
+    far, near = paths.set_dispersions(edges, sets), paths.set_similarities(edges, sets).drop("k")
+    return far.join(near, "set_id").select(_of_set("method").alias("method"), _of_set("percent").cast("int").alias("percent"), "k", "mean_distance", "mean_jaccard")
+
+
+def networks_dispersion_study(networks: collection.Collection, ranks: DataFrame, percents: list[int]) -> DataFrame:
+    """(graph, method, percent, k, mean_distance, mean_jaccard, average, scaled) of the first nodes of each ranking (graph, method, node, rank) in each network.
+
+    One search serves all networks, methods and shares. average is the mean distance over the shares, scaled puts it between the least and the
+    largest of the network's methods. A pair out of reach counts as its network's number of nodes.
+    """
+    sets = materialise(collection.seed_sets(networks, ranks, percents, "ceil2"), "seeds")
+    named = sets.select("set_id", "graph", "method", "percent").distinct()
+    sizes = named.join(networks.sizes(), "graph").select("set_id", "n")
+    far, near = paths.set_dispersions(networks.edges, sets, sizes), paths.set_similarities(networks.edges, sets).drop("k")
+    rows = materialise(named.join(far, "set_id").join(near, "set_id").drop("set_id"), "dispersion")
+    averages = scaled_axes(rows.groupBy("graph", "method").agg(F.avg("mean_distance").alias("average")), ["graph"], "average")
+    return rows.join(averages, ["graph", "method"]).select("graph", "method", "percent", "k", "mean_distance", "mean_jaccard", "average", "scaled")
+
+
+def leading_nodes(networks: collection.Collection, scores: DataFrame, k: int = 50) -> DataFrame:
+    """(graph, method, place, node, score, degree, inside): the first k nodes by unrounded score of each method in each network, by name, with their ties and those to each other.
+
+    Places beyond the ranking are rows of nulls, so every method has k of them. Of equal scores the smaller node comes first.
+    """
+    first = materialise(collection.rank_all(scores, None).where(F.col("rank") <= k), "leading")
+    ends = first.select("graph", "method", "node")
+    ties = networks.edges.select("u", "v").union(networks.edges.select("v", "u"))
+    near = ends.join(ties, ends["node"] == ties["u"]).select("graph", "method", "node", "v")
+    inside = near.join(ends.withColumnRenamed("node", "v"), ["graph", "method", "v"]).groupBy("graph", "method", "node").agg(F.count("*").alias("inside"))
+    rows = first.join(graph.degrees(networks.edges), "node").join(inside, ["graph", "method", "node"], "left")
+    named = networks.named(rows.drop("graph")).select("graph", "method", F.col("rank").alias("place"), "node", "score", F.col("k").alias("degree"), F.coalesce("inside", F.lit(0)).cast("long").alias("inside"))
+    places = scores.select("graph", "method").distinct().select("graph", "method", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long"))).alias("place"))
+    return places.join(named, ["graph", "method", "place"], "left").select("graph", "method", "place", "node", "score", "degree", "inside")
 
 
 def scaled_axes(df: DataFrame, by: list[str], value: str) -> DataFrame:
