@@ -97,3 +97,16 @@ def markdown(df: DataFrame, digits: int = 4) -> str:
     """A small result table as Markdown text."""
     rows = [[f"{x:.{digits}f}" if isinstance(x, float) else "" if x is None else str(x) for x in r] for r in df.collect()]
     return "\n".join("| " + " | ".join(r) + " |" for r in [df.columns, ["---"] * len(df.columns), *rows])
+
+
+#: What LaTeX reads as commands, and how it is written.
+_ESCAPES = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+
+
+def latex(df: DataFrame, digits: int = 4) -> str:
+    """A small result table as a LaTeX tabular: numbers to the right, text to the left, null empty."""
+    escaped = lambda x: "".join(_ESCAPES.get(c, c) for c in x)
+    cell = lambda x: f"{x:.{digits}f}" if isinstance(x, float) else "" if x is None else escaped(str(x))
+    sides = "".join("l" if t in ("string", "boolean") else "r" for _, t in df.dtypes)
+    lines = [" & ".join(map(cell, r)) + r" \\" for r in df.collect()]
+    return "\n".join([rf"\begin{{tabular}}{{{sides}}}", r"\hline", " & ".join(map(escaped, df.columns)) + r" \\", r"\hline", *lines, r"\hline", r"\end{tabular}"])

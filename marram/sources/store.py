@@ -19,6 +19,7 @@ from marram.operators import cliques as cl
 from marram.operators import methods
 from marram.operators.collection import Collection, collect_networks
 from marram.sources.networks import read_network, read_nodes
+from marram.sources.shared import delete
 
 
 def edge_digest(edges: DataFrame) -> str:
@@ -45,6 +46,10 @@ class Store:
     def read(self, kind: str, key: str) -> DataFrame:
         return self.spark.read.parquet(self.path(kind, key))
 
+    def drop(self, kind: str, key: str) -> None:
+        """Deletes the table, if it is there."""
+        delete(self.spark, self.path(kind, key))
+
     def table(self, kind: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         """The table, made and written first if it isn't there. What an unfinished writer left is written over."""
         if not self.has(kind, key):
