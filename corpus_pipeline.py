@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies (five-word shingles, similarity 0.8 or more): the smallest id, null ids last."""
+    """Keeps one row of each group of near copies (SimHash at three bits or fewer, or five-word shingles of similarity 0.8 or more): the smallest id, null ids last."""
     return resemblance.keep_one_of_each(docs, COLUMNS)
 
 

@@ -1,4 +1,7 @@
-"""Near copies by word shingles: a Jaccard similarity of 0.8 or more, candidates by MinHash, each link verified.
+"""Near copies by SimHash fingerprints and by word shingles: a Jaccard similarity of 0.8 or more, candidates by MinHash, each link verified.
+
+Fingerprints are those of simhash, linked through its pivot tables at three differing bits or fewer. Pairs of similarity 0.8 differ in
+more bits than that, so the sets of shingles add their own links; neither kind replaces the other.
 
 A text is the set of its shingles of five words (hashed to 64 bits; words are cut at ASCII blanks, A to Z in
 lower case). Least values of the set under 80 permutations form 20 keys of four values each; a pair of similarity s
@@ -16,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marram.llm import simhash
 from marram.llm.arrays import batch, carried, ddl, few, raw, word_pieces
 from marram.operators.components import connected_components
 from marram.sources.shared import materialise, pick
@@ -99,18 +103,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The columns (name: type), a digest of the shingle set, its size and keys, and a row number that holds once written."""
-    out = [("digest", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))]
+    """The columns (name: type), the SimHash fingerprint, a digest of the shingle set, its size and keys, and a row number that holds once written."""
+    out = [("fp", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in (some for part in batches for some in few(part, 4 * PIECE_BYTES)):
             found = []
             for body in raw(rows.column("text")):
                 own = shingles(body)
-                found.append((xxhash.xxh3_128_digest(own.tobytes()), len(own), keys(own)))
-            yield carried(batch(out, [list(x) for x in zip(*found, strict=True)] or [[], [], []]), rows, columns)
+                fp = simhash.fingerprint(body)
+                found.append((fp - (1 << 64) if fp >> 63 else fp, xxhash.xxh3_128_digest(own.tobytes()), len(own), keys(own)))
+            yield carried(batch(out, [list(x) for x in zip(*found, strict=True)] or [[], [], [], []]), rows, columns)
 
-    return pick(docs, **columns).mapInArrow(run, "digest binary, size long, keys array<long>" + ddl(columns)).withColumn("row", F.monotonically_increasing_id())
+    return pick(docs, **columns).mapInArrow(run, "fp long, digest binary, size long, keys array<long>" + ddl(columns)).withColumn("row", F.monotonically_increasing_id())
 
 
 def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -127,8 +132,18 @@ def links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.mapInArrow(_links, "a long, b long")
 
 
+def fingerprint_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all whose fingerprints are linked by simhash, through the least node of each fingerprint."""
+    of = materialise(rows.select("digest", "fp").distinct().join(nodes.select("digest", "node"), "digest").select("node", "fp"), "prints")
+    least = materialise(of.groupBy("fp").agg(F.min("node").alias("first")), "first")
+    same = of.join(least, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    a, b = (least.select(F.col("fp").alias(c), F.col("first").alias(f"of_{c}")) for c in ("a", "b"))
+    near = simhash.links(least.select("fp")).join(a, "a").join(b, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.union(near)
+
+
 def keep_one_of_each(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """One row of each group that chains of similar texts connect: the smallest doc_id, null ones last, of equal ids any one row.
+    """One row of each group that chains of texts with linked fingerprints or similar sets connect: the smallest doc_id, null ones last, of equal ids any one row.
 
     columns: name and type of what is kept, with doc_id and text. Texts with equal shingle sets are one
     node, so groups of copies cost nothing; rows without a word are copies of each other.
@@ -136,7 +151,7 @@ def keep_one_of_each(docs: DataFrame, columns: dict[str, str]) -> DataFrame:
     rows = materialise(sketches(docs, columns), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
     nodes = materialise(rows.groupBy("digest").agg(F.min("row").alias("node"), first, F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
-    groups = connected_components(links(rows, nodes))
+    groups = connected_components(fingerprint_links(rows, nodes).union(links(rows, nodes)))
     member = nodes.join(groups, "node", "left").select(F.coalesce("component", "node").alias("component"), "first")
     kept = member.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     return rows.join(kept, "row", "left_semi").select(*columns)

@@ -53,3 +53,16 @@ def test_links_are_exact_at_the_threshold():
     sets = [np.append(base, np.uint64(100)), np.append(base, np.uint64(200)), base[:7], np.append(base, np.arange(300, 303).astype(np.uint64))]
     pairs = resemblance.tree(sets)
     assert sorted(zip(*pairs, strict=True)) == [(0, 1)]  # 8/10 links; 7/9 and 8/12 don't
+
+
+def test_linked_fingerprints_go_whatever_their_shingle_sets(spark):
+    """Texts of few distinct shingles whose counts differ: equal or near fingerprints, but sets of a similarity below 0.8."""
+    from marram.llm import simhash
+
+    base = "the same few words come again and again until the page is full "
+    texts = [base * 40, base * 40 + "an ending that only one copy has got", "something else " * 3, "a text about other matters that stays"]
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < min((prints[0] ^ p).bit_count() for p in prints[2:])
+    assert len(survivors([(i, t) for i, t in enumerate(texts)])) == 4
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    assert {r.doc_id for r in cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()} == {0, 2, 3}
