@@ -41,3 +41,22 @@ def test_no_private_folder_on_a_cluster():
 
     with pytest.raises(ValueError, match="checkpoint"):
         shared.scratch(Session())
+
+
+def test_tables_count_as_large_as_they_are_in_memory(spark):
+    """Two million numbers in order are a small file; a join must not take them for small and broadcast them."""
+    rows = shared.materialise(spark.range(2_000_000).selectExpr("id", "1L as c"))
+    plan = rows.join(rows.withColumnRenamed("c", "d"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_search_leaves_no_level_behind(spark):
+    from marram.operators import paths
+
+    where = shared.scratch(spark).removeprefix("file://")
+    left = lambda: sum(x.startswith("level-") for x in os.listdir(where))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "u long, v long")
+    before = left()
+    got = {r.node: (r.reached, r.total, r.farthest) for r in paths.distance_sums(edges).collect()}
+    assert got == {i: (6, sum(abs(i - j) for j in range(7)), max(i, 6 - i)) for i in range(7)}
+    assert left() == before and spark.conf.get(shared.SHUFFLES_GO, "false") == "false"
