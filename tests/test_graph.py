@@ -316,3 +316,18 @@ def test_cliques_around_hubs(spark):
     found = cl.maximal_cliques(graph.simple_edges(ends.union(more)))
     sizes = {r["size"]: r["count"] for r in found.groupBy("size").count().collect()}
     assert sizes == {3: n - 5, 5: 1}
+
+
+def test_preparation_finds_triangles_once_and_lists_no_wedges(spark, monkeypatch):
+    """Both sides of the report come from one search for triangles, and a tie carries a list, not a row for each pair of neighbours."""
+    calls, plain = [], graph.triangles
+    monkeypatch.setattr(graph, "triangles", lambda edges: calls.append(1) or plain(edges))
+    rows = [(1, 2), (2, 3), (1, 3), (3, 4), (10, 11), (11, 12), (10, 12), (5, 5)]
+    pairs = spark.createDataFrame(rows, "u long, v long")
+    edges = graph.simple_edges(pairs)
+    report = graph.preparation_report(pairs, graph.largest_component(edges)).first()
+    assert (report.raw_n, report.lcc_n, report.raw_e, report.lcc_e, report.lcc_c) == (7, 4, 7, 4, round((1 + 1 + 1 / 3) / 4, 4))
+    assert len(calls) == 1
+    hub = spark.range(1, 41).selectExpr("0L as u", "id as v").union(spark.range(1, 40).selectExpr("id as u", "id + 1 as v"))
+    found = {frozenset(r) for r in plain(hub).collect()}
+    assert found == {frozenset((0, i, i + 1)) for i in range(1, 40)} and plain(hub).count() == 39
