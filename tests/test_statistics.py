@@ -110,3 +110,20 @@ def test_corrected_tests_add_values_in_the_order_of_events(spark, tmp_path):
         df.coalesce(1).sortWithinPartitions(at).write.parquet(f"file://{tmp_path}/{path}/events.parquet")
         for name in ("benjamini_hochberg", "holm"):
             assert {r.user_id: r.p for r in QUERIES[name](spark, f"file://{tmp_path}/{path}").collect()} == want
+
+
+def test_rank_correlation_gathers_no_group(spark):
+    rows = [("g" if i % 3 else None, float(i * i % 17), float(i * 7 % 11)) for i in range(200)] + [("g", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+
+    def plain(values):
+        return [sum(w < v for w in values) + (sum(w == v for w in values) + 1) / 2 for v in values]
+
+    got = st.spearman(df, ["g"], "x", "y")
+    for r in got.collect():
+        own = [(x, y) for g, x, y in rows if g == r.g and x is not None]
+        a, b = plain([x for x, _ in own]), plain([y for _, y in own])
+        m = (len(own) + 1) / 2
+        dot = lambda p, q: sum((s - m) * (t - m) for s, t in zip(p, q, strict=True))
+        assert r.n == len(own) and r.r == pytest.approx(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5)
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString().replace("windowspec", "")
