@@ -79,3 +79,24 @@ def test_leading_nodes_frequencies_and_monotonicity(spark):
     assert told == {"a": (4, 3, 2, pytest.approx((1 - 2 / 12) ** 2)), "b": (2, 1, 2, 0.0)}
     alone = statistics.monotonicity(scores.where(F.col("graph") == "a"), 8).first()
     assert alone["n_distinct"] == 3 and alone["largest"] == 2
+
+
+def test_search_over_several_ranges_and_blocks(spark):
+    """A level brings a range what all its arcs carry in one part for each range of tails, not a row an arc; arcs may lead one way."""
+    from marram.operators import blocks
+
+    n, k = 2 * blocks.SPAN + 5, blocks.WIDE + 3
+    arcs = spark.range(1, n).selectExpr("id AS u", "0L AS v").union(spark.range(3, n, 3).selectExpr("0L AS u", "id AS v"))
+    sources = spark.range(k).selectExpr("id AS node", "id AS source")
+    packed = blocks.packed_arcs(arcs).collect()
+    assert sorted(r.j for r in packed) == [0, 1, 2]
+    found = [(d, state) for d, state in blocks.levels(arcs, sources)]
+    got = {}
+    for r in blocks.sums(found[-1][1]).collect():
+        a = got.get(r.label, (0, 0, 0))
+        got[r.label] = (a[0] + r.reached, a[1] + r.total, max(a[2], r.farthest))
+    want = {0: (k - 1, k - 1, 1)}
+    for v in range(3, n, 3):  # from node 0 in one step, from the other sources in two
+        others = k - 1 - (v < k)
+        want[v] = (1 + others, 1 + 2 * others, 2 if others else 1)
+    assert got == want and [d for d, _ in found] == [1, 2, 3]
