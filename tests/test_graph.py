@@ -331,3 +331,27 @@ def test_preparation_finds_triangles_once_and_lists_no_wedges(spark, monkeypatch
     hub = spark.range(1, 41).selectExpr("0L as u", "id as v").union(spark.range(1, 40).selectExpr("id as u", "id + 1 as v"))
     found = {frozenset(r) for r in plain(hub).collect()}
     assert found == {frozenset((0, i, i + 1)) for i in range(1, 40)} and plain(hub).count() == 39
+
+
+def test_components_write_edges_once(spark, monkeypatch):
+    """What a round writes after the edges themselves grows with the nodes; a long path and a dense component take few rounds."""
+    from marram.operators import components
+    from marram.sources import shared
+
+    sizes = []
+
+    class Counted(shared.Rounds):
+        def write(self, df, name):
+            out = super().write(df, name)
+            sizes.append((name, out.count()))
+            return out
+
+    monkeypatch.setattr(components, "Rounds", Counted)
+    dense = spark.range(200).selectExpr("id AS a").crossJoin(spark.range(200).selectExpr("id AS b")).where("a < b")
+    path = spark.range(1000, 1300).selectExpr("id AS a", "id + 1 AS b")
+    odd = spark.createDataFrame([(5000, 5000), (None, 1), (7001, 7000), (7000, 7001), (9003, 9002), (9001, 9003), (9002, 9004), (8999, 9004)], "a long, b long")
+    got = {r.node: r.component for r in components.connected_components(dense.union(path).union(odd)).collect()}
+    want = {**dict.fromkeys(range(200), 0), **dict.fromkeys(range(1000, 1301), 1000), 7000: 7000, 7001: 7000, **dict.fromkeys([8999, 9001, 9002, 9003, 9004], 8999)}
+    assert got == want
+    edges = dense.count() + path.count() + 6
+    assert sizes[0] == ("links", edges) and max(n for _, n in sizes[1:]) <= len(want) and len(sizes) < 25
