@@ -323,3 +323,17 @@ def test_network_files_with_headers_and_formats(spark, tmp_path):
     assert place.endswith("/out") and got.count() == 1
     with pytest.raises(ValueError):
         stores.first_readable(spark, [f"file://{tmp_path}/none"], spark.read.parquet)
+
+
+def test_louvain_writes_no_state_twice(spark, monkeypatch):
+    """A round of moves writes its wishes and its state; the best state is kept, not copied, and is still there when it is read."""
+    import pyspark.sql.functions as F
+    from marram.operators import community
+
+    names, plain = [], community.materialise
+    monkeypatch.setattr(community, "materialise", lambda df, name="step": (names.append(name), plain(df, name))[1])
+    ring = [(5 * c + i, 5 * c + j) for c in range(4) for i in range(5) for j in range(i)] + [(5 * c, 5 * c + 9) for c in range(3)]
+    edges = spark.createDataFrame([(min(e), max(e)) for e in ring], "u long, v long")
+    part = community.louvain(edges)
+    assert part.agg(F.count("*")).first()[0] == 20 and community.modularity(edges, part) > 0.6
+    assert "best" not in names
