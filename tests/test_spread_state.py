@@ -1,4 +1,4 @@
-"""What a spreading simulation writes: what is reached anew, several seed sets to a row."""
+"""What a spreading simulation writes: what is reached anew, several seed sets to a row, pairs by doubling."""
 
 from pyspark.sql import functions as F
 
@@ -44,3 +44,34 @@ def test_more_runs_than_a_word_and_nested_rates(spark):
             want |= {(name, run, beta, node, at): 1 for node, at in seen.items()}
     got = [(r.set_id, r.run, r.beta, r.node, r.step) for r in spread.infections(edges, seeds, plan).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_single_nodes_on_a_long_way_are_closed_by_doubling(spark, monkeypatch):
+    names, write = [], shared._write
+
+    def counted(df, name):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(shared, "_write", counted)
+    n = 48
+    ring = spark.range(n).select(F.col("id").alias("u"), ((F.col("id") + 1) % n).alias("v"))
+    plan = spread.runs(spark, 1, 6).select("run", F.lit(0.5).alias("beta"))
+    ties = ring.union(ring.select("v", "u")).crossJoin(plan)
+    opened = {(r.run, r.u, r.v) for r in ties.where(spread.uniform("run", "u", "v") < 0.5).collect()}
+    sizes = dict.fromkeys(range(n), 0)
+    for run in range(6):
+        for v in range(n):
+            seen, todo = {v}, [v]
+            while todo:
+                x = todo.pop()
+                near = [y for y in ((x + 1) % n, (x - 1) % n) if (run, x, y) in opened and y not in seen]
+                seen.update(near)
+                todo += near
+            sizes[v] += len(seen)
+    nodes = spark.range(n + 1).withColumnRenamed("id", "node")  # the last has no ties
+    want = {v: s / 6 for v, s in sizes.items()} | {n: 1.0}
+    found = lambda: {r.node: r.score for r in spread.single_node_sizes(ring, nodes, plan).collect()}
+    assert found() == want and "ring" not in names and names.count("pairs") <= 6
+    monkeypatch.setattr(spread, "PAIRS", 1)
+    assert found() == want and "ring" in names
