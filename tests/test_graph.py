@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marram.operators import cliques as cl
 from marram.operators import community, controls, graph, methods, paths, ranking, spread, synthetic
+from marram.sources import shared
 
 
 def edges_of(spark, pairs):
@@ -137,6 +138,19 @@ def test_betweenness_in_waves(spark, sample):
     assert paths.dependencies(e.where("false")).count() == 0
 
 
+def test_betweenness_writes_no_row_for_a_pair(spark, sample, monkeypatch):
+    rows, write = {}, shared._write
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = max(rows.get(name, 0), out[0].count())
+        return out
+
+    monkeypatch.setattr(shared, "_write", counted)
+    paths.dependencies(sample[0]).count()
+    assert rows["paths"] == 1  # a range of nodes and a block of sources
+
+
 def test_cores_of_many_shapes(spark, sample):
     """Against peeling: a dense sample, and chains that hang on cliques, where a fall passes on node by node."""
     for e, near in (sample, chained(spark)):
