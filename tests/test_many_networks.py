@@ -145,6 +145,17 @@ def test_vote_rank_in_blocks_and_its_ties(spark, monkeypatch, block):
     assert [ties[g][1] for g in (0, 1)] == [w[1] for w in want[:2]] and [ties[g][0] for g in (0, 1)] == [len(w[0]) for w in want[:2]]
 
 
+def test_blocks_that_settle_little_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "BLOCK_TIES", 8)
+    calls, rounds, settle, write = [], [], ranking._block_picks, ranking.materialise
+    monkeypatch.setattr(ranking, "_block_picks", lambda *a: calls.append(1) or settle(*a))
+    monkeypatch.setattr(ranking, "materialise", lambda df, name="step": rounds.append(name) or write(df, name))
+    ties = random_ties(random.Random(3), 60, 150)
+    order = [r["node"] for r in ranking.vote_rank(spark.createDataFrame(ties, "u long, v long")).orderBy("rank").collect()]
+    assert order == plain_votes(ties)[0]
+    assert len(calls) < rounds.count("picked") - len(calls)  # fewer than rounds over the whole graph
+
+
 def test_long_chains_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(ranking, "BLOCK_TIES", 1 << 15)
     n, rounds = 20_000, []
