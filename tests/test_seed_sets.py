@@ -7,8 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marram.operators import collection, paths, statistics
+from marram.operators import collection, methods, paths, statistics
 from marram.plans import study
+from marram.plans.many import QUERIES
 
 
 def distances(near, start):
@@ -100,3 +101,25 @@ def test_search_over_several_ranges_and_blocks(spark):
         others = k - 1 - (v < k)
         want[v] = (1 + others, 1 + 2 * others, 2 if others else 1)
     assert got == want and [d for d, _ in found] == [1, 2, 3]
+
+
+def small_lines(spark, tmp_path):
+    """A folder with a few lines, enough for networks."""
+    rng = random.Random(31)
+    rows = [(o, rng.randrange(12), f, s, 40.0) for o in range(40) for f, s in (("A", "F"), ("N", "O")) for _ in range(2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    return f"file://{tmp_path}"
+
+
+def broken_method(monkeypatch, name):
+    def fails(*_):
+        raise ValueError("no scores")
+
+    monkeypatch.setitem(methods.METHODS, name, fails)
+
+
+def test_leading_nodes_without_a_method_are_no_result(spark, tmp_path, monkeypatch):
+    folder = small_lines(spark, tmp_path)
+    broken_method(monkeypatch, "core")
+    with pytest.raises(RuntimeError, match="core"):
+        QUERIES["networks_leading"](spark, folder).collect()
