@@ -123,3 +123,10 @@ def test_leading_nodes_without_a_method_are_no_result(spark, tmp_path, monkeypat
     broken_method(monkeypatch, "core")
     with pytest.raises(RuntimeError, match="core"):
         QUERIES["networks_leading"](spark, folder).collect()
+
+
+def test_ties_without_a_method_are_no_result(spark, tmp_path, monkeypatch):
+    folder = small_lines(spark, tmp_path)
+    broken_method(monkeypatch, "core")
+    with pytest.raises(RuntimeError, match="core"):
+        QUERIES["networks_ties"](spark, folder).collect()
