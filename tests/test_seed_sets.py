@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from marram.operators import collection, methods, paths, statistics
+from marram.operators import collection, controls, methods, paths, statistics
 from marram.plans import study
 from marram.plans.many import QUERIES
 
@@ -56,6 +56,39 @@ def test_dispersions_and_similarities_of_all_sets(spark, tied):
     assert own["s2"] == pytest.approx(sum(far[a].get(b, 5000) for a, b in pairs) / len(pairs))
 
 
+def test_controls_are_measured_over_all_their_pairs(spark, tied):
+    """Candidates of 150 nodes have 11,175 pairs; two of them differ in a single node."""
+    ties, near, _ = tied
+    own = sorted(near)[:151]
+    sets = {1: own[:150], 2: own[1:], 300: own[:1]}
+    table = spark.createDataFrame([(c, x) for c, nodes in sets.items() for x in nodes], "candidate long, node long")
+    got = {r.candidate: r.mean_distance for r in controls.mean_distances(spark.createDataFrame(ties, "u long, v long"), table).collect()}
+    far = {x: distances(near, x) for x in own}
+    for c, nodes in sets.items():
+        pairs = list(itertools.combinations(nodes, 2))
+        assert got[c] == (pytest.approx(sum(far[a].get(b, len(near)) for a, b in pairs) / len(pairs), abs=1e-12) if pairs else 0.0)
+
+
+def test_searches_in_turns_give_the_same(spark):
+    """With few rows at a time the blocks take their turns, and every sum stays."""
+    from marram.operators import blocks
+
+    up = spark.range(1, 5000).selectExpr("id AS u", "id % 40 AS v").where("u <> v").union(spark.range(1, 40).selectExpr("id AS u", "0L AS v"))
+    arcs, sources = up.union(up.select("v", "u")), spark.range(5000).selectExpr("id AS node", "id AS source")
+
+    def summed(most):
+        ends = [blocks.sums(state) for _, state, done in blocks.searches(arcs, sources, most) if done]
+        rows = [r for end in ends for r in end.groupBy("label").agg(F.sum("reached").alias("n"), F.sum("total").alias("total"), F.max("farthest").alias("far")).collect()]
+        whole = defaultdict(lambda: (0, 0, 0))
+        for r in rows:
+            n, total, far = whole[r.label]
+            whole[r.label] = (n + r.n, total + r.total, max(far, r.far))
+        return len(ends), dict(whole)
+
+    (one, whole), (turns, parts) = summed(None), summed(1)
+    assert one == 1 and turns == 3 and whole == parts and len(whole) == 5000
+
+
 def test_no_sets_and_no_ties(spark):
     edges = spark.createDataFrame([(1, 2)], "u long, v long")
     nothing = spark.createDataFrame([], "set_id string, node long")
