@@ -75,3 +75,14 @@ def test_single_nodes_on_a_long_way_are_closed_by_doubling(spark, monkeypatch):
     assert found() == want and "ring" not in names and names.count("pairs") <= 6
     monkeypatch.setattr(spread, "PAIRS", 1)
     assert found() == want and "ring" in names
+
+
+def test_counts_equal_the_rows_they_stand_for(spark):
+    """Infected nodes counted as bits, by set, run and settings, are as many as the rows of the spread, for more cases than a word holds."""
+    edges = spark.range(1, 40).selectExpr("id AS u", "id % 5 AS v").where("u <> v")
+    seeds = spark.createDataFrame([(s, x) for s, nodes in {"a": [0, 5], "b": [39], "c": [10, 20, 30]}.items() for x in nodes], "set_id string, node long")
+    plan = spread.runs(spark, 2, 20).selectExpr("run", "explode(array(0.2D, 0.45D)) AS beta")
+    for settings, rows in ((plan, spread.infections), (plan.selectExpr("run", "beta", "0.5D AS gamma"), spread.infections_with_recovery)):
+        want, got = spread.final_sizes(rows(edges, seeds, settings)), spread.infected_counts(edges, seeds, settings)
+        assert want.columns == got.columns and got.count() == 240
+        assert want.exceptAll(got).isEmpty()
