@@ -55,6 +55,20 @@ def kept_ties(own):
     return [(u, v) for u, v in own if u in best]
 
 
+def test_ties_are_made_once(spark):
+    """What gives the ties of networks may be a large join; nodes and edges come from one run of it."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    pairs = spark.createDataFrame([("a", 1, 2), ("a", 2, 1), ("a", 2, 3), ("a", 5, 5)], "graph string, u long, v long").mapInArrow(counted, "graph string, u long, v long")
+    own = collection.collect_networks(pairs)
+    assert own.nodes.count() == 4 and own.edges.count() == 2 and runs.value == 4
+
+
 def test_collections_keep_nodes_without_ties(three):
     ties, every = three
     got = {r.graph: (r.n, r.e) for r in every.sizes().collect()}
